@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracemill.llm import packing, tokens
+from tracemill.llm import packing, simhash, tokens
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op4_section_tokens": tokens.op4_section_tokens,
     "op8_pack": packing.op8_pack,
 }
