@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracemill.llm import packing, simhash, tokens
+from tracemill.llm import packing, quality, simhash, tokens
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op4_section_tokens": tokens.op4_section_tokens,
     "op8_pack": packing.op8_pack,
+    "op9_quality": quality.op9_quality,
 }
 SQL: dict[str, str] = {}
