@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracemill.llm import nearest, packing, quality, simhash, tokens, topk
+from tracemill.llm import mixing, nearest, packing, quality, simhash, tokens, topk
 
 QUERIES = {
     "op1_nearest": nearest.op1_nearest,
     "op2_simhash": simhash.op2_simhash,
     "op4_section_tokens": tokens.op4_section_tokens,
+    "op7_mix": mixing.op7_mix,
     "op8_pack": packing.op8_pack,
     "op9_quality": quality.op9_quality,
     "op10_topk": topk.op10_topk,
