@@ -1 +1 @@
-"""Jobs of the library."""
+"""Registered queries over the supplied tables, and their SQL."""
