@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracemill.jobs import eventlog, ledger
+from tracemill.jobs import eventlog, ledger, retrieval
 
-MODULES = (ledger, eventlog)
+MODULES = (ledger, eventlog, retrieval)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
