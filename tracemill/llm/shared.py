@@ -1,13 +1,16 @@
-"""What the operators share: the scratch folder, shipping this package to workers, words."""
+"""What the operators share: stored tables, shipping this package to workers, words."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from tracemill.functions.scratch import drop_stored, scratch, stored
+
+__all__ = ["LOWER", "WORD", "drop_stored", "scratch", "ship", "stored", "words_of"]
 
 #: Lower-cases A-Z only; bytes.split() then cuts at x20 and x09-x0D.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -20,30 +23,6 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which all executors share; a local folder only where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = os.path.join(tempfile.gettempdir(), "tracemill-scratch")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files under a result of stored(); nothing may read it afterwards."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each Spark context."""
     import tracemill

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.graph import components
 from tracemill.llm.shared import ship, stored, words_of
+from tracemill.operators.graph import components
 
 BITS = 64
 #: Reference fingerprints of the distance tables.
