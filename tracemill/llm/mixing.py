@@ -77,8 +77,8 @@ def mix(docs: DataFrame, weights: dict[str, DataFrame], budget: Column | float,
     leaf's target is filled with whole epochs, then with the longest prefix of
     the next epoch's seeded order that doesn't exceed it. Ties of the order
     fall by key; rows that repeat a key and its place are taken or left in any
-    order. Texts without tokens belong to every prefix that passes their place.
-    Null tree columns are nodes of their own. Empty tables give no rows.
+    order. Texts without tokens go with their leaf's epochs and with prefixes that
+    pass their place; a leaf of such texts alone has no epochs and no rows. Null tree columns are nodes of their own. Empty tables give no rows.
     """
     keep = keep or []
     leaves = stored(docs.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens")), "leaves")
@@ -102,10 +102,10 @@ def mix(docs: DataFrame, weights: dict[str, DataFrame], budget: Column | float,
 
     columns = [*TREE, key, *keep, "n_tokens"]
     whole = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
-    clear = F.when(F.col("cut").isNull() | (F.col("part") < F.col("cut")), F.concat(whole, F.array("epoch"))).otherwise(whole)
+    clear = F.when((F.col("over") > 0) & (F.col("part") < F.col("cut")), F.concat(whole, F.array("epoch"))).otherwise(whole)
     certain = placed.select(*columns, F.explode(clear).alias("epoch"))
     sorted_ = Window.partitionBy(*[f"_{c}" for c in TREE]).orderBy("place", key)
-    edge = placed.filter(F.col("part") == F.col("cut")).withColumn("sum", F.col("before") + F.sum("n_tokens").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = placed.filter((F.col("over") > 0) & (F.col("part") == F.col("cut"))).withColumn("sum", F.col("before") + F.sum("n_tokens").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
     return certain.unionByName(edge.filter(F.col("sum") <= F.col("over")).select(*columns, "epoch"))
 
 

@@ -55,13 +55,15 @@ class Quantiser:
     @classmethod
     def fit(cls, x: np.ndarray, threshold: float = 0.2, rounds: int = 6, seed: int = 3) -> Quantiser:
         """Alternates codes and least-squares centroids; `threshold` is the cosine from which scores matter."""
+        if not len(x):
+            return cls(np.zeros((2, CENTROIDS, 2)), 1.0)
         d = x.shape[1]
         eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
         parts, unit = cls.split(x)
-        pick = np.random.default_rng(seed).integers(0, max(1, len(x)), CENTROIDS)
-        own = cls(parts[pick].transpose(1, 0, 2).copy() if len(x) else np.zeros((parts.shape[1], CENTROIDS, 2)), eta)
+        pick = np.random.default_rng(seed).integers(0, len(x), CENTROIDS)
+        own = cls(parts[pick].transpose(1, 0, 2).copy(), eta)
         at = np.arange(parts.shape[1])
-        for _ in range(rounds if len(x) else 0):
+        for _ in range(rounds):
             code = own.codes(x, 1)
             along = ((parts - own.books[at, code]) * unit).sum(2)
             for m in at:

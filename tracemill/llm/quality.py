@@ -151,10 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, folds: int
     return fit([slots[i] for i in by], stats[by], y[by])
 
 
-def scored(docs: DataFrame, model: FactorisationMachine, floor: float = 0.3) -> DataFrame:
-    """All columns of docs with score (0 to 1) and predicted (1 if score >= floor) for every whole text; null counts as empty."""
+def scored(docs: DataFrame, model: FactorisationMachine, floor: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of docs with score (0 to 1) and predicted (1 if score >= floor) for every whole text; null counts as empty.
+
+    `names` names the two; columns of docs that have these names are replaced.
+    """
     ship(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
+    columns = [c for c in docs.columns if c not in names]
     at = columns.index("text")
 
     def run(batches):
@@ -165,10 +168,10 @@ def scored(docs: DataFrame, model: FactorisationMachine, floor: float = 0.3) ->
                 found = [text_features(t) for t in texts.slice(i, 512).to_pylist()]
                 scores.append(model.score([s for s, _ in found], np.array([x for _, x in found])))
             score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= floor).astype(np.int32))], names=[*columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= floor).astype(np.int32))], names=[*columns, *names])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*columns).mapInArrow(run, f"{schema}, `{names[0]}` double, `{names[1]}` int")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
