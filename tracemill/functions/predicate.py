@@ -10,7 +10,9 @@ keeps rows without a value.
 from __future__ import annotations
 
 import ast
+import io
 import operator
+import tokenize
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,19 +38,25 @@ _FUNCTIONS = {"abs": F.abs, "sqrt": F.sqrt, "log": F.ln, "exp": F.exp, "floor":
 def predicate(text: str, columns: list[str]) -> Column:
     """The condition that `text` states over `columns`."""
     try:
-        tree = ast.parse(text.strip(), mode="eval").body
-    except SyntaxError as error:
-        raise PredicateError(f"can't read {text!r}: {error.msg}") from error
+        tree = ast.parse(_spelled(text.strip()), mode="eval").body
+    except (SyntaxError, tokenize.TokenError) as error:
+        raise PredicateError(f"can't read {text!r}: {error}") from error
     return _condition(tree, columns)
 
 
+def _spelled(text: str) -> str:
+    """& | ~ as `and or not`, whose precedence they have here."""
+    spelled = {"&": "and", "|": "or", "~": "not"}
+    return tokenize.untokenize((t.type, spelled.get(t.string, t.string) if t.type == tokenize.OP else t.string) for t in tokenize.generate_tokens(io.StringIO(text).readline))
+
+
 def where(df: DataFrame, text: str) -> DataFrame:
     """Rows that meet the predicate."""
     return df.filter(predicate(text, df.columns))
 
 
 def _is_condition(node: ast.AST) -> bool:
-    return isinstance(node, (ast.Compare, ast.BoolOp)) or isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.Not, ast.Invert)) or isinstance(node, ast.BinOp) and isinstance(node.op, (ast.BitAnd, ast.BitOr))
+    return isinstance(node, (ast.Compare, ast.BoolOp)) or isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not)
 
 
 def _condition(node: ast.AST, columns: list[str]) -> Column:
@@ -58,10 +66,7 @@ def _condition(node: ast.AST, columns: list[str]) -> Column:
         for p in parts[1:]:
             out = out & p if isinstance(node.op, ast.And) else out | p
         return out
-    if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.BitAnd, ast.BitOr)):
-        a, b = _condition(node.left, columns), _condition(node.right, columns)
-        return a & b if isinstance(node.op, ast.BitAnd) else a | b
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.Not, ast.Invert)):
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
         return ~_condition(node.operand, columns)
     if isinstance(node, ast.Compare):
         out, left = None, node.left
