@@ -47,7 +47,8 @@ def predicate(text: str, columns: list[str]) -> Column:
 def _spelled(text: str) -> str:
     """& | ~ as `and or not`, whose precedence they have here."""
     spelled = {"&": "and", "|": "or", "~": "not"}
-    return tokenize.untokenize((t.type, spelled.get(t.string, t.string) if t.type == tokenize.OP else t.string) for t in tokenize.generate_tokens(io.StringIO(text).readline))
+    found = tokenize.generate_tokens(io.StringIO(text).readline)
+    return tokenize.untokenize((tokenize.NAME, spelled[t.string]) if t.string in spelled else t[:2] for t in found)
 
 
 def where(df: DataFrame, text: str) -> DataFrame:

@@ -17,10 +17,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """df written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation.
+
+    row_group, in bytes, keeps what a reader holds at a time small where single values are large.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
