@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracemill.functions.html import meta_content, page_text as extract
+from tracemill.functions.shipping import ship
 from tracemill.operators import graph as op
 from tracemill.sources.frames import table
 from tracemill.streaming import monitors
@@ -58,6 +59,7 @@ def entity_merge(spark, d):
 
 def html_extract(spark, d):
     """Title and body of each page; SQL can't parse them."""
+    ship(spark)
 
     def run(batches):
         for batch in batches:

@@ -11,10 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from tracemill.functions.scratch import scratch
+from tracemill.functions.shipping import ship
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     """A stream over Parquet files of events; ts becomes a timestamp, as watermarks need one."""
+    ship(spark)
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
