@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import ship, stored
+from tracemill.llm.shared import ship, stored, tidied
 from tracemill.llm.vectors import QUERIES, ROWS, best, blocks, items_of, paired, queries_of, ranked, usable
 
 #: Most vectors that the codebooks are fitted on: those with the smallest hashes of their id. All vectors are indexed.
@@ -105,7 +105,7 @@ def index(rows: DataFrame, sample: int = SAMPLE, block: int = ROWS) -> tuple[Dat
                     names=["block", "ids", "vectors", "codes"],
                 )
 
-    return blocks(rows, block).mapInArrow(run, "block int, ids binary, vectors binary, codes binary"), quantiser
+    return blocks(rows, block).mapInArrow(tidied(run), "block int, ids binary, vectors binary, codes binary"), quantiser
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, rerank: int = RERANK) -> DataFrame:
@@ -143,7 +143,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, rerank: int = RERANK) ->
                 if qid:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(qid).astype(np.int64)), pa.array(np.concatenate(vid)), pa.array(np.concatenate(score))], names=["query_id", "vec_id", "score"])
 
-    return ranked(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    return ranked(pairs.mapInArrow(tidied(run), "query_id long, vec_id long, score double"), k)
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

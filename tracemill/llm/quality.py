@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import LOWER, ship
+from tracemill.llm.shared import LOWER, ship, tidied
 
 #: Slots for hashed words; the slots of the structure statistics follow them.
 SLOTS = 1 << 17
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, folds: int
             found = [text_features(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["slots", "stats", "y"])
 
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(run, "slots binary, stats array<double>, y int").toArrow()
+    rows = docs.join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(tidied(run), "slots binary, stats array<double>, y int").toArrow()
     slots = [np.frombuffer(s, np.int32) for s in rows["slots"].to_pylist()]
     stats = np.array(rows["stats"].to_pylist(), np.float64).reshape(-1, STATS)
     y = (rows["y"].to_numpy() > 0).astype(np.float32)
@@ -171,7 +171,7 @@ def scored(docs: DataFrame, model: FactorisationMachine, floor: float = 0.3, nam
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= floor).astype(np.int32))], names=[*columns, *names])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns).mapInArrow(run, f"{schema}, `{names[0]}` double, `{names[1]}` int")
+    return docs.select(*columns).mapInArrow(tidied(run), f"{schema}, `{names[0]}` double, `{names[1]}` int")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
+import ctypes
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
 
 from tracemill.functions.scratch import drop_stored, scratch, stored
+from tracemill.functions.shipping import ship
 
-__all__ = ["LOWER", "WORD", "drop_stored", "scratch", "ship", "stored", "words_of"]
+__all__ = ["LOWER", "WORD", "drop_stored", "give_back", "scratch", "ship", "stored", "tidied", "words_of"]
 
 #: Lower-cases A-Z only; bytes.split() then cuts at x20 and x09-x0D.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -23,20 +23,20 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark context."""
-    import tracemill
-
-    sc = spark.sparkContext
-    if getattr(sc, "_tracemill_shipped", False):
-        return
-    top = os.path.dirname(os.path.abspath(tracemill.__file__))
-    path = os.path.join(tempfile.mkdtemp(), "tracemill_shipped.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("tracemill", os.path.relpath(full, top)))
-    sc.addPyFile(path)
-    sc._tracemill_shipped = True
+def give_back() -> None:
+    """Gives a worker's unused memory back: it lives on beside its executor, between tasks of many jobs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with give_back() after its last batch."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped

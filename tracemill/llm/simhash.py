@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import ship, stored, words_of
+from tracemill.llm.shared import ship, stored, tidied, words_of
 from tracemill.operators.graph import components
 
 BITS = 64
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
             found.append(_flush(hashes, sizes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def block_count(n: int, bits: int, per_group: int = 8) -> int:
@@ -179,7 +179,7 @@ def near_links(nodes: DataFrame, bits: int = 4, group: int = GROUP) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     shuffled = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return shuffled.select("key", F.col("pair").cast("long").alias("pair"), "fp").mapInArrow(run, "a long, b long").distinct()
+    return shuffled.select("key", F.col("pair").cast("long").alias("pair"), "fp").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, n: int = 4) -> DataFrame:

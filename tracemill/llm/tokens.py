@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import ship
+from tracemill.llm.shared import ship, tidied
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of each of the two generations of a worker's cache of pieces.
-CACHE = 500_000
+CACHE = 400_000
 
 _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
@@ -71,12 +73,11 @@ class Encoder:
             if p is not h:
                 self.new[p] = self.new[h] + self.ends[p[-1]]
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; none for null or empty."""
-        out = []
-        for at in range(0, len(texts), 64):
+        for some in batched(texts, 64):
             firsts, rests = [], []
-            for t in texts[at : at + 64]:
+            for t in some:
                 if not t or t[0] != " " and not _SPACED.search(t):
                     first, *rest = (t or "").split(" ")
                 else:
@@ -89,8 +90,8 @@ class Encoder:
             if missing := set().union(*rests).difference(self.new):
                 self._learn(missing)
             get = self.new.__getitem__
-            out += [first + b"".join(map(get, rest)) for first, rest in zip(self._direct(firsts), rests)]
-        return out
+            for first, rest in zip(self._direct(firsts), rests):
+                yield first + b"".join(map(get, rest))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -173,7 +174,7 @@ def section_tokens(docs: DataFrame, path: str | None = None, text: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, rest)], names=["k", "section", "start", "stop", "n_tokens", "n_crossing"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, section long, start long, stop long, n_tokens long, n_crossing long")
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidied(run), f"k {kind}, section long, start long, stop long, n_tokens long, n_crossing long")
     return out.withColumnRenamed("k", key)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.llm.shared import ship, stored
+from tracemill.llm.shared import ship, stored, tidied
 from tracemill.llm.vectors import QUERIES, ROWS, best, blocks, items_of, paired, queries_of, ranked, usable
 
 #: Lists of local scores: a score is the sum of the inner products over so many runs of dimensions.
@@ -67,7 +67,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS) -> Da
                         found = work(ids, part, local_scores(whole(part["v"]), x, lists))
                         yield pa.RecordBatch.from_arrays([_long(c) for c in found], names=names)
 
-        return paired(row_blocks, blocks(q, QUERIES, F.col("id"))).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+        return paired(row_blocks, blocks(q, QUERIES, F.col("id"))).mapInArrow(tidied(run), ", ".join(f"{n} long" for n in names))
 
     def gather(ids, part, local):
         out = [[], [], [], [], []]
