@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-#: Words of a window and from one window to the next: a window has two shingles, and each shingle is in one window.
-WINDOW, STRIDE = 6, 2
+#: Words from one window of six to the next: a window has two shingles, and each shingle is in one window.
+STRIDE = 2
 #: Bands of one row. A window that shares a template's shingle agrees with one of the template's windows in at least
 #: one of two, so a band matches with probability 1/2 or more, and none of 16 with less than 2 in 100,000.
 BANDS = 16
@@ -34,18 +34,20 @@ def word_hashes(text: str) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.col(text)), BREAK), ""), lambda w: F.xxhash64(w))
 
 
-def _shingle(at: int) -> Column:
-    last = F.col(f"w.h{at + SHINGLE - 1}")
-    return F.when(last.isNotNull(), F.xxhash64(*[F.col(f"w.h{at + j}") for j in range(SHINGLE)])).alias(f"s{at}")
+def _bands(first: Column, second: Column) -> Column:
+    """The least hash of a window's shingles for each band. A function over the bands rather than a column for each,
+    as a method that evaluates them all at once grows too large for the JVM to compile."""
+    return F.transform(F.array(*[F.lit(b) for b in range(BANDS)]), lambda b: F.least(F.xxhash64(first, b), F.when(second.isNotNull(), F.xxhash64(second, b))))
 
 
-def windows(rows: DataFrame, key: list[str], text: str, stride: int, first: int = 0) -> DataFrame:
-    """key, at (first word), the shingles s0, s1 of a window, null past the end, and a band key b0, b1, ... for each band."""
+def windows(rows: DataFrame, key: list[str], text: str, stride: int) -> DataFrame:
+    """key, at (first word), the shingles s0 and s1 of a window, null past the end, and bands, its key for each band."""
     h = rows.select(*key, word_hashes(text).alias("h"))
-    starts = F.when(F.size("h") >= SHINGLE, F.sequence(F.lit(first), F.size("h") - SHINGLE, F.lit(stride)))
-    at = lambda i: F.struct(i.alias("at"), *[F.get("h", i + j).alias(f"h{j}") for j in range(WINDOW)])
-    out = h.select(*key, F.explode(F.transform(starts, at)).alias("w")).select(*key, "w.at", *[_shingle(j) for j in range(WINDOW - SHINGLE + 1)])
-    return out.select("*", *[F.least(*[F.xxhash64(F.col(f"s{j}"), F.lit(b)) if j == 0 else F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(F.col(f"s{j}"), F.lit(b))) for j in range(WINDOW - SHINGLE + 1)]).alias(f"b{b}") for b in range(BANDS)])
+    starts = F.when(F.size("h") >= SHINGLE, F.sequence(F.lit(0), F.size("h") - SHINGLE, F.lit(stride)))
+    shingle = lambda i: F.when(F.get("h", i + SHINGLE - 1).isNotNull(), F.xxhash64(*[F.get("h", i + j) for j in range(SHINGLE)]))
+    at = lambda i: F.struct(i.alias("at"), shingle(i).alias("s0"), shingle(i + 1).alias("s1"))
+    out = h.select(*key, F.explode(F.transform(starts, at)).alias("w")).select(*key, "w.at", "w.s0", "w.s1")
+    return out.withColumn("bands", _bands(F.col("s0"), F.col("s1")))
 
 
 def template_tables(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +56,9 @@ def template_tables(spark: SparkSession, templates: list[tuple[str, str]]) -> tu
         raise ValueError(f"at most {MOST} templates, of different names")
     rows = spark.createDataFrame(templates, "template string, notice string")
     every = windows(rows, ["template"], "notice", 1)
-    single = every.select("template", "s0", F.lit(None).cast("long").alias("s1"), *[F.xxhash64("s0", F.lit(b)).alias(f"b{b}") for b in range(BANDS)])
-    both = every.drop("at").unionByName(single)
-    bands = both.select("template", F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "key")).distinct()
+    single = every.select("template", _bands(F.col("s0"), F.lit(None).cast("long")).alias("bands"))
+    both = every.select("template", "bands").unionByName(single)
+    bands = both.select("template", F.posexplode("bands").alias("band", "key")).distinct()
     shingles = every.select("template", F.col("s0").alias("shingle")).distinct()
     total = shingles.groupBy("template").agg(F.count("*").alias("total"))
     return bands, shingles.join(total, "template")
@@ -74,14 +76,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, at_least
     """
     spark = docs.sparkSession
     bands, shingles = template_tables(spark, templates)
-    keys: list[list[int]] = [[] for _ in range(BANDS)]
-    for row in bands.collect():  # bounded: MOST templates
-        keys[row["band"]].append(row["key"])
+    keys = [row["key"] for row in bands.select("key").distinct().collect()]  # bounded: MOST templates
     found = windows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), ["k"], "t", STRIDE)
-    hit = F.lit(False)
-    for b in range(BANDS):
-        hit = hit | F.col(f"b{b}").isin(keys[b])
-    hits = found.filter(hit).select("k", "at", F.array("s0", "s1").alias("s"), F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "key"))
+    hits = found.filter(F.exists("bands", lambda k: k.isin(keys))).select("k", "at", F.array("s0", "s1").alias("s"), F.posexplode("bands").alias("band", "key"))
     met = hits.join(F.broadcast(bands), ["band", "key"]).select("k", "at", "s", "template")
     each = met.select("k", "template", F.posexplode("s").alias("j", "shingle"), "at").join(F.broadcast(shingles), ["template", "shingle"])
     place = F.col("at") + F.col("j")
