@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.passages import hashed_words
+from tracemill.llm.passages import hashed_words, mix
 from tracemill.llm.quality import fold
-from tracemill.llm.shared import ship, stored
+from tracemill.llm.shared import give_back, ship, stored, tidied
 
 #: Words stand for their 64-bit hashes; these two stand for a text's start and end.
 START, END = np.uint64(0x5BD1E995A5A5A5A5), np.uint64(0x27D4EB2F165667C5)
@@ -23,7 +24,7 @@ K = 5
 #: Added to counts in the base and in the contexts, so that every context keeps some weight for words not seen in it.
 FLOOR = 0.1
 #: Tokens for each group of pairs, and about the most in a block of documents.
-GROUP, BLOCK = 4_000_000, 1_500_000
+GROUP, BLOCK = 2_500_000, 1_000_000
 #: A word or pair with more than one in HEAVY of all training tokens is counted beforehand; there are fewer than HEAVY of either.
 HEAVY = 1000
 
@@ -35,12 +36,17 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(pickle.dumps(arrays), 1)
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts or places in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
+
+
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(zstandard.decompress(raw))  # noqa: S301  written by _pack in the same job
 
 
 def _blocks(batches):
-    """Blocks of whole documents: positions in the batch, the batch, tokens with each text's end, and tokens of each text."""
+    """Blocks of whole documents: their rows, their tokens with each text's end, and how many each text has."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         begun, words, counts, size = 0, [], [], 0
@@ -70,8 +76,6 @@ def _lookup(keys: np.ndarray, values: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    from tracemill.llm.passages import mix
-
     return mix(first * _U(0x9E3779B97F4A7C15) + mix(second))
 
 
@@ -91,7 +95,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             h, n = np.unique(tokens[keep], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    return rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
@@ -127,14 +131,14 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
             h, n = np.unique(_pair(first[keep], tokens[keep]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    both, both_n = _heavy(rows.mapInArrow(pairs_of_heavy, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), n_all / HEAVY)
+    both, both_n = _heavy(rows.mapInArrow(tidied(pairs_of_heavy), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), n_all / HEAVY)
 
     def sums(doc, size, first, second, r, c) -> np.ndarray:
         """Of each document: base, A (see below), known tokens, and pairs by count from 0 to K. r and c by pair occurrence."""
         base = np.log10(c + FLOOR)
         a = np.where(r > 0, np.log10(np.maximum(r, 1)), base) - np.where(second == END, 0.0, base)
         out = [np.bincount(doc, w, size) for w in (base, a, c > 0)]
-        return np.stack([*out, *[np.bincount(doc, r == i, size) for i in range(K + 1)]])
+        return np.stack([*out, *[np.bincount(doc, r == i, size) for i in range(K + 1)]]).astype(np.float64)
 
     def deal(batches):
         """A block's pairs, compressed for each group; what is known of its documents goes to one of them."""
@@ -156,17 +160,18 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for g in np.unique(group):
                 mine = group == g
-                payload = _pack(f[mine], s[mine], often[mine].astype(np.uint32), doc[np.repeat(mine, often)].astype(np.uint32), np.packbits(train), np.array([len(counts)]))
+                payload = _pack(f[mine], s[mine], _small(often[mine]), _small(doc[np.repeat(mine, often)]), np.packbits(train), np.array([len(counts)]))
                 for o, v in zip(out, (int(g), block, "pairs", payload)):
                     o.append(v)
             ids = batch.column("doc_id")
             payload = _pack(np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False)), ids.is_valid().to_numpy(zero_copy_only=False), train, counts, local)
-            for o, v in zip(out, (hash(number) % groups, block, "docs", payload)):
+            for o, v in zip(out, (crc32(block.encode()) % groups, block, "docs", payload)):
                 o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *map(pa.array, out[1:3]), pa.array(out[3], pa.binary())], names=["g", "block", "kind", "payload"])
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         """Counts a group's pairs and words. Gives document sums (by block), context sums and counts of counts (by context), and pairs not seen."""
+        give_back()
         out = [(b, k, 0, p) for b, k, p in zip(frame["block"], frame["kind"], frame["payload"]) if k == "docs"]
         parts = [(b, *_unpack(p)) for b, k, p in zip(frame["block"], frame["kind"], frame["payload"]) if k == "pairs"]
         if parts:
@@ -175,7 +180,9 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
             for _, f, _, often, doc, bits, size in parts:
                 starts = np.concatenate([[0], np.cumsum(often[:-1], dtype=np.int64)])
                 trained.append(np.add.reduceat(np.unpackbits(bits, count=int(size[0]))[doc].astype(np.int64), starts))
+            parts = [(block, len(f), often.astype(np.int64), doc.astype(np.int64), int(size[0])) for block, f, _, often, doc, _, size in parts]
             n = np.concatenate(trained)
+            del trained
             by = np.lexsort([first, second])
             new_word = np.concatenate([[True], second[by][1:] != second[by][:-1]])
             new = new_word | np.concatenate([[True], first[by][1:] != first[by][:-1]])
@@ -197,19 +204,20 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
                     out.append(("", "contexts", int(g), _pack(h1[ctx][to == g], table[:, to == g])))
             out.append(("", "spectrum", 0, _pack(np.bincount(np.minimum(r_each, K + 2), minlength=K + 3)[: K + 2])))
             at = 0
-            for block, f, s, often, doc, _, size in parts:
-                mine = slice(at, at + len(f))
-                at += len(f)
+            for block, length, often, doc, size in parts:
+                mine = slice(at, at + length)
+                at += length
+                f, s = first[mine], second[mine]
                 rr, cc = np.repeat(r[mine], often), np.repeat(c[mine], often)
-                found = sums(doc, int(size[0]), None, np.repeat(s, often), rr, cc)
+                found = sums(doc, size, None, np.repeat(s, often), rr, cc)
                 some = np.unique(doc)
-                out.append((block, "sums", 0, _pack(some.astype(np.uint32), found[:, some])))
+                out.append((block, "sums", 0, _pack(_small(some), found[:2, some], _small(found[2:, some].astype(np.int64)))))
                 if (rr == 0).any():
                     out.append((block, "unseen", 0, _pack(np.repeat(f, often)[rr == 0], doc[rr == 0])))
         return pd.DataFrame(out, columns=["block", "kind", "g", "payload"])
 
-    dealt = rows.mapInArrow(deal, "g int, block string, kind string, payload binary")
-    counted = stored(dealt.groupBy("g").applyInPandas(count, "block string, kind string, g int, payload binary"), "counted")
+    dealt = rows.mapInArrow(tidied(deal), "g int, block string, kind string, payload binary")
+    counted = stored(dealt.groupBy("g").applyInPandas(count, "block string, kind string, g int, payload binary"), "counted", row_group=8 << 20)
 
     spectrum = np.zeros(K + 2)
     for row in counted.filter("kind = 'spectrum'").select("payload").toLocalIterator():  # K + 2 numbers for each group
@@ -221,6 +229,7 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
 
     def weights(frame: pd.DataFrame) -> pd.DataFrame:
         """log10 of each context's backoff weight times (its count + FLOOR)."""
+        give_back()
         got = [_unpack(p) for p in frame["payload"]]
         h, table = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got], axis=1)
         h, of = np.unique(h, return_inverse=True)
@@ -241,7 +250,7 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
                 key, n = np.unique(np.rec.fromarrays([f, doc]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.f0.view(np.int64)), pa.array([block] * len(key)), pa.array(key.f1.astype(np.int32)), pa.array(n)], names=["h", "block", "doc", "n"])
 
-    unseen = counted.filter("kind = 'unseen'").select("block", "payload").mapInArrow(events, "h long, block string, doc int, n long")
+    unseen = counted.filter("kind = 'unseen'").select("block", "payload").mapInArrow(tidied(events), "h long, block string, doc int, n long")
     backed = unseen.join(table, "h", "left").groupBy("block", "doc").agg(F.sum(F.col("n") * F.coalesce("weight", F.lit(float(np.log10(FLOOR))))).alias("back"))
     by_block = backed.groupBy("block").agg(F.collect_list(F.struct("doc", "back")).alias("backs"))  # a block's documents are bounded
 
@@ -252,8 +261,9 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
                 ids, valid, train, counts, out = next(_unpack(p["payload"]) for p in payloads if p["kind"] == "docs")
                 for p in payloads:
                     if p["kind"] == "sums":
-                        some, found = _unpack(p["payload"])
-                        out[:, some] += found
+                        some, logs_, counts_ = _unpack(p["payload"])
+                        out[:2, some] += logs_
+                        out[2:, some] += counts_
                 back = np.zeros(len(ids))
                 for b in backs or []:
                     back[b["doc"]] = b["back"]
@@ -266,7 +276,7 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
                 )
 
     parts = counted.filter("kind in ('docs', 'sums')").groupBy("block").agg(F.collect_list(F.struct("kind", "payload")).alias("parts"))
-    return parts.join(by_block, "block", "left").select("parts", "backs").mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return parts.join(by_block, "block", "left").select("parts", "backs").mapInArrow(tidied(total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def discounts(spectrum: np.ndarray) -> np.ndarray:
