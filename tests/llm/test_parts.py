@@ -128,6 +128,25 @@ def test_fuzzy_passage_and_its_cut(spark):
     assert kept[1] == rows[0][1] and kept[3] == rows[2][1] and len(kept[2].split()) in range(160, 164)
 
 
+def _passages_of(spark, *texts):
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts, 1)], "doc_id long, text string")
+    return sorted((r["doc_id"], r["start"], r["stop"], r["other_id"], r["other_start"]) for r in passages.repeated_passages(docs).collect())
+
+
+def _new_words(n, name):
+    return [f"{name}{i}" for i in range(n)]
+
+
+def test_a_copy_goes_on_behind_a_missing_block_and_in_another_order(spark):
+    w = _new_words(700, "w")
+    found = _passages_of(spark, w, w[:200] + w[300:])
+    assert found == [(2, 0, 200, 1, 0), (2, 200, 600, 1, 300)]
+    parts = [w[i : i + 100] for i in range(0, 700, 100)]
+    order = [4, 5, 0, 6, 2, 1, 3]
+    found = _passages_of(spark, w, [x for k in order for x in parts[k]])
+    assert {i for _, a, b, _, at in found for i in range(a, b)} >= {*range(700)} and {(order[a // 100] * 100, at) for _, a, _, _, at in found} == {(i, i) for i in (400, 0, 600, 200, 100, 300)}
+
+
 def test_quantiser_weighs_parallel_error():
     x = np.random.default_rng(1).normal(size=(2000, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -94,70 +94,41 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(tidied(run), "doc long, pos int, hash long")
 
 
-class Fenwick:
-    """Prefix maxima of (score, anchor)."""
-
-    def __init__(self, n: int):
-        self.best = [(0.0, -1)] * (n + 1)
-
-    def put(self, i: int, value: tuple[float, int]) -> None:
-        i += 1
-        while i < len(self.best):
-            if value > self.best[i]:
-                self.best[i] = value
-            i += i & -i
-
-    def get(self, i: int) -> tuple[float, int]:
-        """The best at places below i."""
-        out = (0.0, -1)
-        while i > 0:
-            if self.best[i] > out:
-                out = self.best[i]
-            i -= i & -i
-        return out
-
-
 def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """Collinear chains of anchors (x, y), sorted by x then y: lists of anchor numbers, both coordinates rising.
 
     A chain gains the new words of each anchor and pays COST for each word by
-    which the gaps in x and y differ: the better of two Fenwick trees, one for
-    predecessors on lower diagonals and one for the others, as the cost is
-    linear on either side. Runs of anchors with a gap of more than GAP in x
-    are apart. The best chain is taken first, and then the best of what is left.
+    which the gaps in x and y differ. Every predecessor in reach, at most GAP
+    behind in x and in y, is tried, so that the best is found whatever chains
+    end farther off; a place has an anchor or two, so that few are in reach.
+    The best chain is taken first, and then the best of what is left.
     """
+    xs, ys = x.tolist(), y.tolist()
+    n = len(xs)
+    score, back = [float(K)] * n, [-1] * n
+    first = 0
+    for i in range(n):
+        xi, yi = xs[i], ys[i]
+        while xi - xs[first] > GAP:
+            first += 1
+        best, of = float(K), -1
+        for j in range(first, i):
+            dx, dy = xi - xs[j], yi - ys[j]
+            if dx > 0 and 0 < dy <= GAP:
+                value = score[j] + min(K, dx, dy) - COST * abs(dx - dy)
+                if value > best:
+                    best, of = value, j
+        score[i], back[i] = best, of
     out = []
-    for run in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x) > GAP) + 1):
-        xs, ys = x[run].tolist(), y[run].tolist()
-        n = len(xs)
-        order = {v: i for i, v in enumerate(sorted({*ys}))}
-        score, back = [0.0] * n, [-1] * n
-        # chained on y; the cost is split by the sign of the diagonal's change, and checked exactly on the two winners
-        low, high = Fenwick(len(order)), Fenwick(len(order))
-        waiting = 0
-        for i in range(n):
-            while xs[waiting] < xs[i]:
-                d = ys[waiting] - xs[waiting]
-                low.put(order[ys[waiting]], (score[waiting] + COST * d, waiting))
-                high.put(order[ys[waiting]], (score[waiting] - COST * d, waiting))
-                waiting += 1
-            best, of = float(K), -1
-            for tree in (low, high):
-                _, j = tree.get(order[ys[i]])
-                if j >= 0 and ys[i] - ys[j] <= GAP and xs[i] - xs[j] <= GAP:
-                    gain = min(K, xs[i] - xs[j], ys[i] - ys[j]) - COST * abs((ys[i] - xs[i]) - (ys[j] - xs[j]))
-                    if score[j] + gain > best:
-                        best, of = score[j] + gain, j
-            score[i], back[i] = best, of
-        used = [False] * n
-        for i in sorted(range(n), key=lambda i: -score[i]):
-            chain = []
-            while i >= 0 and not used[i]:
-                used[i] = True
-                chain.append(i)
-                i = back[i]
-            if chain:
-                out.append(run[chain[::-1]])
+    used = [False] * n
+    for i in sorted(range(n), key=lambda i: -score[i]):
+        chain = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            chain.append(i)
+            i = back[i]
+        if chain:
+            out.append(np.array(chain[::-1]))
     return out
 
 
