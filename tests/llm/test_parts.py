@@ -147,6 +147,41 @@ def test_a_copy_goes_on_behind_a_missing_block_and_in_another_order(spark):
     assert {i for _, a, b, _, at in found for i in range(a, b)} >= {*range(700)} and {(order[a // 100] * 100, at) for _, a, _, _, at in found} == {(i, i) for i in (400, 0, 600, 200, 100, 300)}
 
 
+def test_passages_stand_apart_where_an_alignment_matches_poorly(spark):
+    a, b = _new_words(60, "a"), _new_words(60, "b")
+    found = _passages_of(spark, a + _new_words(35, "x") + b, a + _new_words(35, "y") + b)
+    assert found == [(2, 0, 60, 1, 0), (2, 95, 155, 1, 95)]
+    blocks = [_new_words(55, f"b{i}_") for i in range(6)]
+    page = lambda name, n: [w for i, x in enumerate(blocks) for w in x + _new_words(n, f"{name}{i}_")]
+    found = _passages_of(spark, page("x", 26), page("y", 29))
+    assert found == [(2, 84 * i, 84 * i + 55, 1, 81 * i) for i in range(6)]
+    assert _passages_of(spark, a[:20] + _new_words(11, "x") + b[:40], a[:20] + _new_words(11, "y") + b[:40]) == [(2, 0, 71, 1, 0)]
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.integers(8, 90), st.integers(0, 20), st.integers(0, 20)), min_size=1, max_size=8), st.integers(0, 20), st.integers(0, 20))
+def test_alignments_are_paths_and_their_segments_are_passages(parts, left, right):
+    new = iter(range(10**6))
+    a, b, xs, ys = [next(new) for _ in range(left)], [next(new) for _ in range(right)], [], []
+    for n, da, db in parts:
+        xs.append(len(a)), ys.append(len(b))
+        run = [next(new) for _ in range(n)]
+        a += run + [next(new) for _ in range(da)]
+        b += run + [next(new) for _ in range(db)]
+    px, py, same, lo, hi = passages.align(np.array(a), np.array(b), xs, ys)
+    dx, dy = np.diff(px), np.diff(py)
+    assert ((dx == 0) | (dx == 1)).all() and ((dy == 0) | (dy == 1)).all() and (dx + dy > 0).all() and (np.array(a)[px[same]] == np.array(b)[py[same]]).all()
+    assert same.sum() == sum(n for n, _, _ in parts)
+    found = passages.segments(px, py, same, lo, hi, 50, 0.8)
+    for x0, x1, y0, y1, n in found:
+        assert min(x1 - x0, y1 - y0) >= 50 and n >= 0.8 * max(x1 - x0, y1 - y0)
+    whole = xs[-1] + parts[-1][0] - xs[0], ys[-1] + parts[-1][0] - ys[0]
+    assert len(found) == 1 or min(whole) < 50 or same.sum() < 0.8 * max(whole)
+    covered = {x for x0, x1, *_ in found for x in range(x0, x1)}
+    for (n, _, _), x in zip(parts, xs):
+        assert n < 50 or covered >= {*range(x, x + n)}
+
+
 def test_quantiser_weighs_parallel_error():
     x = np.random.default_rng(1).normal(size=(2000, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

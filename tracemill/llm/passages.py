@@ -163,40 +163,83 @@ def chained(matches: DataFrame) -> DataFrame:
     return dealt.mapInPandas(tidied(run), "doc long, other long, xs array<int>, ys array<int>")
 
 
-def align(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int]) -> tuple[int, int, int, int, int]:
-    """Extends a chain over words a and b as far as they agree: start and stop in both, and the equal words.
+def reach(same: np.ndarray) -> int:
+    """How far an alignment goes on while it gains, a word that differs costing two equal ones."""
+    gain = np.cumsum(np.where(same, 1, -2))
+    fall = np.flatnonzero(np.maximum.accumulate(np.maximum(gain, 0)) - gain > 16)
+    gain = gain[: fall[0]] if len(fall) else gain
+    return int(gain.argmax()) + 1 if len(gain) and gain.max() > 0 else 0
+
+
+def align(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """The alignment of words a and b along a chain and on to the ends of the shorter sides: for each of its columns
+    the place in both (that of the next word, where a side has none) and whether the words are equal; and the first
+    column and the one behind the last of the chain with what it reaches on either side.
 
     Between seeds, words are compared along the diagonal, with the surplus of
-    the longer gap left out where that loses least; beyond the ends the
-    alignment goes on while it gains, a word that differs costing two equal ones.
+    the longer gap left out where that loses least.
+    """
+    before, after = min(xs[0], ys[0]), min(len(a) - xs[-1], len(b) - ys[-1])
+    px, py = [np.arange(xs[0] - before, xs[0])], [np.arange(ys[0] - before, ys[0])]
+    put = [np.ones(before, bool)]
+    turn = [i for i in range(len(xs) - 1) if xs[i + 1] - xs[i] != ys[i + 1] - ys[i]]
+    for first, i in zip([0, *(i + 1 for i in turn)], turn):
+        x0, x1, y0, y1 = xs[i], xs[i + 1], ys[i], ys[i + 1]
+        n, over = min(x1 - x0, y1 - y0), abs((x1 - x0) - (y1 - y0))
+        head = np.concatenate([[0], np.cumsum(a[x0 : x0 + n] == b[y0 : y0 + n])])
+        tail = np.concatenate([[0], np.cumsum((a[x1 - n : x1] == b[y1 - n : y1])[::-1])])
+        k = int((head + tail[::-1]).argmax())
+        # from the last turn to here and k words on, then the surplus, then the rest up to the next seed
+        wide = x1 - x0 > y1 - y0
+        px += [np.arange(xs[first], x0 + k), x0 + k + np.arange(over) * wide, np.arange(x1 - n + k, x1)]
+        py += [np.arange(ys[first], y0 + k), y0 + k + np.arange(over) * (not wide), np.arange(y1 - n + k, y1)]
+        put += [np.ones(len(px[-3]), bool), np.zeros(over, bool), np.ones(n - k, bool)]
+    first = turn[-1] + 1 if turn else 0
+    px.append(np.arange(xs[first], xs[-1] + after)), py.append(np.arange(ys[first], ys[-1] + after))
+    put.append(np.ones(len(px[-1]), bool))
+    px, py, put = np.concatenate(px), np.concatenate(py), np.concatenate(put)
+    same = put.copy()
+    same[put] = a[px[put]] == b[py[put]]
+    end = len(same) - after + K
+    return px, py, same, before - reach(same[:before][::-1]), end + reach(same[end:])
+
+
+def segments(px: np.ndarray, py: np.ndarray, same: np.ndarray, lo: int, hi: int, least: int, similar: float) -> list[tuple[int, int, int, int, int]]:
+    """The passages in an alignment with a chain in columns lo to hi: start and stop in both texts, and the equal words.
+
+    A stretch, from its first equal word to its last, is a passage if it is
+    long enough on both sides and its share of equal words is high enough. Else
+    its segment of most gain, a word that differs costing two equal ones, and
+    what lies on either side are searched in the same way; a stretch that is
+    such a segment is split where it loses most.
     """
-    equal = 0
-    for (x0, y0), (x1, y1) in zip(zip(xs, ys), [*zip(xs[1:], ys[1:]), (xs[-1] + K, ys[-1] + K)]):
-        dx, dy = x1 - x0, y1 - y0
-        n = min(dx, dy)
-        if dx == dy:
-            equal += int((a[x0:x1] == b[y0:y1]).sum())
-        else:
-            head = np.concatenate([[0], np.cumsum(a[x0 : x0 + n] == b[y0 : y0 + n])])
-            tail = np.concatenate([[0], np.cumsum((a[x1 - n : x1] == b[y1 - n : y1])[::-1])])
-            equal += int((head + tail[::-1]).max())
-
-    def reach(p: np.ndarray, q: np.ndarray) -> tuple[int, int]:
-        n = min(len(p), len(q))
-        if not n:
-            return 0, 0
-        same = p[:n] == q[:n]
-        gain = np.cumsum(np.where(same, 1, -2))
-        fall = np.flatnonzero(np.maximum.accumulate(np.maximum(gain, 0)) - gain > 16)
-        gain = gain[: fall[0]] if len(fall) else gain
-        if not len(gain) or gain.max() <= 0:
-            return 0, 0
-        k = int(gain.argmax()) + 1
-        return k, int(same[:k].sum())
-
-    before, e0 = reach(a[: xs[0]][::-1], b[: ys[0]][::-1])
-    after, e1 = reach(a[xs[-1] + K :], b[ys[-1] + K :])
-    return xs[0] - before, xs[-1] + K + after, ys[0] - before, ys[-1] + K + after, equal + e0 + e1
+    gain = np.where(same, 1, -2)
+    total = np.concatenate([[0], np.cumsum(gain)])
+    equal = np.concatenate([[0], np.cumsum(same)])
+    at = np.flatnonzero(same)
+    out, todo = [], [(0, lo), (lo, hi), (hi, len(same))]
+    while todo:
+        lo, hi = todo.pop()
+        n = int(equal[hi] - equal[lo])
+        if hi - lo < least or n < similar * least:
+            continue
+        lo, hi = int(at[equal[lo]]), int(at[equal[hi] - 1]) + 1
+        x0, x1, y0, y1 = int(px[lo]), int(px[hi - 1]) + 1, int(py[lo]), int(py[hi - 1]) + 1
+        if min(x1 - x0, y1 - y0) < least:
+            continue
+        if n >= similar * max(x1 - x0, y1 - y0):
+            out.append((x0, x1, y0, y1, n))
+            continue
+        sums = total[lo : hi + 1]
+        stop = int((sums - np.minimum.accumulate(sums)).argmax())
+        start = int(sums[: stop + 1].argmin())
+        if (start, stop) != (0, hi - lo):
+            todo += [(lo, lo + start), (lo + start, lo + stop), (lo + stop, hi)]
+            continue
+        stop = int((np.maximum.accumulate(sums) - sums).argmax())
+        start = int(sums[: stop + 1].argmax())
+        todo += [(lo, lo + start), (lo + stop, hi)]
+    return sorted(out)
 
 
 #: Words kept on either side of a chain for its alignment; a passage without a seed in so many words has ended.
@@ -210,8 +253,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     is the text of least doc_id that has it; every later text's seeds are
     matched with their owners' alone, so that a passage in n texts costs n
     matches. Matches chain by text and owner, chains are aligned on the words,
-    and an alignment of `least` words or more on both sides with a share of
-    equal words of `similar` or more is a passage. Passages may overlap. Rows
+    and a segment of an alignment of `least` words or more on both sides with
+    a share of equal words of `similar` or more is a passage: alignments are
+    split where they match poorly. Passages may overlap. Rows
     without a doc_id take no part; rows that repeat one count as one text, the
     longest; null and empty texts have no passages.
     """
@@ -251,8 +295,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
         for t in batches:
             rows = []
             for r in t.itertuples(index=False):
-                x0, x1, y0, y1, equal = align(np.asarray(r.xs_words), np.asarray(r.ys_words), (r.xs - r.xs_first).tolist(), (r.ys - r.ys_first).tolist())
-                if min(x1 - x0, y1 - y0) >= least and equal >= similar * max(x1 - x0, y1 - y0):
+                columns = align(np.asarray(r.xs_words), np.asarray(r.ys_words), (r.xs - r.xs_first).tolist(), (r.ys - r.ys_first).tolist())
+                for x0, x1, y0, y1, equal in segments(*columns, least, similar):
                     rows.append((r.doc, x0 + r.xs_first, x1 + r.xs_first, r.other, y0 + r.ys_first, y1 + r.ys_first, equal))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "other_id", "other_start", "other_stop", "equal"])
 
