@@ -1,6 +1,7 @@
 """The pipeline on the smallest tables: what each stage must have achieved, checked plainly."""
 
 import collections
+import random
 import re
 
 import corpus_pipeline
@@ -8,6 +9,7 @@ import pytest
 from tests.conftest import DATA
 from tests.llm.test_against_brute_force import words
 from tracemill.functions.scratch import stored
+from tracemill.llm import similar
 from tracemill.llm.simhash import fingerprints
 
 
@@ -60,3 +62,53 @@ def test_no_long_run_repeats(steps):
 def test_run_is_the_stages(spark, steps):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).select(*columns).collect())) == sorted(map(tuple, steps["packing"].select(*columns).collect()))
+
+
+def _least_of_group(rows):
+    """The least doc_id of each row's group, by the similarity of all pairs."""
+    sets = {}
+    for k, text in rows:
+        w = words(text)
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in sets}
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefghijklmnopqrst") + str(rng.randrange(300))
+    rows = [(10**6, ""), (10**6 + 1, None), (10**6 + 2, "one two"), (10**6 + 3, "One  two"), (10**6 + 4, "two")]
+    for b in range(20):
+        base = [word() for _ in range(rng.choice([12, 60, 300, 900]))]
+        for v in range(12):
+            changed = [w if rng.random() > v / 200 else word() for w in base]
+            rows.append((b * 100 + v, " ".join(changed)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = _least_of_group([(k, t or "") for k, t in rows])
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs).collect()} == want
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()]
+    assert sorted(kept) == sorted({*want.values()}) and 20 < len(kept) < 200
+
+
+def test_large_groups_are_dealt_into_parts(spark):
+    rows = [(i, 1, i, 100, bytes([i % 3]) * similar.BANDS * similar.ROWS) for i in range(60)]
+    keyed = spark.createDataFrame(rows, "node long, key long, root long, size int, sketch binary")
+    found = {(r["a"], r["b"]) for r in similar.candidates(keyed, group=8).collect()}
+    assert found == {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3}
+
+
+def test_the_stage_leaves_what_all_pairs_leave(steps):
+    want = _least_of_group([(r["doc_id"], r["text"]) for r in steps["quality"].collect()])
+    assert {r["doc_id"] for r in steps["near_duplicates"].collect()} == {*want.values()}
