@@ -8,13 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemill.llm.shared import ship, stored, tidied
-from tracemill.llm.vectors import QUERIES, ROWS, best, blocks, items_of, paired, queries_of, ranked, usable
+from tracemill.llm.vectors import Best, in_groups, matrix, queries_of, ranked, resolved, steps, usable
 
 #: Most vectors that the codebooks are fitted on: those with the smallest hashes of their id. All vectors are indexed.
 SAMPLE = 16_000
-#: Candidates that each block's table scan hands to exact reranking, per query.
+#: Candidates of each query that the scan of the tables hands to exact reranking.
 RERANK = 400
 CENTROIDS = 16
 
@@ -85,65 +86,74 @@ class Quantiser:
 
 
 def pack4(code: np.ndarray) -> np.ndarray:
-    """Two four-bit codes to a byte, a row for each byte."""
-    return np.ascontiguousarray((code[:, 0::2] | code[:, 1::2] << 4).T)
+    """Two four-bit codes to a byte, a row for each vector."""
+    return np.ascontiguousarray(code[:, 0::2] | code[:, 1::2] << 4)
 
 
-def index(rows: DataFrame, sample: int = SAMPLE, block: int = ROWS) -> tuple[DataFrame, Quantiser]:
-    """Every vector in a block, with its packed codes."""
+def index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Quantiser]:
+    """id and codes, four bits for two dimensions, of every vector; the codebooks are fitted on `sample` vectors."""
     ship(rows.sparkSession)
-    fitted = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toArrow()["v"].combine_chunks()
-    x = fitted.flatten().to_numpy(zero_copy_only=False).reshape(len(fitted), -1) if len(fitted) else np.zeros((0, 1))
-    quantiser = Quantiser.fit(x)
+    fitted = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toArrow()
+    quantiser = Quantiser.fit(matrix(fitted["v"], fitted.num_rows))
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = items_of(batch.column(1), i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), pa.array([b["id"].astype(np.int64).tobytes()], pa.binary()), pa.array([b["v"].tobytes()], pa.binary()), pa.array([pack4(quantiser.codes(b["v"])).tobytes()], pa.binary())],
-                    names=["block", "ids", "vectors", "codes"],
-                )
+        for b in batches:
+            for at in steps(b.num_rows, 4096):
+                part = b.slice(at.start, at.stop - at.start)
+                codes = pack4(quantiser.codes(matrix(part.column(1), part.num_rows)))
+                offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets.buffers()[1], pa.py_buffer(codes.tobytes())])], names=["id", "codes"])
 
-    return blocks(rows, block).mapInArrow(tidied(run), "block int, ids binary, vectors binary, codes binary"), quantiser
+    return rows.select("id", "v").mapInArrow(tidied(run), "id long, codes binary"), quantiser
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (id, v) its k rows of largest inner product.
 
-    A scan of four-bit tables finds `rerank` candidates in each block, which
-    exact inner products in double precision rerank. Rows with the query's id
-    are its own and no candidates; ties go to the smaller vec_id; a query with
-    fewer candidates than k has them all. Empty tables give an empty result.
+    rows and queries have the columns id and v, vectors of one length. Every
+    row is coded. For groups of queries, which are broadcast, a scan of the
+    codes by four-bit tables finds the `rerank` rows of highest estimates, and
+    exact inner products in double precision rerank these. Rows with the
+    query's id are its own and no candidates; ties go to the smaller vec_id; a
+    query with fewer candidates than k has them all. Rows that repeat an id
+    are candidates each for itself. Empty tables give an empty result.
     """
-    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    ship(spark)
     coded, quantiser = index(rows)
-    pairs = paired(stored(coded, "vector-index"), blocks(queries, QUERIES, F.col("id")))
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {f.name: v[0].as_py() for f, v in zip(batch.column(0).type, batch.column(0).slice(i, 1).flatten())}
-                q = items_of(batch.column(1), i)
-                ids = np.frombuffer(r["ids"], np.int64)
-                vectors = np.frombuffer(r["vectors"]).reshape(len(ids), -1)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, len(ids))
-                qid, vid, score = [], [], []
-                for one, v in zip(q["id"], q["v"]):
-                    table = quantiser.tables(v[None])[0]
-                    near = table[0][codes[0]]
-                    for t, c in zip(table[1:], codes[1:]):
-                        near += t[c]
-                    near[ids == one] = -np.inf
-                    at = best(near, ids, rerank)
-                    at = at[ids[at] != one]
-                    exact = vectors[at] @ v
-                    top = best(exact, ids[at], k)
-                    qid.append(np.full(len(top), one)), vid.append(ids[at][top]), score.append(exact[top])
-                if qid:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(qid).astype(np.int64)), pa.array(np.concatenate(vid)), pa.array(np.concatenate(score))], names=["query_id", "vec_id", "score"])
-
-    return ranked(pairs.mapInArrow(tidied(run), "query_id long, vec_id long, score double"), k)
+    coded = stored(coded, "vector-index")
+    rerank = max(rerank, k)
+    exact = lambda q, x: np.einsum("ij,ij->i", q, x)
+
+    def one(ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
+        group = spark.sparkContext.broadcast((ids, vectors))
+
+        def scan(batches):
+            ids, vectors = group.value
+            best = Best(len(ids), rerank)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                id_ = b.column(0).to_numpy()
+                codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1).T.copy()
+                for at in steps(len(ids)):
+                    near = np.empty((at.stop - at.start, b.num_rows), np.float32)
+                    for out, table in zip(near, quantiser.tables(vectors[at])):
+                        np.take(table[0], codes[0], out=out)
+                        for t, c in zip(table[1:], codes[1:]):
+                            out += t[c]
+                    near[ids[at, None] == id_[None, :]] = -np.inf
+                    best.add(near, id_)
+                best.merge()
+            q, id_, near = best.rows()
+            yield pa.RecordBatch.from_pydict({"q": q, "vec_id": id_, "near": near.astype(np.float64)})
+
+        found = coded.mapInArrow(tidied(scan), "q int, vec_id long, near double")
+        top = Window.partitionBy("q").orderBy(F.desc("near"), "vec_id")
+        found = found.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= rerank)
+        return ranked(resolved(rows, found, group, exact, "double"), k)
+
+    return in_groups(queries, one, "double")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,125 +11,150 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.llm.shared import ship, stored, tidied
-from tracemill.llm.vectors import QUERIES, ROWS, best, blocks, items_of, paired, queries_of, ranked, usable
+from tracemill.llm.vectors import Best, in_groups, matrix, queries_of, ranked, resolved, steps, usable
 
 #: Lists of local scores: a score is the sum of the inner products over so many runs of dimensions.
 LISTS = 8
-#: Queries whose local scores a task holds at a time.
-STEP = 16
+#: Most queries of a group.
+QUERIES = 2048
+_LOW, _HIGH = -(2**63), 2**63 - 1
 
 
 def whole(x: np.ndarray, scale: float = 1024.0) -> np.ndarray:
     """floor(scale * x) as exact numbers: doubles while all sums stay exact, else Python integers."""
-    y = np.floor(scale * x)
-    return y if not y.size or np.abs(y).max() ** 2 * y.shape[1] < 2**53 else np.array([[int(v) for v in r] for r in y], object)
+    with np.errstate(over="ignore"):
+        y = np.floor(scale * x)
+    if not y.size or np.abs(y).max() ** 2 * y.shape[1] < 2**53:
+        return y
+    return np.array([[int(v) if np.isfinite(v) else int(scale) * int(w) for v, w in zip(r, s)] for r, s in zip(y, x)], object)
+
+
+def _alike(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as they are if their products are exact, else both as Python integers."""
+    if q.dtype == object or x.dtype == object or q.size and x.size and np.abs(q).max() * np.abs(x).max() * q.shape[1] >= 2**53:
+        return tuple(y if y.dtype == object else np.array([[int(v) for v in r] for r in y], object).reshape(y.shape) for y in (q, x))
+    return q, x
+
+
+def _below(x: np.ndarray) -> np.ndarray:
+    """Doubles no greater than exact numbers."""
+    if x.dtype != object:
+        return x
+    return np.array([-np.inf if v < -(10**300) else np.nextafter(float(min(v, 10**300)), -np.inf) for v in x.ravel()]).reshape(x.shape)
 
 
 def local_scores(q: np.ndarray, x: np.ndarray, lists: int) -> np.ndarray:
-    """lists x queries x rows."""
-    if q.dtype == object or x.dtype == object or np.abs(q).max() * np.abs(x).max() * q.shape[1] >= 2**53:
-        q, x = (np.array([[int(v) for v in r] for r in y], object) for y in (q, x))
+    """lists x queries x rows: doubles, exact or (where numbers are too large for that) slightly less."""
+    q, x = _alike(q, x)
     cut = np.linspace(0, q.shape[1], lists + 1).astype(int)
-    return np.stack([q[:, a:b] @ x[:, a:b].T for a, b in zip(cut, cut[1:])])
-
+    return np.stack([_below(q[:, a:b] @ x[:, a:b].T) if b > a else np.zeros((len(q), len(x))) for a, b in zip(cut, cut[1:])])
 
 
-def _long(values) -> pa.Array:
-    """Longs; what lies beyond is held at the ends of their range."""
-    return pa.array([min(max(int(v), -(2**63)), 2**63 - 1) for v in values], pa.int64())
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products row by row as longs; what lies beyond them is held at the ends of their range."""
+    q, x = _alike(whole(q), whole(x))
+    if q.dtype != object:
+        return np.einsum("ij,ij->i", q, x).astype(np.int64)
+    return np.array([min(max(v, _LOW), _HIGH) for v in (q * x).sum(1)], np.int64)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, seen: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest sums of floor(1024 x) floor(1024 y), exactly.
 
-    Every run of dimensions is a list of local scores, counted from the
-    list's least score so that none is negative. Phase 1 gathers the k best of
-    each list; the k-th best sum of what is known is a first bound. Phase 2
-    broadcasts its share for each list as a cutoff: a row below it in all
-    lists can't reach the bound, and the sums of entries above it give a better
-    bound. Phase 3 resolves all rows whose best possible sum reaches that.
+    rows and queries have the columns id and v, vectors of one length; queries
+    come in groups, which are broadcast. Every run of dimensions is a list of
+    local scores, counted from the list's least score so that none is
+    negative. Phase 1 gathers the k best of each list; the k-th best sum of
+    what is known is a first bound. Phase 2 broadcasts its share for each list
+    as a cutoff: a row below it in all lists can't reach the bound. The sums of
+    entries above it give a better bound, and rows whose best possible sum
+    reaches that are candidates (`seen` gets the table of a group's). Phase 3
+    joins the candidates' vectors by key and resolves their scores.
+
     Rows with the query's id are its own and no candidates; ties go to the
-    smaller vec_id. Empty tables give an empty result.
+    smaller vec_id; rows that repeat an id are candidates each for itself. A
+    score beyond the range of longs is held at its end and ties there. Empty
+    tables give an empty result.
     """
-    ship(rows.sparkSession)
-    row_blocks = stored(blocks(rows, ROWS), "rows")
-
-    def over(work, names: list[str], bounds: DataFrame | None) -> DataFrame:
-        """Runs work(ids, own ids, local scores, bounds) over all blocks, for a few queries at a time."""
-        q = queries if bounds is None else queries.join(bounds, F.col("id") == F.col("query_id")).drop("query_id")
-
-        def run(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    r = items_of(batch.column(0).field("items"), i)
-                    b = items_of(batch.column(1), i)
-                    x, ids = whole(r["v"]), r["id"].astype(np.int64)
-                    for at in range(0, len(b["id"]), STEP):
-                        part = {n: v[at : at + STEP] for n, v in b.items()}
-                        found = work(ids, part, local_scores(whole(part["v"]), x, lists))
-                        yield pa.RecordBatch.from_arrays([_long(c) for c in found], names=names)
-
-        return paired(row_blocks, blocks(q, QUERIES, F.col("id"))).mapInArrow(tidied(run), ", ".join(f"{n} long" for n in names))
-
-    def gather(ids, part, local):
-        out = [[], [], [], [], []]
-        for n, one in enumerate(part["id"]):
-            other = np.flatnonzero(ids != one)
-            for j in range(lists):
-                s = local[j, n, other]
-                if len(s):
-                    at = best(s, ids[other], k)
-                    for c, v in zip(out, ([one] * len(at), [j] * len(at), ids[other][at], s[at], [s.min()] * len(at))):
-                        c += list(v)
-        return out
-
-    heads = stored(over(gather, ["query_id", "list", "vec_id", "local", "least"], None), "heads")
-    least = heads.groupBy("query_id", "list").agg(F.min("least").alias("least"))
-    best_of = Window.partitionBy("query_id", "list").orderBy(F.desc("local"), "vec_id")
-    known = heads.withColumn("n", F.row_number().over(best_of)).filter(F.col("n") <= k).drop("least").join(least, ["query_id", "list"])
-
-    def bound(sums: DataFrame, name: str) -> DataFrame:
-        """The k-th best sum of each query, zero where fewer are known."""
-        w = Window.partitionBy("query_id").orderBy(F.desc("sum"), "vec_id")
-        kth = sums.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
-        return kth.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("sum")).otherwise(F.lit(0)).cast("long").alias(name))
-
-    first = bound(known.groupBy("query_id", "vec_id").agg(F.sum(F.col("local") - F.col("least")).alias("sum")), "first")
-    floors = least.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "least"))), lambda x: x["least"]).alias("floors"))
-    cut = stored(first.join(floors, "query_id"), "cutoffs")
-
-    def reached(ids, part, local, n):
-        """Entries above the cutoff, and the sums of them: counted from the floors, zero where below."""
-        above = local[:, n] - np.asarray(part["floors"][n]).astype(local.dtype)[:, None]
-        seen = above * lists >= part["first"][n]
-        return above, seen, np.where(seen, above, 0).sum(0)
-
-    def collect(ids, part, local):
-        out = [[], [], []]
-        for n, one in enumerate(part["id"]):
-            _, seen, sums = reached(ids, part, local, n)
-            at = np.flatnonzero(seen.any(0) & (ids != one))
-            at = at[best(sums[at], ids[at], k)]
-            for c, v in zip(out, ([one] * len(at), ids[at], sums[at])):
-                c += list(v)
-        return out
-
-    second = bound(over(collect, ["query_id", "vec_id", "sum"], cut), "second")
-    cut2 = stored(cut.join(second, "query_id"), "cutoffs")
-
-    def resolve(ids, part, local):
-        out = [[], [], []]
-        for n, one in enumerate(part["id"]):
-            above, seen, sums = reached(ids, part, local, n)
-            most = sums * lists + (lists - seen.sum(0)) * part["first"][n]
-            at = np.flatnonzero((most >= part["second"][n] * lists) & (ids != one))
-            score = local[:, n, at].sum(0)
-            top = best(score, ids[at], k)
-            for c, v in zip(out, ([one] * len(top), ids[at][top], score[top])):
-                c += list(v)
-        return out
-
-    return ranked(over(resolve, ["query_id", "vec_id", "score"], cut2), k)
+    spark = rows.sparkSession
+    ship(spark)
+
+    def one(ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
+        group = spark.sparkContext.broadcast((ids, vectors))
+
+        def locals_of(batches):
+            """For each batch its ids and, for a few queries at a time, their places, local scores and which rows are their own."""
+            ids, vectors = group.value
+            whole_q = [whole(vectors[at]) for at in steps(len(ids))]
+            for b in batches:
+                if b.num_rows:
+                    id_, x = b.column(0).to_numpy(), whole(matrix(b.column(1), b.num_rows))
+                    yield id_, ((at, local_scores(q, x, lists), ids[at, None] == id_[None, :]) for at, q in zip(steps(len(ids)), whole_q))
+
+        def gather(batches):
+            n = len(group.value[0])
+            best = [Best(n, k) for _ in range(lists)]
+            least = np.full((lists, n), np.inf)
+            for id_, parts in locals_of(batches):
+                for at, local, own in parts:
+                    for j in range(lists):
+                        least[j, at] = np.minimum(least[j, at], np.where(own, np.inf, local[j]).min(1))
+                        best[j].add(np.where(own, -np.inf, local[j]), id_)
+                for b in best:
+                    b.merge()
+            for j, b in enumerate(best):
+                q, id_, local = b.rows()
+                yield pa.RecordBatch.from_pydict({"q": q, "list": np.full(len(q), j, np.int32), "vec_id": id_, "local": local, "least": least[j, q]})
+
+        heads = stored(rows.select("id", "v").mapInArrow(tidied(gather), "q int, list int, vec_id long, local double, least double"), "heads")
+        floors = heads.groupBy("q", "list").agg(F.min("least").alias("floor"))
+        # a list's entry counts once for rows that repeat an id, so a sum is never above that of one row
+        known = heads.groupBy("q", "list", "vec_id").agg(F.min("local").alias("local")).join(floors, ["q", "list"])
+        sums = known.groupBy("q", "vec_id").agg(F.sum(F.col("local") - F.col("floor")).alias("sum"))
+        kth = sums.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sum")))).filter(F.col("n") == k).select("q", F.col("sum").alias("first"))
+        # a few numbers for each query of the group
+        first, floor = np.zeros(len(ids)), np.zeros((lists, len(ids)))
+        for r in kth.toArrow().to_pylist():
+            first[r["q"]] = r["first"] if r["first"] < 2**53 else r["first"] * (1 - 1e-12)
+        for r in floors.toArrow().to_pylist():
+            floor[r["list"], r["q"]] = r["floor"]
+        cutoffs = spark.sparkContext.broadcast((np.nan_to_num(first, nan=0.0, posinf=0.0), floor))
+
+        def collect(batches):
+            first, floor = cutoffs.value
+            second = first.copy()  # the k-th best sum of entries above the cutoff, so far
+            best = Best(len(first), k)
+            kept: list[list] = [[], [], [], []]
+            for id_, parts in locals_of(batches):
+                for at, local, own in parts:
+                    with np.errstate(invalid="ignore"):
+                        above = np.nan_to_num(local - floor[:, at, None], nan=np.inf)
+                    over = above * lists >= first[None, at, None]
+                    sums = np.where(over, above, 0).sum(0)
+                    most = sums + (lists - over.sum(0)) * (first[at, None] / lists)
+                    best.add(np.where(own, -np.inf, sums), id_)
+                    q, r = np.nonzero(over.any(0) & ~own & (most * (1 + 1e-12) >= second[at, None]))
+                    for c, v in zip(kept, (q + at.start, id_[r], sums[q, r], most[q, r])):
+                        c.append(v)
+                best.merge()
+                if best.score.shape[1] == k:
+                    second = np.maximum(second, np.where(np.isfinite(best.score.min(1)), best.score.min(1), 0))
+                kept = [[np.concatenate(c)] for c in kept]
+                still = kept[3][0] * (1 + 1e-12) >= second[kept[0][0]]
+                kept = [[c[0][still]] for c in kept]
+            if kept[0]:
+                q, id_, sums, most = (c[0] for c in kept)
+                yield pa.RecordBatch.from_pydict({"q": q.astype(np.int32), "vec_id": id_, "sum": sums, "most": most})
+
+        entries = stored(rows.select("id", "v").mapInArrow(tidied(collect), "q int, vec_id long, sum double, most double"), "entries")
+        best_sums = Window.partitionBy("q").orderBy(F.desc("sum"))
+        second = entries.withColumn("n", F.row_number().over(best_sums)).filter(F.col("n") == k).select("q", F.col("sum").alias("second"))
+        found = entries.join(second, "q", "left").filter(F.col("second").isNull() | (F.col("most") * (1 + 1e-12) >= F.col("second")))
+        if seen:
+            seen(found)
+        return ranked(resolved(rows, found.select("q", "vec_id"), group, exact_scores, "long"), k)
+
+    return in_groups(queries, one, "long", QUERIES)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
