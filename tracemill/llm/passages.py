@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.shared import LOWER, WORD, ship, stored, tidied
 
-K = 8
+K = 5
 #: Of so many k-mers in a row the one of least hash is a seed: two texts that share K + WINDOW - 1 words share a seed.
-WINDOW = 12
+WINDOW = 10
 #: Shortest passage in words, and least share of equal words in its alignment.
 LEAST, SIMILAR = 50, 0.8
 #: Largest gap between chained seeds in words, and what a word of difference between the gaps costs.
 GAP, COST = 60, 0.5
 
+#: Bytes that hashed_words works on at a time, whatever the length of a text.
+CHUNK = 1 << 18
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -42,10 +45,19 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     if not len(start):
         return np.zeros(0, np.uint64), counts
     # each byte times a number for its place in the word: equal words have equal sums
-    place = np.arange(len(raw)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(raw)]])))
-    value = (raw.astype(np.uint64) + np.uint64(1)) * mix((place.astype(np.uint64) + np.uint64(1)) * _MUL)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(np.where(inside, value, np.uint64(0)), dtype=np.uint64)])
-    return mix(sums[stop] - sums[start]), counts
+    out = np.empty(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(stop, start[first] + CHUNK, "right")))
+        a, b = start[first], stop[last - 1]
+        begin = start[first:last] - a
+        place = np.arange(b - a) - np.repeat(begin, np.diff(np.append(begin, b - a)))
+        value = (raw[a:b].astype(np.uint64) + np.uint64(1)) * mix((place.astype(np.uint64) + np.uint64(1)) * _MUL)
+        value[~inside[a:b]] = 0
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
+        out[first:last] = mix(sums[stop[first:last] - a] - sums[begin])
+        first = last
+    return out, counts
 
 
 def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,49 +88,108 @@ def numbered(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([at, at[more]]), np.concatenate([h, mix(h[more] + run[run > 0].astype(np.uint64) * _MUL)])
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """doc, pos and hash of every seed of every whole text."""
+def _powers(of: int, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, of, np.uint64))])
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place, 0 where the text ends before."""
+    out = np.zeros(len(at), np.uint64)
+    some = np.flatnonzero(at + n <= len(words))
+    if len(some):
+        # word j counts with the power j of an odd number; dividing by that of the first word makes equal runs equal
+        odd = int(_MUL)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * _powers(odd, len(words))[:-1], dtype=np.uint64)])
+        start = at[some]
+        out[some] = mix((sums[start + n] - sums[start]) * _powers(pow(odd, -1, 1 << 64), len(words))[start]) | np.uint64(1)
+    return out
+
+
+def one_text(docs: DataFrame) -> DataFrame:
+    """doc_id and text, once for each doc_id: of rows that repeat one the longest text (of equal ones the last); no null doc_id."""
+    rows = docs.filter("doc_id is not null").select("doc_id", "text")
+    again = stored(rows.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if not again.head(1):
+        return rows
+    longest = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.struct(F.coalesce(F.length("text"), F.lit(-1)), "text")).alias("text"))
+    return rows.join(again, "doc_id", "left_anti").unionByName(longest)
+
+
+def seeds(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc, pos and hash of every seed of every whole text, and run, the hash of the `least` words from it (0 past the end)."""
     ship(docs.sparkSession)
 
+    def of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, h = numbered(*minimisers(words))
+        return at, h, run_hashes(words, at, least)
+
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for i in range(0, len(texts), 256):
                 words, counts = hashed_words(texts.slice(i, 256).to_pylist())
                 ends = np.cumsum(counts)
-                found = [numbered(*minimisers(words[a:b])) for a, b in zip(ends - counts, ends)]
-                sizes = [len(a) for a, _ in found]
-                doc = batch.column(0).take(pa.array(np.repeat(np.arange(i, i + len(found)), sizes)))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(np.concatenate([a for a, _ in found]).astype(np.int32)), pa.array(np.concatenate([h for _, h in found]).view(np.int64))], names=["doc", "pos", "hash"])
+                found = [of(words[a:b]) for a, b in zip(ends - counts, ends)]
+                doc = batch.column(0).take(pa.array(np.repeat(np.arange(i, i + len(found)), [len(a) for a, _, _ in found])))
+                at, h, runs = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(runs.view(np.int64))], names=["doc", "pos", "hash", "run"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc long, pos int, hash long, run long")
+
+
+class _Highest:
+    """Fenwick tree of the highest score among places up to one."""
+
+    def __init__(self, n: int):
+        self.best = [0.0] * (n + 1)
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(tidied(run), "doc long, pos int, hash long")
+    def put(self, i: int, score: float) -> None:
+        i += 1
+        while i < len(self.best):
+            if self.best[i] < score:
+                self.best[i] = score
+            i += i & -i
+
+    def below(self, i: int) -> float:
+        """The highest score of places before i."""
+        out = 0.0
+        while i > 0:
+            if self.best[i] > out:
+                out = self.best[i]
+            i -= i & -i
+        return out
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """Collinear chains of anchors (x, y), sorted by x then y: lists of anchor numbers, both coordinates rising.
 
     A chain gains the new words of each anchor and pays COST for each word by
-    which the gaps in x and y differ. Every predecessor in reach, at most GAP
-    behind in x and in y, is tried, so that the best is found whatever chains
-    end farther off; a place has an anchor or two, so that few are in reach.
+    which the gaps in x and y differ; a predecessor is at most GAP behind in x
+    and in y. Predecessors are tried from the nearest in x on. A Fenwick tree
+    over y holds the highest score of those so far, which bounds what is left:
+    the search ends when nothing could exceed what it has, and at the end of
+    the reach, so that the best one in reach is always found.
     The best chain is taken first, and then the best of what is left.
     """
     xs, ys = x.tolist(), y.tolist()
     n = len(xs)
     score, back = [float(K)] * n, [-1] * n
-    first = 0
+    place = {v: i for i, v in enumerate(sorted({*ys}))}
+    highest = _Highest(len(place))
     for i in range(n):
         xi, yi = xs[i], ys[i]
-        while xi - xs[first] > GAP:
-            first += 1
+        most = highest.below(place[yi]) + K
         best, of = float(K), -1
-        for j in range(first, i):
+        for j in range(i - 1, -1, -1):
             dx, dy = xi - xs[j], yi - ys[j]
+            if dx > GAP or best >= most:
+                break
             if dx > 0 and 0 < dy <= GAP:
                 value = score[j] + min(K, dx, dy) - COST * abs(dx - dy)
                 if value > best:
                     best, of = value, j
         score[i], back[i] = best, of
+        highest.put(place[yi], best)
     out = []
     used = [False] * n
     for i in sorted(range(n), key=lambda i: -score[i]):
@@ -147,17 +218,19 @@ def chained(matches: DataFrame) -> DataFrame:
                         rows.append((docs[a], others[a], x[a:b][c].tolist(), y[a:b][c].tolist()))
         return rows
 
+    names = ["doc", "other", "xs", "ys"]
+
     def run(batches):
-        rest = None
-        names = ["doc", "other", "xs", "ys"]
+        parts: list[pd.DataFrame] = []  # of a text that may go on
         for t in batches:
-            t = t if rest is None else pd.concat([rest, t], ignore_index=True)
-            last = t["doc"].searchsorted(t["doc"].iloc[-1]) if len(t) else 0  # the last text may go on
-            rest, done = t.iloc[last:], t.iloc[:last]
-            if len(done):
-                yield pd.DataFrame(of_pairs(done), columns=names)
-        if rest is not None and len(rest):
-            yield pd.DataFrame(of_pairs(rest), columns=names)
+            last = t["doc"].searchsorted(t["doc"].iloc[-1]) if len(t) else 0
+            if last or parts and len(t) and parts[-1]["doc"].iloc[-1] != t["doc"].iloc[-1]:
+                yield pd.DataFrame(of_pairs(pd.concat([*parts, t.iloc[:last]], ignore_index=True)), columns=names)
+                parts = []
+            if len(t):
+                parts.append(t.iloc[last:])
+        if parts:
+            yield pd.DataFrame(of_pairs(pd.concat(parts, ignore_index=True)), columns=names)
 
     dealt = matches.repartition("doc").sortWithinPartitions("doc", "other", "pos", "other_pos")
     return dealt.mapInPandas(tidied(run), "doc long, other long, xs array<int>, ys array<int>")
@@ -250,26 +323,39 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     """Passages that repeat one of an earlier text: doc_id, start, stop, other_id, other_start, other_stop, equal.
 
     Places are words (cut at x20 and x09-x0D, A-Z lower-cased). A seed's owner
-    is the text of least doc_id that has it; every later text's seeds are
-    matched with their owners' alone, so that a passage in n texts costs n
-    matches. Matches chain by text and owner, chains are aligned on the words,
+    is the text of least doc_id that has it, and so is that of the `least`
+    words from a seed on; every later text's seeds are matched with their
+    owners' alone, so that a passage in n texts costs n matches. A text that
+    owns a seed may be too short for a passage; the owner of the words from it
+    on has them all, so equal runs of `least` + WINDOW words or more are never
+    lost. Matches chain by text and owner, chains are aligned on the words,
     and a segment of an alignment of `least` words or more on both sides with
     a share of equal words of `similar` or more is a passage: alignments are
-    split where they match poorly. Passages may overlap. Rows
-    without a doc_id take no part; rows that repeat one count as one text, the
-    longest; null and empty texts have no passages.
+    split where they match poorly. Passages may overlap.
+
+    Rows without a doc_id take no part; rows that repeat one count as one
+    text, the longest; null and empty texts have no passages; of texts that
+    repeat a passage as often, all but the one of least doc_id have it. Other
+    columns are left out, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    found = stored(seeds(docs), "seeds")
-    owner = found.groupBy("hash").agg(F.min(F.struct("doc", "pos")).alias("own"), F.max("doc").alias("most")).filter("most > own.doc")
-    # stored, so that the join below has exchanges of its own and a frequent seed's rows can be split among tasks
-    own = stored(owner.select("hash", F.col("own.doc").alias("other"), F.col("own.pos").alias("other_pos")), "owners")
-    matches = found.join(own, "hash").filter("doc > other").select("doc", "pos", "other", "other_pos").distinct()
+    docs = one_text(docs)
+    found = stored(seeds(docs, least), "seeds")
+
+    def matched(rows: DataFrame, key: str) -> DataFrame:
+        """Each row's owner by key, stored, so that the join has exchanges of its own and a frequent key's rows can be split among tasks."""
+        owner = rows.groupBy(key).agg(F.min(F.struct("doc", "pos")).alias("own"), F.max("doc").alias("most")).filter("most > own.doc")
+        own = stored(owner.select(key, F.col("own.doc").alias("other"), F.col("own.pos").alias("other_pos")), "owners")
+        return rows.join(own, key)
+
+    shared = stored(matched(found, "hash").select("doc", "pos", "run", "other", "other_pos"), "shared-seeds")
+    runs = matched(shared.filter("run != 0").select("doc", "pos", "run"), "run")
+    matches = shared.drop("run").unionByName(runs.drop("run")).filter("doc > other").distinct()
     spans = stored(chained(matches), "chains")
 
     used = spans.select(F.col("doc").alias("id")).unionByName(spans.select(F.col("other").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(used, "id", "left_semi")
+    texts = docs.withColumnRenamed("doc_id", "id").join(used, "id", "left_semi")
 
     def tokens(batches):
         for batch in batches:
@@ -280,8 +366,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
                 short = (words & np.uint64(0x7FFFFFFF)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))], names=["id", "words"])
 
-    words = texts.mapInArrow(tidied(tokens), "id long, words array<int>").groupBy("id").agg(F.max_by("words", F.struct(F.size("words"), "words")).alias("words"))
-    words = stored(words, "words")
+    words = stored(texts.mapInArrow(tidied(tokens), "id long, words array<int>"), "words")
 
     def cut(at: str) -> list:
         """From which word of a side its slice starts, and the slice."""
@@ -307,12 +392,16 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs with the words of their passages cut out, each cut closing to what stood before it; other rows as they are.
 
     n_chars, where there is one, follows the text. A text that loses all its
-    words becomes empty.
+    words becomes empty. Of rows that repeat a doc_id, those with the text that
+    one_text() takes lose them.
     """
     ship(docs.sparkSession)
     cuts = passages.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_passages"))
     columns = docs.columns
-    joined = docs.join(cuts, "doc_id", "left").select(*columns, "_passages")
+    texts = one_text(docs).select("doc_id", F.xxhash64("text").alias("hash"))
+    spans = texts.join(cuts, "doc_id").select(F.col("doc_id").alias("id"), "hash", "_passages")
+    joined = docs.join(spans, (docs["doc_id"] == spans["id"]) & (F.xxhash64(docs["text"]) == spans["hash"]), "left").select(*[docs[c] for c in columns], spans["_passages"])
+    at = columns.index("text")
     import re
 
     word = re.compile(WORD.encode())
@@ -333,8 +422,8 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [shorten(t, c) for t, c in zip(batch.column("text").to_pylist(), batch.column("_passages").to_pylist())]
-            cols = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in columns]
+            texts = [shorten(t, c) for t, c in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist())]
+            cols = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
