@@ -121,65 +121,77 @@ def link_group(fps: np.ndarray, table: np.ndarray, bits: int) -> list[tuple[int,
     return links
 
 
-def link_runs(key: np.ndarray, fps: np.ndarray, bits: int, short: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints that stand together under equal keys (sorted)."""
+def link_runs(key: np.ndarray, fps: np.ndarray, tables: np.ndarray, bits: int, short: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Links among fingerprints that stand together under equal keys (sorted), given their distance tables."""
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
     sizes = np.diff(np.append(starts, len(key)))
     a, b = [], []
     some = np.repeat((sizes > 1) & (sizes <= short), sizes)
     if some.any():
         run = np.repeat(np.arange(len(starts)), sizes)[some]
-        f = fps[some]
-        table = pivot_table(f)
+        f, t = fps[some], tables[some]
         for lag in range(1, short):
             i = np.flatnonzero(run[lag:] == run[:-lag])
             if not len(i):
                 break
-            i = i[_near(f, table, i, i + lag, bits)]
+            i = i[_near(f, t, i, i + lag, bits)]
             a.append(f[i]), b.append(f[i + lag])
     for s, n in zip(starts[sizes > short], sizes[sizes > short]):
         f = fps[s : s + n]
-        if links := link_group(f, pivot_table(f), bits):
+        if links := link_group(f, tables[s : s + n], bits):
             i, j = np.array(links).T
             a.append(f[i]), b.append(f[j])
     return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
 
 
+def with_tables(nodes: DataFrame) -> DataFrame:
+    """Adds pivots, the distances of each fingerprint (column fp) to all pivots, a byte each."""
+    ship(nodes.sparkSession)
+    schema = nodes.schema.simpleString()[len("struct<") : -1]
+
+    def run(batches):
+        for batch in batches:
+            table = pivot_table(batch.column(batch.schema.get_field_index("fp")).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in table], pa.binary())], names=[*batch.schema.names, "pivots"])
+
+    return nodes.mapInArrow(tidied(run), f"{schema.replace(':', ' ')}, pivots binary")
+
+
 def near_links(nodes: DataFrame, bits: int = 4, group: int = GROUP) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp, at least two apart in no row) that connect all within `bits`.
+    """Links a, b between distinct fingerprints (columns fp, and pivots from with_tables()) that connect all within `bits`.
 
-    Candidates agree in some choice of fingerprint blocks; the pivot tables
-    discard most of them, the fingerprints decide. A group of more than
+    Candidates agree in some choice of fingerprint blocks; the stored distance
+    tables discard most of them, the fingerprints decide. A group of more than
     `group` is dealt into parts, and each pair of parts is compared by itself.
     """
     ship(nodes.sparkSession)
     m = block_count(nodes.count(), bits)
-    keyed = nodes.select("fp", F.explode(F.array(*block_keys("fp", m, bits))).alias("key"))
+    keyed = nodes.select("fp", "pivots", F.explode(F.array(*block_keys("fp", m, bits))).alias("key"))
     large = keyed.groupBy("key").count().filter(F.col("count") > group).select("key", F.ceil(F.col("count") * 2 / group).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(part, o) * F.col("parts") + F.greatest(part, o))
-    dealt = keyed.join(large, "key", "left").select("key", "fp", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("pair"))
+    dealt = keyed.join(large, "key", "left").select("key", "fp", "pivots", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("pair"))
 
     def run(batches):
         rest = None
         for batch in batches:
-            t = pa.Table.from_batches([batch] if rest is None else [rest, batch])
+            t = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
             key = np.stack([t.column("key").to_numpy(), t.column("pair").to_numpy()], 1)
-            fps = t.column("fp").to_numpy().view(np.uint64)
             last = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))[-1])  # the last run may go on
-            rest = t.slice(last).combine_chunks().to_batches()[0]
             if last:
-                yield links(key[:last], fps[:last])
+                yield links(key[:last], t.slice(0, last))
+            rest = t.slice(last).combine_chunks().to_batches()[0]
         if rest is not None:
-            key = np.stack([rest.column("key").to_numpy(), rest.column("pair").to_numpy()], 1)
-            yield links(key, rest.column("fp").to_numpy().view(np.uint64))
+            t = pa.Table.from_batches([rest])
+            yield links(np.stack([t.column("key").to_numpy(), t.column("pair").to_numpy()], 1), t)
 
-    def links(key, fps):
-        a, b = link_runs(key, fps, bits)
+    def links(key, t):
+        tables = np.frombuffer(b"".join(t.column("pivots").to_pylist()), np.int8).reshape(len(key), -1)
+        a, b = link_runs(key, t.column("fp").to_numpy().view(np.uint64), tables, bits)
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     shuffled = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return shuffled.select("key", F.col("pair").cast("long").alias("pair"), "fp").mapInArrow(tidied(run), "a long, b long").distinct()
+    return shuffled.select("key", F.col("pair").cast("long").alias("pair"), "fp", "pivots").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, n: int = 4) -> DataFrame:
@@ -187,11 +199,14 @@ def near_duplicates(docs: DataFrame, bits: int = 4, n: int = 4) -> DataFrame:
 
     Fingerprints at most `bits` apart are linked; component_id is the smallest
     doc_id that links reach, the row's own included. Equal texts share a
-    fingerprint, and null and empty texts share fingerprint zero. Rows without
-    a doc_id take part; their doc_id counts only if nothing else is reached.
+    fingerprint, and null and empty texts share fingerprint zero. Long texts
+    count whole. Rows without a doc_id take part; component_id is null only
+    where nothing else is reached. Rows that repeat come back as they are;
+    other columns are left out, whatever their names; an empty table gives no
+    rows.
     """
     prints = stored(fingerprints(docs, n), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
+    nodes = stored(with_tables(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))), "fp-nodes")
     roots = components(near_links(nodes, bits))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
