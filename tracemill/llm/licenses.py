@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.shared import stored
+
 SHINGLE = 5
-#: Words from one window of six to the next: a window has two shingles, and each shingle is in one window.
-STRIDE = 2
-#: Bands of one row. A window that shares a template's shingle agrees with one of the template's windows in at least
-#: one of two, so a band matches with probability 1/2 or more, and none of 16 with less than 2 in 100,000.
+#: Shingles of a window, and from one window to the next: every two shingles in a row are together in some window.
+WINDOW, STRIDE = 4, 2
+#: Bands of one row. A template of two shingles that a text holds is half of some window, so a band matches with
+#: probability 1/2 or more, and none of 16 with less than 2 in 100,000; longer templates have whole windows in common.
 BANDS = 16
-#: Most templates: their band keys are a literal of the plan.
-MOST = 1000
+#: Band keys up to which they are a literal of the plan; beyond, windows meet them by a join.
+MOST_KEYS = 20_000
 #: What separates words: all of ASCII but letters and digits.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -34,57 +36,81 @@ def word_hashes(text: str) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.col(text)), BREAK), ""), lambda w: F.xxhash64(w))
 
 
-def _bands(first: Column, second: Column) -> Column:
-    """The least hash of a window's shingles for each band. A function over the bands rather than a column for each,
-    as a method that evaluates them all at once grows too large for the JVM to compile."""
-    return F.transform(F.array(*[F.lit(b) for b in range(BANDS)]), lambda b: F.least(F.xxhash64(first, b), F.when(second.isNotNull(), F.xxhash64(second, b))))
+def _masks() -> list[int]:
+    """A number for each band: hashes are ordered by their difference (exclusive or) from it, and so in another order for each."""
+    out, x = [], 0x9E3779B97F4A7C15
+    for _ in range(BANDS):
+        x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
+        out.append(x - 2**64 if x >= 2**63 else x)
+    return out
+
+
+def _band(mask: int) -> Column:
+    """The least hash of a window's shingles in the order of a band."""
+    m = F.lit(mask).cast("long")
+    return F.least(*[F.col(f"s{j}").bitwiseXOR(m) for j in range(WINDOW)])
 
 
 def windows(rows: DataFrame, key: list[str], text: str, stride: int) -> DataFrame:
-    """key, at (first word), the shingles s0 and s1 of a window, null past the end, and bands, its key for each band."""
+    """key, at (first word) and s0, s1, ..., the shingles of a window; the first again for those past the end."""
+    # the words' hashes are made once and not for each shingle
     h = rows.select(*key, word_hashes(text).alias("h"))
-    starts = F.when(F.size("h") >= SHINGLE, F.sequence(F.lit(0), F.size("h") - SHINGLE, F.lit(stride)))
-    shingle = lambda i: F.when(F.get("h", i + SHINGLE - 1).isNotNull(), F.xxhash64(*[F.get("h", i + j) for j in range(SHINGLE)]))
-    at = lambda i: F.struct(i.alias("at"), shingle(i).alias("s0"), shingle(i + 1).alias("s1"))
-    out = h.select(*key, F.explode(F.transform(starts, at)).alias("w")).select(*key, "w.at", "w.s0", "w.s1")
-    return out.withColumn("bands", _bands(F.col("s0"), F.col("s1")))
-
-
-def template_tables(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """Band keys (template, band, key) of all windows and single shingles, and shingles (template, shingle, total)."""
-    if len(templates) > MOST or len({n for n, _ in templates}) < len(templates):
-        raise ValueError(f"at most {MOST} templates, of different names")
-    rows = spark.createDataFrame(templates, "template string, notice string")
-    every = windows(rows, ["template"], "notice", 1)
-    single = every.select("template", _bands(F.col("s0"), F.lit(None).cast("long")).alias("bands"))
-    both = every.select("template", "bands").unionByName(single)
-    bands = both.select("template", F.posexplode("bands").alias("band", "key")).distinct()
-    shingles = every.select("template", F.col("s0").alias("shingle")).distinct()
-    total = shingles.groupBy("template").agg(F.count("*").alias("total"))
-    return bands, shingles.join(total, "template")
-
-
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, at_least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    one = lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(SHINGLE)])
+    s = h.select(*key, F.when(F.size("h") >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size("h") - SHINGLE), one)).alias("s"))
+    at = lambda i: F.struct(i.alias("at"), *[F.coalesce(F.get("s", i + j), F.get("s", i)).alias(f"s{j}") for j in range(WINDOW)])
+    starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(stride))
+    return s.select(*key, F.explode(F.when(F.col("s").isNotNull(), F.transform(starts, at))).alias("w")).select(*key, "w.*")
+
+
+def template_tables(templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Band keys (template, band, key) of windows at every word, and shingles (template, shingle, total).
+
+    templates has the columns template and notice; notices of one name count as one.
+    """
+    every = windows(templates.select("template", "notice"), ["template"], "notice", 1)
+    bands = F.array(*[_band(m) for m in _masks()])
+    keys = every.select("template", F.posexplode(bands).alias("band", "key")).distinct()
+    each = every.select("template", F.col("s0").alias("shingle")).distinct()
+    total = each.groupBy("template").agg(F.count("*").alias("total"))
+    return stored(keys, "template-keys"), stored(each.join(total, "template"), "template-shingles")
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, at_least: float = 0.8, key: str = "doc_id", text: str = "text", most_keys: int = MOST_KEYS) -> DataFrame:
     """Templates that a text holds: key, template, containment, n_shingles found, first_word and last_word of them.
 
-    Windows of every whole text whose bands meet a template's are retrieved;
-    containment is the exact share of the template's distinct five-word
-    shingles among theirs. A text of under five words holds none; a template of
-    under five words is never found. Rows that repeat a key count as one text,
-    rows without a key as one too. Null and empty texts and empty tables give
-    no rows. Other columns are left out.
+    templates (template, notice) is a table of any size, TEMPLATES where none is given. Windows of every whole text
+    whose bands meet a template's retrieve it; all shingles of the retrieved
+    text are then compared with the template's: containment is the share of the
+    template's distinct five-word shingles that the text has. A text of under
+    five words holds none; a template of under five words is never found. Rows
+    that repeat a key count as one text, rows without a key as one too. Null
+    and empty texts and empty tables give no rows; ties can't occur. Other
+    columns are left out, whatever their names.
     """
     spark = docs.sparkSession
-    bands, shingles = template_tables(spark, templates)
-    keys = [row["key"] for row in bands.select("key").distinct().collect()]  # bounded: MOST templates
-    found = windows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), ["k"], "t", STRIDE)
-    hits = found.filter(F.exists("bands", lambda k: k.isin(keys))).select("k", "at", F.array("s0", "s1").alias("s"), F.posexplode("bands").alias("band", "key"))
-    met = hits.join(F.broadcast(bands), ["band", "key"]).select("k", "at", "s", "template")
-    each = met.select("k", "template", F.posexplode("s").alias("j", "shingle"), "at").join(F.broadcast(shingles), ["template", "shingle"])
-    place = F.col("at") + F.col("j")
-    out = each.groupBy("k", "template", "shingle").agg(F.first("total").alias("total"), F.min(place).alias("low"), F.max(place).alias("high")).groupBy("k", "template")
-    out = out.agg((F.count("*") / F.first("total")).alias("containment"), F.count("*").alias("n_shingles"), F.min("low").cast("long").alias("first_word"), (F.max("high") + SHINGLE - 1).cast("long").alias("last_word"))
-    return out.filter(F.col("containment") >= at_least).withColumnRenamed("k", key)
+    if templates is None:
+        templates = spark.createDataFrame(TEMPLATES, "template string, notice string")
+    keys, wanted = template_tables(templates)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    found = windows(rows, ["k"], "t", STRIDE)
+    if keys.count() <= most_keys:
+        # most windows meet no template: they are dropped before their bands become rows
+        known = [{r["key"] for r in keys.filter(F.col("band") == b).select("key").distinct().collect()} for b in range(BANDS)]  # at most most_keys
+        hit = F.lit(False)
+        for m, some in zip(_masks(), known):
+            hit = hit | _band(m).isin(some)
+        found = found.filter(hit)
+    met = found.select("k", F.posexplode(F.array(*[_band(m) for m in _masks()])).alias("band", "key")).join(keys, ["band", "key"]).select("k", "template").distinct()
+    met = stored(met, "licensed")
+    texts = rows.join(met.select("k").distinct(), rows["k"].eqNullSafe(met["k"]), "left_semi")
+    own = texts.select("k", word_hashes("t").alias("h"))
+    one = lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(SHINGLE)])
+    own = own.filter(F.size("h") >= SHINGLE).select("k", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("h") - SHINGLE), one)).alias("place", "shingle"))
+    each = own.join(wanted, "shingle").groupBy("k", "template", "shingle").agg(F.first("total").alias("total"), F.min("place").alias("low"), F.max("place").alias("high")).groupBy("k", "template")
+    out = each.agg((F.count("*") / F.first("total")).alias("containment"), F.count("*").alias("n_shingles"), F.min("low").cast("long").alias("first_word"), (F.max("high") + SHINGLE - 1).cast("long").alias("last_word"))
+    out = out.filter(F.col("containment") >= at_least)
+    kept = met.select(F.col("k").alias("mk"), F.col("template").alias("mt"))
+    return out.join(kept, out["k"].eqNullSafe(kept["mk"]) & (out["template"] == kept["mt"]), "left_semi").withColumnRenamed("k", key)
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
