@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pickle
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +21,8 @@ START, END = np.uint64(0x5BD1E995A5A5A5A5), np.uint64(0x27D4EB2F165667C5)
 K = 5
 #: Added to counts in the base and in the contexts, so that every context keeps some weight for words not seen in it.
 FLOOR = 0.1
-#: Tokens for each group of pairs, and about the most in a block of documents.
-GROUP, BLOCK = 2_500_000, 1_000_000
+#: Tokens for each group of pairs, about the most in a block of documents, and the most documents in one.
+GROUP, BLOCK, BLOCK_DOCS = 2_000_000, 600_000, 30_000
 #: A word or pair with more than one in HEAVY of all training tokens is counted beforehand; there are fewer than HEAVY of either.
 HEAVY = 1000
 
@@ -32,17 +30,39 @@ _U = np.uint64
 _EMPTY = np.zeros(0, _U)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays), 1)
+#: What deal() sends to a group: pairs of words with how often a block has them, in all and in training, and of which of its
+#: documents they are; or, with ids, a block's documents: ids, tokens and flags (n; 1: in training, 2: no id), and sums (x).
+DEALT = pa.schema([("g", pa.int32()), ("block", pa.int64()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64())), ("often", pa.list_(pa.int32())), ("trained", pa.list_(pa.int32())), ("doc", pa.list_(pa.int16())), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
+#: What count() gives: a block's documents as they came; sums of its documents (doc, x, n); counts of contexts (h, table), for
+#: the group g of weights(); the counts of counts (table); and the first words of a block's pairs not in training (h, doc).
+COUNTED = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("g", pa.int32()), ("h", pa.list_(pa.int64())), ("doc", pa.list_(pa.int16())), ("x", pa.list_(pa.float64())), ("n", pa.list_(pa.int32())), ("table", pa.list_(pa.int64()))])
+_KINDS = {"int32": "int", "int64": "long", "string": "string", "list<element: int64>": "array<long>", "list<element: int32>": "array<int>", "list<element: int16>": "array<smallint>", "list<element: double>": "array<double>"}
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """Counts or places in the smallest type that holds them."""
-    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_KINDS[str(f.type).replace('item', 'element')]}" for f in schema)
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.decompress(raw))  # noqa: S301  written by _pack in the same job
+def _table(schema: pa.Schema, rows: list[dict]) -> pa.Table:
+    """Rows of numpy arrays and scalars; a column that a row lacks is null."""
+    columns = []
+    for f in schema:
+        if not pa.types.is_list(f.type):
+            columns.append(pa.array([r.get(f.name) for r in rows], f.type))
+            continue
+        kind = f.type.value_type.to_pandas_dtype()
+        values = [r.get(f.name) for r in rows]
+        offsets = np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in values])]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, kind), *[v.astype(kind, copy=False) for v in values if v is not None]])
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, f.type.value_type), mask=pa.array([v is None for v in values], pa.bool_())))
+    return pa.Table.from_arrays(columns, schema=schema)
+
+
+def _lists(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and how many each list has."""
+    whole = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    sizes = whole.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return whole.flatten().to_numpy(zero_copy_only=False).view(kind), sizes
 
 
 def _blocks(batches):
@@ -55,7 +75,7 @@ def _blocks(batches):
             words.append(np.insert(w, np.cumsum(c), END))
             counts.append(c + 1)
             size += len(words[-1])
-            if size >= BLOCK or i + 128 >= len(texts):
+            if size >= BLOCK or i + 256 - begun > BLOCK_DOCS or i + 128 >= len(texts):
                 done = min(len(texts), i + 128)
                 yield batch.slice(begun, done - begun), np.concatenate(words), np.concatenate(counts)
                 begun, words, counts, size = done, [], [], 0
@@ -109,7 +129,8 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
     / (N + FLOOR (V + 1)), the last share being for words never seen.
 
     Null and empty texts are one end token; null doc_ids are held out; repeated
-    rows count each for themselves. Pairs are dealt by their second word, those
+    rows count each for themselves; other columns are left out, whatever their
+    names; an empty table gives no rows. Pairs are dealt by their second word, those
     of heavy words by both; heavy pairs are counted beforehand and stay where
     they are, so no group grows with a word's share of the corpus.
     """
@@ -133,150 +154,179 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
 
     both, both_n = _heavy(rows.mapInArrow(tidied(pairs_of_heavy), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), n_all / HEAVY)
 
-    def sums(doc, size, first, second, r, c) -> np.ndarray:
-        """Of each document: base, A (see below), known tokens, and pairs by count from 0 to K. r and c by pair occurrence."""
+    def sums(doc, size, second, r, c) -> np.ndarray:
+        """Of each document: base, the part of its score that counts alone give, known tokens, and pairs by count from 0 to K. r and c by pair occurrence."""
         base = np.log10(c + FLOOR)
         a = np.where(r > 0, np.log10(np.maximum(r, 1)), base) - np.where(second == END, 0.0, base)
         out = [np.bincount(doc, w, size) for w in (base, a, c > 0)]
         return np.stack([*out, *[np.bincount(doc, r == i, size) for i in range(K + 1)]]).astype(np.float64)
 
     def deal(batches):
-        """A block's pairs, compressed for each group; what is known of its documents goes to one of them."""
+        """A block's pairs for each group; what is known of its documents goes to one of them."""
         for number, (batch, tokens, counts) in enumerate(_blocks(batches)):
-            block = f"{TaskContext.get().partitionId()}-{number}"
-            first, doc = _before(tokens, counts), np.repeat(np.arange(len(counts)), counts)
+            block = TaskContext.get().partitionId() << 32 | number
+            first, doc = _before(tokens, counts), np.repeat(np.arange(len(counts), dtype=np.int16), counts)
             known = _lookup(both, both_n, _pair(first, tokens))
             own = known >= 0
-            local = sums(doc[own], len(counts), first[own], tokens[own], known[own], _lookup(heavy, heavy_n, tokens[own]))
+            local = sums(doc[own], len(counts), tokens[own], known[own], _lookup(heavy, heavy_n, tokens[own]))
             train = ~batch.column("held").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id")
+            flags = train + 2 * ids.is_null().to_numpy(zero_copy_only=False)
+            row = {"ids": ids.fill_null(0).to_numpy(zero_copy_only=False), "n": np.concatenate([counts, flags]), "x": local.ravel()}
+            yield from _table(DEALT, [{"g": crc32(str(block).encode()) % groups, "block": block} | row]).to_batches()
             first, second, doc = first[~own], tokens[~own], doc[~own]
-            by = np.lexsort([first, second])
-            first, second, doc = first[by], second[by], doc[by]
-            new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
+            del known, own, tokens
+            if not len(first):
+                continue
+            group = (np.where(_lookup(heavy, heavy_n, second) >= 0, _pair(first, second), second) % _U(groups)).astype(np.int32)
+            by = np.lexsort([first, second, group])
+            first, second, doc, group = first[by], second[by], doc[by], group[by]
+            del by
+            at = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
             often = np.diff(np.append(at, len(first)))
-            f, s = first[at], second[at]
-            group = (np.where(_lookup(heavy, heavy_n, s) >= 0, _pair(f, s), s) % _U(groups)).astype(np.int64)
-            out: list[list] = [[], [], [], []]
-            for g in np.unique(group):
-                mine = group == g
-                payload = _pack(f[mine], s[mine], _small(often[mine]), _small(doc[np.repeat(mine, often)]), np.packbits(train), np.array([len(counts)]))
-                for o, v in zip(out, (int(g), block, "pairs", payload)):
-                    o.append(v)
-            ids = batch.column("doc_id")
-            payload = _pack(np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False)), ids.is_valid().to_numpy(zero_copy_only=False), train, counts, local)
-            for o, v in zip(out, (crc32(block.encode()) % groups, block, "docs", payload)):
-                o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *map(pa.array, out[1:3]), pa.array(out[3], pa.binary())], names=["g", "block", "kind", "payload"])
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        """Counts a group's pairs and words. Gives document sums (by block), context sums and counts of counts (by context), and pairs not seen."""
+            trained = np.add.reduceat(train[doc].astype(np.int32), at)
+            ends = np.flatnonzero(np.diff(group[at], append=-1)) + 1  # of each group's pairs
+            rows, a, x = [], 0, 0
+            for b in ends.tolist():
+                y = x + int(often[a:b].sum())
+                rows.append({"g": int(group[x]), "block": block, "first": first[at[a:b]], "second": second[at[a:b]], "often": often[a:b], "trained": trained[a:b], "doc": doc[x:y]})
+                a, x = b, y
+                if len(rows) == 16 or b == len(at):
+                    yield from _table(DEALT, rows).to_batches()
+                    rows = []
+
+    def count(given: pa.Table) -> pa.Table:
+        """Counts a group's pairs and words, and gives what COUNTED says."""
         give_back()
-        out = [(b, k, 0, p) for b, k, p in zip(frame["block"], frame["kind"], frame["payload"]) if k == "docs"]
-        parts = [(b, *_unpack(p)) for b, k, p in zip(frame["block"], frame["kind"], frame["payload"]) if k == "pairs"]
-        if parts:
-            first, second = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-            trained = []
-            for _, f, _, often, doc, bits, size in parts:
-                starts = np.concatenate([[0], np.cumsum(often[:-1], dtype=np.int64)])
-                trained.append(np.add.reduceat(np.unpackbits(bits, count=int(size[0]))[doc].astype(np.int64), starts))
-            parts = [(block, len(f), often.astype(np.int64), doc.astype(np.int64), int(size[0])) for block, f, _, often, doc, _, size in parts]
-            n = np.concatenate(trained)
-            del trained
+        done, out = [], []
+
+        def give(row: dict | None = None) -> None:
+            """Keeps a row, and makes a small batch of every few, as the JVM holds a batch whole."""
+            nonlocal out
+            out += [row] if row else []
+            if len(out) >= 16 or not row:
+                done.append(_table(COUNTED, out))
+                out = []
+
+        for i in np.flatnonzero(given["ids"].is_valid().to_numpy()):
+            h, x, n = (given[c][int(i)].values.to_numpy(zero_copy_only=False) for c in ("ids", "x", "n"))
+            give({"kind": "docs", "block": given["block"][int(i)].as_py(), "h": h, "x": x, "n": n})
+        if given["first"].null_count < given.num_rows:
+            first, sizes = _lists(given["first"], np.uint64)
+            second, _ = _lists(given["second"], np.uint64)
+            often, _ = _lists(given["often"], np.int32)
+            n, _ = _lists(given["trained"], np.int32)
+            docs_, docs_each = _lists(given["doc"], np.int16)
+            blocks_ = given["block"].to_pylist()
             by = np.lexsort([first, second])
-            new_word = np.concatenate([[True], second[by][1:] != second[by][:-1]])
-            new = new_word | np.concatenate([[True], first[by][1:] != first[by][:-1]])
-            r, c = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            at, at_word = np.flatnonzero(new), np.flatnonzero(new_word)
-            r_each, c_each = np.add.reduceat(n[by], at), np.add.reduceat(n[by], at_word)
-            r[by], c[by] = r_each[np.cumsum(new) - 1], c_each[np.cumsum(new_word) - 1]
+            word = np.concatenate([[True], np.diff(second[by]) != 0])
+            pair = word | np.concatenate([[True], np.diff(first[by]) != 0])
+            at = np.flatnonzero(pair)
+            r_each = np.add.reduceat(n[by], at, dtype=np.int64)
+            c_each = np.add.reduceat(n[by], np.flatnonzero(word), dtype=np.int64)
+            r, c = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+            r[by], c[by] = r_each[np.cumsum(pair) - 1], c_each[np.cumsum(word) - 1]
+            seen = by[at][r_each > 0]
+            del by, word, pair, at
             before = _lookup(heavy, heavy_n, second)
             c = np.where(before >= 0, before, c)
-            seen = by[at][r_each > 0]
+            del before
             h1, rs, cs = first[seen], r[seen], c[seen]
             order = np.argsort(h1)
             h1, rs, cs = h1[order], rs[order], cs[order]
             if len(h1):
-                ctx = np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1]]))
+                ctx = np.flatnonzero(np.concatenate([[True], np.diff(h1) != 0]))
                 table = np.stack([np.add.reduceat(x, ctx) for x in (np.ones(len(h1), np.int64), cs, *[(rs == i).astype(np.int64) for i in range(1, K + 1)])])
-                to = (h1[ctx] % _U(groups)).astype(np.int64)
-                for g in np.unique(to):
-                    out.append(("", "contexts", int(g), _pack(h1[ctx][to == g], table[:, to == g])))
-            out.append(("", "spectrum", 0, _pack(np.bincount(np.minimum(r_each, K + 2), minlength=K + 3)[: K + 2])))
-            at = 0
-            for block, length, often, doc, size in parts:
-                mine = slice(at, at + length)
-                at += length
-                f, s = first[mine], second[mine]
-                rr, cc = np.repeat(r[mine], often), np.repeat(c[mine], often)
-                found = sums(doc, size, None, np.repeat(s, often), rr, cc)
-                some = np.unique(doc)
-                out.append((block, "sums", 0, _pack(_small(some), found[:2, some], _small(found[2:, some].astype(np.int64)))))
+                for row in context_rows(h1[ctx], table, groups):
+                    give(row)
+            del h1, rs, cs, order, seen
+            give({"kind": "spectrum", "table": np.bincount(np.minimum(r_each, K + 2), minlength=K + 3)[: K + 2]})
+            ends, doc_ends = np.cumsum(sizes), np.cumsum(docs_each)
+            for block, a, b, x, y in zip(blocks_, ends - sizes, ends, doc_ends - docs_each, doc_ends):
+                if a == b:
+                    continue
+                times, doc = often[a:b], docs_[x:y]
+                rr, cc = np.repeat(r[a:b], times), np.repeat(c[a:b], times)
+                some, of = np.unique(doc, return_inverse=True)
+                found = sums(of, len(some), np.repeat(second[a:b], times), rr, cc)
+                give({"kind": "sums", "block": block, "doc": some, "x": found[:2].ravel(), "n": found[2:].ravel()})
                 if (rr == 0).any():
-                    out.append((block, "unseen", 0, _pack(np.repeat(f, often)[rr == 0], doc[rr == 0])))
-        return pd.DataFrame(out, columns=["block", "kind", "g", "payload"])
+                    give({"kind": "unseen", "block": block, "h": np.repeat(first[a:b], times)[rr == 0].view(np.int64), "doc": doc[rr == 0]})
+        give()
+        give_back()
+        return pa.concat_tables(done)
 
-    dealt = rows.mapInArrow(tidied(deal), "g int, block string, kind string, payload binary")
-    counted = stored(dealt.groupBy("g").applyInPandas(count, "block string, kind string, g int, payload binary"), "counted", row_group=8 << 20)
+    dealt = rows.mapInArrow(tidied(deal), _ddl(DEALT))
+    counted = stored(dealt.repartition(groups, "g").groupBy("g").applyInArrow(count, _ddl(COUNTED)), "counted", row_group=8 << 20)
 
     spectrum = np.zeros(K + 2)
-    for row in counted.filter("kind = 'spectrum'").select("payload").toLocalIterator():  # K + 2 numbers for each group
-        spectrum += _unpack(row[0])[0]
+    place = F.posexplode("table").alias("count", "pairs")
+    for row in counted.filter("kind = 'spectrum'").select(place).groupBy("count").agg(F.sum("pairs").alias("pairs")).collect():  # K + 2 rows
+        spectrum[row["count"]] = row["pairs"]
     for n in both_n[both_n <= K + 1]:
         spectrum[n] += 1
     discount = discounts(spectrum)
     whole = n_all + FLOOR * (v_all + 1)
 
-    def weights(frame: pd.DataFrame) -> pd.DataFrame:
+    def weights(given: pa.Table) -> pa.Table:
         """log10 of each context's backoff weight times (its count + FLOOR)."""
         give_back()
-        got = [_unpack(p) for p in frame["payload"]]
-        h, table = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got], axis=1)
+        h, sizes = _lists(given["h"], np.uint64)
+        flat, _ = _lists(given["table"], np.int64)
+        ends = np.cumsum(sizes)
+        tables = [flat[(K + 2) * a : (K + 2) * b].reshape(K + 2, -1) for a, b in zip(ends - sizes, ends)]
         h, of = np.unique(h, return_inverse=True)
-        total = np.stack([np.bincount(of, t, len(h)) for t in table])
+        total = np.stack([np.bincount(of, t, len(h)) for t in np.concatenate(tables, axis=1)])
         left = FLOOR + sum((1 - discount[i]) * i * total[1 + i] for i in range(1, K + 1))
-        return pd.DataFrame({"h": h.view(np.int64), "weight": np.log10(left / (1 - (total[1] + FLOOR * total[0]) / whole))})
+        return pa.table({"h": h.view(np.int64), "weight": np.log10(left / (1 - (total[1] + FLOOR * total[0]) / whole))})
 
     # heavy pairs stay out of the groups, but count among what their first word has seen
-    contexts = counted.filter("kind = 'contexts'").select("g", "payload")
+    contexts = counted.filter("kind = 'contexts'").select("g", "h", "table")
     if hidden := hidden_contexts(both, both_n, heavy, heavy_n, groups):
-        contexts = contexts.unionByName(spark.createDataFrame(hidden, "g int, payload binary"))
-    table = contexts.groupBy("g").applyInPandas(weights, "h long, weight double")
+        hidden = [(r["g"], r["h"].astype(np.int64).tolist(), r["table"].tolist()) for r in hidden]
+        contexts = contexts.unionByName(spark.createDataFrame(hidden, "g int, h array<long>, table array<long>"))
+    table = contexts.groupBy("g").applyInArrow(weights, "h long, weight double")
 
-    def events(batches):
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                f, doc = _unpack(raw)
-                key, n = np.unique(np.rec.fromarrays([f, doc]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.f0.view(np.int64)), pa.array([block] * len(key)), pa.array(key.f1.astype(np.int32)), pa.array(n)], names=["h", "block", "doc", "n"])
-
-    unseen = counted.filter("kind = 'unseen'").select("block", "payload").mapInArrow(tidied(events), "h long, block string, doc int, n long")
+    unseen = counted.filter("kind = 'unseen'").select("block", F.explode(F.arrays_zip("h", "doc")).alias("u")).groupBy("block", "u.h", "u.doc").agg(F.count("*").alias("n"))
     backed = unseen.join(table, "h", "left").groupBy("block", "doc").agg(F.sum(F.col("n") * F.coalesce("weight", F.lit(float(np.log10(FLOOR))))).alias("back"))
-    by_block = backed.groupBy("block").agg(F.collect_list(F.struct("doc", "back")).alias("backs"))  # a block's documents are bounded
+    pairs = F.sort_array(F.collect_list(F.struct("doc", "back")))  # a block's documents are bounded
+    back = backed.groupBy("block").agg(pairs.alias("p")).select(F.lit("back").alias("kind"), "block", F.col("p.doc").alias("doc"), F.col("p.back").alias("x"))
 
-    def total(batches):
+    def total(given: pa.Table) -> pa.Table:
+        """The documents of a block."""
         logs = np.log10(discount[1:])
-        for batch in batches:
-            for payloads, backs in zip(batch.column("parts").to_pylist(), batch.column("backs").to_pylist()):
-                ids, valid, train, counts, out = next(_unpack(p["payload"]) for p in payloads if p["kind"] == "docs")
-                for p in payloads:
-                    if p["kind"] == "sums":
-                        some, logs_, counts_ = _unpack(p["payload"])
-                        out[:2, some] += logs_
-                        out[2:, some] += counts_
-                back = np.zeros(len(ids))
-                for b in backs or []:
-                    back[b["doc"]] = b["back"]
-                n = counts.astype(np.int64)
-                base = out[0] - n * np.log10(whole)
-                full = out[1] - np.log10(ends + FLOOR) + (out[4:] * logs[:, None]).sum(0) - out[3] * np.log10(whole) + back
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.astype(np.int64), mask=~valid), pa.array(~train), pa.array(n), pa.array(np.rint(out[2]).astype(np.int64)), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(full)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    parts = counted.filter("kind in ('docs', 'sums')").groupBy("block").agg(F.collect_list(F.struct("kind", "payload")).alias("parts"))
-    return parts.join(by_block, "block", "left").select("parts", "backs").mapInArrow(tidied(total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        kinds = given["kind"].to_pylist()
+        of = lambda name, i: given[name][i].values.to_numpy(zero_copy_only=False)
+        own = kinds.index("docs")
+        ids = of("h", own)
+        n, flags = of("n", own).astype(np.int64).reshape(2, -1)
+        out = of("x", own).reshape(-1, len(ids)).copy()
+        back = np.zeros(len(ids))
+        for i, kind in enumerate(kinds):
+            if kind == "sums":
+                doc = of("doc", i)
+                out[:2, doc] += of("x", i).reshape(2, -1)
+                out[2:, doc] += of("n", i).reshape(K + 2, -1)
+            elif kind == "back":
+                back[of("doc", i)] = of("x", i)
+        base = out[0] - n * np.log10(whole)
+        full = out[1] - np.log10(ends + FLOOR) + (out[4:] * logs[:, None]).sum(0) - out[3] * np.log10(whole) + back
+        give_back()
+        return pa.table({
+            "doc_id": pa.array(ids, mask=flags >= 2), "held_out": flags % 2 == 0, "n_tokens": n, "n_known": np.rint(out[2]).astype(np.int64),
+            "train_tokens": np.full(len(n), n_all), "base_score": base, "score": full,
+        })
+
+    parts = counted.filter("kind in ('docs', 'sums')").select("kind", "block", "h", "doc", "x", "n").unionByName(back, allowMissingColumns=True)
+    return parts.groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def context_rows(h: np.ndarray, table: np.ndarray, groups: int) -> list[dict]:
+    """Counts of contexts, for the group of each."""
+    to = (h % _U(groups)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    cut = np.flatnonzero(np.diff(to[by], append=-1)) + 1
+    return [{"kind": "contexts", "g": int(to[p[0]]), "h": h[p].view(np.int64), "table": table[:, p].ravel()} for p in np.split(by, cut[:-1]) if len(p)]
 
 
 def discounts(spectrum: np.ndarray) -> np.ndarray:
@@ -290,15 +340,14 @@ def discounts(spectrum: np.ndarray) -> np.ndarray:
     return out
 
 
-def hidden_contexts(both: np.ndarray, both_n: np.ndarray, heavy: np.ndarray, heavy_n: np.ndarray, groups: int) -> list[tuple[int, bytearray]]:
+def hidden_contexts(both: np.ndarray, both_n: np.ndarray, heavy: np.ndarray, heavy_n: np.ndarray, groups: int) -> list[dict]:
     """Context sums of the heavy pairs, which no group sees, found among the pairs of heavy words."""
     first = np.concatenate([heavy, [START]])
     f, s = np.repeat(first, len(heavy)), np.tile(heavy, len(first))
     r = _lookup(both, both_n, _pair(f, s))
     f, s, r = f[r >= 0], s[r >= 0], r[r >= 0]
     table = np.stack([np.ones(len(f), np.int64), _lookup(heavy, heavy_n, s), *[(r == i).astype(np.int64) for i in range(1, K + 1)]])
-    to = (f % _U(groups)).astype(np.int64)
-    return [(int(g), bytearray(_pack(f[to == g], table[:, to == g]))) for g in np.unique(to)]
+    return context_rows(f, table, groups)
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
