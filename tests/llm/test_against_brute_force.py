@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
 from tests.conftest import DATA
-from tracemill.llm import katz, registry, tokens
+from tracemill.llm import katz, mixing, quality, registry, tokens
 from tracemill.llm.registry import QUERIES, SQL
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -174,6 +175,78 @@ def test_op8_pieces_and_sequences(spark, docs):
     assert len(bins) <= 1.005 * total / 1024 + 2
 
 
+def plain_score(model, text):
+    """The machine's score from its definition: all pairs of features."""
+    slots, stats = quality.text_features((text or "").encode())
+    x = {int(s): 1 / math.sqrt(max(len(slots), 1)) for s in slots}
+    for i, (edges, v) in enumerate(zip(model.edges, stats)):
+        x[quality.SLOTS + i * quality.BINS + sum(e <= v for e in edges)] = 1.0
+    at, value = np.array(list(x)), np.array(list(x.values()))
+    f = model.v[at].astype(float) * value[:, None]
+    pairs = sum(float(f[i] @ f[:i].sum(0)) for i in range(1, len(f)))
+    return 1 / (1 + math.exp(-(model.bias + float(model.w[at].astype(float) @ value) + pairs)))
+
+
+def test_op9_scores_are_those_of_the_definition(spark, docs):
+    """Linear-time scores against the sum over all pairs of features."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = quality.train(table, spark.read.parquet(f"{DATA}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op9_quality"](spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for k, text in docs:
+        assert abs(got[k] - plain_score(model, text)) < 1e-4
+
+
+def test_op7_mix(spark, docs):
+    """The query against a plain walk down the tree and along each leaf's seeded order."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    order = table.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("epoch"))).select("doc_id", "lang", "source", "text", "epoch", mixing.order_key(F.col("doc_id"), 17).bitwiseAND(F.lit(2**50 - 1)).alias("place"))
+    leaves = collections.defaultdict(dict)
+    for r in order.collect():
+        domain = "domain" + str(zlib.crc32((r["source"] or "").encode()) % 4)
+        leaves[domain, r["lang"], r["source"]][r["doc_id"], r["epoch"]] = ((r["place"] >> 40) % mixing.PARTS, r["place"], len(words(r["text"])))
+    total = {leaf: sum(n for (_, e), (_, _, n) in d.items() if e == 0) for leaf, d in leaves.items()}
+
+    def weight(path):
+        if len(path) == 1:
+            return int(path[0][-1]) + 1.0
+        return 3.0 if path[1:] == ("en",) else 1.0
+
+    share = {}
+
+    def down(path, given):
+        if len(path) == 3:
+            share[path] = given
+            return
+        open_ = {leaf[: len(path) + 1] for leaf in total if leaf[: len(path)] == path}
+        room = {k: 2.0 * sum(n for leaf, n in total.items() if leaf[: len(k)] == k) for k in open_}
+        kids, left = sorted(open_, key=str), given
+        while open_:
+            whole = sum(weight(k) for k in open_)
+            full = {k for k in open_ if left * weight(k) / whole >= room[k]}
+            for k in full or open_:
+                down(k, room[k] if full else left * weight(k) / whole)
+            if not full:
+                break
+            left -= sum(room[k] for k in full)
+            open_ -= full
+        assert kids
+
+    down((), 0.6 * sum(total.values()))
+    want = set()
+    for leaf, d in leaves.items():
+        whole, over = divmod(math.floor(share[leaf] + 1e-6), max(total[leaf], 1))
+        for epoch in range(whole + 1):
+            used = 0
+            for (k, e), (_, _, n) in sorted(((x, y) for x, y in d.items() if x[1] == epoch), key=lambda p: (*p[1][:2], p[0][0])):
+                used += n
+                if epoch == whole and (used > over or not over):
+                    break
+                want.add((*leaf, k, n, epoch))
+    got = {tuple(r[c] for c in ("domain", "lang", "source", "doc_id", "n_tokens", "epoch")) for r in QUERIES["op7_mix"](spark, DATA).collect()}
+    assert got == want and want
+
+
 def test_op9_held_out_accuracy(spark, duck):
     rows = {r["doc_id"]: r for r in QUERIES["op9_quality"](spark, "/root/testdata/sf0.01").collect()}
     labels = duck.execute("SELECT doc_id, quality FROM '/root/testdata/sf0.01/labels.parquet'").fetchall()

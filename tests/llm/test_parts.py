@@ -1,5 +1,6 @@
 """Parts of the operators on small inputs of their own."""
 
+import math
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import mixing, nearest, packing, passages, simhash, tokens, topk
 from tracemill.llm.licenses import scan
+from tracemill.llm.vectors import queries_of
 
 
 @settings(deadline=None, max_examples=60)
@@ -128,7 +130,7 @@ def test_hot_groups_lose_no_link(spark):
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
     from tracemill.operators.graph import components
 
-    found = components(simhash.near_links(nodes, group=64))  # far more than a group holds
+    found = components(simhash.near_links(simhash.with_tables(nodes), group=64))  # far more than a group holds
     assert found.count() == len(fps) and found.select("root").distinct().count() == 1
 
 
@@ -155,6 +157,71 @@ def test_chains_rise_in_both_and_hold_every_anchor_once(anchors):
         assert (np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all()
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.tuples(st.integers(0, 200), st.integers(-40, 40)), min_size=1, max_size=60, unique=True))
+def test_chains_score_as_the_best_of_all_predecessors(anchors):
+    anchors = sorted((x, x + d) for x, d in anchors if x + d >= 0)
+    if not anchors:
+        return
+    x, y = (np.array(c) for c in zip(*anchors))
+    worth = lambda d, e: min(passages.K, d, e) - passages.COST * abs(d - e)
+    best = []
+    for i in range(len(x)):
+        best.append(max([float(passages.K), *(best[j] + worth(x[i] - x[j], y[i] - y[j]) for j in range(i) if 0 < x[i] - x[j] <= passages.GAP and 0 < y[i] - y[j] <= passages.GAP)]))
+    first = passages.chains(x, y)[0]
+    score = passages.K + sum(worth(x[b] - x[a], y[b] - y[a]) for a, b in zip(first, first[1:]))
+    assert abs(score - max(best)) < 1e-9
+
+
+def test_run_hashes():
+    rng = np.random.default_rng(1)
+    w = rng.integers(0, 2**63, 200).astype(np.uint64)
+    v = np.concatenate([rng.integers(0, 2**63, 37).astype(np.uint64), w[20:120], w[:5]])
+    a, b = passages.run_hashes(w, np.arange(200), 50), passages.run_hashes(v, np.arange(142), 50)
+    assert (a[20:71] == b[37:88]).all() and len({*a[:151].tolist()} & {*b[:93].tolist()}) == 51 and not a[151:].any() and not b[93:].any()
+
+
+def test_short_texts_hide_no_passage(spark):
+    """Texts that hold parts of a passage, each too short, are the first to have its seeds."""
+    w = _new_words(220, "w")
+    parts = [w[20 * i : 20 * i + 40] + _new_words(60, f"o{i}_") for i in range(10)]
+    found = _passages_of(spark, *parts, w, _new_words(30, "x") + w)
+    assert found == [(12, 30, 250, 11, 0)]
+    # one owner that has a part of the passage before the whole of it
+    found = _passages_of(spark, w[100:130] + _new_words(50, "y") + w, _new_words(30, "x") + w)
+    assert {i for k, a, b, o, at in found if (k, o) == (2, 1) and at - a == 50 for i in range(a, b)} == {*range(30, 250)}
+
+
+def test_rows_that_repeat_an_id_are_one_text(spark):
+    w, o = _new_words(80, "w"), _new_words(200, "o")
+    rows = [(1, " ".join(w)), (2, " ".join(w)), (2, " ".join(o + w)), (2, " ".join(w)), (None, " ".join(w))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(docs)
+    assert [tuple(r) for r in found.collect()] == [(2, 200, 280, 1, 0, 80, 80)]
+    kept = sorted((r["doc_id"] or 0, len(r["text"].split())) for r in passages.without_passages(docs, found).collect())
+    assert kept == [(0, 80), (1, 80), (2, 80), (2, 80), (2, 200)]
+
+
+@pytest.mark.parametrize("length, equal, least", [(52, 1.0, 1.0), (60, 0.9, 0.9), (60, 0.85, 0.85), (120, 0.9, 0.98), (120, 0.85, 0.95), (120, 0.82, 0.9)])
+def test_recall_of_fuzzy_passages(spark, length, equal, least):
+    """200 pairs of texts that share a passage with words changed at random; found if most of it is."""
+    rng = random.Random(length)
+    rows, new = [], (f"n{i}" for i in range(10**9))
+    take = lambda n: [next(new) for _ in range(n)]
+    for k in range(200):
+        p = take(length)
+        q = list(p)
+        for i in rng.sample(range(length), round(length * (1 - equal))):
+            q[i] = next(new)
+        rows += [(2 * k, " ".join(take(70) + p + take(70))), (2 * k + 1, " ".join(take(90) + q + take(50)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    covered = {}
+    for r in passages.repeated_passages(docs).collect():
+        assert (r["doc_id"], r["other_id"]) == (r["other_id"] // 2 * 2 + 1, r["other_id"])
+        covered.setdefault(r["doc_id"], set()).update(range(max(r["start"], 90), min(r["stop"], 90 + length)))
+    assert sum(len(c) >= 0.8 * length for c in covered.values()) >= least * 200
+
+
 def test_seeds_are_shared_by_shared_runs():
     rng = np.random.default_rng(0)
     run = rng.integers(0, 2**63, passages.K + passages.WINDOW - 1).astype(np.uint64)
@@ -169,6 +236,14 @@ def test_hashed_words_cut_as_words_do():
     assert counts.tolist() == [0, 3, 0, 3, 1] and w[0] == w[6] and w[1] == w[2] and len({*w.tolist()}) == 5
 
 
+def test_hashed_words_in_small_chunks(monkeypatch):
+    texts = [b"one two three", b"", b"a" * 5000 + b" two " + b"b" * 300, b"three  one " * 50]
+    want, counts = passages.hashed_words(texts)
+    monkeypatch.setattr(passages, "CHUNK", 7)
+    got, again = passages.hashed_words(texts)
+    assert (got == want).all() and (counts == again).all() and want[0] == want[7]
+
+
 def test_fuzzy_passage_and_its_cut(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
@@ -247,14 +322,73 @@ def test_quantiser_weighs_parallel_error():
     along = lambda z: np.abs(((q.split(x)[0] - q.books[at, z.codes(x)]) * q.split(x)[1]).sum((1, 2))).mean()
     assert q.eta > 1 and along(q) < along(plain)
     v = q.tables(x[:1])[0]
-    codes = nearest.pack4(q.codes(x[:9]))
+    codes = nearest.pack4(q.codes(x[:9])).T
     want = (q.books[at, q.codes(x[:9])] * q.split(x[:1])[0]).sum((1, 2))
     assert np.allclose(sum(t[c] for t, c in zip(v, codes)), want, atol=1e-5)
 
 
-def test_local_scores_stay_exact_beyond_doubles():
-    q, x = np.array([[2.0**40, 3.0]]), np.array([[2.0**30, 1.0], [2.0**30, 2.0]])
-    assert topk.local_scores(q, x, 2).sum(0).tolist() == [[2**70 + 3, 2**70 + 6]]
+def test_large_scores_are_exact_or_held_at_the_ends_of_longs():
+    q, x = np.array([[2.0**30, 3.0], [2.0**60, 2.0], [-(2.0**60), 2.0]]), np.array([[2.0**20, 1.0], [2.0**20, 1.0], [2.0**20, 1.0]])
+    scale = 2**20
+    assert topk.exact_scores(q, x / 1024).tolist() == [2**60 + 3 * 1024, 2**63 - 1, -(2**63)]
+    local = topk.local_scores(topk.whole(q), topk.whole(x), 2).sum(0)
+    exact = [[sum(int(a) * int(b) for a, b in zip(r, c)) * scale for c in x] for r in q]
+    assert all(l <= e and abs(l - e) <= abs(e) * 1e-12 for ls, es in zip(local, exact) for l, e in zip(ls, es))  # noqa: E741
+
+
+def _vectors(spark, v):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, v array<double>").repartition(4)
+
+
+@pytest.mark.parametrize("big", [1.0, 1e7, 1e12, 1e200])
+def test_topk_with_large_components(spark, big):
+    v = np.round(np.random.default_rng(2).normal(size=(120, 6)), 2)
+    v[::7] *= big
+    rows = _vectors(spark, v)
+    got = [tuple(r) for r in topk.top_k(rows, queries_of(rows, 20), 5).orderBy("query_id", "rank").select("query_id", "vec_id", "score").collect()]
+    ints = [[int(c) if abs(c) < 1e300 else 0 for c in (math.floor(1024 * x) for x in r)] for r in v.tolist()]
+    want = []
+    for q in range(0, 120, 20):
+        score = {i: min(max(sum(a * b for a, b in zip(ints[q], ints[i])), -(2**63)), 2**63 - 1) for i in range(120) if i != q}
+        want += [(q, i, score[i]) for i in sorted(score, key=lambda i: (-score[i], i))[:5]]
+    assert got == want
+
+
+def test_topk_resolves_few_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(40, 32))[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows, counts = _vectors(spark, v), []
+    got = topk.top_k(rows, queries_of(rows, 100), 10, seen=lambda found: counts.append(found.count()))
+    assert got.count() == 400 and 400 <= sum(counts) < 0.05 * 40 * 4000
+
+
+def test_ties_go_to_smaller_ids(spark):
+    v = np.tile(np.eye(4), (30, 1))
+    rows = _vectors(spark, v)
+    for got in (topk.top_k(rows, queries_of(rows, 40), 7), nearest.search(rows, queries_of(rows, 40), 7)):
+        found = {(r["query_id"], r["rank"]): r["vec_id"] for r in got.collect()}
+        assert found == {(q, n + 1): i for q in (0, 40, 80) for n, i in enumerate([i for i in range(0, 120, 4) if i != q][:7])}
+
+
+@pytest.mark.parametrize("clusters", [0, 50])
+def test_nearest_recall_with_few_reranked(spark, clusters):
+    """20,000 vectors of which 2 % are reranked; 200 of them are queries."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(20_000, 64))
+    if clusters:
+        v = v[:clusters][rng.integers(0, clusters, 20_000)] + 0.5 * v
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = _vectors(spark, v)
+    got = {}
+    for r in nearest.search(rows, queries_of(rows, 100), 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 20_000, 100):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(got[q] & {*np.argsort(-score)[:20].tolist()})
+    assert hits >= 0.9 * 20 * 200
 
 
 def _water(budget, nodes):

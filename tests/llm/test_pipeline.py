@@ -6,10 +6,11 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import DATA
-from tests.llm.test_against_brute_force import words
+from tests.llm.test_against_brute_force import plain_score, words
 from tracemill.functions.scratch import stored
-from tracemill.llm import similar
+from tracemill.llm import quality, similar, tokens
 from tracemill.llm.simhash import fingerprints
 
 
@@ -102,6 +103,36 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     assert sorted(kept) == sorted({*want.values()}) and 20 < len(kept) < 200
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a, "en"), (5, b, "en"), (5, a, "de"), (4, c, "en"), (9, b, "en"), (None, b, "en"), (3, None, "en"), (7, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("hash", F.lit("x"))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (5, b), (4, c), (None, b), (3, None)], key=str)
+
+
+def test_the_pipeline_against_plain_stages(spark, steps):
+    """What the stages keep, from the classifier's scores on: groups by all pairs, and pieces of what the mix kept."""
+    model = quality.train(steps["given"], spark.read.parquet(f"{DATA}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in steps["given"].collect()}
+    good = {k for k, t in texts.items() if plain_score(model, t) >= 0.3}
+    assert {r["doc_id"] for r in steps["quality"].collect()} == good
+    groups = _least_of_group([(k, texts[k] or "") for k in good])
+    assert {r["doc_id"] for r in steps["near_duplicates"].collect()} == {*groups.values()}
+    kept = {r["doc_id"]: r["text"] for r in steps["mixing"].collect()}
+    assert kept.items() <= {r["doc_id"]: r["text"] for r in steps["passages"].collect()}.items()
+    assert sum(len(words(t)) for t in kept.values()) <= 0.8 * sum(len(words(r["text"])) for r in steps["passages"].collect())
+    e = tokens.encoder(tokens.vocabulary_path())
+    want = collections.Counter()
+    for k, t in kept.items():
+        want[k] = len(e.model.encode(t or "", add_special_tokens=False).ids) + 1
+    got, bins = collections.Counter(), collections.Counter()
+    for r in steps["packing"].collect():
+        got[r["doc_id"]] += r["length"]
+        bins[r["sequence_id"]] += r["length"]
+    assert got == want and max(bins.values()) <= 1024 and len(bins) <= 1.01 * sum(want.values()) / 1024 + 2
+
+
 def test_large_groups_are_dealt_into_parts(spark):
     rows = [(i, 1, i, 100, bytes([i % 3]) * similar.BANDS * similar.ROWS) for i in range(60)]
     keyed = spark.createDataFrame(rows, "node long, key long, root long, size int, sketch binary")
