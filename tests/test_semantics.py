@@ -4,26 +4,40 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions.columns import nan_to_null, natural_key
-from tracemill.functions.html import page_text
+from tracemill.functions.html import meta_content, page_text
 from tracemill.functions.predicate import PredicateError, where
 from tracemill.jobs.graphs import verdict
-from tracemill.operators import evalstats, eventlog, graph, ledger, retrieval
+from tracemill.operators import evalstats, eventlog, graph, ledger, records, retrieval, sinks, state, symbols
+from tracemill.sources import files
+from tracemill.streaming import monitors
 
 
 @pytest.fixture(scope="module")
 def store(spark):
-    rows = [(0.1, 1.0, 1, 0.95, "D001"), (0.2, 2.0, 1, 0.50, "D001"), (0.3, 3.0, 0, 0.99, "D002"), (0.4, 2.5, 1, 0.92, "D002"), (0.5, 0.5, 1, 0.91, "D001")]
-    return spark.createDataFrame(rows, "x0 double, f double, coilable int, mcs double, _delegation_id string").withColumn("row_id", F.monotonically_increasing_id())
+    """Beams: width, mass, whether one buckles, its safety, and who evaluated it."""
+    rows = [(1.5, 12.0, 0, 1.9, "D010"), (2.0, 9.0, 0, 1.2, "D011"), (2.5, 7.5, 1, 2.4, "D010"), (3.0, 8.25, 0, 1.7, "D012"), (3.5, 15.0, 0, 1.75, "D012"), (4.0, 6.0, 1, 0.8, "D011")]
+    return spark.createDataFrame(rows, "width double, mass double, buckles int, safety double, _delegation_id string").withColumn("row_id", F.monotonically_increasing_id())
 
 
 def test_compound_predicate(store):
-    kept = where(store, "coilable == 1 and mcs >= 0.90")
+    kept = where(store, "buckles == 0 and safety >= 1.5")
     assert kept.count() == 3
-    assert ledger.best_n(kept, "f", 1, ["row_id"], minimise=False).first()["f"] == 2.5
-    assert where(store, "x0 * 10 >= 3").count() == 3
-    assert where(store, "0.15 < x0 < 0.45 and _delegation_id in ['D002']").count() == 2
-    assert where(store, "(f > 2) & ~(coilable == 0) | mcs == 0.5").count() == 2
-    assert where(store, "f ** 2 % 3 // 1 == 1").count() == 2
+    assert ledger.best_n(kept, "mass", 1, ["row_id"]).first()["mass"] == 8.25
+    assert where(store, "width * 4 >= 10").count() == 4
+    assert where(store, "1.9 < width < 3.2 and _delegation_id in ['D010', 'D012']").count() == 2
+    assert where(store, "(mass > 10) & ~(buckles == 1) | safety == 0.8").count() == 3
+    assert where(store, "mass ** 2 % 5 // 1 == 1").count() == 3
+
+
+def test_explanations_of_empty_answers(store):
+    one = lambda **k: ledger.explained(store, **k).first()
+    r = one(predicate="safety >= 9", source="agent")
+    assert (r["n_scanned"], r["n_matched"], r["verdict"]) == (6, 0, "true zero") and r["filters"] == "source='agent'; where='safety >= 9'"
+    assert one(predicate="mass == 0.3")["verdict"].startswith("not necessarily") and one(predicate="buckles == 7")["verdict"] == "true zero"
+    assert one()["verdict"] == "found" and one()["filters"] == "(no filter)"
+    with pytest.raises(PredicateError):
+        one(predicate="nothing >= 9")
+    assert ledger.shown_columns(store.columns, ["width", "_ts"], "mass") == ["width", "mass", "_delegation_id"]
 
 
 def test_negation_keeps_missing_values(spark):
@@ -34,7 +48,7 @@ def test_negation_keeps_missing_values(spark):
     assert where(df, "x not in [1, 2]").count() == 2
 
 
-@pytest.mark.parametrize("text", ["nothing > 1", "x0 >", "__import__('os')", "x0 == [1]", "f.mean() > 1", "x0 is None"])
+@pytest.mark.parametrize("text", ["nothing > 1", "width >", "__import__('os')", "width == [1]", "mass.mean() > 1", "width is None"])
 def test_bad_predicates_say_so(store, text):
     with pytest.raises(PredicateError):
         where(store, text)
@@ -56,8 +70,9 @@ def test_namespaces_union(spark):
 def test_duplicates_at_scale(spark):
     points = [(i % 38, 0.5, "D003") for i in range(160)] + [(1, 0.5, None), (1, 0.5, "")]
     df = spark.createDataFrame(points, "x1 int, x2 double, _delegation_id string")
-    (r,) = ledger.duplicate_stats(df, ["x1", "x2"]).collect()
+    (r,) = ledger.duplicate_stats(df.withColumn("k", F.monotonically_increasing_id()), ["x1", "x2"], ["k"]).collect()
     assert (r["n_total"], r["n_unique"], r["n_duplicate"]) == (160, 38, 122)
+    assert (r["worst"], r["worst_design"]) == (5, "x1=0.0000;x2=0.5000")  # eight designs have five; this one came first
 
 
 def test_rounded_designs_are_equal(spark):
@@ -74,8 +89,8 @@ def test_guard(spark):
 
 
 def test_content_hash_ignores_order(store):
-    digest = lambda df: ledger.content_hash(df, ["f", "mcs"]).first()["content_hash"]
-    assert digest(store) == digest(store.orderBy(F.desc("f")).repartition(3)) != digest(store.filter("x0 > 0.1"))
+    digest = lambda df: ledger.content_hash(df, ["mass", "safety"]).first()["content_hash"]
+    assert digest(store) == digest(store.orderBy(F.desc("mass")).repartition(3)) != digest(store.filter("width > 1.5"))
 
 
 def test_lookup(spark):
@@ -150,5 +165,149 @@ def test_verdicts(spark):
 def test_page_text():
     html = "<html><head><title>A &amp; B</title></head><body><nav>menu</nav><div id=x><article><h1>Head</h1><p>First <b>bold</b>.</p><dl><dt>term</dt><dd>meaning</dd></dl><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table></article></div><script>x()</script><footer>foot</footer></body></html>"
     title, body = page_text(html)
-    assert title == "A & B" and body.split("\n") == ["Head", "First bold.", "term:", "meaning", "| a | b |", "| --- | --- |", "| 1 | 2 |"]
+    assert title == "A & B" and body.split("\n") == ["Head", "First bold.", "term: meaning", "| a | b |", "| --- | --- |", "| 1 | 2 |"]
     assert page_text(None) == ("", "") and page_text("plain <b>text")[1] == "plain text"
+
+
+def test_page_blocks():
+    code = "<pre>if x:\n    y()\n\n  z</pre>"
+    html = f"<body><div class='top-nav'>menu</div><main><table><tr><td>Prose before{code}and after<dl><dt>k</dt><dd>v w</dd></dl></td></tr></table><p>Area <math><mi>a</mi><mo>=</mo><mn>2</mn></math> here</p><table><tr><th>n</th><th>what|how</th></tr><tr><td>1</td><td><p>one</p><p>two</p></td></tr><tr><td>3</td></tr></table></main><div id='cookie-banner'>ok?</div></body>"
+    body = page_text(html)[1].split("\n")
+    assert body == ["Prose before", "```", "if x:", "    y()", "", "  z", "```", "and after", "k: v w", "Area a = 2 here", "| n | what\\|how |", "| --- | --- |", "| 1 | one / two |", "| 3 | |"]
+    assert page_text("<table><tr><td>open")[1] == "open"
+
+
+def test_meta_in_any_order(spark):
+    pages = ['<meta name="description" content="a">', "<META content='b' property=x name='description'/>", '<meta name="other" content="c">', None]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert [r[0] for r in df.select(meta_content("html", "description")).collect()] == ["a", "b", "", ""]
+
+
+def test_pages_are_cut_at_sections(spark):
+    text = "intro\n## One\n" + "a" * 30 + "\n## Two\nbb\n##no\n## Three \ncc"
+    df = spark.createDataFrame([(text, ), ("short\n## x", )], "t string")
+    cut = lambda cap: [tuple(r) for r in df.select(*records.cut_at_section(F.col("t"), cap)).collect()]
+    assert cut(55)[0] == (text[: text.index("\n## Two")], ["Two", "Three"]) and cut(55)[1] == ("short\n## x", [])
+    assert cut(30)[0] == (text[:30], ["Two", "Three"])  # the only heading is in the first half
+    assert cut(500)[0] == (text, [])
+
+
+def test_compound_claims(spark):
+    texts = ["x > 3 and y < 4", "x rises and y falls 2", "a is 1; b is 2", "a is 1, b is 2", "(1) this (2) that", "1. this\n2. that", "much and 5 and 6", "3 and much and 6", "version 1.2 alone"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(records.is_compound(F.col("t"))).collect()] == [True, False, True, False, True, True, False, True, False]
+
+
+def test_never_paired_leaves_out_what_comes_along(spark):
+    cases = [(f"{x}{i}", x) for x in "abcd" for i in range(9)] + [("ab", "a"), ("ab", "b"), ("e", "e")]
+    df = spark.createDataFrame(cases, "case string, item string")
+    edges = spark.createDataFrame([("b", "c")], "src string, dst string")
+    rows = {(r["item"], r["other"]) for r in graph.never_paired(df, "case", "item", 8, edges).collect()}
+    # a stands beside b, which brings c; e is rare and never among the others
+    assert rows == {("a", "d"), ("b", "d"), ("c", "a"), ("c", "b"), ("c", "d"), ("d", "a"), ("d", "b"), ("d", "c"), ("e", "a"), ("e", "b"), ("e", "c"), ("e", "d")}
+    few = {(r["item"], r["other"], r["rank"]) for r in graph.never_paired(df, "case", "item", 8, edges, k=1).collect()}
+    assert few == {("a", "d", 1), ("b", "d", 1), ("c", "a", 1), ("d", "a", 1), ("e", "a", 1)}
+
+
+def test_duplicate_monitor_over_batches(spark, tmp_path):
+    """Three batches of files: repeats count over batches, telling resets them, twice at most."""
+    at = lambda m: f"2024-01-01 00:{m:02}:00"
+    batches = [[("d", 1, at(0)), ("d", 1, at(1)), ("e", 1, at(1))], [("d", 1, at(2)), ("d", 2, at(2)), ("d", 2, at(3)), ("e", 2, at(3))], [("d", 2, at(4)), ("d", 1, at(4)), ("d", 1, at(5))], [("d", 1, at(6))] * 5]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "who string, design int, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = [(r["who"], r["n_duplicate"]) for r in monitors.duplicate_monitor(stream, "who", ["design"], "ts").orderBy("n_duplicate").collect()]
+    assert got == [("d", 3), ("d", 6)]
+
+
+def test_changes_over_batches(spark, tmp_path):
+    for i, rows in enumerate([[(1, 1, "a"), (1, 2, "a"), (2, 3, "b")], [(1, 4, "a"), (1, 5, "c"), (2, 6, "b")], [(1, 7, "c"), (3, 8, "a")]]):
+        spark.createDataFrame(rows, "user_id long, event_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    assert sorted(r["event_id"] for r in monitors.changes(stream).collect()) == [1, 3, 5, 8]
+
+
+def test_tiers_and_aliases(spark):
+    rows = [("pkg.Data.store", "pkg.Data", "Save the rows.", "", "method", False), ("pkg.store_all", "", "Write.", "", "function", False), ("pkg.restored", "", "Undo.", "", "class", False), ("pkg._x.store", "", "Hidden.", "", "class", True), ("pkg.Sampler", "", "Draws points.", "parameters", "class", False)]
+    df = spark.createDataFrame(rows, "key string, owner string, summary string, body string, kind string, private boolean")
+    score = lambda q, **a: {r["key"]: round(r["score"], 6) for r in symbols.tiered(df, q, a, "key", "owner", "summary", "body", "kind", "private").collect()}
+    assert score("store") == {"pkg.Data.store": 1000, "pkg.store_all": 575, "pkg.restored": 287.5, "pkg._x.store": 172.5}
+    assert score("other.Data.store")["pkg.Data.store"] == 200
+    # sampling is akin to no name, but stands for sampler: 0.6 of a name, and covers its word
+    assert score("sampling rows", sampling=("sampler",)) == {"pkg.Data.store": round(12 * 0.675, 6), "pkg.Sampler": round(60 * 0.6 * 0.675 * 1.15, 6)}
+    assert score("parameter") == {"pkg.Sampler": round(2 * 0.35 * 1.15, 6)}
+    assert symbols.expanded(["latin", "hyper"], {"latinhyper": ("lhs",), "latin": ("hyper",)}) == {"lhs": "latin"}
+
+
+def test_names_resolve(spark):
+    s = spark.createDataFrame([("p.a.Run",), ("p.b.Run",), ("p.b.Go",)], "key string")
+    asked = spark.createDataFrame([("p.a.Run",), ("Go",), ("Run",), ("x.y.b.Run",), ("Stop",)], "name string")
+    assert {(r["name"], r["key"]) for r in symbols.resolved(s, asked, "key", "name").collect()} == {("p.a.Run", "p.a.Run"), ("Go", "p.b.Go"), ("x.y.b.Run", "p.b.Run")}
+
+
+def test_ledger_writes_are_guarded(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, y double")
+    stamp = {"_delegation_id": F.lit("D1")}
+    assert sinks.append_rows(path, rows((1, 1.0), (2, 2.0)), ["k"], stamp).count() == 2
+    assert sinks.append_rows(path, rows((3, 3.0)), ["k"], stamp).count() == 3
+    replaced = sinks.append_rows(path, rows((2, 9.0)), ["k"], stamp, replace_stale=True)
+    assert {(r["k"], r["y"], r["status"]) for r in replaced.collect()} == {(1, 1.0, "FINISHED"), (2, 9.0, "FINISHED"), (3, 3.0, "FINISHED")}
+    sinks.append_rows(path, rows((2, 9.0)), ["k"], stamp)
+    with pytest.raises(sinks.GuardError):  # two rows of key 2 would become one
+        sinks.append_rows(path, rows((2, 5.0)), ["k"], stamp, replace_stale=True)
+    assert sinks.read(spark, path).count() == 4 and sinks.read(spark, f"file://{tmp_path}/none") is None
+
+
+def test_strict_entries_stop_the_job(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": "x"}',)], "t string")
+    assert files.strict(df, "t", "a int, b string").first()["b"] == "x"
+    for bad in ('{"a": 1}', "{torn", None):
+        with pytest.raises(Exception, match="not a whole entry"):
+            files.strict(spark.createDataFrame([(bad,)], "t string"), "t", "a int, b string").collect()
+
+
+def test_front_matter(spark):
+    texts = ["---\nid: x\ntags: [a, b]\nnote: c: d\n---\nBody\n", "no block", "---\n---\n", "text\n---\nid: y\n---\n"]
+    df = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "name string, t string")
+    rows = [(r["id"], r["fields"], r["body"]) for r in files.front_matter(df, "t", "name").orderBy("name").collect()]
+    assert rows == [("x", {"id": "x", "tags": "[a, b]", "note": "c: d"}, "Body\n"), ("f1", {}, "no block"), ("f2", {}, ""), ("f3", {}, texts[3])]
+
+
+def test_sections(spark):
+    texts = ["a\n### Verdict (final)\nPASS\n\nmore\n## Next\nx", "**Verdict:**\nFAIL\n**Other**\ny", "Verdict: REVISE. I\nfound it\n\nelse", "**Verdict**: short\n\nz", "## VerdictNotes\nx", "verdict:\nlow\n---\nq"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(state.section("t", "Verdict")).collect()] == ["PASS\n\nmore", "FAIL", "REVISE. I\nfound it", "short", "", "low"]
+
+
+def test_replies(spark):
+    df = spark.createDataFrame([("SUBSTANCE: FLAG\nCRITIQUE: weak\nproof",), ("substance: ok\nCRITIQUE: x",), ("I can't say",), ("",), (None,), ("SUBSTANCE: FLAG",)], "t string")
+    flagged, critique = state.judged("t")
+    assert [tuple(r) for r in df.select(flagged, critique).collect()] == [(True, "weak\nproof"), (False, ""), (False, "I can't say"), (False, ""), (False, ""), (True, "SUBSTANCE: FLAG")]
+    review = spark.createDataFrame([(1, 'So: ```json\n{"elements": [{"element": "a", "status": "GAP"}, {"status": "gap", "note": "n"}, {"element": "c", "status": "ok"}]}\n``` bye {x}'), (2, "none"), (3, "{torn")], "k int, t string")
+    assert {tuple(r) for r in state.review_gaps(review, "t").collect()} == {(1, "a", ""), (1, "?", "n")}
+
+
+def test_durations(spark):
+    df = spark.createDataFrame([("01:02:03",), ("5:07",), ("42",), ("1:99",), ("x",), (None,)], "t string")
+    assert [r[0] for r in df.select(records.seconds_of("t")).collect()] == [3723.0, 307.0, 42.0, None, None, None]
+
+
+def test_violations(spark):
+    rows = [("g", "R1", "H1", "warn", "a", 1), ("g", "R1", "H1", "error", "b", 2), ("g", "R2", None, "warn", "c", 3), ("g", "R3", "H2", "error", "d", 4), ("g", "R3", "H2", "error", "e", 5)]
+    df = spark.createDataFrame(rows, "run string, rule string, subject string, severity string, message string, position int")
+    (r,) = state.shown(df, "run").collect()
+    assert (r["head"], r["digest"]) == ("R1 b\nR3 d", "+1 more: R2()")
+    assert {(r["subject"], r["n_repeats"]) for r in state.escalated(df.withColumn("round", F.col("position")), "round").collect()} == {("H2", 2)}
+
+
+def test_questions_are_resolved_once(spark):
+    df = spark.createDataFrame([("q1", "pending", 1), ("q1", "timeout", 2), ("q1", "answered", 3), ("q2", "pending", 4)], "id string, status string, at int")
+    assert {tuple(r) for r in state.first_resolution(df, "id", "status", "at").collect()} == {("q1", "timeout", 1, 2), ("q2", "pending", 4, None)}
+
+
+def test_paper_keys(spark):
+    df = spark.createDataFrame([("10.1/a", "2301.1v3", "A title of more than twenty letters"), ("10.48550/arxiv.1", None, "short"), (None, "", None)], "doi string, arxiv string, title string")
+    assert [r[0] for r in df.select(state.paper_keys("doi", "arxiv", "title")).collect()] == [["doi:10.1/a", "arxiv:2301.1", "title:atitleofmorethantwentyletters"], [], []]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which all executors share; a local folder only where that is unset."""
+    """A new path under spark.checkpoint.dir, which all executors share; a local folder only where that is unset and all tasks run in this process."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = os.path.join(tempfile.gettempdir(), "tracemill-scratch")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -13,8 +13,9 @@ from tracemill.streaming import monitors
 
 
 def _edges(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"))
-    return n.select("src", ((F.col("src") * 7 + 3) % 25).alias("dst")).unionByName(n.select("src", ((F.col("src") + 5) % 25).alias("dst")))
+    """Each customer leans on the one of half its number, and every fifth on that of a third."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("src")).filter("src > 0")
+    return c.select("src", F.expr("src div 2").alias("dst")).unionByName(c.filter("src % 5 = 0").select("src", F.expr("src div 3").alias("dst")))
 
 
 def transitive_closure(spark, d):
@@ -22,9 +23,10 @@ def transitive_closure(spark, d):
 
 
 def bfs_layers(spark, d):
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
-    edges = _edges(spark, d).filter("src % 6 <> 5")
-    return op.layers(nodes, edges, nodes.filter("node = 2"))
+    """Steps from customer 1 to all that lean on it; what others alone lead to is behind the last."""
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("node"))
+    edges = _edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")).filter("src % 6 <> 5")
+    return op.layers(nodes, edges, nodes.filter("node = 1"))
 
 
 def tree_path(spark, d):
@@ -47,7 +49,9 @@ def top_partners(spark, d):
 
 
 def never_paired(spark, d):
-    return op.never_paired(_cases(spark, d), "case", "item", 8, 120)
+    """Parts no order holds together, but those that come along with what is; a part brings that of twice its number."""
+    edges = table(spark, d, "part").select((F.col("p_partkey") % 400).alias("src")).distinct().filter("src > 0 and src < 200").select("src", (F.col("src") * 2).alias("dst"))
+    return op.never_paired(_cases(spark, d), "case", "item", 8, edges)
 
 
 def entity_merge(spark, d):
@@ -110,11 +114,13 @@ def events_dedup(spark, d):
 
 
 def stream_change(spark, d):
-    return monitors.run(monitors.changes(monitors.event_stream(spark, f"{d}/events*.parquet")), "changes")
+    return monitors.changes(monitors.event_stream(spark, f"{d}/events*.parquet"))
 
 
 def stream_dup_monitor(spark, d):
-    return monitors.run(monitors.repeat_monitor(monitors.event_stream(spark, f"{d}/events*.parquet")), "repeats")
+    """Users who repeat an event of the same type and value class, told once three repeats are new."""
+    e = monitors.event_stream(spark, f"{d}/events*.parquet").withColumn("class", F.floor(F.col("value") / 10))
+    return monitors.duplicate_monitor(e, "user_id", ["event_type", "class"], "ts").select("user_id", "n_duplicate")
 
 
 def budget_bands(spark, d):
@@ -123,15 +129,17 @@ def budget_bands(spark, d):
 
 QUERIES = {f.__name__: f for f in (transitive_closure, bfs_layers, tree_path, cooccurrence, top_partners, never_paired, entity_merge, html_extract, html_meta, parse_verdict, page_text, events_tumbling, events_session, events_dedup, stream_change, stream_dup_monitor, budget_bands)}
 
-_E = "e AS (SELECT CAST(n_nationkey AS BIGINT) AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation)"
+_E = "e AS (SELECT CAST(c_custkey AS BIGINT) AS src, CAST(c_custkey // 2 AS BIGINT) AS dst FROM customer WHERE c_custkey > 0 UNION ALL SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey > 0 AND c_custkey % 5 = 0)"
 _C = "c AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 400 AS item FROM lineitem), pairs AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM c x JOIN c y ON x.k = y.k AND x.item < y.item GROUP BY 1, 2)"
 SQL = {
     "transitive_closure": f"WITH RECURSIVE {_E}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, CAST(dst AS BIGINT) AS dst FROM r",
-    "bfs_layers": f"WITH RECURSIVE {_E}, r AS (SELECT 2 AS node, 0 AS layer UNION SELECT e.dst, layer + 1 FROM r JOIN e ON e.src = r.node AND e.src % 6 <> 5 WHERE layer < 30), m AS (SELECT node, min(layer) AS layer FROM r GROUP BY 1) SELECT CAST(n_nationkey AS BIGINT) AS node, coalesce(layer, (SELECT max(layer) + 1 FROM m)) AS layer FROM nation LEFT JOIN m ON node = n_nationkey",
+    "bfs_layers": f"WITH RECURSIVE {_E}, r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS layer UNION SELECT e.src, layer + 1 FROM r JOIN e ON e.dst = r.node AND e.dst % 6 <> 5 WHERE layer < 60), m AS (SELECT node, min(layer) AS layer FROM r GROUP BY 1) SELECT CAST(c_custkey AS BIGINT) AS node, coalesce(layer, (SELECT max(layer) + 1 FROM m)) AS layer FROM customer LEFT JOIN m ON node = c_custkey",
     "tree_path": "SELECT 'r' || r_regionkey AS node, 0 AS depth, r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 1, r_name || ' > ' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'c' || c_custkey, 2, r_name || ' > ' || n_name || ' > ' || c_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey",
     "cooccurrence": f"WITH {_C} SELECT * FROM pairs",
     "top_partners": f"WITH {_C}, t AS (SELECT a AS item, b AS partner, n FROM pairs UNION ALL SELECT b, a, n FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, partner) AS rank FROM t) SELECT * FROM r WHERE rank <= 6",
-    "never_paired": f"WITH {_C}, k AS (SELECT item, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 8 ORDER BY n DESC, item LIMIT 120) SELECT x.item AS a, y.item AS b FROM k x JOIN k y ON x.item < y.item WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.a = x.item AND pairs.b = y.item)",
+    "never_paired": f"""WITH RECURSIVE {_C}, g AS (SELECT DISTINCT p_partkey % 400 AS src, p_partkey % 400 * 2 AS dst FROM part WHERE p_partkey % 400 > 0 AND p_partkey % 400 < 200), cl AS (SELECT src, dst FROM g UNION SELECT cl.src, g.dst FROM cl JOIN g ON cl.dst = g.src), k AS (SELECT item, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 8), i AS (SELECT DISTINCT item FROM c),
+        u AS (SELECT a AS item, b AS other FROM pairs UNION SELECT b, a FROM pairs UNION SELECT item, item FROM i), f AS (SELECT * FROM u UNION SELECT u.item, cl.dst FROM u JOIN cl ON u.other = cl.src), x AS (SELECT i.item, k.item AS other, k.n FROM i CROSS JOIN k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.item = i.item AND f.other = k.item)), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, other) AS rank FROM x) SELECT * FROM r WHERE rank <= 6""",
+    "stream_dup_monitor": "WITH x AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type || '/' || CAST(floor(value / 10) AS BIGINT)) AS m FROM events GROUP BY 1) SELECT user_id, n - m AS n_duplicate FROM x WHERE n - m >= 3",
     "entity_merge": """WITH RECURSIVE t AS (SELECT doc_id, md5(text) AS doi, regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]', '', 'g') AS title FROM documents),
         n AS (SELECT doc_id, 'd' || doi AS name FROM t UNION ALL SELECT doc_id, 't' || title FROM t WHERE length(title) > 20), m AS (SELECT name, min(doc_id) AS least FROM n GROUP BY 1),
         l AS (SELECT DISTINCT doc_id AS a, least AS b FROM n JOIN m USING (name)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT doc_id AS id, doc_id AS seen FROM t UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a) SELECT id AS doc_id, min(seen) AS cluster FROM r GROUP BY 1""",

@@ -65,17 +65,49 @@ def ledger_breakdown(spark, d):
 
 
 def duplicate_stats(spark, d):
-    return op.duplicate_stats(ledger(spark, d), INPUTS)
+    return op.duplicate_stats(ledger(spark, d), INPUTS, KEYS)
 
 
 def subset_match(spark, d):
-    keys = table(spark, d, "part").filter("p_partkey < 50").select((F.col("p_partkey") % 50 + 1).cast("double").alias("quantity"), F.when(F.col("p_partkey") % 2 == 0, (F.col("p_size") % 11) / 100).alias("discount"))
-    return op.subset_match(ledger(spark, d).select(*KEYS, "quantity", "discount"), keys.filter("quantity % 7 = 0"), ["quantity", "discount"])
+    keys = table(spark, d, "part").select((F.col("p_partkey") % 50 + 1).cast("double").alias("quantity"), F.when(F.col("p_partkey") % 50 > 5, (F.col("p_size") % 11) / 100).alias("discount"))
+    return op.subset_match(ledger(spark, d).select(*KEYS, "quantity", "discount"), keys, ["quantity", "discount"])
 
 
 def dedup_keep_first(spark, d):
     rows = ledger(spark, d)
-    return op.keep_first(rows.filter("order_id % 10 < 5"), rows.filter("order_id % 10 = 7"), INPUTS, KEYS, ["_namespace"]).select(*KEYS, *INPUTS, "_namespace")
+    return op.keep_first(rows.filter("_source = 'O'"), rows.filter("_source = 'F'"), INPUTS, KEYS, ["_namespace"]).select(*KEYS, *INPUTS, "_namespace")
+
+
+def query_explain(spark, d):
+    rows, out = ledger(spark, d), None
+    for name, how in (("found", {"predicate": "quantity >= 10"}), ("none", {"predicate": "quantity > 1000", "source": "O"}), ("loose", {"predicate": "price == 0.1", "delegation_ids": ["D001"]}), ("all", {})):
+        one = op.explained(rows, **how).withColumn("query", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def default_columns(spark, d):
+    rows = ledger(spark, d)
+    return rows.select(*op.shown_columns(rows.columns, [*INPUTS, "_ts"], "price"), *KEYS)
+
+
+def numeric_matrix(spark, d):
+    return op.without_provenance(ledger(spark, d))
+
+
+def mean_wall(spark, d):
+    return op.real(ledger(spark, d)).agg(F.count("_wall_ms").alias("n"), F.round(F.avg("_wall_ms"), 6).alias("mean_ms"))
+
+
+def objective_range(spark, d):
+    return op.objective_range(ledger(spark, d).select("price", "quantity", "_namespace", "_source"), ["_namespace"])
+
+
+def row_join(spark, d):
+    """Inputs and outputs, stored apart, side by side again by row id."""
+    rows = ledger(spark, d).withColumn("row_id", F.xxhash64(*KEYS, "price", *INPUTS, "_ts"))
+    one = rows.dropDuplicates(["row_id"])
+    return one.select("row_id", *KEYS, *INPUTS).join(one.select("row_id", "price"), "row_id").drop("row_id")
 
 
 def store_guard(spark, d):
@@ -102,17 +134,17 @@ def column_kind(spark, d):
 
 
 def orphan_rows(spark, d):
-    return op.orphans(ledger(spark, d), log(spark, d).select(F.format_string("D%03d", F.substring("id", 2, 6).cast("long")).alias("id")).filter("id < 'D060'"))
+    return op.orphans(ledger(spark, d), log(spark, d).select(F.format_string("D%03d", F.substring("id", 2, 6).cast("long") * 2).alias("id")))
 
 
 def eval_reconcile(spark, d):
     s = table(spark, d, "supplier")
     claims = s.select(F.format_string("D%03d", "s_suppkey").alias("id"), (F.col("s_suppkey") % 4 * 100).alias("claimed"), (F.col("s_nationkey") % 2 == 0).alias("registered"))
-    return op.reconcile(claims, ledger(spark, d).filter("supp_id % 3 > 0"))
+    return op.reconcile(claims, ledger(spark, d))
 
 
 def nn_lookup(spark, d):
-    pool = table(spark, d, "part").filter("p_partkey < 300").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
+    pool = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
     candidates = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50 + 0.4).alias("a"), (F.col("s_acctbal") / 10 + 900).alias("b"))
     return op.nearest_pool_row(candidates, pool, ["a", "b"], "s_suppkey", "p_partkey").withColumn("distance2", F.round("distance2", 6))
 
@@ -149,7 +181,7 @@ def objective_eval(spark, d):
 
 _HASH_ROW = "CASE WHEN price IS NULL THEN 'null' ELSE printf('%.10f', round_even(price, 10)) END"
 
-QUERIES = {f.__name__: f for f in (ledger_where, ledger_filter, ledger_project, best_n, list_limit, store_union, rows_per_group, output_stats, wall_per_group, total_evals, unstamped_rows, ledger_breakdown, duplicate_stats, subset_match, dedup_keep_first, store_guard, store_supersede, content_hash, column_kind, orphan_rows, eval_reconcile, nn_lookup, best_so_far, budget_snapshot, append_only, design_key, content_rev, objective_eval)}
+QUERIES = {f.__name__: f for f in (ledger_where, ledger_filter, ledger_project, best_n, list_limit, store_union, rows_per_group, output_stats, wall_per_group, total_evals, unstamped_rows, ledger_breakdown, duplicate_stats, subset_match, dedup_keep_first, store_guard, store_supersede, content_hash, column_kind, orphan_rows, eval_reconcile, nn_lookup, best_so_far, budget_snapshot, append_only, design_key, content_rev, objective_eval, query_explain, default_columns, numeric_matrix, mean_wall, objective_range, row_join)}
 
 _L = f"WITH {LEDGER_SQL}"
 _K = ", ".join(KEYS)
@@ -167,17 +199,25 @@ SQL = {
     "total_evals": f"{_L} SELECT count(*) AS n_evals FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000'",
     "unstamped_rows": f"{_L} SELECT count(*) AS n_rows, count(*) FILTER (WHERE coalesce(_delegation_id, '') = '') AS n_unstamped FROM ledger",
     "ledger_breakdown": f"{_L}, e AS (SELECT _namespace, _delegation_id, count(*) AS n FROM ledger WHERE _delegation_id IS NOT NULL GROUP BY 1, 2) SELECT _namespace, CAST(sum(n) AS BIGINT) AS n_total, string_agg(_delegation_id || '=' || n, ',' ORDER BY _delegation_id) AS per_delegation FROM e GROUP BY 1",
-    "duplicate_stats": f"{_L}, e AS (SELECT _delegation_id, round_even(quantity, 10), round_even(discount, 10), round_even(tax, 10), count(*) AS n FROM ledger WHERE _delegation_id <> '' GROUP BY 1, 2, 3, 4) SELECT _delegation_id, CAST(sum(n) AS BIGINT) AS n_total, count(*) AS n_unique, CAST(sum(n) - count(*) AS BIGINT) AS n_duplicate, max(n) AS worst FROM e GROUP BY 1",
-    "subset_match": f"{_L}, k AS (SELECT CAST(p_partkey % 50 + 1 AS DOUBLE) AS q, CASE WHEN p_partkey % 2 = 0 THEN (p_size % 11) / 100.0::DOUBLE END AS di FROM part WHERE p_partkey < 50) SELECT DISTINCT {_K}, quantity, discount FROM ledger WHERE EXISTS (SELECT 1 FROM k WHERE q % 7 = 0 AND round_even(q, 10) = round_even(quantity, 10) AND (di IS NULL OR round_even(di, 10) = round_even(discount, 10)))",
-    "dedup_keep_first": f"{_L}, b AS (SELECT *, row_number() OVER (PARTITION BY _namespace, round_even(quantity, 10), round_even(discount, 10), round_even(tax, 10) ORDER BY {_K}) AS n FROM ledger a WHERE order_id % 10 < 5 AND NOT EXISTS (SELECT 1 FROM ledger h WHERE h.order_id % 10 = 7 AND h._namespace = a._namespace AND round_even(h.quantity, 10) = round_even(a.quantity, 10) AND round_even(h.discount, 10) = round_even(a.discount, 10) AND round_even(h.tax, 10) = round_even(a.tax, 10))) SELECT {_K}, {', '.join(INPUTS)}, _namespace FROM b WHERE n = 1",
+    "duplicate_stats": f"{_L}, e AS (SELECT _delegation_id, round_even(quantity, 10) AS q, round_even(discount, 10) AS di, round_even(tax, 10) AS t, count(*) AS n, min(row({_K})) AS f FROM ledger WHERE _delegation_id <> '' GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY _delegation_id ORDER BY n DESC, f) AS i FROM e) SELECT _delegation_id, CAST(sum(n) AS BIGINT) AS n_total, count(*) AS n_unique, CAST(sum(n) - count(*) AS BIGINT) AS n_duplicate, max(n) AS worst, max(CASE WHEN i = 1 THEN printf('discount=%.4f;quantity=%.4f;tax=%.4f', di, q, t) END) AS worst_design FROM r GROUP BY 1",
+    "subset_match": f"{_L}, k AS (SELECT DISTINCT CAST(p_partkey % 50 + 1 AS DOUBLE) AS q, CASE WHEN p_partkey % 50 > 5 THEN (p_size % 11) / 100.0::DOUBLE END AS di FROM part) SELECT DISTINCT {_K}, quantity, discount FROM ledger WHERE EXISTS (SELECT 1 FROM k WHERE round_even(q, 10) = round_even(quantity, 10) AND (di IS NULL OR round_even(di, 10) = round_even(discount, 10)))",
+    "dedup_keep_first": f"{_L}, b AS (SELECT *, row_number() OVER (PARTITION BY _namespace, round_even(quantity, 10), round_even(discount, 10), round_even(tax, 10) ORDER BY {_K}) AS n FROM ledger a WHERE _source = 'O' AND NOT EXISTS (SELECT 1 FROM ledger h WHERE h._source = 'F' AND h._namespace = a._namespace AND round_even(h.quantity, 10) = round_even(a.quantity, 10) AND round_even(h.discount, 10) = round_even(a.discount, 10) AND round_even(h.tax, 10) = round_even(a.tax, 10))) SELECT {_K}, {', '.join(INPUTS)}, _namespace FROM b WHERE n = 1",
+    "query_explain": f"""{_L} SELECT 'found' AS query, count(*) AS n_scanned, count(*) FILTER (WHERE quantity >= 10) AS n_matched, 'where=' || chr(39) || 'quantity >= 10' || chr(39) AS filters, CASE WHEN count(*) FILTER (WHERE quantity >= 10) > 0 THEN 'found' ELSE 'true zero' END AS verdict FROM ledger
+        UNION ALL SELECT 'none', count(*), count(*) FILTER (WHERE quantity > 1000 AND _source = 'O'), 'source=' || chr(39) || 'O' || chr(39) || '; where=' || chr(39) || 'quantity > 1000' || chr(39), 'true zero' FROM ledger
+        UNION ALL SELECT 'loose', count(*), count(*) FILTER (WHERE price = 0.1 AND _delegation_id = 'D001'), 'delegation_ids=[' || chr(39) || 'D001' || chr(39) || ']; where=' || chr(39) || 'price == 0.1' || chr(39), 'not necessarily a true zero: equality of floating-point numbers' FROM ledger UNION ALL SELECT 'all', count(*), count(*), '(no filter)', 'found' FROM ledger""",
+    "default_columns": f"{_L} SELECT {', '.join(INPUTS)}, price, _delegation_id, _namespace, {_K} FROM ledger",
+    "numeric_matrix": f"{_L} SELECT {_K}, {', '.join(INPUTS)}, price FROM ledger",
+    "mean_wall": f"{_L} SELECT count(_wall_ms) AS n, round(avg(_wall_ms), 6) AS mean_ms FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000'",
+    "objective_range": f"{_L} SELECT _namespace, 'price' AS objective, min(price) AS least, max(price) AS largest FROM ledger WHERE abs(price) < 1e8 GROUP BY 1",
+    "row_join": f"{_L} SELECT DISTINCT {_K}, {', '.join(INPUTS)}, price FROM (SELECT DISTINCT {_K}, {', '.join(INPUTS)}, price, _ts FROM ledger)",
     "store_guard": "SELECT count(*) AS n_old, count(*) AS n_new, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_custkey % 9 = 0) AS n_unfinished, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_custkey % 9 = 0) = 0 AS allowed FROM orders",
     "store_supersede": f"{_L} SELECT {_K}, quantity, CASE WHEN part_id % 10 = 3 THEN price + 1 ELSE price END AS price FROM ledger",
     "content_hash": f"{_L}, e AS (SELECT _namespace, sha256({_HASH_ROW}) AS h, count(*) AS n FROM ledger GROUP BY 1, 2), p AS (SELECT _namespace, substring(h, 1, 3) AS p, sha256(string_agg(h || ':' || n, '|' ORDER BY h)) AS d, sum(n) AS n FROM e GROUP BY 1, 2) SELECT _namespace, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, '|' ORDER BY p)) AS content_hash FROM p GROUP BY 1",
     "column_kind": f"""{_L} SELECT 'price' AS "column", 'numeric' AS kind, count(price) AS n FROM ledger UNION ALL SELECT 'flag', CASE WHEN count(*) FILTER (WHERE (CASE WHEN line_no > 3 THEN 1.0 ELSE 0.0 END) NOT IN (0, 1)) = 0 THEN 'binary' ELSE 'numeric' END, count(*) FROM ledger
         UNION ALL SELECT '_source', CASE WHEN count(TRY_CAST(_source AS DOUBLE)) = count(*) THEN 'numeric' ELSE 'label' END, count(*) FROM ledger UNION ALL SELECT 'quantity', CASE WHEN count(*) FILTER (WHERE quantity NOT IN (0, 1)) = 0 THEN 'binary' ELSE 'numeric' END, count(*) FROM ledger""",
-    "orphan_rows": f"WITH {LEDGER_SQL}, {LOG_SQL} SELECT _delegation_id, count(*) AS n_rows FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000' AND _delegation_id NOT IN (SELECT printf('D%03d', CAST(substring(id, 2, 6) AS BIGINT)) AS x FROM log WHERE printf('D%03d', CAST(substring(id, 2, 6) AS BIGINT)) < 'D060') GROUP BY 1",
-    "eval_reconcile": f"{_L}, c AS (SELECT printf('D%03d', s_suppkey) AS id, s_suppkey % 4 * 100 AS claimed, s_nationkey % 2 = 0 AS registered FROM supplier), s AS (SELECT _delegation_id AS id, count(*) AS n FROM ledger WHERE supp_id % 3 > 0 AND _delegation_id <> '' AND _delegation_id <> 'D000' GROUP BY 1) SELECT id, claimed, coalesce(n, 0) AS n_stamped, CASE WHEN coalesce(n, 0) > 0 THEN n WHEN claimed > 0 AND registered THEN 0 ELSE claimed END AS n_evals, claimed > 0 AND coalesce(n, 0) = 0 AND registered AS off_ledger FROM c LEFT JOIN s USING (id)",
-    "nn_lookup": """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part WHERE p_partkey < 300), w AS (SELECT CASE WHEN max(a) > min(a) THEN max(a) - min(a) ELSE 1 END AS sa, CASE WHEN max(b) > min(b) THEN max(b) - min(b) ELSE 1 END AS sb FROM p),
+    "orphan_rows": f"WITH {LEDGER_SQL}, {LOG_SQL} SELECT _delegation_id, count(*) AS n_rows FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000' AND _delegation_id NOT IN (SELECT printf('D%03d', CAST(substring(id, 2, 6) AS BIGINT) * 2) AS x FROM log) GROUP BY 1",
+    "eval_reconcile": f"{_L}, c AS (SELECT printf('D%03d', s_suppkey) AS id, s_suppkey % 4 * 100 AS claimed, s_nationkey % 2 = 0 AS registered FROM supplier), s AS (SELECT _delegation_id AS id, count(*) AS n FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000' GROUP BY 1) SELECT id, claimed, coalesce(n, 0) AS n_stamped, CASE WHEN coalesce(n, 0) > 0 THEN n WHEN claimed > 0 AND registered THEN 0 ELSE claimed END AS n_evals, claimed > 0 AND coalesce(n, 0) = 0 AND registered AS off_ledger FROM c LEFT JOIN s USING (id)",
+    "nn_lookup": """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part), w AS (SELECT CASE WHEN max(a) > min(a) THEN max(a) - min(a) ELSE 1 END AS sa, CASE WHEN max(b) > min(b) THEN max(b) - min(b) ELSE 1 END AS sb FROM p),
         x AS (SELECT s_suppkey, p_partkey, round(pow((s_suppkey % 50 + 0.4::DOUBLE - a) / sa, 2.0) + pow((s_acctbal / 10 + 900 - b) / sb, 2.0), 12) AS d FROM supplier, p, w), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, p_partkey) AS n FROM x) SELECT s_suppkey, p_partkey, round(d, 6) AS distance2 FROM r WHERE n = 1""",
     "best_so_far": f"{_L} SELECT {_K}, min(CASE WHEN abs(price) < 1e8 THEN price END) OVER (PARTITION BY _namespace, _source, supp_id ORDER BY {_K} ROWS UNBOUNDED PRECEDING) AS best_so_far FROM ledger",
     "budget_snapshot": f"{_L} SELECT _delegation_id, count(*) AS used, greatest(550 - count(*), 0) AS remaining, count(*) >= 550 AS exhausted FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000' GROUP BY 1",

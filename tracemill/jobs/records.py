@@ -34,7 +34,9 @@ def merged_ranks(spark, d):
 
 
 def page_cut(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(op.cut_at_section(F.col("text"), 1200)).alias("digest"))
+    """Pages whose lines are headings."""
+    page, dropped = op.cut_at_section(F.replace("text", F.lit("\n"), F.lit("\n## ")), 1200)
+    return table(spark, d, "documents").select("doc_id", F.md5(page).alias("digest"), F.size(dropped).alias("n_dropped"), F.md5(F.array_join(dropped, "|")).alias("dropped"))
 
 
 def duration_text(spark, d):
@@ -68,15 +70,12 @@ def compound_claims(spark, d):
 
 
 def statement_dups(spark, d):
-    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    return table(spark, d, "documents").groupBy(F.md5(key).alias("statement")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return table(spark, d, "documents").groupBy(F.md5(op.statement_key("text")).alias("statement")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
 def terminal_state(spark, d):
-    o = table(spark, d, "orders")
-    halted, reviewed = F.col("o_custkey") % 5 == 0, F.col("o_orderkey") % 3 > 0
-    state = F.when(F.col("o_orderstatus") == "F", F.when(halted | ~reviewed, "UNGATED").otherwise("GATED")).when(F.col("o_orderstatus") == "O", "FAILED").otherwise("UNGATED")
-    return o.select("o_orderkey", state.alias("state"))
+    o = table(spark, d, "orders").withColumn("asked", F.when(F.col("o_orderstatus") == "F", "GATED").when(F.col("o_orderstatus") == "O", "FAILED").otherwise("?"))
+    return o.select("o_orderkey", op.terminal_state("asked", F.col("o_custkey") % 5 == 0, F.col("o_orderkey") % 3 > 0).alias("state"))
 
 
 def latest_run(spark, d):
@@ -95,9 +94,8 @@ def corpus_add(spark, d):
 
 
 def evidence_rows(spark, d):
-    rows = ledger(spark, d).filter("_delegation_id is not null").groupBy("_delegation_id").agg(F.sort_array(F.collect_set("_namespace")).alias("names"))
     s = table(spark, d, "supplier").select(F.format_string("D%03d", "s_suppkey").alias("_delegation_id"), "s_name")
-    return s.join(rows, "_delegation_id", "left").select("_delegation_id", "s_name", F.array_join("names", ",").alias("files"))
+    return op.evidence(s, ledger(spark, d), "_delegation_id", "_namespace").withColumn("files", F.array_join("files", ","))
 
 
 def _bowl(discount, tax):
@@ -110,8 +108,10 @@ def evaluator_door(spark, d):
 
 
 def fuzzy_title(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", F.concat(F.reverse(F.split("p_name", " "))[0], F.lit(" "), F.split("p_name", " ")[0]).alias("other"))
-    return op.fuzzy_titles(p, "p_partkey", "p_name", "other", 0.5).withColumn("ratio", F.round("ratio", 6))
+    """Misspelt names of parts, sought among all names."""
+    p = table(spark, d, "part")
+    asked = p.select("p_partkey", F.concat(F.left("p_name", F.lit(3)), F.substring("p_name", 5, 40)).alias("query"))
+    return op.close_titles(asked, p, "p_partkey", "query", "p_name", 3).withColumn("ratio", F.round("ratio", 6))
 
 
 QUERIES = {f.__name__: f for f in (kpi_row, max_sequence_id, review_digest, merged_ranks, page_cut, duration_text, headline_check, head_tail, first_line, field_value, compound_claims, statement_dups, terminal_state, latest_run, cache_lookup, corpus_add, evidence_rows, evaluator_door, fuzzy_title)}
@@ -122,7 +122,8 @@ SQL = {
     "max_sequence_id": f"{_L} SELECT max(TRY_CAST(regexp_extract(_delegation_id, '^D([0-9]+)$', 1) AS BIGINT)) AS highest FROM ledger",
     "review_digest": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations), s AS (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS used FROM n WHERE n <= 3) SELECT conv_id, turn, used FROM s WHERE used <= 900",
     "merged_ranks": "SELECT event_id % 300 AS record, min(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS best_rank, count(DISTINCT event_type) AS n_lists FROM events GROUP BY 1",
-    "page_cut": "WITH h AS (SELECT doc_id, text, substring(text, 1, 1200) AS h FROM documents), l AS (SELECT *, length(h) - instr(reverse(h), chr(10)) AS last FROM h) SELECT doc_id, md5(CASE WHEN length(text) > 1200 AND contains(h, chr(10)) AND last >= 600 THEN left(h, last) ELSE h END) AS digest FROM l",
+    "page_cut": r"""WITH h AS (SELECT doc_id, replace(text, chr(10), chr(10) || '## ') AS text FROM documents), l AS (SELECT *, instr(reverse(substring(text, 1, 1200)), ' ##' || chr(10)) AS b, length(substring(text, 1, 1200)) AS n FROM h), c AS (SELECT doc_id, text, CASE WHEN length(text) <= 1200 THEN length(text) WHEN b > 0 AND n - b - 3 >= 600 THEN n - b - 3 ELSE 1200 END AS cut FROM l),
+        g AS (SELECT doc_id, left(text, cut) AS page, list_transform(list_filter(string_split(substring(text, cut + 1), chr(10)), lambda x: starts_with(x, '## ')), lambda x: trim(x[4:], ' ')) AS dropped FROM c) SELECT doc_id, md5(page) AS digest, len(dropped) AS n_dropped, md5(array_to_string(dropped, '|')) AS dropped FROM g""",
     "duration_text": "WITH s AS (SELECT o_orderkey, o_custkey * 13 AS s FROM orders) SELECT o_orderkey, CASE WHEN s < 90 THEN s || 's' WHEN s < 5400 THEN (s // 60) || 'min' ELSE printf('%.1fh', (s // 360) / 10.0) END AS duration FROM s",
     "headline_check": f"{_L}, n AS (SELECT supp_id, min(price) AS low FROM ledger WHERE abs(price) < 1e8 GROUP BY 1) SELECT supp_id, supp_id % 3 <> 1 OR abs(low) < 1e-9 AS agrees FROM n",
     "head_tail": "SELECT conv_id, turn, CASE WHEN length(text) <= 60 THEN text ELSE left(text, 30) || ' [' || (length(text) - 60) || ' left out] ' || right(text, 30) END AS short FROM conversations",

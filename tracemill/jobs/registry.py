@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracemill.jobs import eventlog, graphs, ledger, records, retrieval
+from tracemill.jobs import eventlog, files, graphs, ledger, records, retrieval, state
 
-MODULES = (ledger, eventlog, records, retrieval, graphs)
+MODULES = (ledger, eventlog, records, retrieval, graphs, files, state)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

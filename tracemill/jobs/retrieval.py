@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.columns import normal_title, slug, words
-from tracemill.operators import evalstats, retrieval as op
+from tracemill.operators import evalstats, retrieval as op, symbols
 from tracemill.sources.frames import PAPERS_SQL, papers, table
 
 TERMS = ["the", "thation", "wh", "der", "que"]
@@ -13,8 +13,8 @@ DENSE = "embedding"
 
 
 def _questions(spark, d):
-    """Benchmark items as queries: their first eight tokens."""
-    return table(spark, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), F.slice(words("text"), 1, 8).alias("terms"))
+    """Benchmark items as queries: all their tokens."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words("text").alias("terms"))
 
 
 def _bm25(spark, d):
@@ -52,17 +52,19 @@ def bm25_boosted(spark, d):
     return op.ranked(out, "query_id", "paper_id", 50).select("paper_id", F.round("score", 6).alias("score"), "rank")
 
 
-def cosine_topk(spark, d):
+def _dense(spark, d, k):
     e = table(spark, d, "embeddings")
-    out = op.cosine(e, e.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), DENSE), "vec_id", DENSE)
-    return op.ranked(out, "query_id", "vec_id", 10, digits=6).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+    return op.ranked(op.cosine(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), DENSE), "vec_id", DENSE, k=k), "query_id", "vec_id", k, digits=6)
+
+
+def cosine_topk(spark, d):
+    return _dense(spark, d, 10).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
 def rrf_fusion(spark, d):
-    e = table(spark, d, "embeddings")
-    dense = op.ranked(op.cosine(e, e.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), DENSE), "vec_id", DENSE), "query_id", "vec_id", 40, digits=6)
-    lexical = op.ranked(_bm25(spark, d).filter("query_id < 3").withColumnRenamed("paper_id", "vec_id"), "query_id", "vec_id", 40)
-    return op.ranked(op.fuse(dense, lexical, "query_id", "vec_id", 1000), "query_id", "vec_id", 20, digits=12).select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank")
+    """Dense and lexical ranks of each query; benchmark item n is the text of the query of vector 20 n."""
+    lexical = op.ranked(_bm25(spark, d).select((F.col("query_id") * 20).alias("query_id"), F.col("paper_id").alias("vec_id"), "score"), "query_id", "vec_id", 40)
+    return op.ranked(op.fuse(_dense(spark, d, 40), lexical, "query_id", "vec_id", 1000), "query_id", "vec_id", 20, digits=12).select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank")
 
 
 def overlap_rank(spark, d):
@@ -71,9 +73,49 @@ def overlap_rank(spark, d):
     return p.filter("score > 0").select("paper_id", "score")
 
 
+#: A question in everyday words, and what stands for them in the parts' names.
+ASKED, ALIASES = "how do I use the red gadgets of copper", {"gadgets": ("widget", "sprocket"), "redgadgets": ("spring",), "copper": ("brass",)}
+
+
+def _symbols(spark, d):
+    p = table(spark, d, "part")
+    key = F.concat(F.lit("lib."), F.regexp_replace(F.lower("p_type"), " ", "_"), F.lit("."), F.regexp_replace("p_name", " ", "_"), F.lit("_"), "p_partkey")
+    return p.select("p_partkey", key.alias("key"), F.lower("p_brand").alias("owner"), "p_type", F.concat_ws(" ", "p_brand", "p_name").alias("body"), F.when(F.col("p_partkey") % 3 == 0, "method").otherwise("class").alias("kind"), (F.col("p_partkey") % 10 == 0).alias("private"))
+
+
 def tiered_rank(spark, d):
-    s = table(spark, d, "part").select("p_partkey", F.regexp_replace("p_name", " ", ".").alias("name"), "p_type", "p_brand", (F.col("p_partkey") % 10 == 0).alias("private"))
-    return op.tiered(s, "red widget", "name", "p_type", "p_brand", "private").select("p_partkey", F.round("score", 6).alias("score"))
+    out = symbols.tiered(_symbols(spark, d), ASKED, ALIASES, "key", "owner", "p_type", "body", "kind", "private")
+    return out.select("p_partkey", F.round("score", 6).alias("score"))
+
+
+def exact_resolve(spark, d):
+    """Names as a reader types them: whole keys, last parts, and last parts behind another path."""
+    s = _symbols(spark, d)
+    leaf = F.element_at(F.split("key", "[.]"), -1)
+    two = F.element_at(F.split("key", "[.]"), -2)
+    asked = s.select(F.when(F.col("p_partkey") % 4 == 0, F.col("key")).when(F.col("p_partkey") % 4 == 1, leaf).when(F.col("p_partkey") % 4 == 2, F.concat_ws(".", F.lit("x.y"), two, leaf)).otherwise(F.concat(leaf, F.lit("_no"))).alias("name"))
+    return symbols.resolved(s, asked, "key", "name")
+
+
+def code_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(symbols.code_tokens("text")).alias("n_tokens"), F.md5(F.array_join(symbols.code_tokens("text"), " ")).alias("tokens"))
+
+
+def _field_scores(spark, d):
+    docs = papers(spark, d).select("paper_id", words("title").alias("title"), F.array("lang", "source").alias("tags"), words("text").alias("body"))
+    return symbols.field_bm25(docs, _questions(spark, d), "paper_id", {"title": 8.0, "tags": 4.0, "body": 1.0})
+
+
+def field_bm25(spark, d):
+    return op.ranked(_field_scores(spark, d), "query_id", "paper_id", 10, digits=6).select("query_id", "paper_id", F.round("score", 5).alias("score"), "rank")
+
+
+def title_first(spark, d):
+    """Papers whose title is the query stand before those that are ranked."""
+    titles = papers(spark, d).select("paper_id", normal_title("title").alias("t"))
+    q = papers(spark, d).groupBy(normal_title("title").alias("t")).agg(F.min("paper_id").alias("query_id")).filter("query_id % 20 = 0")
+    scores = op.bm25(papers(spark, d).select("paper_id", words("text").alias("tokens")), q.select("query_id", words("t").alias("terms")), "paper_id", "tokens")
+    return symbols.exact_first(scores, q.join(titles, "t"), "query_id", "paper_id", 5)
 
 
 def match_count_rank(spark, d):
@@ -85,8 +127,7 @@ def substring_context(spark, d):
 
 
 def like_all_terms(spark, d):
-    p = papers(spark, d).withColumn("low", normal_title("text"))
-    return p.filter(F.contains("low", F.lit("the")) & F.contains("low", F.lit("wh")) & F.contains("low", F.lit("tion"))).select("paper_id")
+    return papers(spark, d).filter(op.all_terms(F.col("text"), "the wh, tion")).select("paper_id")
 
 
 def pool_scores(spark, d):
@@ -111,6 +152,12 @@ def invert_index(spark, d):
     return index.select("item_id", op.inverted(F.col("index")).alias("text"))
 
 
+def corpus_drift(spark, d):
+    """The profile of the English papers against that of the German ones."""
+    of = lambda lang: op.profile(papers(spark, d).filter(F.col("lang") == lang), "text", "License")
+    return op.drifted(of("en"), of("de")).withColumns({c: F.round(c, 6) for c in ("before", "now")})
+
+
 def corpus_profile(spark, d):
     return op.profile(papers(spark, d), "text", "License").withColumn("prose", F.round("prose", 6))
 
@@ -129,7 +176,7 @@ def _gold(spark, d):
 
 def retrieval_metrics(spark, d):
     ranked = op.ranked(_bm25(spark, d), "query_id", "paper_id", 5)
-    scored = evalstats.metrics(ranked, _gold(spark, d).filter("query_id < 20"), "query_id", "paper_id").withColumn("tier", F.concat(F.lit("t"), F.col("query_id") % 2))
+    scored = evalstats.metrics(ranked, _gold(spark, d), "query_id", "paper_id").withColumn("tier", F.concat(F.lit("t"), F.col("query_id") % 2))
     out = evalstats.summary(scored, "tier")
     return out.select("tier", "n_queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "rr")])
 
@@ -159,7 +206,7 @@ def bootstrap_ci(spark, d):
     return evalstats.bootstrap_difference(lab, "a", "b", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (tokenize, chunk_words, semi_fulltext, bm25_rank, bm25_boosted, cosine_topk, rrf_fusion, overlap_rank, tiered_rank, match_count_rank, substring_context, like_all_terms, pool_scores, norm_title, derive_id, invert_index, corpus_profile, retrieval_metrics, gold_unreachable, mcnemar, wilson, pearson, bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (tokenize, chunk_words, semi_fulltext, bm25_rank, bm25_boosted, cosine_topk, rrf_fusion, overlap_rank, tiered_rank, match_count_rank, substring_context, like_all_terms, pool_scores, norm_title, derive_id, invert_index, corpus_profile, corpus_drift, exact_resolve, code_tokens, field_bm25, title_first, retrieval_metrics, gold_unreachable, mcnemar, wilson, pearson, bootstrap_ci)}
 
 
 def _words(c: str) -> str:
@@ -169,7 +216,7 @@ def _words(c: str) -> str:
 _P = f"WITH {PAPERS_SQL}"
 _CHUNKS = r"""w AS (SELECT paper_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM papers),
   chunks AS (SELECT paper_id, i AS chunk_id, i * 100 AS start, array_to_string(w[i * 100 + 1 : i * 100 + 150], ' ') AS chunk FROM w, unnest(range(0, (len(w) + 99) // 100)) AS u(i))"""
-_QUESTIONS = f"q AS (SELECT item_id AS query_id, ({_words('text')})[1:8] AS terms FROM benchmark WHERE item_id < 20)"
+_QUESTIONS = f"q AS (SELECT item_id AS query_id, {_words('text')} AS terms FROM benchmark)"
 _FIXED = "q AS (SELECT 0 AS query_id, [" + ", ".join(f"'{t}'" for t in TERMS) + "] AS terms)"
 
 
@@ -184,10 +231,23 @@ def _bm25_sql(docs: str, key: str) -> str:
 
 _DOCS = f"d AS (SELECT paper_id, {_words('text')} AS tokens FROM papers)"
 _COS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), vn AS (SELECT *, sqrt(list_dot_product(e, e)) + 1e-9 AS m FROM v),
-  c AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / (a.m * b.m) AS score FROM vn a, vn b WHERE a.vec_id < 3)"""
+  c AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / (a.m * b.m) AS score FROM vn a, vn b WHERE a.vec_id % 20 = 0)"""
 _GOLD = "g AS (SELECT item_id AS query_id, paper_id FROM benchmark b JOIN papers p ON contains(p.text, b.text) WHERE len(regexp_split_to_array(b.text, '[ \\n]+')) >= 10)"
 _OVER = "(SELECT list_distinct([" + ", ".join(f"'{t}'" for t in TERMS) + "]) AS t)"
-_TK = lambda c: f"regexp_split_to_array(lower({c}), '[^a-z0-9]+')"
+_SYMBOLS = "sy AS (SELECT p_partkey, 'lib.' || replace(lower(p_type), ' ', '_') || '.' || replace(p_name, ' ', '_') || '_' || p_partkey AS key, replace(p_name, ' ', '_') || '_' || p_partkey AS leaf, lower(p_brand) AS owner, lower(p_type) AS s, lower(p_brand || ' ' || p_name) AS b, p_partkey % 3 <> 0 AS other, p_partkey % 10 = 0 AS private FROM part)"
+
+
+def _tiered_sql() -> str:
+    """The score of the question's words, term by term."""
+    tokens, stand_in = ["red", "gadgets", "copper"], {"widget": "gadgets", "sprocket": "gadgets", "brass": "copper", "spring": "red"}
+    name = lambda t: f"(list_contains(names, '{t}')" + (f" OR len(list_filter(names, lambda n: length(n) >= 4 AND (contains(n, '{t}') OR contains('{t}', n)))) > 0)" if len(t) > 3 else ")")
+    text = lambda t, c: f"(contains({c}, '{t}')" + (f" OR contains({c}, '{t.rstrip('s')}'))" if len(t) > 4 else ")")
+    hits = lambda test: " + ".join([*[f"CAST({test(t)} AS INTEGER)" for t in tokens], *[f"0.6::DOUBLE * CAST({test(t)} AS INTEGER)" for t in stand_in]])
+    covered = " + ".join("CAST(" + " OR ".join(f"{name(w)} OR {text(w, 's')}" for w in [t, *[a for a, o in stand_in.items() if o == t]]) + " AS INTEGER)" for t in tokens)
+    score = f"(60 * ({hits(name)}) + 12 * ({hits(lambda t: text(t, 's'))}) + 2 * ({hits(lambda t: text(t, 'b'))})) * (0.35 + 0.65 * ({covered}) / 3.0::DOUBLE)"
+    return f"WITH {_SYMBOLS}, n AS (SELECT *, list_filter(list_distinct(list_concat(string_split(replace(leaf, '_', ' '), ' '), string_split(replace(list_last(string_split(owner, '.')), '_', ' '), ' '))), lambda x: x <> '') AS names FROM sy), x AS (SELECT p_partkey, {score} * CASE WHEN private THEN 0.15 ELSE 1 END * CASE WHEN other THEN 1.15 ELSE 1 END AS score FROM n) SELECT p_partkey, round(CAST(score AS DOUBLE), 6) AS score FROM x WHERE score > 0"
+
+
 SQL = {
     "tokenize": f"SELECT item_id, array_to_string({_words('text')}, ' ') AS tokens FROM benchmark",
     "chunk_words": f"{_P}, {_CHUNKS} SELECT paper_id, chunk_id, start, md5(chunk) AS digest FROM chunks",
@@ -195,19 +255,27 @@ SQL = {
     "bm25_rank": f"{_P}, {_QUESTIONS}, {_DOCS}, {_bm25_sql('d', 'paper_id')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper_id) - 1 AS rank FROM s) SELECT query_id, paper_id, round(score, 6) AS score, rank FROM r WHERE rank < 10",
     "bm25_boosted": f"{_P}, {_FIXED}, {_DOCS}, {_bm25_sql('d', 'paper_id')}, x AS (SELECT query_id, paper_id, score * (1 + 1.5 * len(list_intersect((SELECT terms FROM q), {_words('title')})) / CAST(greatest(len(list_distinct({_words('title')})), 1) AS DOUBLE)) * (1 + log10(citations + 1)) AS score FROM s JOIN papers USING (paper_id)), r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, paper_id) - 1 AS rank FROM x) SELECT paper_id, round(score, 6) AS score, rank FROM r WHERE rank < 50",
     "cosine_topk": f"WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) - 1 AS rank FROM c) SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank < 10",
-    "rrf_fusion": f"{_P}, {_QUESTIONS}, {_DOCS}, {_bm25_sql('d', 'paper_id')}, {_COS}, dr AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) - 1 AS r FROM c), lr AS (SELECT query_id, paper_id AS vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper_id) - 1 AS r FROM s WHERE query_id < 3), f AS (SELECT query_id, vec_id, (2.0::DOUBLE / 3) / (60 + coalesce(a.r, 1000)) + (1.0::DOUBLE / 3) / (60 + coalesce(b.r, 1000)) AS score FROM (SELECT * FROM dr WHERE r < 40) a FULL JOIN (SELECT * FROM lr WHERE r < 40) b USING (query_id, vec_id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) - 1 AS rank FROM f) SELECT query_id, vec_id, round(score, 9) AS score, rank FROM o WHERE rank < 20",
+    "rrf_fusion": f"{_P}, {_QUESTIONS}, {_DOCS}, {_bm25_sql('d', 'paper_id')}, {_COS}, dr AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) - 1 AS r FROM c), lr AS (SELECT query_id * 20 AS query_id, paper_id AS vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper_id) - 1 AS r FROM s), f AS (SELECT query_id, vec_id, (2.0::DOUBLE / 3) / (60 + coalesce(a.r, 1000)) + (1.0::DOUBLE / 3) / (60 + coalesce(b.r, 1000)) AS score FROM (SELECT * FROM dr WHERE r < 40) a FULL JOIN (SELECT * FROM lr WHERE r < 40) b USING (query_id, vec_id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) - 1 AS rank FROM f) SELECT query_id, vec_id, round(score, 9) AS score, rank FROM o WHERE rank < 20",
     "overlap_rank": f"{_P}, x AS (SELECT paper_id, 3 * len(list_intersect(t, {_words('title')})) + 2 * len(list_intersect(t, [lang, source])) + len(list_intersect(t, {_words('text')})) AS score FROM papers, {_OVER}) SELECT paper_id, score FROM x WHERE score > 0",
-    "tiered_rank": f"""WITH p AS (SELECT p_partkey, lower(replace(p_name, ' ', '.')) AS n, p_type, p_brand, p_partkey % 10 = 0 AS private, ['red', 'widget'] AS t FROM part), x AS (SELECT p_partkey, private, CASE WHEN n = 'red widget' THEN 1000.0 WHEN regexp_split_to_array(n, '[. ]')[-1] = 'red widget' THEN 500.0 WHEN starts_with(n, 'red widget') THEN 250.0 WHEN contains(n, 'red widget') THEN 200.0
-        ELSE (60 * len(list_intersect(t, {_TK('n')})) + 12 * len(list_intersect(t, {_TK('p_type')})) + 2 * len(list_intersect(t, {_TK('p_brand')}))) * (0.35 + 0.65 * len(list_intersect(t, list_concat({_TK('n')}, {_TK('p_type')}, {_TK('p_brand')}))) / 2.0) END * CASE WHEN private THEN 0.15 ELSE 1.0 END AS score FROM p) SELECT p_partkey, round(CAST(score AS DOUBLE), 6) AS score FROM x WHERE score > 0""",
+    "tiered_rank": _tiered_sql(),
+    "exact_resolve": f"WITH {_SYMBOLS} SELECT CASE p_partkey % 4 WHEN 0 THEN key WHEN 1 THEN leaf ELSE 'x.y.' || string_split(key, '.')[-2] || '.' || leaf END AS name, key FROM sy WHERE p_partkey % 4 < 3",
+    "code_tokens": f"WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) > 1 AND w NOT IN ({', '.join(repr(w) for w in symbols.STOP)})) AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM t",
+    "field_bm25": f"""{_P}, {_QUESTIONS}, f AS (SELECT paper_id, {_words('title')} AS a, [lang, source] AS b, {_words('text')} AS c FROM papers), z AS (SELECT paper_id, len(a) + len(b) + len(c) AS dl FROM f), zz AS (SELECT count(*) AS n, avg(dl) AS av FROM z), qt AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM q),
+        e AS (SELECT paper_id, 8.0::DOUBLE AS w, unnest(a) AS term FROM f UNION ALL SELECT paper_id, 4.0, unnest(b) FROM f UNION ALL SELECT paper_id, 1.0, unnest(c) FROM f), tf AS (SELECT paper_id, term, sum(w) AS tf FROM e WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        s AS (SELECT query_id, paper_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM tf JOIN df USING (term) JOIN qt USING (term) JOIN z USING (paper_id), zz GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, paper_id) - 1 AS rank FROM s) SELECT query_id, paper_id, round(score, 5) AS score, rank FROM r WHERE rank < 10""",
+    "title_first": rf"""{_P}, t AS (SELECT paper_id, trim(regexp_replace(lower(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '*', '')), '\s+', ' ', 'g'), ' ') AS t FROM papers), qq AS (SELECT t, min(paper_id) AS query_id FROM t GROUP BY 1), q AS (SELECT query_id, t, {_words('t')} AS terms FROM qq WHERE query_id % 20 = 0), {_DOCS}, {_bm25_sql('d', 'paper_id')},
+        x AS (SELECT query_id, paper_id, true AS exact, 0 AS score FROM q JOIN t USING (t) UNION ALL SELECT query_id, paper_id, false, round(score, 9) FROM s), o AS (SELECT query_id, paper_id, bool_or(exact) AS exact, max(score) AS score FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, CASE WHEN exact THEN 0 ELSE -score END, paper_id) - 1 AS rank FROM o) SELECT query_id, paper_id, exact, rank FROM r WHERE rank < 5""",
+    "corpus_drift": f"""{_P}, l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM papers), m AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE len({_words('line')}) >= 5) / count(*) AS prose, count(*) FILTER (WHERE contains(line, 'License')) AS marked FROM l WHERE lang IN ('en', 'de') GROUP BY 1), c AS (SELECT lang, count(*) AS t FROM papers GROUP BY 1),
+        w AS (SELECT lang, unnest(['n_texts', 'n_lines', 'prose', 'n_marked']) AS measure, unnest([CAST(t AS DOUBLE), n, prose, marked]) AS v FROM m JOIN c USING (lang)) SELECT a.measure, round(b.v, 6) AS before, round(a.v, 6) AS now, abs(a.v - b.v) > 0.5 * greatest(abs(b.v), 1e-9) AS drifted FROM w a JOIN w b USING (measure) WHERE a.lang = 'en' AND b.lang = 'de'""",
     "match_count_rank": f"{_P}, x AS (SELECT paper_id, len(regexp_extract_all(text, 'th[aeiou]')) AS n_matches, length(text) AS l FROM papers) SELECT paper_id, n_matches, round(n_matches * 1000.0::DOUBLE / greatest(l, 1), 6) AS per_thousand FROM x WHERE n_matches > 0",
     "substring_context": f"{_P}, l AS (SELECT paper_id, string_split(text, chr(10)) AS l FROM papers), h AS (SELECT paper_id, l, i - 1 AS line, l[i] AS hit FROM l, unnest(range(1, len(l) + 1)) AS u(i)) SELECT paper_id, line, hit, array_to_string(l[greatest(line, 1) : line + 2], chr(10)) AS context FROM h WHERE contains(lower(hit), 'license')",
     "like_all_terms": f"{_P} SELECT paper_id FROM papers WHERE lower(text) LIKE '%the%' AND lower(text) LIKE '%wh%' AND lower(text) LIKE '%tion%'",
     "pool_scores": f"{_P}, {_CHUNKS}, {_FIXED}, d AS (SELECT paper_id || '#' || printf('%04d', chunk_id) AS cid, {_words('chunk')} AS tokens FROM chunks), {_bm25_sql('d', 'cid')} SELECT CAST(string_split(cid, '#')[1] AS BIGINT) AS paper_id, round(sum(score) / sqrt(count(*)), 5) AS score FROM s GROUP BY 1",
     "norm_title": r"SELECT page_id, trim(regexp_replace(lower(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '*', '')), '\s+', ' ', 'g'), ' ') AS title FROM pages",
     "derive_id": "SELECT page_id, regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g') AS id FROM pages",
-    "invert_index": "SELECT item_id, text FROM benchmark",
+    "invert_index": "SELECT item_id, left(text, 400) AS text FROM benchmark",
     "corpus_profile": f"{_P}, l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM papers) SELECT (SELECT count(*) FROM papers) AS n_texts, count(*) AS n_lines, round(count(*) FILTER (WHERE len({_words('line')}) >= 5) / count(*), 6) AS prose, count(*) FILTER (WHERE contains(line, 'License')) AS n_marked FROM l",
-    "retrieval_metrics": f"{_P}, {_QUESTIONS}, {_DOCS}, {_bm25_sql('d', 'paper_id')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper_id) - 1 AS rank FROM s), {_GOLD}, m AS (SELECT query_id, 't' || CAST(query_id % 2 AS VARCHAR) AS tier, count(*) FILTER (WHERE rank < 1) / count(*) AS r1, count(*) FILTER (WHERE rank < 3) / count(*) AS r3, count(*) FILTER (WHERE rank < 5) / count(*) AS r5, coalesce(1 / (min(rank) + 1), 0) AS rr FROM g LEFT JOIN (SELECT * FROM r WHERE rank < 5) USING (query_id, paper_id) WHERE query_id < 20 GROUP BY 1) SELECT coalesce(tier, 'all') AS tier, count(*) AS n_queries, round(avg(r1), 6) AS recall_1, round(avg(r3), 6) AS recall_3, round(avg(r5), 6) AS recall_5, round(avg(rr), 6) AS rr FROM m GROUP BY GROUPING SETS ((tier), ())",
+    "retrieval_metrics": f"{_P}, {_QUESTIONS}, {_DOCS}, {_bm25_sql('d', 'paper_id')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper_id) - 1 AS rank FROM s), {_GOLD}, m AS (SELECT query_id, 't' || CAST(query_id % 2 AS VARCHAR) AS tier, count(*) FILTER (WHERE rank < 1) / count(*) AS r1, count(*) FILTER (WHERE rank < 3) / count(*) AS r3, count(*) FILTER (WHERE rank < 5) / count(*) AS r5, coalesce(1 / (min(rank) + 1), 0) AS rr FROM g LEFT JOIN (SELECT * FROM r WHERE rank < 5) USING (query_id, paper_id) GROUP BY 1) SELECT coalesce(tier, 'all') AS tier, count(*) AS n_queries, round(avg(r1), 6) AS recall_1, round(avg(r3), 6) AS recall_3, round(avg(r5), 6) AS recall_5, round(avg(rr), 6) AS rr FROM m GROUP BY GROUPING SETS ((tier), ())",
     "gold_unreachable": f"{_P}, {_GOLD} SELECT query_id, paper_id FROM g WHERE paper_id NOT IN (SELECT paper_id FROM papers WHERE full_text)",
     "mcnemar": "WITH c AS (SELECT CAST(count(*) FILTER (WHERE o_custkey % 37 < 2 AND NOT o_orderkey % 41 < 3) AS INTEGER) AS only_a, CAST(count(*) FILTER (WHERE NOT o_custkey % 37 < 2 AND o_orderkey % 41 < 3) AS INTEGER) AS only_b FROM orders) SELECT only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0))))) END, 9) AS p_value FROM c",
     "wilson": "WITH g AS (SELECT toxic, CAST(sum(quality) AS BIGINT) AS hits, count(*) AS n FROM labels GROUP BY 1) SELECT toxic, hits, n, round(greatest(0, (hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS low, round(least(1, (hits / n + 3.8416 / (2 * n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS high FROM g",

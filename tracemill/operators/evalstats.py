@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.shipping import ship
+
 
 def metrics(ranked: DataFrame, gold: DataFrame, query: str, key: str, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Of each query with gold: its size, recall at each k and the reciprocal of the first hit's rank (0 without one)."""
@@ -44,21 +48,38 @@ def pearson(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     return out.withColumn("r", F.when((F.col("n") > 1) & (F.col("_x") > 0) & (F.col("_y") > 0), F.col("r"))).drop("_x", "_y")
 
 
-def bootstrap_difference(pairs: DataFrame, a: str, b: str, key: str, resamples: int = 1000, seed: int = 1234) -> DataFrame:
-    """95 % interval of the mean difference of paired scores by the Poisson bootstrap, in one pass.
+def bootstrap_difference(pairs: DataFrame, a: str, b: str, key: str, resamples: int = 5000, seed: int = 1234) -> DataFrame:
+    """95 % interval of the mean difference of paired scores by the Poisson bootstrap: order statistics of the resamples' means.
 
-    A row's weight in each resample follows from the hash of its key, so that
-    the result doesn't depend on partitioning.
+    A row's weight in each resample is Poisson with mean 1, drawn by a
+    generator that the row's key seeds, so that the result doesn't depend on
+    partitioning. A task adds its rows' weights up in one array for all
+    resamples; only these sums are shuffled.
     """
-    u = lambda i: (F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(2**53)) + 0.5) / 2.0**53
-    cut, total, steps = [], 0.0, 1.0
-    import math
-
-    for k in range(9):
-        steps = math.exp(-1) / math.factorial(k)
-        total += steps
-        cut.append(total)
-    draw = lambda i: sum(F.when(u(i) > c, 1).otherwise(0) for c in cut)
-    each = pairs.select(key, (F.col(a) - F.col(b)).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("i")).withColumn("w", draw(F.col("i")))
-    means = each.groupBy("i").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("mean"))
-    return means.agg(F.expr("percentile(mean, 0.025)").alias("low"), F.expr("percentile(mean, 0.975)").alias("high"))
+    ship(pairs.sparkSession)
+
+    def run(batches):
+        total, weight = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            for h, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if d is not None:
+                    w = np.random.default_rng([seed, h & (2**64 - 1)]).poisson(1.0, resamples)
+                    total += w * d
+                    weight += w
+        yield pa.RecordBatch.from_pydict({"i": np.arange(resamples), "total": total, "weight": weight})
+
+    each = pairs.select(F.xxhash64(key).alias("h"), (F.col(a) - F.col(b)).cast("double").alias("d")).mapInArrow(run, "i long, total double, weight double")
+    means = each.groupBy("i").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    listed = means.agg(F.array_sort(F.collect_list("mean")).alias("m"))  # one value for each resample
+    return listed.select(F.get("m", F.lit(int(0.025 * resamples))).alias("low"), F.get("m", F.lit(min(resamples - 1, int(0.975 * resamples)))).alias("high"))
+
+
+def power_note(n: Column, share: Column, z_alpha: float = 1.96, z_beta: float = 0.8416) -> Column:
+    """Least difference of two paired shares that n queries show with a power of 80 %, if `share` of them are discordant."""
+    return (z_alpha + z_beta) * F.sqrt(share / F.greatest(n, F.lit(1)))
+
+
+def lost_evidence(metrics_a: DataFrame, metrics_b: DataFrame, query: str, measure: str) -> DataFrame:
+    """Queries with gold that one arm finds and the other doesn't, of each direction, and the mean difference."""
+    both = metrics_a.select(query, F.col(measure).alias("a")).join(metrics_b.select(query, F.col(measure).alias("b")), query)
+    return both.agg(F.count("*").alias("n"), F.count_if((F.col("a") > 0) & (F.col("b") == 0)).alias("lost"), F.count_if((F.col("a") == 0) & (F.col("b") > 0)).alias("gained"), F.avg(F.col("b") - F.col("a")).alias("change"))

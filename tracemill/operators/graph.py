@@ -96,12 +96,29 @@ def partners(pairs: DataFrame, k: int) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("n"), "partner"))).filter(F.col("rank") <= k)
 
 
-def never_paired(cases: DataFrame, case: str, item: str, least: int, most: int = 200) -> DataFrame:
-    """Pairs of well-known items (in `least` cases or more, the `most` most frequent of them) that no case holds together."""
-    known = cases.groupBy(item).agg(F.countDistinct(case).alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), item).limit(most)
-    listed = known.agg(F.sort_array(F.collect_list(item)).alias("items"))  # at most `most`
-    both = listed.select(F.explode("items").alias("a"), "items").select("a", F.explode("items").alias("b")).filter("a < b")
-    return both.join(pair_counts(cases, case, item), ["a", "b"], "left_anti")
+def never_paired(cases: DataFrame, case: str, item: str, least: int, edges: DataFrame | None = None, k: int = 6) -> DataFrame:
+    """item, other, n and rank: the k best-known items (in `least` cases or more) that no case holds beside an item.
+
+    Left out are items that come along anyway: those that the item, or one it
+    stands beside in some case, reaches by edges (src, dst). Candidates of an
+    item are the best-known ones, as many as it could have to leave out and k
+    more, so that nothing is lost and pairs aren't all made.
+    """
+    known = cases.groupBy(item).agg(F.countDistinct(case).alias("n")).filter(F.col("n") >= least).select(F.col(item).alias("other"), "n")
+    known = stored(known.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "other"))), "known-items")  # the vocabulary, not the cases
+    items = cases.select(F.col(item).alias("item")).distinct()
+    pairs = pair_counts(cases, case, item)
+    beside = pairs.select(F.col("a").alias("item"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("item"), F.col("a").alias("other")))
+    own = items.select("item", F.col("item").alias("other"))
+    out = beside.unionByName(own)
+    if edges is not None:
+        reach = closure(edges)
+        out = out.unionByName(out.join(reach, F.col("other") == F.col("src")).select("item", F.col("dst").alias("other")))
+    out = stored(out.join(known.select("other"), "other", "left_semi").select("item", "other").distinct(), "not-candidates")
+    need = items.join(out.groupBy("item").agg(F.count("*").alias("m")), "item", "left").select("item", (F.coalesce("m", F.lit(0)) + k).alias("m"))
+    candidates = need.select("item", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("place")).join(known, "place")
+    left = candidates.join(out, ["item", "other"], "left_anti")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("place"))).filter(F.col("rank") <= k).select("item", "other", "n", "rank")
 
 
 def merge_records(records: DataFrame, key: str, names: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.functions.columns import SENTINEL, nan_to_null, round_half_even, stamped
+from tracemill.functions.predicate import where
+from tracemill.functions.scratch import stored
 
 POOL_ID, POOL_SOURCE = "D000", "precomputed_pool"
 
@@ -98,10 +101,50 @@ def design(inputs: list[str]) -> list[Column]:
     return [round_half_even(F.col(c).cast("double")).alias(c) for c in sorted(inputs)]
 
 
-def duplicate_stats(df: DataFrame, inputs: list[str], group: str = "_delegation_id") -> DataFrame:
-    """Of each delegation: evaluations, distinct designs, repeated ones, and the most evaluations of one design."""
-    each = df.filter(stamped(group)).groupBy(group, *design(inputs)).agg(F.count("*").alias("n"))
-    return each.groupBy(group).agg(F.sum("n").alias("n_total"), F.count("*").alias("n_unique"), (F.sum("n") - F.count("*")).alias("n_duplicate"), F.max("n").alias("worst"))
+def duplicate_stats(df: DataFrame, inputs: list[str], order: list[str], group: str = "_delegation_id") -> DataFrame:
+    """Of each delegation: evaluations, distinct designs, repeated ones, and the design evaluated most with its evaluations.
+
+    Of designs evaluated equally often the one that comes first by `order` is the worst.
+    """
+    names = sorted(inputs)
+    each = df.filter(stamped(group)).groupBy(group, *design(inputs)).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
+    worst = F.min_by(F.struct("n", F.concat_ws(";", *[F.format_string(f"{c}=%.4f", c) for c in names]).alias("design")), F.struct((-F.col("n")).alias("n"), "_first"))
+    out = each.groupBy(group).agg(F.sum("n").alias("n_total"), F.count("*").alias("n_unique"), (F.sum("n") - F.count("*")).alias("n_duplicate"), worst.alias("_w"))
+    return out.select(group, "n_total", "n_unique", "n_duplicate", F.col("_w.n").alias("worst"), F.col("_w.design").alias("worst_design"))
+
+
+def explained(df: DataFrame, predicate: str | None = None, delegation_ids: list[str] | None = None, source: str | None = None, namespace: str | None = None) -> DataFrame:
+    """What a query found, in one row: rows scanned and matched, the filters applied, and a verdict on an empty answer.
+
+    An empty answer is a true zero, as unknown columns are errors, unless the
+    predicate compares a floating-point column for equality, which may miss
+    rows by a rounding error.
+    """
+    given = [f"delegation_ids={delegation_ids}" if delegation_ids is not None else "", f"source={source!r}" if source else "", f"namespace={namespace!r}" if namespace else "", f"where={predicate!r}" if predicate else ""]
+    rows = provenance_filter(df, delegation_ids, source, namespace)
+    rows = where(rows, predicate) if predicate else rows
+    floats = [f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")]
+    loose = bool(predicate) and any(re.search(rf"\b{re.escape(c)}\b\s*==(?!=)|==\s*\b{re.escape(c)}\b", predicate) for c in floats)
+    counts = df.agg(F.count("*").alias("n_scanned")).join(F.broadcast(rows.agg(F.count("*").alias("n_matched"))))  # one row each
+    verdict = F.when(F.col("n_matched") > 0, "found").otherwise("not necessarily a true zero: equality of floating-point numbers" if loose else "true zero")
+    return counts.select("n_scanned", "n_matched", F.lit("; ".join(g for g in given if g) or "(no filter)").alias("filters"), verdict.alias("verdict"))
+
+
+def shown_columns(columns: list[str], inputs: list[str], output: str) -> list[str]:
+    """What a listing shows unless columns are named: inputs without provenance, the ranked output, delegation and namespace."""
+    wanted = [c for c in inputs if not c.startswith("_")] + [output, "_delegation_id", "_namespace"]
+    return [c for c in wanted if c in columns]
+
+
+def without_provenance(df: DataFrame) -> DataFrame:
+    """The columns whose name has no underscore in front."""
+    return df.select(*[c for c in df.columns if not c.startswith("_")])
+
+
+def objective_range(df: DataFrame, group: list[str]) -> DataFrame:
+    """Least and largest feasible value of the first numeric column that is no provenance, by group."""
+    first = next(f.name for f in df.schema if not f.name.startswith("_") and f.name not in group and f.dataType.simpleString() in ("double", "float", "int", "bigint"))
+    return feasible(df, first).groupBy(*group).agg(F.lit(first).alias("objective"), F.min(first).alias("least"), F.max(first).alias("largest"))
 
 
 def subset_match(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -144,22 +187,27 @@ def store_guard(old: DataFrame, new: DataFrame, keys: list[str], status: str = "
 
 
 def supersede(store: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """The store with the fresh rows in place of those of equal keys."""
-    return store.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
+    """The store with the fresh rows in place of those of equal keys; columns that one side lacks are null there."""
+    return store.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def content_hash(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
-    """A hash of each group's rows, rounded, whatever their order: SHA-256 over the sorted digests of the rows' hash buckets.
+    """A hash of each group's rows, rounded, whatever their order: a tree of SHA-256 over the sorted digests of the rows.
 
-    Rows are hashed by themselves, then together within 4096 buckets of their
-    hash and then over the buckets, so no task gathers a whole group.
+    A node of the tree holds what its up to 4096 children have; its depth
+    follows from the number of different rows, so no task gathers more.
     """
     group = group or []
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.format_string("%.10f", round_half_even(F.col(c).cast("double"))), F.lit("null")) for c in columns]), 256)
-    each = df.select(*group, row.alias("h")).groupBy(*group, "h").agg(F.count("*").alias("n"))
-    part = each.groupBy(*group, F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat("h", F.lit(":"), "n")))), 256).alias("d"), F.sum("n").alias("n"))
-    whole = F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"])), 256)
-    return part.groupBy(*group).agg(F.sum("n").alias("n_rows"), whole.alias("content_hash"))
+    each = stored(df.select(*group, row.alias("h")).groupBy(*group, "h").agg(F.count("*").alias("n")), "row-digests")
+    depth = 1
+    while each.count() > 4096 ** (depth + 1):
+        depth += 1
+    level = each.select(*group, F.col("h").alias("p"), F.concat("h", F.lit(":"), "n").alias("d"), "n")
+    for digits in range(3 * depth, -1, -3):
+        digest = F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"])), 256)
+        level = level.groupBy(*group, F.substring("p", 1, digits).alias("p")).agg(digest.alias("d"), F.sum("n").alias("n"))
+    return level.select(*group, F.col("n").alias("n_rows"), F.col("d").alias("content_hash"))
 
 
 def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -184,20 +232,24 @@ def reconcile(claims: DataFrame, ledger: DataFrame) -> DataFrame:
     return out.select("id", "claimed", "n_stamped", F.when(F.col("n_stamped") > 0, F.col("n_stamped")).when(off, 0).otherwise(F.col("claimed")).cast("long").alias("n_evals"), off.alias("off_ledger"))
 
 
-def nearest_pool_row(candidates: DataFrame, pool: DataFrame, columns: list[str], key: str, pool_key: str) -> DataFrame:
+def nearest_pool_row(candidates: DataFrame, pool: DataFrame, columns: list[str], key: str, pool_key: str, block: int = 4096) -> DataFrame:
     """The pool row nearest to each candidate, after scaling each column to the pool's range (a column without spread by 1).
 
-    The pool is an array in one row, which its contract keeps small: it is refused beyond 100,000 rows.
+    The pool is dealt into blocks of about `block` rows, each an array in one
+    row; a candidate meets each block in a task of its own, and the best of its
+    blocks counts. Ties go to the smaller key.
     """
-    bounds = pool.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns], F.count("*").alias("n"), F.collect_list(F.struct(F.col(pool_key).alias("k"), *columns)).alias("pool")) if pool.count() <= 100_000 else None
-    if bounds is None:
-        raise ValueError("a lookup pool has at most 100,000 rows")
-    spread = {c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")).otherwise(1.0) for c in columns}
-    square = lambda p: reduce(lambda a, b: a + b, [F.pow((F.col(f"x_{c}") - p[c]) / F.col(f"s_{c}"), F.lit(2.0)) for c in columns])
-    one = bounds.select("pool", *[spread[c].alias(f"s_{c}") for c in columns])
-    rows = candidates.select(key, *[F.col(c).cast("double").alias(f"x_{c}") for c in columns]).join(F.broadcast(one))
+    bounds = pool.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns], F.count("*").alias("n"))
+    low_high = bounds.first()
+    count = max(1, -(-low_high["n"] // block))
+    spread = {c: float(low_high[f"hi_{c}"] - low_high[f"lo_{c}"] or 1) if low_high["n"] else 1.0 for c in columns}
+    rows = F.collect_list(F.struct(F.col(pool_key).alias("k"), *columns))
+    blocks = pool.groupBy(F.pmod(F.xxhash64(pool_key), F.lit(count)).alias("b")).agg(rows.alias("pool"))
+    each = candidates.select(key, *[F.col(c).cast("double").alias(f"x_{c}") for c in columns], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("b"))
+    square = lambda p: reduce(lambda a, b: a + b, [F.pow((F.col(f"x_{c}") - p[c]) / F.lit(spread[c]), F.lit(2.0)) for c in columns])
     best = F.array_min(F.transform("pool", lambda p: F.struct(F.round(square(p), 12).alias("d"), p["k"].alias("k"))))
-    return rows.select(key, best.alias("b")).select(key, F.col("b.k").alias(pool_key), F.col("b.d").alias("distance2"))
+    found = each.join(blocks, "b").select(key, best.alias("s")).groupBy(key).agg(F.min("s").alias("s"))
+    return found.select(key, F.col("s.k").alias(pool_key), F.col("s.d").alias("distance2"))
 
 
 def best_so_far(df: DataFrame, value: str, group: list[str], order: list[str]) -> DataFrame:

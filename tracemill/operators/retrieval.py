@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.functions.columns import words
+from tracemill.functions.scratch import stored
 
 K1, B = 1.5, 0.75
 FUSION = 60
@@ -25,18 +27,21 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, tokens: str, query: str
     """BM25 of every document that shares a term with a query: query, key, score.
 
     docs has a key and an array of tokens, queries an id and an array of terms
-    (repeats count). Only the queries' terms of a document are shuffled, counted
-    before they are.
+    (repeats count). The tokens are read once: the queries' terms of a document
+    are counted, and with them an empty one that stands for the document, and
+    this table is stored.
     """
     wanted = queries.select(query, F.explode(terms).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avg"))
-    # only the queries' terms are counted, and after the explode
-    each = docs.select(key, F.size(tokens).alias("dl"), F.explode(tokens).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = each.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = stored(wanted, "wanted")
+    named = wanted.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+    each = docs.select(key, F.size(tokens).alias("dl"), F.explode(F.array_append(tokens, F.lit(""))).alias("term")).join(named, "term", "left_semi")
+    counted = stored(each.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    sizes = counted.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    postings = counted.filter("term <> ''")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
-    scored = postings.join(df, "term").join(wanted, "term").join(F.broadcast(sizes))
+    scored = postings.join(df, "term").join(wanted, "term").join(F.broadcast(sizes))  # one row
     return scored.groupBy(query, key).agg(F.sum(weight).alias("score"))
 
 
@@ -55,14 +60,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, query: str = "query_id", most: int = 1000) -> DataFrame:
-    """Cosine of each query with every row that has a vector; queries are a small stated set, refused beyond `most`."""
-    if queries.count() > most:
-        raise ValueError(f"at most {most} queries; use the index of the training-data operators for more")
+def cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, query: str = "query_id", k: int = 40, block: int = 64, digits: int = 6) -> DataFrame:
+    """query, key and score of the k rows of highest cosine to each query, of those that have a vector; ties of the rounded score go to smaller keys.
+
+    The stated queries are dealt into blocks; every block meets all rows, and
+    of each part of the rows only a query's k best go on.
+    """
     norm = lambda v: F.sqrt(dot(v, v)) + 1e-9
-    q = queries.select(query, F.col(vector).alias("_q")).withColumn("_qn", norm(F.col("_q")))
+    count = max(1, -(-queries.count() // block))
+    q = queries.select(query, F.col(vector).alias("_q")).withColumn("_qn", norm(F.col("_q"))).withColumn("_b", F.pmod(F.xxhash64(query), F.lit(count)))
+    blocks = q.groupBy("_b").agg(F.collect_list(F.struct(query, "_q", "_qn")).alias("_qs"))
     have = rows.filter(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v")).withColumn("_vn", norm(F.col("_v")))
-    return have.join(F.broadcast(q)).select(query, key, (dot(F.col("_v"), F.col("_q")) / (F.col("_vn") * F.col("_qn"))).alias("score"))
+    each = have.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("_b")).join(blocks, "_b")
+    scores = F.transform("_qs", lambda x: F.struct(x[query].alias(query), (dot(F.col("_v"), x["_q"]) / (F.col("_vn") * x["_qn"])).alias("score")))
+    found = each.select(key, F.explode(scores).alias("_s")).select(F.col(f"_s.{query}").alias(query), key, "_s.score")
+    best = Window.partitionBy(query).orderBy(F.desc(F.round("score", digits)), key)
+    return found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, query: str, key: str, n: int) -> DataFrame:
@@ -99,18 +112,10 @@ def pooled(scores: DataFrame, query: str, group: str, how: str = "sum") -> DataF
     return scores.groupBy(query, group).agg(agg.alias("score"), F.min("rank").alias("first_rank"))
 
 
-def tiered(symbols: DataFrame, query: str, name: str, summary: str, body: str, private: str) -> DataFrame:
-    """Symbols by tier: exact name 1000, leaf 500, prefix 250, substring 200; else weighted token overlap times coverage."""
-    q = F.lower(F.lit(query))
-    terms = F.split(q, r"[^a-z0-9]+")
-    n = F.lower(F.col(name))
-    leaf = F.element_at(F.split(n, r"[. ]"), -1)
-    tokens = lambda c: F.split(F.lower(c), r"[^a-z0-9]+")
-    common = lambda c: F.size(F.array_intersect(terms, tokens(c)))
-    covered = F.size(F.array_intersect(terms, F.concat(tokens(F.col(name)), tokens(F.col(summary)), tokens(F.col(body))))) / F.size(F.array_distinct(terms))
-    loose = (60 * common(F.col(name)) + 12 * common(F.col(summary)) + 2 * common(F.col(body))) * (0.35 + 0.65 * covered)
-    score = F.when(n == q, 1000.0).when(leaf == q, 500.0).when(n.startswith(q), 250.0).when(F.contains(n, q), 200.0).otherwise(loose)
-    return symbols.withColumn("score", score * F.when(F.col(private), 0.15).otherwise(1.0)).filter("score > 0")
+def all_terms(text: Column, query: str) -> Column:
+    """Whether a text holds every word of a query of two words or more, in any case and place; never for one word."""
+    terms = re.findall(r"[A-Za-z0-9_]+", query.lower())
+    return reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(t)) for t in terms], F.lit(len(terms) > 1))
 
 
 def matches_per_size(df: DataFrame, text: str, pattern: str) -> DataFrame:
@@ -127,7 +132,14 @@ def profile(df: DataFrame, text: str, marker: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_texts")).join(F.broadcast(counted)).select("n_texts", "n_lines", (F.col("n_prose") / F.greatest("n_lines", F.lit(1))).alias("prose"), "n_marked")
 
 
-def inverted(index: Column) -> Column:
-    """Text of an inverted index, a map of word to positions."""
+def inverted(index: Column, most: int = 400) -> Column:
+    """Text of an inverted index, a map of word to positions, its first `most` characters."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
+    return F.left(F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " "), F.lit(most))
+
+
+def drifted(now: DataFrame, before: DataFrame, most: float = 0.5) -> DataFrame:
+    """measure, before, now and drifted of two one-row profiles: whether a measure has changed by more than a share of what it was."""
+    each = lambda df, name: df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*[F.col(c).cast("double") for c in df.columns]))).alias("measure", name))
+    out = each(before, "before").join(each(now, "now"), "measure")
+    return out.withColumn("drifted", F.abs(F.col("now") - F.col("before")) > most * F.greatest(F.abs("before"), F.lit(1e-9)))
