@@ -83,8 +83,7 @@ def transcript_proxies(spark, d):
 
 
 def call_result_align(spark, d):
-    c = table(spark, d, "conversations").withColumn("head", F.substring("text", 1, 30))
-    return op.align_calls(c, "conv_id", "turn", F.col("role") == "user", F.col("role") == "assistant", "head")
+    return op.align_calls(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user", F.col("role") == "assistant", "text")
 
 
 def context_trim(spark, d):
@@ -97,7 +96,7 @@ def token_estimate(spark, d):
 
 def split_notices(spark, d):
     c = table(spark, d, "conversations")
-    marked = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<notice>"), F.col("role"), F.lit("</notice> "), F.substring("text", 1, 40), F.lit(" <notice>b</notice>"))).otherwise(F.substring("text", 1, 40)).alias("t"))
+    marked = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<notice>"), F.col("role"), F.lit("</notice> "), F.col("text"), F.lit(" <notice>b</notice>"))).otherwise(F.col("text")).alias("t"))
     return op.split_notices(marked, "t").select("conv_id", "turn", F.array_join("notices", "|").alias("notices"), "rest")
 
 
@@ -106,8 +105,8 @@ def classify_fault(spark, d):
 
 
 def unledgered(spark, d):
-    rows = ledger(spark, d).withColumn("_delegation_id", F.format_string("D%06d", "supp_id"))
-    return op.unledgered(log(spark, d), rows.filter("supp_id < 60"), ["N1"], "click").select("id", "pos", "k", "from_node")
+    rows = ledger(spark, d).withColumn("_delegation_id", F.format_string("D%06d", F.col("supp_id") * 2))
+    return op.unledgered(log(spark, d), rows, ["N1"], "click").select("id", "pos", "k", "from_node")
 
 
 def ordered_distinct(spark, d):
@@ -126,7 +125,7 @@ def next_ids(spark, d):
 
 def total_or_unknown(spark, d):
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"))
-    rows = table(spark, d, "customer").filter("c_nationkey % 3 > 0").select(F.col("c_nationkey").alias("nation"), F.when(F.col("c_nationkey") % 3 == 1, F.col("c_acctbal")).alias("v"))
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"))
     return op.total_or_unknown(nations, rows, "nation", "v").withColumn("total", F.round("total", 2))
 
 
@@ -174,18 +173,18 @@ SQL = {
     "transcript_proxies": f"""{_LOG}, g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY id ORDER BY pos) AS gap FROM log), s AS (SELECT id, count(*) FILTER (WHERE status = 'error') AS n_errors, max(gap) AS max_gap_us FROM g GROUP BY 1),
         f AS (SELECT id, substring(props, 1, 80) AS m, min(pos) AS p FROM log WHERE status = 'error' GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS n FROM f), l AS (SELECT id, string_agg(m, ' / ' ORDER BY p) AS messages FROM t WHERE n <= 2 GROUP BY 1)
         SELECT id, n_errors, max_gap_us, messages FROM s LEFT JOIN l USING (id)""",
-    "call_result_align": """WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn AS call_at, substring(text, 1, 30) AS call FROM conversations WHERE role = 'user'),
-        r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn AS result_at, substring(text, 1, 30) AS result FROM conversations WHERE role = 'assistant') SELECT conv_id, n, call_at, call, result_at, result FROM c LEFT JOIN r USING (conv_id, n)""",
+    "call_result_align": """WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn AS call_at, text AS call FROM conversations WHERE role = 'user'),
+        r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn AS result_at, text AS result FROM conversations WHERE role = 'assistant') SELECT conv_id, n, call_at, call, result_at, result FROM c LEFT JOIN r USING (conv_id, n)""",
     "context_trim": f"""WITH c AS (SELECT *, {_EST} AS tokens, coalesce(turn = min(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id), false) AS pin FROM conversations),
         s AS (SELECT *, sum(CASE WHEN pin THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS spent, max(CASE WHEN pin THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS held FROM c) SELECT conv_id, turn, role, tokens FROM s WHERE pin OR spent + held <= 400""",
     "token_estimate": f"SELECT conv_id, turn, {_EST} AS tokens FROM conversations",
-    "split_notices": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || '|b' ELSE '' END AS notices, CASE WHEN turn % 2 = 0 THEN trim(' ' || substring(text, 1, 40) || ' ', ' ') ELSE trim(substring(text, 1, 40), ' ') END AS rest FROM conversations",
+    "split_notices": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || '|b' ELSE '' END AS notices, CASE WHEN turn % 2 = 0 THEN trim(' ' || text || ' ', ' ') ELSE trim(text, ' ') END AS rest FROM conversations",
     "classify_fault": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in FAULTS) + " ELSE 'other' END AS fault FROM conversations",
-    "unledgered": f"WITH {LEDGER_SQL}, {LOG_SQL} SELECT id, pos, k, from_node FROM {_LAST.format('')} WHERE status = 'click' AND k > 0 AND from_node <> 'N1' AND id NOT IN (SELECT printf('D%06d', supp_id) FROM ledger WHERE supp_id < 60)",
+    "unledgered": f"WITH {LEDGER_SQL}, {LOG_SQL} SELECT id, pos, k, from_node FROM {_LAST.format('')} WHERE status = 'click' AND k > 0 AND from_node <> 'N1' AND id NOT IN (SELECT printf('D%06d', supp_id * 2) FROM ledger)",
     "ordered_distinct": f"{_LOG} SELECT props, min(pos) AS first_pos FROM log GROUP BY 1",
     "natural_sort": "WITH n AS (SELECT substring(c_mktsegment, 1, 1) || CAST(c_custkey AS VARCHAR) AS name FROM customer) SELECT name FROM n ORDER BY regexp_extract(name, '^([^0-9]*)', 1), CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT), name LIMIT 60",
     "next_ids": "WITH m AS (SELECT c_nationkey AS nation, max(c_custkey) AS m FROM customer GROUP BY 1) SELECT s_nationkey AS nation, s_suppkey, printf('M%08d', coalesce(m, 0) + row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)) AS new_id FROM supplier LEFT JOIN m ON nation = s_nationkey",
-    "total_or_unknown": "WITH t AS (SELECT c_nationkey AS nation, coalesce(sum(CASE WHEN c_nationkey % 3 = 1 THEN c_acctbal END), 0.0) AS total FROM customer WHERE c_nationkey % 3 > 0 GROUP BY 1) SELECT n_nationkey AS nation, round(total, 2) AS total FROM nation LEFT JOIN t ON nation = n_nationkey",
+    "total_or_unknown": "WITH t AS (SELECT s_nationkey AS nation, coalesce(sum(CASE WHEN s_acctbal > 0 THEN s_acctbal END), 0.0) AS total FROM supplier GROUP BY 1) SELECT n_nationkey AS nation, round(total, 2) AS total FROM nation LEFT JOIN t ON nation = n_nationkey",
     "clamp": "WITH o AS (SELECT *, (o_custkey % 5 - 1) * CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE 100 END AS e FROM orders) SELECT o_orderkey, CASE WHEN e > 0 THEN e WHEN e < 0 THEN NULL ELSE CAST(least(greatest(floor(o_totalprice * 0.25), 512), 65536) AS BIGINT) END AS cap FROM o",
     "missing_parts": "WITH q(p, i) AS (VALUES ('system', 1), ('user', 2), ('assistant', 3), ('tool', 4)), c AS (SELECT DISTINCT conv_id FROM conversations) SELECT conv_id, coalesce(string_agg(p, ',' ORDER BY i) FILTER (WHERE NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = p)), '') AS missing FROM c, q GROUP BY 1",
     "identity_rank": "SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey = 0 THEN -1 ELSE row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 END AS identity FROM nation",

@@ -56,7 +56,7 @@ def never_paired(spark, d):
 
 def entity_merge(spark, d):
     t = table(spark, d, "documents")
-    title = F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z0-9]", "")
+    title = F.regexp_replace(F.lower(F.element_at(F.split("text", "\n"), 1)), "[^a-z0-9]", "")
     records = t.select("doc_id", F.md5("text").alias("doi"), F.when(F.length(title) > 20, title).alias("title"))
     return op.merge_records(records, "doc_id", ["doi", "title"])
 
@@ -140,7 +140,7 @@ SQL = {
     "never_paired": f"""WITH RECURSIVE {_C}, g AS (SELECT DISTINCT p_partkey % 400 AS src, p_partkey % 400 * 2 AS dst FROM part WHERE p_partkey % 400 > 0 AND p_partkey % 400 < 200), cl AS (SELECT src, dst FROM g UNION SELECT cl.src, g.dst FROM cl JOIN g ON cl.dst = g.src), k AS (SELECT item, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 8), i AS (SELECT DISTINCT item FROM c),
         u AS (SELECT a AS item, b AS other FROM pairs UNION SELECT b, a FROM pairs UNION SELECT item, item FROM i), f AS (SELECT * FROM u UNION SELECT u.item, cl.dst FROM u JOIN cl ON u.other = cl.src), x AS (SELECT i.item, k.item AS other, k.n FROM i CROSS JOIN k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.item = i.item AND f.other = k.item)), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, other) AS rank FROM x) SELECT * FROM r WHERE rank <= 6""",
     "stream_dup_monitor": "WITH x AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type || '/' || CAST(floor(value / 10) AS BIGINT)) AS m FROM events GROUP BY 1) SELECT user_id, n - m AS n_duplicate FROM x WHERE n - m >= 3",
-    "entity_merge": """WITH RECURSIVE t AS (SELECT doc_id, md5(text) AS doi, regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]', '', 'g') AS title FROM documents),
+    "entity_merge": """WITH RECURSIVE t AS (SELECT doc_id, md5(text) AS doi, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]', '', 'g') AS title FROM documents),
         n AS (SELECT doc_id, 'd' || doi AS name FROM t UNION ALL SELECT doc_id, 't' || title FROM t WHERE length(title) > 20), m AS (SELECT name, min(doc_id) AS least FROM n GROUP BY 1),
         l AS (SELECT DISTINCT doc_id AS a, least AS b FROM n JOIN m USING (name)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT doc_id AS id, doc_id AS seen FROM t UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a) SELECT id AS doc_id, min(seen) AS cluster FROM r GROUP BY 1""",
     "html_meta": """SELECT page_id, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset, regexp_extract(html, '(?i)<meta\\s+name="description"\\s+content="([^"]*)"', 1) AS description FROM pages""",
