@@ -88,6 +88,45 @@ def test_quality(docs, none, labels):
     assert quality.scored(none, quality.train(none, labels.limit(0))).count() == 0
 
 
+def test_repeated_keys_with_other_texts(spark):
+    rows = [(1, "good words here " * 9, 1), (1, "@@ ## 12 12 12 " * 9, 0), (2, "good words again " * 9, 1), (3, "@@ ## 12 " * 20, 0), (3, "@@ ## 12 " * 20, 0)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id long, quality int")
+    scores = quality.scored(docs, quality.train(docs, labels)).collect()
+    assert len(scores) == 5 and len({r["score"] for r in scores if r["doc_id"] == 3}) == 1 and len({r["score"] for r in scores if r["doc_id"] == 1}) == 2
+    mixed = docs.select("doc_id", F.lit("d").alias("domain"), F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), mixing.token_count().alias("n_tokens"))
+    got = mixing.mix(mixed, {}, 1e9, epochs=1)
+    assert sorted(r["n_tokens"] for r in got.collect()) == sorted(len(t.split()) for _, t, _ in rows)
+    assert mixing.mix(mixed, {}, 0.0, epochs=1).count() == 0
+
+
+def test_groups_without_a_doc_id(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(None, text), (None, text), (None, "alone"), (7, text)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == [(7, 7), (None, 7), (None, 7), (None, None)]
+
+
+def test_pieces_of_equal_length(spark):
+    docs = spark.createDataFrame([(i, "same text " * 55) for i in range(40)], "doc_id long, text string")
+    rows = packing.pack_documents(docs).collect()
+    lengths = {r["length"] for r in rows}
+    assert len(rows) == 40 and len(lengths) == 1
+    each = 1024 // lengths.pop()
+    assert len({r["sequence_id"] for r in rows}) == -(-40 // each)
+
+
+def test_licenses_from_a_table(spark):
+    filler = " ".join(f"w{i}" for i in range(300))
+    notices = [(f"n{i}", " ".join(f"t{i}x{j}" for j in range(6 + i % 40))) for i in range(1500)]
+    rows = [(i, f"{filler} {notices[i][1]} {filler}") for i in range(0, 1500, 50)] + [(9999, filler), (9998, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(notices, "template string, notice string")
+    want = {(i, f"n{i}", 1.0) for i in range(0, 1500, 50)}
+    for most in (10**6, 10):  # keys in the plan, and met by a join
+        assert {(r["doc_id"], r["template"], r["containment"]) for r in licenses.scan(docs, table, most_keys=most).collect()} == want
+
+
 def test_licenses(docs, none):
     rows = licenses.scan(docs).collect()
     assert [(r["doc_id"], r["template"], r["containment"]) for r in rows] == [(9, "mit", 1.0)]

@@ -5,6 +5,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import DATA
@@ -12,6 +13,7 @@ from tests.llm.test_against_brute_force import plain_score, words
 from tracemill.functions.scratch import stored
 from tracemill.llm import quality, similar, tokens
 from tracemill.llm.simhash import fingerprints
+from tracemill.operators.graph import components
 
 
 @pytest.fixture(scope="module")
@@ -133,11 +135,31 @@ def test_the_pipeline_against_plain_stages(spark, steps):
     assert got == want and max(bins.values()) <= 1024 and len(bins) <= 1.01 * sum(want.values()) / 1024 + 2
 
 
-def test_large_groups_are_dealt_into_parts(spark):
-    rows = [(i, 1, i, 100, bytes([i % 3]) * similar.BANDS * similar.ROWS) for i in range(60)]
-    keyed = spark.createDataFrame(rows, "node long, key long, root long, size int, sketch binary")
-    found = {(r["a"], r["b"]) for r in similar.candidates(keyed, group=8).collect()}
-    assert found == {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3}
+@pytest.mark.parametrize("group, most", [(8, 10**6), (1024, 40), (1024, 10**6)])
+def test_large_groups_are_dealt_into_parts(spark, group, most):
+    rows = [(i, 1, i, 5, bytes([i % 3]) * similar.BANDS * similar.ROWS, [100 * (i % 3) + j for j in range(5)]) for i in range(60)]
+    keyed = spark.createDataFrame(rows, "node long, key long, root long, size int, sketch binary, shingles array<long>")
+    found = components(similar.linked(keyed, group, most)).collect()
+    assert len(found) == 60 and {(r["node"], r["root"]) for r in found} == {(i, i % 3) for i in range(60)}
+
+
+def test_links_of_a_group_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, 60)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.06, 0.12]), rng.integers(0, 2**62, 60), base)).astype(np.uint64) for _ in range(80)] + [np.zeros(0, np.uint64)]
+    sketch = np.stack([(similar.minhashes(x) >> np.uint64(7)).astype(np.uint8) for x in sets])
+    size = np.array([len(x) for x in sets])
+    a, b = similar.link_run(np.arange(81), np.arange(81), size, sketch, np.concatenate(sets).view(np.int64))
+    every = [(i, j) for i in range(80) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+
+    def groups(pairs):
+        root = list(range(81))
+        for x, y in pairs:
+            old, new = root[x], root[y]
+            root = [new if r == old else r for r in root]
+        return {tuple(i for i in range(81) if root[i] == r) for r in root}
+
+    assert groups(zip(a, b)) == groups(every) and len(a) == 81 - len(groups(every)) and 2 < len(groups(every)) < 81
 
 
 def test_the_stage_leaves_what_all_pairs_leave(steps):

@@ -23,8 +23,9 @@ K = 5
 FLOOR = 0.1
 #: Tokens for each group of pairs, about the most in a block of documents, and the most documents in one.
 GROUP, BLOCK, BLOCK_DOCS = 2_000_000, 600_000, 30_000
-#: A word or pair with more than one in HEAVY of all training tokens is counted beforehand; there are fewer than HEAVY of either.
-HEAVY = 1000
+#: A word with more than one in HEAVY of all training tokens is counted beforehand, and so is a pair of such words with more
+#: than one in HEAVY_PAIRS; there are fewer than these numbers of either.
+HEAVY, HEAVY_PAIRS = 1000, 20_000
 
 _U = np.uint64
 _EMPTY = np.zeros(0, _U)
@@ -100,7 +101,7 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _heavy(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    rows = counted.filter(F.col("n") > least).orderBy("h").toArrow()  # fewer than HEAVY
+    rows = counted.filter(F.col("n") > least).orderBy("h").toArrow()  # fewer than HEAVY or HEAVY_PAIRS
     keys = rows["h"].to_numpy().view(_U) if len(rows) else _EMPTY
     by = np.argsort(keys)
     return keys[by], (rows["n"].to_numpy() if len(rows) else np.zeros(0, np.int64))[by]
@@ -152,7 +153,7 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
             h, n = np.unique(_pair(first[keep], tokens[keep]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    both, both_n = _heavy(rows.mapInArrow(tidied(pairs_of_heavy), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), n_all / HEAVY)
+    both, both_n = _heavy(rows.mapInArrow(tidied(pairs_of_heavy), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), n_all / HEAVY_PAIRS)
 
     def sums(doc, size, second, r, c) -> np.ndarray:
         """Of each document: base, the part of its score that counts alone give, known tokens, and pairs by count from 0 to K. r and c by pair occurrence."""

@@ -350,8 +350,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
         return rows.join(own, key)
 
     shared = stored(matched(found, "hash").select("doc", "pos", "run", "other", "other_pos"), "shared-seeds")
-    runs = matched(shared.filter("run != 0").select("doc", "pos", "run"), "run")
-    matches = shared.drop("run").unionByName(runs.drop("run")).filter("doc > other").distinct()
+    # most words from a seed on belong to the seed's owner: these matches are there already
+    again = shared.filter("run != 0").withColumnsRenamed({"other": "seed_owner", "other_pos": "seed_pos"})
+    runs = matched(again, "run").filter("doc > other and not (other = seed_owner and other_pos = seed_pos)").select("doc", "pos", "other", "other_pos")
+    matches = shared.drop("run").filter("doc > other").unionByName(runs).distinct()
     spans = stored(chained(matches), "chains")
 
     used = spans.select(F.col("doc").alias("id")).unionByName(spans.select(F.col("other").alias("id"))).distinct()

@@ -133,7 +133,13 @@ def fold(key: Column, n: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, folds: int = 5) -> FactorisationMachine:
-    """Fits on at most `most` labelled rows outside fold 0, a bounded sample by hash; repeated labels of a document count once."""
+    """Fits on at most `most` labelled rows outside fold 0, a bounded sample by hash; repeated labels of a document count once.
+
+    Of repeated labels the highest quality counts, and each row that repeats a
+    doc_id is an example with its own text. Null and empty texts are examples;
+    labels without a doc_id or a quality are none. Without rows of both labels
+    every score is the share of label 1 (1/2 for empty tables). Other columns don't matter.
+    """
     ship(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").filter(fold(F.col("doc_id"), folds) != 0)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -155,6 +161,8 @@ def scored(docs: DataFrame, model: FactorisationMachine, floor: float = 0.3, nam
     """All columns of docs with score (0 to 1) and predicted (1 if score >= floor) for every whole text; null counts as empty.
 
     `names` names the two; columns of docs that have these names are replaced.
+    Rows that repeat are scored each for themselves; a tie with the floor is
+    predicted 1; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     columns = [c for c in docs.columns if c not in names]
