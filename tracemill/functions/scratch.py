@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Seconds between two collections of the driver's garbage.
+COLLECT_EVERY = 5.0
+_collected = 0.0
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and broadcasts of finished steps: it does so when the driver's references to
+    them have been collected, which by itself happens every half hour."""
+    global _collected
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def stored(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """df written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation.
 
@@ -27,6 +42,7 @@ def stored(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    collect_garbage(df.sparkSession)  # before the step, when nothing of earlier ones is held any more
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -38,3 +54,15 @@ def drop_stored(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession, *names: str) -> None:
+    """Deletes stored tables under spark.checkpoint.dir by name, or all that this library has left there; no result that reads them may be used afterwards."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
+    files = top.getFileSystem(conf)
+    if files.exists(top):
+        for status in files.listStatus(top):
+            own = re.fullmatch(r"(.+)-[0-9a-f]{32}", status.getPath().getName())
+            if own and (not names or own[1] in names):
+                files.delete(status.getPath(), True)
