@@ -22,7 +22,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 #: Seconds between two collections of the driver's garbage.
-COLLECT_EVERY = 5.0
+COLLECT_EVERY = 1.0
 _collected = 0.0
 
 
