@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import decontaminate, katz, licenses, mixing, nearest, packing, passages, quality, simhash, tokens, topk
+from tracemill.llm import alignment, conversations, decontaminate, katz, licenses, mixing, nearest, packing, passages, quality, simhash, tokens, topk
 
 QUERIES = {
     "op1_nearest": nearest.op1_nearest,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_pack": packing.op8_pack,
     "op9_quality": quality.op9_quality,
     "op10_topk": topk.op10_topk,
+    "op11_conversations": conversations.op11_conversations,
+    "op12_alignment": alignment.op12_alignment,
     "op13_decontaminate": decontaminate.op13_decontaminate,
 }
 SQL = {"op5_licenses": licenses.OP5_SQL, "op10_topk": topk.OP10_SQL, "op13_decontaminate": decontaminate.OP13_SQL}

@@ -20,7 +20,7 @@ CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 FAR = 0xC6
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: itself if it is visible, else the next one from U+0100."""
     visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     hidden = [b for b in range(256) if b not in visible]
@@ -62,7 +62,7 @@ class Encoder:
         made = [model["vocab"][a + b] for a, b in model["merges"]]
         if made != sorted({*made}) or len(model["vocab"]) != len(made) + 256:
             return None
-        byte = _byte_of()
+        byte = byte_of()
         return {bytes(byte[c] for c in t): i for t, i in model["vocab"].items()}
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
