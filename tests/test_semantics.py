@@ -9,7 +9,6 @@ from tracemill.functions.predicate import PredicateError, where
 from tracemill.jobs.graphs import verdict
 from tracemill.operators import evalstats, eventlog, graph, ledger, records, retrieval, sinks, state, symbols
 from tracemill.sources import files
-from tracemill.streaming import monitors
 
 
 @pytest.fixture(scope="module")
@@ -209,26 +208,6 @@ def test_never_paired_leaves_out_what_comes_along(spark):
     assert few == {("a", "d", 1), ("b", "d", 1), ("c", "a", 1), ("d", "a", 1), ("e", "a", 1)}
 
 
-def test_duplicate_monitor_over_batches(spark, tmp_path):
-    """Three batches of files: repeats count over batches, telling resets them, twice at most."""
-    at = lambda m: f"2024-01-01 00:{m:02}:00"
-    batches = [[("d", 1, at(0)), ("d", 1, at(1)), ("e", 1, at(1))], [("d", 1, at(2)), ("d", 2, at(2)), ("d", 2, at(3)), ("e", 2, at(3))], [("d", 2, at(4)), ("d", 1, at(4)), ("d", 1, at(5))], [("d", 1, at(6))] * 5]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, "who string, design int, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    got = [(r["who"], r["n_duplicate"]) for r in monitors.duplicate_monitor(stream, "who", ["design"], "ts").orderBy("n_duplicate").collect()]
-    assert got == [("d", 3), ("d", 6)]
-
-
-def test_changes_over_batches(spark, tmp_path):
-    for i, rows in enumerate([[(1, 1, "a"), (1, 2, "a"), (2, 3, "b")], [(1, 4, "a"), (1, 5, "c"), (2, 6, "b")], [(1, 7, "c"), (3, 8, "a")]]):
-        spark.createDataFrame(rows, "user_id long, event_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    assert sorted(r["event_id"] for r in monitors.changes(stream).collect()) == [1, 3, 5, 8]
-
-
 def test_tiers_and_aliases(spark):
     rows = [("pkg.Data.store", "pkg.Data", "Save the rows.", "", "method", False), ("pkg.store_all", "", "Write.", "", "function", False), ("pkg.restored", "", "Undo.", "", "class", False), ("pkg._x.store", "", "Hidden.", "", "class", True), ("pkg.Sampler", "", "Draws points.", "parameters", "class", False)]
     df = spark.createDataFrame(rows, "key string, owner string, summary string, body string, kind string, private boolean")

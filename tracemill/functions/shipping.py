@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +28,8 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("tracemill", os.path.relpath(full, top)))
     sc.addPyFile(path)
     sc._tracemill_shipped = True
+
+
+def by_value(module: str) -> None:
+    """Sends what a module defines along with what uses it: the driver's own Python processes for streams look in no shipped file."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracemill.functions.scratch import scratch
 from tracemill.operators import ledger as led, sinks
+from tracemill.operators.eventlog import parse_jsonl
 from tracemill.sources import files as op
 from tracemill.sources.frames import CALLS_SQL, KEYS, LEDGER_SQL, LOG_SQL, calls, ledger, log, table
+from tracemill.sources.tail import opened, tail_jsonl
+from tracemill.streaming import keyed, monitors
 
 _TYPES = {**{k: "long" for k in KEYS}, "quantity": "double", "discount": "double", "tax": "double", "price": "double"}
 
@@ -53,6 +57,70 @@ def jsonl_union(spark, d):
     return op.scan_jsonl(spark, f"{root}/calls.*.jsonl", "call_id long, role string, model string, input_tokens long, cost double", "pid")
 
 
+def _grow(rows, root, cut):
+    """Log files under a root (columns log, at and value) as they are when what is before `cut` has been written and the line behind it by half."""
+    def run(batches):
+        system, top = opened(root)
+        system.create_dir(top)
+        now = out = None
+        for batch in batches:
+            for log, at, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if log != now:
+                    if out:
+                        out.close()
+                        system.move(f"{top}/.{now}", f"{top}/{now}.jsonl")
+                    now, out = log, system.open_output_stream(f"{top}/.{log}")
+                if at < cut:
+                    out.write(value.encode() + b"\n")
+                elif not out.closed:
+                    out.write(value.encode()[:9])
+                    out.close()
+        if now is not None:
+            out.close()
+            system.move(f"{top}/.{now}", f"{top}/{now}.jsonl")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([0])})
+
+    rows.repartition("log").sortWithinPartitions("log", "at").select("log", "at", "value").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def _tailed(spark, logs, last, build, name, n=3):
+    """Lets logs grow in steps; after each the stream that build() makes of their root goes on from its checkpoint."""
+    place = scratch(spark, name)
+    for i in range(n):
+        for sub, rows in logs.items():
+            _grow(rows, f"{place}/{sub}", (last + 1) * (i + 1) // n)
+        out = monitors.run(build(place), name, place=f"{place}/run")
+    return out
+
+
+def jsonl_tail(spark, d):
+    """Events that four growing files of JSON lines gain, their last line torn until it is whole."""
+    e = table(spark, d, "events")
+    line = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    logs = e.select(F.concat(F.lit("events."), (F.col("user_id") % 4).cast("string")).alias("log"), F.col("event_id").alias("at"), line.alias("value"))
+    build = lambda place: parse_jsonl(tail_jsonl(spark, f"{place}/in/events.*.jsonl", range_bytes=1 << 18), "event_id long, user_id long, event_type string, value double").drop("file", "at")
+    return _tailed(spark, {"in": logs}, _last(e, "event_id"), build, "tail")
+
+
+def _last(df, column):
+    return df.agg(F.max(column)).first()[0] or 0
+
+
+def live_fan_in(spark, d):
+    """One stream of a run's delegations, diagnostics and status, each a growing log: changed delegations, all diagnostics, a status once."""
+    r = log(spark, d)
+    session = F.expr("k div 40").alias("session_started_at")
+    of = lambda name, rows, *columns: rows.select(F.lit(name).alias("log"), F.col("pos").alias("at"), F.to_json(F.struct(*columns)).alias("value"))
+    logs = {
+        "delegations": of("log", r.filter("pos % 5 > 0"), "id", "pos", "status", session, F.col("to_node").alias("payload")),
+        "diagnostics": of("log", r.filter("pos % 5 = 0"), "pos", F.col("id").alias("payload")),
+        "statuses": of("log", r.filter("pos % 50 = 0"), F.col("from_node").alias("run"), "pos", "status"),
+    }
+    schemas = {"delegations": "id string, pos long, status string, session_started_at long, payload string", "diagnostics": "pos long, payload string", "statuses": "run string, pos long, status string"}
+    build = lambda place: keyed.fan_in(*[parse_jsonl(tail_jsonl(spark, f"{place}/{k}/*.jsonl"), schemas[k]) for k in logs])
+    return _tailed(spark, logs, _last(r, "pos"), build, "fan-in", 2)
+
+
 def newest_first(spark, d):
     return op.newest(table(spark, d, "events").select("event_id", "user_id", "event_type"), "event_id")
 
@@ -130,7 +198,7 @@ def kpi_append(spark, d):
     return sinks.append_kpi(path, c.select("delegation_id", F.lit("r2").alias("run"), "calls", "cost"))
 
 
-QUERIES = {f.__name__: f for f in (csv_ledger, store_glob, namespace_evals, jsonl_union, newest_first, object_entries, strict_ledger, front_matter, commit_files, ledger_append, pool_ingest, log_append, kpi_append)}
+QUERIES = {f.__name__: f for f in (csv_ledger, store_glob, namespace_evals, jsonl_union, jsonl_tail, live_fan_in, newest_first, object_entries, strict_ledger, front_matter, commit_files, ledger_append, pool_ingest, log_append, kpi_append)}
 
 _L = f"WITH {LEDGER_SQL}"
 _K = ", ".join(KEYS)
@@ -138,6 +206,11 @@ SQL = {
     "csv_ledger": f"{_L} SELECT {_K}, quantity, price, nullif(_delegation_id, '') AS _delegation_id, 'of \"' || _namespace || '\",' || chr(10) || 'line ' || line_no AS note FROM ledger",
     "store_glob": f"{_L} SELECT {_K}, CASE WHEN _namespace <> 'R' THEN quantity END AS quantity, CASE WHEN _namespace = 'N' THEN discount END AS discount, CASE WHEN _namespace = 'R' THEN tax END AS tax, price, CASE _namespace WHEN 'A' THEN 'default' ELSE _namespace END AS _namespace FROM ledger",
     "namespace_evals": f"{_L} SELECT CASE _namespace WHEN 'A' THEN 'default' ELSE _namespace END AS _namespace, count(*) AS n_evals FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000' GROUP BY 1",
+    "jsonl_tail": "SELECT event_id, user_id, event_type, value FROM events",
+    "live_fan_in": f"""WITH {LOG_SQL}, r AS (SELECT *, k // 40 AS session_started_at FROM log), d AS (SELECT *, lag(status) OVER w AS s, lag(session_started_at) OVER w AS q, row_number() OVER w AS n FROM r WHERE pos % 5 > 0 WINDOW w AS (PARTITION BY id ORDER BY pos)),
+        o AS (SELECT from_node, min(pos) AS pos FROM r WHERE pos % 50 = 0 GROUP BY 1)
+        SELECT 'delegation' AS kind, id, pos, status, session_started_at, to_node AS payload FROM d WHERE n = 1 OR s IS DISTINCT FROM status OR q IS DISTINCT FROM session_started_at
+        UNION ALL SELECT 'diagnostic', NULL, pos, NULL, NULL, id FROM r WHERE pos % 5 = 0 UNION ALL SELECT 'run_status', from_node, pos, status, NULL, NULL FROM o JOIN r USING (from_node, pos)""",
     "jsonl_union": f"WITH {CALLS_SQL} SELECT call_id, role, model, input_tokens, cost, CAST(call_id % 4 AS VARCHAR) AS pid FROM calls WHERE call_id % 7 <> 0 AND call_id % 11 <> 0",
     "newest_first": "SELECT event_id, user_id, event_type, (SELECT count(*) FROM events) AS n_total FROM events ORDER BY event_id DESC LIMIT 400",
     "object_entries": f"WITH {LOG_SQL} SELECT id, 'e' || pos AS name, status, k FROM log WHERE substring(id, -1, 1) <> '0'",

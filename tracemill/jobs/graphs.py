@@ -6,10 +6,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracemill.functions.html import meta_content, page_text as extract
+from tracemill.functions.scratch import scratch
 from tracemill.functions.shipping import ship
 from tracemill.operators import graph as op
 from tracemill.sources.frames import table
-from tracemill.streaming import monitors
+from tracemill.streaming import keyed, monitors
 
 
 def _edges(spark, d):
@@ -113,21 +114,39 @@ def events_dedup(spark, d):
     return monitors.run(monitors.first_of_hour(monitors.event_stream(spark, f"{d}/events*.parquet")), "dedup")
 
 
+def _in_slices(spark, d, name, build, n=3):
+    """Runs a stream over events that come in slices: each slice is written, and the stream goes on from its checkpoint."""
+    e = table(spark, d, "events")
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    place = scratch(spark, name)
+    for i in range(n):
+        cuts = [low + (high + 1 - low) * k // n for k in (i, i + 1)] if high is not None else [0, 0]
+        e.filter((F.col("event_id") >= cuts[0]) & (F.col("event_id") < cuts[1])).write.mode("append").parquet(f"{place}/in")
+        out = monitors.run(build(monitors.event_stream(spark, f"{place}/in", 1000)), name, place=place)
+    return out
+
+
 def stream_change(spark, d):
-    return monitors.changes(monitors.event_stream(spark, f"{d}/events*.parquet"))
+    return _in_slices(spark, d, "changes", keyed.changes)
 
 
 def stream_dup_monitor(spark, d):
-    """Users who repeat an event of the same type and value class, told once three repeats are new."""
-    e = monitors.event_stream(spark, f"{d}/events*.parquet").withColumn("class", F.floor(F.col("value") / 10))
-    return monitors.duplicate_monitor(e, "user_id", ["event_type", "class"], "ts").select("user_id", "n_duplicate")
+    """Users who repeat an event of the same type and value class: told at the third repeat, and once more after three others and a minute."""
+    classed = lambda e: e.withColumn("class", F.floor(F.col("value") / 10))
+    told = _in_slices(spark, d, "duplicates", lambda e: keyed.duplicate_monitor(classed(e), "user_id", ["event_type", "class"], "ts", ("event_id",)))
+    return told.select("user_id", "n_duplicate", F.round(F.col("at") * 1e6).cast("long").alias("at_us"))
+
+
+def stream_stall(spark, d):
+    """Users silent for more than twenty minutes, by event-time timers."""
+    return _in_slices(spark, d, "stalls", lambda e: keyed.stalls(e, "user_id", "ts", 1200.0))
 
 
 def budget_bands(spark, d):
     return monitors.bands(table(spark, d, "events"), "user_id", "event_id", 50)
 
 
-QUERIES = {f.__name__: f for f in (transitive_closure, bfs_layers, tree_path, cooccurrence, top_partners, never_paired, entity_merge, html_extract, html_meta, parse_verdict, page_text, events_tumbling, events_session, events_dedup, stream_change, stream_dup_monitor, budget_bands)}
+QUERIES = {f.__name__: f for f in (transitive_closure, bfs_layers, tree_path, cooccurrence, top_partners, never_paired, entity_merge, html_extract, html_meta, parse_verdict, page_text, events_tumbling, events_session, events_dedup, stream_change, stream_dup_monitor, stream_stall, budget_bands)}
 
 _E = "e AS (SELECT CAST(c_custkey AS BIGINT) AS src, CAST(c_custkey // 2 AS BIGINT) AS dst FROM customer WHERE c_custkey > 0 UNION ALL SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey > 0 AND c_custkey % 5 = 0)"
 _C = "c AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 400 AS item FROM lineitem), pairs AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM c x JOIN c y ON x.k = y.k AND x.item < y.item GROUP BY 1, 2)"
@@ -139,7 +158,12 @@ SQL = {
     "top_partners": f"WITH {_C}, t AS (SELECT a AS item, b AS partner, n FROM pairs UNION ALL SELECT b, a, n FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, partner) AS rank FROM t) SELECT * FROM r WHERE rank <= 6",
     "never_paired": f"""WITH RECURSIVE {_C}, g AS (SELECT DISTINCT p_partkey % 400 AS src, p_partkey % 400 * 2 AS dst FROM part WHERE p_partkey % 400 > 0 AND p_partkey % 400 < 200), cl AS (SELECT src, dst FROM g UNION SELECT cl.src, g.dst FROM cl JOIN g ON cl.dst = g.src), k AS (SELECT item, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 8), i AS (SELECT DISTINCT item FROM c),
         u AS (SELECT a AS item, b AS other FROM pairs UNION SELECT b, a FROM pairs UNION SELECT item, item FROM i), f AS (SELECT * FROM u UNION SELECT u.item, cl.dst FROM u JOIN cl ON u.other = cl.src), x AS (SELECT i.item, k.item AS other, k.n FROM i CROSS JOIN k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.item = i.item AND f.other = k.item)), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, other) AS rank FROM x) SELECT * FROM r WHERE rank <= 6""",
-    "stream_dup_monitor": "WITH x AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type || '/' || CAST(floor(value / 10) AS BIGINT)) AS m FROM events GROUP BY 1) SELECT user_id, n - m AS n_duplicate FROM x WHERE n - m >= 3",
+    "stream_dup_monitor": """WITH x AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type, floor(value / 10) ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM x WHERE k > 1), f AS (SELECT user_id, n, t FROM r WHERE n = 3),
+        g AS (SELECT r.user_id, min(r.n) AS n FROM r JOIN f USING (user_id) WHERE r.n >= 6 AND r.t - f.t >= 60000000 GROUP BY 1)
+        SELECT user_id, n AS n_duplicate, t AS at_us FROM f UNION ALL SELECT user_id, n, t FROM g JOIN r USING (user_id, n)""",
+    "stream_stall": """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events), n AS (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS after FROM e)
+        SELECT user_id, t AS since_ms FROM n WHERE after - t > 1200000 UNION ALL SELECT user_id, t FROM n WHERE after IS NULL AND t + 1200000 <= (SELECT max(t) - 600000 FROM e)""",
     "entity_merge": """WITH RECURSIVE t AS (SELECT doc_id, md5(text) AS doi, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]', '', 'g') AS title FROM documents),
         n AS (SELECT doc_id, 'd' || doi AS name FROM t UNION ALL SELECT doc_id, 't' || title FROM t WHERE length(title) > 20), m AS (SELECT name, min(doc_id) AS least FROM n GROUP BY 1),
         l AS (SELECT DISTINCT doc_id AS a, least AS b FROM n JOIN m USING (name)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT doc_id AS id, doc_id AS seen FROM t UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a) SELECT id AS doc_id, min(seen) AS cluster FROM r GROUP BY 1""",

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.functions.scratch import scratch, stored
+from tracemill.functions.scratch import scratch
 from tracemill.functions.shipping import ship
 
 
@@ -20,18 +18,21 @@ def event_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Processes what there is and reads the result; its place and its offsets are in the shared folder."""
+def run(stream: DataFrame, name: str, mode: str = "append", place: str | None = None) -> DataFrame:
+    """Processes what there is and reads the result; its rows, place and state are in the shared folder.
+
+    A later call with the same place goes on behind what earlier ones have processed, as after a restart.
+    """
     spark = stream.sparkSession
-    out = scratch(spark, name)
-    writer = stream.writeStream.option("checkpointLocation", scratch(spark, f"{name}-offsets")).outputMode(mode).trigger(availableNow=True)
+    place = place or scratch(spark, name)
+    out = f"{place}/rows"
+    writer = stream.writeStream.option("checkpointLocation", f"{place}/offsets").outputMode(mode).trigger(availableNow=True)
     if mode == "complete":
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     else:
         query = writer.format("parquet").option("path", out).start()
     query.awaitTermination()
-    fields = [f for f in stream.schema]
-    return spark.read.schema(stream.schema).parquet(out).select(*[f.name for f in fields])
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -51,80 +52,6 @@ def first_of_hour(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return hours.dropDuplicates(["user_id", "event_type", "hour"]).select("user_id", "event_type", F.unix_seconds("hour").alias("hour"))
 
 
-def in_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]], schema: str) -> DataFrame:
-    """Runs step(batch, state) -> (rows, new state) over the micro-batches of a stream and reads all rows.
-
-    State and rows are tables in the shared folder, a folder for each batch: a
-    batch that is run again after a failure overwrites what it left, from the
-    state of the batch before.
-    """
-    spark = stream.sparkSession
-    out, kept = scratch(spark, name), scratch(spark, f"{name}-state")
-
-    def work(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        rows, state = step(batch, session.read.parquet(f"{kept}/after-{number - 1}") if number else None)
-        state.write.mode("overwrite").parquet(f"{kept}/after-{number}")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    stream.writeStream.option("checkpointLocation", scratch(spark, f"{name}-offsets")).trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
-    return spark.read.schema(schema).parquet(out).select(*[f.name for f in spark.createDataFrame([], schema).schema])
-
-
-def changes(events: DataFrame, group: str = "user_id", order: str = "event_id", watched: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    """Rows at which one of a group's watched fields differs from the row before; the first row of a group counts.
-
-    Within a batch rows are compared in order; what a group had last is kept
-    for the next batch.
-    """
-    same = F.struct(*watched)
-
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        session = batch.sparkSession
-        last = session.createDataFrame([], batch.select(group, order, same.alias("last")).schema) if state is None else state
-        before = F.lag(same).over(Window.partitionBy(group).orderBy(order))
-        rows = batch.select(group, order, *watched).join(last.select(group, F.col("last").alias("_last")), group, "left")
-        rows = rows.withColumn("_before", F.coalesce(before, "_last")).filter(~F.col("_before").eqNullSafe(same)).select(group, order, *watched)
-        both = last.unionByName(batch.select(group, order, same.alias("last")))
-        return rows, both.groupBy(group).agg(F.max_by("last", order).alias("last"), F.max(order).alias(order)).select(group, order, "last")
-
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    return in_batches(events, "changes", step, ", ".join(f"{c} {kinds[c]}" for c in (group, order, *watched)))
-
-
-def duplicate_monitor(rows: DataFrame, group: str, design: list[str], at: str, threshold: int = 3, cap: int = 2, cool: float = 60.0) -> DataFrame:
-    """Delegations that evaluate designs again: group, n_duplicate (so far) and at, a row each time a delegation is told.
-
-    A batch's new duplicates are its rows of designs that the delegation has
-    already had. They count from one telling to the next; at `threshold` it is
-    told, `cap` times at most and not within `cool` seconds of the rows' own
-    clock (`at`, a timestamp). Once it has been told `cap` times nothing counts.
-    """
-
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        session = batch.sparkSession
-        # one table holds both: designs seen (n), and under no design the counters of a group
-        counters = ["n_duplicate long", "counter long", "told long", "last double"]
-        keys = batch.select(group, F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in design]).alias("design"), F.unix_micros(at).alias("_at"))
-        kind = batch.schema[group].dataType.simpleString()
-        was = session.createDataFrame([], f"{group} {kind}, design string, " + ", ".join(counters)) if state is None else state
-        new = stored(keys.groupBy(group, "design").agg(F.count("*").alias("n"), F.max("_at").alias("_at")), "batch-designs")
-        seen = was.filter("design is not null").select(group, "design", F.lit(True).alias("_seen"))
-        fresh = new.join(seen, [group, "design"], "left").groupBy(group).agg(F.sum(F.col("n") - F.when(F.col("_seen"), 0).otherwise(1)).alias("_new"), (F.max("_at") / 1e6).alias("_now"))
-        old = was.filter("design is null").drop("design")
-        both = old.join(fresh, group, "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_duplicate", "counter", "told", "_new")})
-        counter = F.col("counter") + F.when(F.col("told") < cap, F.col("_new")).otherwise(0)
-        tell = (F.col("_new") > 0) & (F.col("told") < cap) & (counter >= threshold) & (F.col("last").isNull() | (F.col("_now") - F.col("last") >= cool))
-        after = both.select(group, (F.col("n_duplicate") + F.col("_new")).alias("n_duplicate"), counter.alias("_c"), tell.alias("_tell"), "told", "last", "_now")
-        after = stored(after, "batch-counters")
-        totals = after.select(group, F.lit(None).cast("string").alias("design"), "n_duplicate", F.when(F.col("_tell"), 0).otherwise(F.col("_c")).alias("counter"), (F.col("told") + F.col("_tell").cast("int")).alias("told"), F.when(F.col("_tell"), F.col("_now")).otherwise(F.col("last")).alias("last"))
-        designs = was.filter("design is not null").unionByName(new.join(seen, [group, "design"], "left_anti").select(group, "design"), allowMissingColumns=True)
-        return after.filter("_tell").select(group, "n_duplicate", F.col("_now").alias("at")), designs.unionByName(totals)
-
-    return in_batches(rows, "duplicates", step, f"{group} {rows.schema[group].dataType.simpleString()}, n_duplicate long, at double")
-
-
 def bands(events: DataFrame, group: str, order: str, budget: int, shares: tuple[float, ...] = (0.8, 1.0, 1.5)) -> DataFrame:
     """Rows at which a group's running count first reaches each share of its budget."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(order))
