@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -138,11 +140,25 @@ def pieces_path() -> str:
     return public_tokenizers.path(PIECES)
 
 
-def _text(a_ids: np.ndarray, b_ids: np.ndarray, a: Csr, b: Csr) -> list[str]:
-    """Groups as `a1,a2|b1`."""
-    left, right = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    i, j = a.starts.tolist(), b.starts.tolist()
-    return [",".join(left[i[k] : i[k + 1]]) + "|" + ",".join(right[j[k] : j[k + 1]]) for k in range(len(i) - 1)]
+#: What stands behind a token's id in a list of groups: the next of its side, B's side, the next group.
+MARKS = ",|;"
+
+
+@cache
+def marked(n: int) -> list[str]:
+    """Every id below n with every mark, at 3 * id + mark."""
+    return [f"{i}{m}" for i in range(n) for m in MARKS]
+
+
+def in_groups(a_ids: np.ndarray, b_ids: np.ndarray, a: Csr, b: Csr) -> np.ndarray:
+    """The ids of groups `a1,a2|b1;...` in writing order, as places in marked()."""
+    out = np.empty(len(a_ids) + len(b_ids), np.int64)
+    left, right = 3 * a_ids, 3 * b_ids
+    left[a.starts[1:] - 1] += 1
+    right[b.starts[1:] - 1] += 2
+    out[np.arange(len(a_ids)) + np.repeat(b.starts[:-1], np.diff(a.starts))] = left
+    out[np.arange(len(b_ids)) + np.repeat(a.starts[1:], np.diff(b.starts))] = right
+    return out
 
 
 def alignments(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -173,7 +189,9 @@ def alignments(docs: DataFrame, byte_path: str | None = None, piece_path: str |
         in_a, in_b = groups_of(a_ends, b_ends)
         last_a = np.concatenate([[0], np.cumsum(n_a)])
         cut = np.searchsorted(in_a.starts, last_a)  # the first group of each text, and the end
-        groups = _text(a_ids, b_ids, in_a, in_b)
+        name, ends = marked(max(len(a.bytes), len(b.bytes))), np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        written = in_groups(a_ids, b_ids, in_a, in_b).tolist()
+        groups = ["".join([name[k] for k in written[i:j]])[:-1] for i, j in zip(ends, ends[1:])]
         shared = np.add.reduceat(in_a.sums() * in_b.sums(), cut[:-1])
         n_links = np.diff(links.starts[last_a])
         text_of = np.repeat(np.arange(len(found)), n_links)
@@ -183,7 +201,7 @@ def alignments(docs: DataFrame, byte_path: str | None = None, piece_path: str |
         first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text_of[1:] != text_of[:-1])]))
         times = np.diff(np.append(first, len(pair)))
         counts = np.stack([n_a, n_b, np.diff(cut), n_links, shared])
-        return counts, [";".join(groups[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())], pair[first], times, np.bincount(text_of[first], minlength=len(found))
+        return counts, groups, pair[first], times, np.bincount(text_of[first], minlength=len(found))
 
     def run(batches):
         a, b = model(ByteLevel, byte_path), model(Pieces, piece_path)
