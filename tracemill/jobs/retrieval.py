@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.columns import normal_title, slug, words
-from tracemill.operators import evalstats, retrieval as op, symbols
+from tracemill.functions.scratch import scratch
+from tracemill.functions.stem import STEP_2, STEP_3, STEP_4
+from tracemill.operators import evalstats, retrieval as op, symbols, textindex
 from tracemill.sources.frames import PAPERS_SQL, papers, table
 
 TERMS = ["the", "thation", "wh", "der", "que"]
@@ -17,9 +19,22 @@ def _questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words("text").alias("terms"))
 
 
-def _bm25(spark, d):
+def _indexed(spark, docs, fields, stems=False, parts=1):
+    """The index of documents by paper_id, in segments."""
+    path = scratch(spark, "index")
+    for i in range(parts):
+        textindex.add_segment(docs.filter(F.col("paper_id") % parts == i) if parts > 1 else docs, "paper_id", fields, path, stems)
+    return textindex.read_index(spark, path)
+
+
+def _bm25(spark, d, k):
+    """The k best papers of each benchmark item by all its words."""
     docs = papers(spark, d).select("paper_id", words("text").alias("tokens"))
-    return op.bm25(docs, _questions(spark, d), "paper_id", "tokens")
+    return textindex.best(_indexed(spark, docs, {"tokens": 1.0}), _questions(spark, d), k, key="paper_id")
+
+
+#: Scores of fields: a question's words count once.
+FIELDS = textindex.Scoring(1.2, 0.75, False, "classic")
 
 
 def _fixed(spark, terms):
@@ -40,7 +55,7 @@ def semi_fulltext(spark, d):
 
 
 def bm25_rank(spark, d):
-    return op.ranked(_bm25(spark, d), "query_id", "paper_id", 10).select("query_id", "paper_id", F.round("score", 6).alias("score"), "rank")
+    return _bm25(spark, d, 10).select("query_id", "paper_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_boosted(spark, d):
@@ -63,7 +78,7 @@ def cosine_topk(spark, d):
 
 def rrf_fusion(spark, d):
     """Dense and lexical ranks of each query; benchmark item n is the text of the query of vector 20 n."""
-    lexical = op.ranked(_bm25(spark, d).select((F.col("query_id") * 20).alias("query_id"), F.col("paper_id").alias("vec_id"), "score"), "query_id", "vec_id", 40)
+    lexical = _bm25(spark, d, 40).select((F.col("query_id") * 20).alias("query_id"), F.col("paper_id").alias("vec_id"), "score", "rank")
     return op.ranked(op.fuse(_dense(spark, d, 40), lexical, "query_id", "vec_id", 1000), "query_id", "vec_id", 20, digits=12).select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -101,20 +116,26 @@ def code_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(symbols.code_tokens("text")).alias("n_tokens"), F.md5(F.array_join(symbols.code_tokens("text"), " ")).alias("tokens"))
 
 
-def _field_scores(spark, d):
+def field_bm25(spark, d):
     docs = papers(spark, d).select("paper_id", words("title").alias("title"), F.array("lang", "source").alias("tags"), words("text").alias("body"))
-    return symbols.field_bm25(docs, _questions(spark, d), "paper_id", {"title": 8.0, "tags": 4.0, "body": 1.0})
+    found = textindex.best(_indexed(spark, docs, {"title": 8.0, "tags": 4.0, "body": 1.0}), _questions(spark, d), 10, FIELDS, key="paper_id", digits=6)
+    return found.select("query_id", "paper_id", F.round("score", 5).alias("score"), "rank")
 
 
-def field_bm25(spark, d):
-    return op.ranked(_field_scores(spark, d), "query_id", "paper_id", 10, digits=6).select("query_id", "paper_id", F.round("score", 5).alias("score"), "rank")
+def fts_rank(spark, d):
+    """Stems in title, second line and text, from an index of two segments."""
+    lines = F.split("text", "\n")
+    docs = papers(spark, d).select("paper_id", words("title").alias("title"), words(F.coalesce(F.get(lines, 1), F.lit(""))).alias("abstract"), words("text").alias("body"))
+    found = textindex.best(_indexed(spark, docs, {"title": 8.0, "abstract": 4.0, "body": 1.0}, True, 2), _questions(spark, d), 10, FIELDS, key="paper_id", stems=True, digits=6)
+    return found.select("query_id", "paper_id", F.round("score", 5).alias("score"), "rank")
 
 
 def title_first(spark, d):
     """Papers whose title is the query stand before those that are ranked."""
     titles = papers(spark, d).select("paper_id", normal_title("title").alias("t"))
     q = papers(spark, d).groupBy(normal_title("title").alias("t")).agg(F.min("paper_id").alias("query_id")).filter("query_id % 20 = 0")
-    scores = op.bm25(papers(spark, d).select("paper_id", words("text").alias("tokens")), q.select("query_id", words("t").alias("terms")), "paper_id", "tokens")
+    docs = papers(spark, d).select("paper_id", words("text").alias("tokens"))
+    scores = textindex.best(_indexed(spark, docs, {"tokens": 1.0}), q.select("query_id", words("t").alias("terms")), 5, key="paper_id")
     return symbols.exact_first(scores, q.join(titles, "t"), "query_id", "paper_id", 5)
 
 
@@ -175,7 +196,7 @@ def _gold(spark, d):
 
 
 def retrieval_metrics(spark, d):
-    ranked = op.ranked(_bm25(spark, d), "query_id", "paper_id", 5)
+    ranked = _bm25(spark, d, 5)
     scored = evalstats.metrics(ranked, _gold(spark, d), "query_id", "paper_id").withColumn("tier", F.concat(F.lit("t"), F.col("query_id") % 2))
     out = evalstats.summary(scored, "tier")
     return out.select("tier", "n_queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "rr")])
@@ -206,7 +227,7 @@ def bootstrap_ci(spark, d):
     return evalstats.bootstrap_difference(lab, "a", "b", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (tokenize, chunk_words, semi_fulltext, bm25_rank, bm25_boosted, cosine_topk, rrf_fusion, overlap_rank, tiered_rank, match_count_rank, substring_context, like_all_terms, pool_scores, norm_title, derive_id, invert_index, corpus_profile, corpus_drift, exact_resolve, code_tokens, field_bm25, title_first, retrieval_metrics, gold_unreachable, mcnemar, wilson, pearson, bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (tokenize, chunk_words, semi_fulltext, bm25_rank, bm25_boosted, cosine_topk, rrf_fusion, overlap_rank, tiered_rank, match_count_rank, substring_context, like_all_terms, pool_scores, norm_title, derive_id, invert_index, corpus_profile, corpus_drift, exact_resolve, code_tokens, field_bm25, fts_rank, title_first, retrieval_metrics, gold_unreachable, mcnemar, wilson, pearson, bootstrap_ci)}
 
 
 def _words(c: str) -> str:
@@ -229,6 +250,37 @@ def _bm25_sql(docs: str, key: str) -> str:
   s AS (SELECT query_id, {key}, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))) AS score FROM pt JOIN dfs USING (term) JOIN qt USING (term), z GROUP BY 1, 2)"""
 
 
+def _stems_sql(source: str) -> str:
+    """CTEs up to stems(word, stem) of source(word): the stemmer's steps as patterns, one after another."""
+    c, v = "[^aeiou]", "[aeiouy]"
+    cs, vs = c + "[^aeiouy]*", v + "[aeiou]*"
+    more0, more1, one, vowel, closed = f"^({cs})?{vs}{cs}", f"^({cs})?{vs}{cs}{vs}{cs}", f"^({cs})?{vs}{cs}({vs})?$", f"^({cs})?{v}", f"^{cs}{v}[^aeiouwxy]$"
+    like = lambda w, p: f"regexp_matches({w}, '{p}')"
+    cut = lambda n: f"left(w, length(w) - {n})"
+
+    def swap(table: dict[str, str]) -> str:
+        suffix = lambda: "regexp_extract(w, '^.+?(" + "|".join(table) + ")$', 1)"
+        to = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items())
+        rest = f"left(w, length(w) - length({suffix()}))"
+        return f"CASE WHEN {suffix()} <> '' AND {like(rest, more0)} THEN {rest} || CASE {suffix()} {to} END ELSE w END"
+
+    off = "regexp_extract(w, '^.+?(" + "|".join(x for x in STEP_4 if x != "ion") + ")$', 1)"
+    kept = f"left(w, length(w) - length({off}))"
+    steps = [
+        f"CASE WHEN {like('w', '^.+(ss|i)es$')} THEN {cut(2)} WHEN {like('w', '^.+[^s]s$')} THEN {cut(1)} ELSE w END",
+        f"CASE WHEN {like('w', '^.+eed$')} THEN CASE WHEN {like(cut(3), more0)} THEN {cut(1)} ELSE w END WHEN {like('w', '^.+ed$')} AND {like(cut(2), vowel)} THEN {cut(2)} || '+' WHEN {like('w', '^.+ing$')} AND {like(cut(3), vowel)} THEN {cut(3)} || '+' ELSE w END",
+        f"CASE WHEN NOT ends_with(w, '+') THEN w WHEN {like('w', '(at|bl|iz)[+]$')} THEN {cut(1)} || 'e' WHEN length(w) > 2 AND w[-2] = w[-3] AND {like('w[-2]', '[^aeiouylsz]')} THEN {cut(2)} WHEN {like(cut(1), closed)} THEN {cut(1)} || 'e' ELSE {cut(1)} END",
+        f"CASE WHEN {like('w', '^.+y$')} AND {like(cut(1), vowel)} THEN {cut(1)} || 'i' ELSE w END",
+        swap(STEP_2), swap(STEP_3),
+        f"CASE WHEN {off} <> '' THEN CASE WHEN {like(kept, more1)} THEN {kept} ELSE w END WHEN {like('w', '^.+[st]ion$')} AND {like(cut(3), more1)} THEN {cut(3)} ELSE w END",
+        f"CASE WHEN {like('w', '^.+e$')} AND ({like(cut(1), more1)} OR {like(cut(1), one)} AND NOT {like(cut(1), closed)}) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN {like('w', 'll$')} AND {like('w', more1)} THEN {cut(1)} ELSE w END",
+    ]
+    out = [f"st0 AS (SELECT DISTINCT word, CASE WHEN starts_with(word, 'y') THEN 'Y' || substr(word, 2) ELSE word END AS w FROM {source} WHERE length(word) > 2 AND strlen(word) <= 64)"]
+    out += [f"st{i} AS (SELECT word, {e} AS w FROM st{i - 1})" for i, e in enumerate(steps, 1)]
+    return ", ".join(out) + f", stems AS (SELECT word, replace(w, 'Y', 'y') AS stem FROM st{len(steps)})"
+
+
 _DOCS = f"d AS (SELECT paper_id, {_words('text')} AS tokens FROM papers)"
 _COS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), vn AS (SELECT *, sqrt(list_dot_product(e, e)) + 1e-9 AS m FROM v),
   c AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / (a.m * b.m) AS score FROM vn a, vn b WHERE a.vec_id % 20 = 0)"""
@@ -263,6 +315,10 @@ SQL = {
     "field_bm25": f"""{_P}, {_QUESTIONS}, f AS (SELECT paper_id, {_words('title')} AS a, [lang, source] AS b, {_words('text')} AS c FROM papers), z AS (SELECT paper_id, len(a) + len(b) + len(c) AS dl FROM f), zz AS (SELECT count(*) AS n, avg(dl) AS av FROM z), qt AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM q),
         e AS (SELECT paper_id, 8.0::DOUBLE AS w, unnest(a) AS term FROM f UNION ALL SELECT paper_id, 4.0, unnest(b) FROM f UNION ALL SELECT paper_id, 1.0, unnest(c) FROM f), tf AS (SELECT paper_id, term, sum(w) AS tf FROM e WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
         s AS (SELECT query_id, paper_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM tf JOIN df USING (term) JOIN qt USING (term) JOIN z USING (paper_id), zz GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, paper_id) - 1 AS rank FROM s) SELECT query_id, paper_id, round(score, 5) AS score, rank FROM r WHERE rank < 10""",
+    "fts_rank": f"""{_P}, {_QUESTIONS}, f AS (SELECT paper_id, {_words('title')} AS a, {_words("coalesce(string_split(text, chr(10))[2], '')")} AS b, {_words('text')} AS c FROM papers), z AS (SELECT paper_id, len(a) + len(b) + len(c) AS dl FROM f), zz AS (SELECT count(*) AS n, avg(dl) AS av FROM z),
+        ew AS (SELECT paper_id, 8.0::DOUBLE AS w, unnest(a) AS word FROM f UNION ALL SELECT paper_id, 4.0, unnest(b) FROM f UNION ALL SELECT paper_id, 1.0, unnest(c) FROM f), qw AS (SELECT query_id, unnest(terms) AS word FROM q), aw AS (SELECT word FROM ew UNION SELECT word FROM qw), {_stems_sql('aw')},
+        e AS (SELECT paper_id, w, coalesce(stem, word) AS term FROM ew LEFT JOIN stems USING (word)), qt AS (SELECT DISTINCT query_id, coalesce(stem, word) AS term FROM qw LEFT JOIN stems USING (word)), tf AS (SELECT paper_id, term, sum(w) AS tf FROM e WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        s AS (SELECT query_id, paper_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM tf JOIN df USING (term) JOIN qt USING (term) JOIN z USING (paper_id), zz GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, paper_id) - 1 AS rank FROM s) SELECT query_id, paper_id, round(score, 5) AS score, rank FROM r WHERE rank < 10""",
     "title_first": rf"""{_P}, t AS (SELECT paper_id, trim(regexp_replace(lower(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '*', '')), '\s+', ' ', 'g'), ' ') AS t FROM papers), qq AS (SELECT t, min(paper_id) AS query_id FROM t GROUP BY 1), q AS (SELECT query_id, t, {_words('t')} AS terms FROM qq WHERE query_id % 20 = 0), {_DOCS}, {_bm25_sql('d', 'paper_id')},
         x AS (SELECT query_id, paper_id, true AS exact, 0 AS score FROM q JOIN t USING (t) UNION ALL SELECT query_id, paper_id, false, round(score, 9) FROM s), o AS (SELECT query_id, paper_id, bool_or(exact) AS exact, max(score) AS score FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, CASE WHEN exact THEN 0 ELSE -score END, paper_id) - 1 AS rank FROM o) SELECT query_id, paper_id, exact, rank FROM r WHERE rank < 5""",
     "corpus_drift": f"""{_P}, l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM papers), m AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE len({_words('line')}) >= 5) / count(*) AS prose, count(*) FILTER (WHERE contains(line, 'License')) AS marked FROM l WHERE lang IN ('en', 'de') GROUP BY 1), c AS (SELECT lang, count(*) AS t FROM papers GROUP BY 1),
