@@ -17,8 +17,8 @@ PIECES = "piece_bpe_32k.model"
 CHUNK = 500_000
 #: Id pairs up to which their counts (32 bytes each) are sent to all tasks; more meet the documents by a shuffled join.
 MOST_PAIRS = 500_000
-#: An id pair as one number: A's id times this and B's id.
-RADIX = 1 << 24
+#: An id pair as one number: A's id times this and B's id; vocabularies are smaller.
+RADIX = 1 << 20
 
 
 class Csr:
@@ -49,12 +49,15 @@ class Csr:
 
     def times(self, other: Csr) -> Csr:
         """The product, row by row after Gustavson: an entry (i, k) adds its multiple of the other's row k to row i. All rows' sums are gathered at once and equal columns added up."""
-        sizes = np.diff(other.starts)[self.columns]
-        total = int(sizes.sum())
-        inside = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        source = np.repeat(other.starts[self.columns], sizes) + inside
-        row, column = np.repeat(self.rows(), sizes), other.columns[source]
-        value = np.repeat(self.values, sizes) * other.values[source]
+        sizes = np.diff(other.starts)
+        if len(sizes) and sizes.min() == sizes.max() == 1:  # a byte is in one token: an entry meets one other
+            row, column, value = self.rows(), other.columns[self.columns], self.values * other.values[self.columns]
+        else:
+            sizes = sizes[self.columns]
+            inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            source = np.repeat(other.starts[self.columns], sizes) + inside
+            row, column = np.repeat(self.rows(), sizes), other.columns[source]
+            value = np.repeat(self.values, sizes) * other.values[source]
         key = row * max(1, other.width) + column
         if len(key) and (key[1:] < key[:-1]).any():  # rows of spans come in order
             order = np.argsort(key, kind="stable")
@@ -195,9 +198,8 @@ def alignments(docs: DataFrame, byte_path: str | None = None, piece_path: str |
         shared = np.add.reduceat(in_a.sums() * in_b.sums(), cut[:-1])
         n_links = np.diff(links.starts[last_a])
         text_of = np.repeat(np.arange(len(found)), n_links)
-        pair = a_ids[links.rows()] * RADIX + b_ids[links.columns]
-        order = np.lexsort([pair, text_of])
-        pair, text_of = pair[order], text_of[order]
+        pair = np.sort(text_of * RADIX**2 + a_ids[links.rows()] * RADIX + b_ids[links.columns])
+        text_of, pair = np.divmod(pair, RADIX**2)
         first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text_of[1:] != text_of[:-1])]))
         times = np.diff(np.append(first, len(pair)))
         counts = np.stack([n_a, n_b, np.diff(cut), n_links, shared])
