@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracemill.llm import mixing, nearest, packing, passages, simhash, tokens, topk
+from tracemill.llm import mixing, nearest, packing, passages, quality, simhash, tokens, topk
 from tracemill.llm.licenses import scan
 from tracemill.llm.vectors import queries_of
 
@@ -371,6 +371,38 @@ def test_ties_go_to_smaller_ids(spark):
         assert found == {(q, n + 1): i for q in (0, 40, 80) for n, i in enumerate([i for i in range(0, 120, 4) if i != q][:7])}
 
 
+def test_thousands_of_copies_of_a_vector(spark):
+    """More equal candidates than are kept or reranked: the smallest ids are found, and a task keeps k of them for a query."""
+    rng = np.random.default_rng(6)
+    v = np.concatenate([np.tile(np.round(rng.normal(size=16), 2), (5000, 1)), 0.1 * rng.normal(size=(500, 16))])[rng.permutation(5500)]
+    norm = (v**2).sum(1)
+    copies = np.flatnonzero(np.abs(norm - np.median(norm)) < 1e-12)
+    rows = _vectors(spark, v).repartition(3)
+    asked = rows.filter(F.col("id").isin(copies[[3, 900, 4000]].tolist()))
+    sizes = []
+    for got in (topk.top_k(rows, asked, 10, seen=lambda t: sizes.append(t.count())), nearest.search(rows, asked, 10)):
+        found = {(r["query_id"], r["rank"]): r["vec_id"] for r in got.collect()}
+        assert found == {(q, n + 1): i for q in copies[[3, 900, 4000]] for n, i in enumerate([i for i in copies if i != q][:10])}
+    assert sum(sizes) <= 3 * 10 * rows.rdd.getNumPartitions()
+
+
+def test_training_rows_are_bounded(spark):
+    """One doc_id of a thousand rows: as many as are asked for are fitted on, and rows that are alike are one."""
+    docs = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("words of text "), F.col("id") % 300).alias("text"))
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    sizes = []
+    fit = quality.fit
+    quality.fit = lambda slots, stats, y: sizes.append(len(y)) or fit(slots, stats, y)
+    try:
+        quality.train(docs, labels, 50), quality.train(docs, labels)
+        quality.MAX_BYTES, most = 200, quality.MAX_BYTES
+        quality.train(docs, labels)
+        quality.MAX_BYTES = most
+    finally:
+        quality.fit = fit
+    assert sizes[:2] == [50, 300] and 0 < sizes[2] < 50
+
+
 @pytest.mark.parametrize("clusters", [0, 50])
 def test_nearest_recall_with_few_reranked(spark, clusters):
     """20,000 vectors of which 2 % are reranked; 200 of them are queries."""

@@ -68,8 +68,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, seen:
     what is known is a first bound. Phase 2 broadcasts its share for each list
     as a cutoff: a row below it in all lists can't reach the bound. The sums of
     entries above it give a better bound, and rows whose best possible sum
-    reaches that are candidates (`seen` gets the table of a group's). Phase 3
-    joins the candidates' vectors by key and resolves their scores.
+    reaches that are candidates. Phase 3 adds up a candidate's other lists where
+    it stands, by which a task keeps k for each query, of equal sums those of
+    smaller ids (`seen` gets the table of a group's), and joins their vectors
+    by key for scores in whole numbers.
 
     Rows with the query's id are its own and no candidates; ties go to the
     smaller vec_id; rows that repeat an id are candidates each for itself. A
@@ -134,18 +136,32 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, seen:
                     most = sums + (lists - over.sum(0)) * (first[at, None] / lists)
                     best.add(np.where(own, -np.inf, sums), id_)
                     q, r = np.nonzero(over.any(0) & ~own & (most * (1 + 1e-12) >= second[at, None]))
-                    for c, v in zip(kept, (q + at.start, id_[r], sums[q, r], most[q, r])):
+                    total = above[:, q, r].sum(0)  # the candidates' other lists stand here too
+                    each, low = local[:, q, r], floor[:, q + at.start]
+                    exact = (total < 2**53) & np.all([(y == np.floor(y)) & (np.abs(y) < 2**52) for y in (each, low)], axis=(0, 1))
+                    for c, v in zip(kept, (q + at.start, id_[r], np.where(exact, total, sums[q, r]), np.where(exact, total, most[q, r]))):
                         c.append(v)
                 best.merge()
                 if best.score.shape[1] == k:
                     second = np.maximum(second, np.where(np.isfinite(best.score.min(1)), best.score.min(1), 0))
-                kept = [[np.concatenate(c)] for c in kept]
-                still = kept[3][0] * (1 + 1e-12) >= second[kept[0][0]]
-                kept = [[c[0][still]] for c in kept]
+                kept = [[c] for c in leading([np.concatenate(c) for c in kept], second)]
             if kept[0]:
                 q, id_, sums, most = (c[0] for c in kept)
                 yield pa.RecordBatch.from_pydict({"q": q.astype(np.int32), "vec_id": id_, "sum": sums, "most": most})
 
+        def leading(kept: list[np.ndarray], second: np.ndarray) -> list[np.ndarray]:
+            """Of candidates with known sums each query's k best by sum and id, whose k-th raises its bound; of others those that may reach the bound."""
+            q, id_, sums, most = kept
+            order = np.lexsort([id_, -sums, sums != most, q])
+            known = (sums == most)[order]
+            group = q[order] * 2 + ~known
+            starts = np.searchsorted(group, group)
+            place = np.arange(len(order)) - starts
+            at_k = known & (place == k - 1)
+            second[q[order[at_k]]] = np.maximum(second[q[order[at_k]]], sums[order[at_k]])
+            still = np.where(known, place < k, True) & (most[order] * (1 + 1e-12) >= second[q[order]])
+            return [c[order[still]] for c in kept]
+
         entries = stored(rows.select("id", "v").mapInArrow(tidied(collect), "q int, vec_id long, sum double, most double"), "entries")
         best_sums = Window.partitionBy("q").orderBy(F.desc("sum"))
         second = entries.withColumn("n", F.row_number().over(best_sums)).filter(F.col("n") == k).select("q", F.col("sum").alias("second"))

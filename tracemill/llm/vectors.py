@@ -60,7 +60,7 @@ def query_groups(queries: DataFrame, most: int = GROUP, size: int = GROUP_BYTES)
 
 
 class Best:
-    """The k best candidates of each of some queries, over batches: scores and ids, of equal scores any. -inf is no candidate."""
+    """The k best candidates of each of some queries, over batches: scores and ids, of equal scores those of smaller ids. -inf is no candidate."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
@@ -71,6 +71,11 @@ class Best:
         if score.shape[1] <= self.k:
             return score, ids
         top = np.argpartition(score, score.shape[1] - self.k, axis=1)[:, -self.k :]
+        kth = np.take_along_axis(score, top[:, :1], 1)  # where the partition is cut
+        ties = (score == kth).sum(1)
+        for i in np.flatnonzero((ties > (np.take_along_axis(score, top, 1) == kth).sum(1)) & (kth[:, 0] > -np.inf)):
+            above, same = np.flatnonzero(score[i] > kth[i]), np.flatnonzero(score[i] == kth[i])
+            top[i] = np.append(above, same[np.argsort(ids[i, same], kind="stable")[: self.k - len(above)]])
         return np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1)
 
     def add(self, score: np.ndarray, ids: np.ndarray) -> None:
