@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import LOWER, ship, tidied
+from tracemill.llm.shared import LOWER, give_back, ship, stored, tidied
 
 #: Slots for hashed words; the slots of the structure statistics follow them.
 SLOTS = 1 << 17
@@ -18,6 +18,8 @@ BINS = 16
 RANK = 8
 #: Most labelled rows that the model is fitted on: those with the smallest hashes of their doc_id.
 MAX_TRAIN = 24_000
+#: Bytes of features that the driver fits on.
+MAX_BYTES = 256 << 20
 
 _LETTERS = np.array([chr(b).isalpha() and b < 128 or b >= 0xC3 for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -135,8 +137,9 @@ def fold(key: Column, n: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, folds: int = 5) -> FactorisationMachine:
     """Fits on at most `most` labelled rows outside fold 0, a bounded sample by hash; repeated labels of a document count once.
 
-    Of repeated labels the highest quality counts, and each row that repeats a
-    doc_id is an example with its own text. Null and empty texts are examples;
+    Of repeated labels the highest quality counts. Rows that repeat a doc_id
+    with other texts are examples of their own, rows that are alike are one; of
+    all these the `most` of smallest hashes, and features of MAX_BYTES, are taken. Null and empty texts are examples;
     labels without a doc_id or a quality are none. Without rows of both labels
     every score is the share of label 1 (1/2 for empty tables). Other columns don't matter.
     """
@@ -146,15 +149,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, folds: int
 
     def run(batches):
         for batch in batches:
-            found = [text_features(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["slots", "stats", "y"])
-
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(tidied(run), "slots binary, stats array<double>, y int").toArrow()
+            found = [text_features(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], names=["h", "slots", "stats", "y"])
+
+    chosen = docs.join(F.broadcast(known), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "quality")
+    found = stored(chosen.mapInArrow(tidied(run), "h long, slots binary, stats array<double>, y int"), "training-features")
+    sizes = found.groupBy("h").agg(F.max(F.octet_length("slots")).alias("n")).orderBy("h").limit(most).toArrow()
+    fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), MAX_BYTES, "right"))  # a doc_id may repeat, and texts may be long
+    some = found.filter(F.col("h") <= int(sizes["h"][fits - 1].as_py())) if fits else found.limit(0)
+    rows = some.dropDuplicates(["h"]).select("slots", "stats", "y").toArrow()
     slots = [np.frombuffer(s, np.int32) for s in rows["slots"].to_pylist()]
     stats = np.array(rows["stats"].to_pylist(), np.float64).reshape(-1, STATS)
     y = (rows["y"].to_numpy() > 0).astype(np.float32)
     by = np.lexsort([y, *stats.T])  # the order of arrival must not matter
-    return fit([slots[i] for i in by], stats[by], y[by])
+    model = fit([slots[i] for i in by], stats[by], y[by])
+    del rows, slots, stats
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: FactorisationMachine, floor: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
