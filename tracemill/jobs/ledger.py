@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.columns import content_revision, round_half_even
 from tracemill.functions.predicate import where
-from tracemill.operators import ledger as op
+from tracemill.operators import ledger as op, pool
 from tracemill.sources.frames import INPUTS, KEYS, LEDGER_SQL, LOG_SQL, ledger, log, table
 
 WHERE = "quantity * 2 >= 40 and (discount != 0.05 or not tax > 0.02) & (price < 60000)"
@@ -143,10 +143,19 @@ def eval_reconcile(spark, d):
     return op.reconcile(claims, ledger(spark, d))
 
 
-def nn_lookup(spark, d):
-    pool = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
+def _lookups(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
     candidates = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50 + 0.4).alias("a"), (F.col("s_acctbal") / 10 + 900).alias("b"))
-    return op.nearest_pool_row(candidates, pool, ["a", "b"], "s_suppkey", "p_partkey").withColumn("distance2", F.round("distance2", 6))
+    return pool.nearest_pool_row(candidates, rows, ["a", "b"], "s_suppkey", "p_partkey").withColumn("distance2", F.round("distance2", 6))
+
+
+def nn_lookup(spark, d):
+    return _lookups(spark, d)
+
+
+def lookup_repeats(spark, d):
+    """Lookups that a pool row answers which has answered one before."""
+    return pool.repeated(_lookups(spark, d), "p_partkey", ["s_suppkey"]).filter("repeated").select("s_suppkey", "p_partkey")
 
 
 def best_so_far(spark, d):
@@ -181,7 +190,7 @@ def objective_eval(spark, d):
 
 _HASH_ROW = "CASE WHEN price IS NULL THEN 'null' ELSE printf('%.10f', round_even(price, 10)) END"
 
-QUERIES = {f.__name__: f for f in (ledger_where, ledger_filter, ledger_project, best_n, list_limit, store_union, rows_per_group, output_stats, wall_per_group, total_evals, unstamped_rows, ledger_breakdown, duplicate_stats, subset_match, dedup_keep_first, store_guard, store_supersede, content_hash, column_kind, orphan_rows, eval_reconcile, nn_lookup, best_so_far, budget_snapshot, append_only, design_key, content_rev, objective_eval, query_explain, default_columns, numeric_matrix, mean_wall, objective_range, row_join)}
+QUERIES = {f.__name__: f for f in (lookup_repeats, ledger_where, ledger_filter, ledger_project, best_n, list_limit, store_union, rows_per_group, output_stats, wall_per_group, total_evals, unstamped_rows, ledger_breakdown, duplicate_stats, subset_match, dedup_keep_first, store_guard, store_supersede, content_hash, column_kind, orphan_rows, eval_reconcile, nn_lookup, best_so_far, budget_snapshot, append_only, design_key, content_rev, objective_eval, query_explain, default_columns, numeric_matrix, mean_wall, objective_range, row_join)}
 
 _L = f"WITH {LEDGER_SQL}"
 _K = ", ".join(KEYS)
@@ -212,13 +221,15 @@ SQL = {
     "row_join": f"{_L} SELECT DISTINCT {_K}, {', '.join(INPUTS)}, price FROM (SELECT DISTINCT {_K}, {', '.join(INPUTS)}, price, _ts FROM ledger)",
     "store_guard": "SELECT count(*) AS n_old, count(*) AS n_new, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_custkey % 9 = 0) AS n_unfinished, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_custkey % 9 = 0) = 0 AS allowed FROM orders",
     "store_supersede": f"{_L} SELECT {_K}, quantity, CASE WHEN part_id % 10 = 3 THEN price + 1 ELSE price END AS price FROM ledger",
-    "content_hash": f"{_L}, e AS (SELECT _namespace, sha256({_HASH_ROW}) AS h, count(*) AS n FROM ledger GROUP BY 1, 2), p AS (SELECT _namespace, substring(h, 1, 3) AS p, sha256(string_agg(h || ':' || n, '|' ORDER BY h)) AS d, sum(n) AS n FROM e GROUP BY 1, 2) SELECT _namespace, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, '|' ORDER BY p)) AS content_hash FROM p GROUP BY 1",
+    "content_hash": f"{_L}, e AS (SELECT _namespace, sha256('a' || {_HASH_ROW}) || sha256('b' || {_HASH_ROW}) AS h FROM ledger) SELECT _namespace, count(*) AS n_rows, sha256(concat_ws(',', count(*), " + ", ".join(f"sum(CAST(('0x' || substring(h, {1 + 8 * i}, 8))::BIGINT AS HUGEINT)) % 18446744073709551616" for i in range(16)) + ")) AS content_hash FROM e GROUP BY 1",
     "column_kind": f"""{_L} SELECT 'price' AS "column", 'numeric' AS kind, count(price) AS n FROM ledger UNION ALL SELECT 'flag', CASE WHEN count(*) FILTER (WHERE (CASE WHEN line_no > 3 THEN 1.0 ELSE 0.0 END) NOT IN (0, 1)) = 0 THEN 'binary' ELSE 'numeric' END, count(*) FROM ledger
         UNION ALL SELECT '_source', CASE WHEN count(TRY_CAST(_source AS DOUBLE)) = count(*) THEN 'numeric' ELSE 'label' END, count(*) FROM ledger UNION ALL SELECT 'quantity', CASE WHEN count(*) FILTER (WHERE quantity NOT IN (0, 1)) = 0 THEN 'binary' ELSE 'numeric' END, count(*) FROM ledger""",
     "orphan_rows": f"WITH {LEDGER_SQL}, {LOG_SQL} SELECT _delegation_id, count(*) AS n_rows FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000' AND _delegation_id NOT IN (SELECT printf('D%03d', CAST(substring(id, 2, 6) AS BIGINT) * 2) AS x FROM log) GROUP BY 1",
     "eval_reconcile": f"{_L}, c AS (SELECT printf('D%03d', s_suppkey) AS id, s_suppkey % 4 * 100 AS claimed, s_nationkey % 2 = 0 AS registered FROM supplier), s AS (SELECT _delegation_id AS id, count(*) AS n FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000' GROUP BY 1) SELECT id, claimed, coalesce(n, 0) AS n_stamped, CASE WHEN coalesce(n, 0) > 0 THEN n WHEN claimed > 0 AND registered THEN 0 ELSE claimed END AS n_evals, claimed > 0 AND coalesce(n, 0) = 0 AND registered AS off_ledger FROM c LEFT JOIN s USING (id)",
     "nn_lookup": """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part), w AS (SELECT CASE WHEN max(a) > min(a) THEN max(a) - min(a) ELSE 1 END AS sa, CASE WHEN max(b) > min(b) THEN max(b) - min(b) ELSE 1 END AS sb FROM p),
         x AS (SELECT s_suppkey, p_partkey, round(pow((s_suppkey % 50 + 0.4::DOUBLE - a) / sa, 2.0) + pow((s_acctbal / 10 + 900 - b) / sb, 2.0), 12) AS d FROM supplier, p, w), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, p_partkey) AS n FROM x) SELECT s_suppkey, p_partkey, round(d, 6) AS distance2 FROM r WHERE n = 1""",
+    "lookup_repeats": """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part), w AS (SELECT CASE WHEN max(a) > min(a) THEN max(a) - min(a) ELSE 1 END AS sa, CASE WHEN max(b) > min(b) THEN max(b) - min(b) ELSE 1 END AS sb FROM p),
+        x AS (SELECT s_suppkey, p_partkey, round(pow((s_suppkey % 50 + 0.4::DOUBLE - a) / sa, 2.0) + pow((s_acctbal / 10 + 900 - b) / sb, 2.0), 12) AS d FROM supplier, p, w), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, p_partkey) AS n FROM x), f AS (SELECT * FROM r WHERE n = 1) SELECT s_suppkey, p_partkey FROM f WHERE s_suppkey > (SELECT min(s_suppkey) FROM f g WHERE g.p_partkey = f.p_partkey)""",
     "best_so_far": f"{_L} SELECT {_K}, min(CASE WHEN abs(price) < 1e8 THEN price END) OVER (PARTITION BY _namespace, _source, supp_id ORDER BY {_K} ROWS UNBOUNDED PRECEDING) AS best_so_far FROM ledger",
     "budget_snapshot": f"{_L} SELECT _delegation_id, count(*) AS used, greatest(550 - count(*), 0) AS remaining, count(*) >= 550 AS exhausted FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000' GROUP BY 1",
     "append_only": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 50 = 0 THEN 'X' ELSE o_orderstatus END FROM orders WHERE o_orderkey % 100 <> 7",

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracemill.functions.columns import natural_key, stamped, token_estimate
+from tracemill.operators.ordered import MOST_ROWS, previous, running_count
 
 
 def parse_jsonl(lines: DataFrame, schema: T.StructType | str, column: str = "value") -> DataFrame:
@@ -93,10 +94,9 @@ def change_from_previous(df: DataFrame, group: list[str], order: list[str], valu
     return df.withColumn(name, F.col(value) - F.lag(value).over(Window.partitionBy(*group).orderBy(*order)))
 
 
-def gaps(df: DataFrame, group: str, ts: str, order: str) -> DataFrame:
+def gaps(df: DataFrame, group: str, ts: str, order: str, most_rows: int = MOST_ROWS) -> DataFrame:
     """Each row with the microseconds since the group's row before."""
-    before = F.lag(ts).over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("gap_us", F.timestamp_diff("MICROSECOND", before, F.col(ts)))
+    return previous(df, "_before_ts", ts, [group], [order], most_rows).withColumn("gap_us", F.timestamp_diff("MICROSECOND", F.col("_before_ts"), F.col(ts))).drop("_before_ts")
 
 
 def proxies(df: DataFrame, group: str, is_error: Column, message: str, ts: str, order: str) -> DataFrame:
@@ -108,11 +108,11 @@ def proxies(df: DataFrame, group: str, is_error: Column, message: str, ts: str,
     return stats.join(listed, group, "left")
 
 
-def align_calls(df: DataFrame, group: str, order: str, is_call: Column, is_result: Column, text: str) -> DataFrame:
+def align_calls(df: DataFrame, group: str, order: str, is_call: Column, is_result: Column, text: str, most_rows: int = MOST_ROWS) -> DataFrame:
     """The nth call of a group beside its nth result; a call without one has null."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    call = df.filter(is_call).select(group, nth.alias("n"), F.col(order).alias("call_at"), F.col(text).alias("call"))
-    result = df.filter(is_result).select(group, nth.alias("n"), F.col(order).alias("result_at"), F.col(text).alias("result"))
+    nth = lambda some: running_count(df.filter(some).select(group, order, text), "n", [group], [order], most_rows)
+    call = nth(is_call).select(group, "n", F.col(order).alias("call_at"), F.col(text).alias("call"))
+    result = nth(is_result).select(group, "n", F.col(order).alias("result_at"), F.col(text).alias("result"))
     return call.join(result, [group, "n"], "left")
 
 

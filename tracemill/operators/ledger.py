@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tracemill.functions.columns import SENTINEL, nan_to_null, round_half_even, stamped
 from tracemill.functions.predicate import where
-from tracemill.functions.scratch import stored
+from tracemill.operators.ordered import MOST_ROWS, medians, running_min
 
 POOL_ID, POOL_SOURCE = "D000", "precomputed_pool"
 
@@ -74,10 +74,12 @@ def output_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("output").agg(F.min("value").alias("least"), F.max("value").alias("largest"), F.avg("value").alias("mean"))
 
 
-def wall_per_group(df: DataFrame, group: str = "_delegation_id", wall: str = "_wall_ms") -> DataFrame:
+def wall_per_group(df: DataFrame, group: str = "_delegation_id", wall: str = "_wall_ms", most_rows: int = MOST_ROWS) -> DataFrame:
     """Count, exact median, maximum and sum of wall times; the pool's rows and unstamped ones are left out."""
     rows = df.filter(stamped(group) & (F.col(group) != POOL_ID) & (F.coalesce(F.col("_source"), F.lit("")) != POOL_SOURCE))
-    return rows.groupBy(group).agg(F.count(wall).alias("n"), F.median(wall).alias("median_ms"), F.max(wall).alias("max_ms"), F.sum(wall).alias("sum_ms"))
+    stats = rows.groupBy(group).agg(F.count(wall).alias("n"), F.max(wall).alias("max_ms"), F.sum(wall).alias("sum_ms"))
+    middle = medians(rows, [group], wall, most_rows).withColumnRenamed("median", "median_ms")
+    return stats.join(middle, group, "left").select(group, "n", "median_ms", "max_ms", "sum_ms")
 
 
 def total_evaluations(df: DataFrame) -> DataFrame:
@@ -191,23 +193,42 @@ def supersede(store: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return store.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def content_hash(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
-    """A hash of each group's rows, rounded, whatever their order: a tree of SHA-256 over the sorted digests of the rows.
+#: Words of 32 bits of a row's digest that are added up.
+WORDS = 16
+
 
-    A node of the tree holds what its up to 4096 children have; its depth
-    follows from the number of different rows, so no task gathers more.
+def content_state(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
+    """Of each group n rows and sums (modulo 2^64) of the 32-bit words of the SHA-256 of its rows, rounded, behind `a` and behind `b`.
+
+    Sums are combined before the shuffle and don't depend on order, on parts
+    or on other groups; states of two sets of rows add up to that of both (merged()).
     """
-    group = group or []
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.format_string("%.10f", round_half_even(F.col(c).cast("double"))), F.lit("null")) for c in columns]), 256)
-    each = stored(df.select(*group, row.alias("h")).groupBy(*group, "h").agg(F.count("*").alias("n")), "row-digests")
-    depth = 1
-    while each.count() > 4096 ** (depth + 1):
-        depth += 1
-    level = each.select(*group, F.col("h").alias("p"), F.concat("h", F.lit(":"), "n").alias("d"), "n")
-    for digits in range(3 * depth, -1, -3):
-        digest = F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"])), 256)
-        level = level.groupBy(*group, F.substring("p", 1, digits).alias("p")).agg(digest.alias("d"), F.sum("n").alias("n"))
-    return level.select(*group, F.col("n").alias("n_rows"), F.col("d").alias("content_hash"))
+    row = F.concat_ws("|", *[F.coalesce(F.format_string("%.10f", round_half_even(F.col(c).cast("double"))), F.lit("null")) for c in columns])
+    digest = F.concat(*[F.sha2(F.concat(F.lit(x), row), 256) for x in "ab"])
+    hashed = df.select(*(group or []), digest.alias("_h"))
+    sums = [F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")) for i in range(WORDS)]
+    return _wrapped(hashed.groupBy(*(group or [])), F.count("*"), sums, group or [])
+
+
+def merged(states: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """One state for each group of several sets of rows."""
+    return _wrapped(states.groupBy(*(group or [])), F.sum("n"), [F.sum(F.element_at("sums", i + 1)) for i in range(WORDS)], group or [])
+
+
+def _wrapped(grouped, n: Column, sums: list[Column], group: list[str]) -> DataFrame:
+    out = grouped.agg(n.alias("n"), *[F.coalesce(s, F.lit(0)).cast("decimal(38,0)").alias(f"_s{i}") for i, s in enumerate(sums)])
+    return out.select(*group, F.coalesce("n", F.lit(0)).alias("n"), F.array(*[(F.col(f"_s{i}") % F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)") for i in range(WORDS)]).alias("sums"))
+
+
+def state_hash(state: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """The hash that stands for a state: SHA-256 of its count and sums."""
+    text = F.concat_ws(",", F.col("n").cast("string"), F.transform("sums", lambda s: s.cast("string")))
+    return state.select(*(group or []), F.col("n").alias("n_rows"), F.sha2(text, 256).alias("content_hash"))
+
+
+def content_hash(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
+    """A hash of each group's rows, rounded, whatever their order, that follows from these rows alone."""
+    return state_hash(content_state(df, columns, group), group)
 
 
 def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -232,30 +253,9 @@ def reconcile(claims: DataFrame, ledger: DataFrame) -> DataFrame:
     return out.select("id", "claimed", "n_stamped", F.when(F.col("n_stamped") > 0, F.col("n_stamped")).when(off, 0).otherwise(F.col("claimed")).cast("long").alias("n_evals"), off.alias("off_ledger"))
 
 
-def nearest_pool_row(candidates: DataFrame, pool: DataFrame, columns: list[str], key: str, pool_key: str, block: int = 4096) -> DataFrame:
-    """The pool row nearest to each candidate, after scaling each column to the pool's range (a column without spread by 1).
-
-    The pool is dealt into blocks of about `block` rows, each an array in one
-    row; a candidate meets each block in a task of its own, and the best of its
-    blocks counts. Ties go to the smaller key.
-    """
-    bounds = pool.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns], F.count("*").alias("n"))
-    low_high = bounds.first()
-    count = max(1, -(-low_high["n"] // block))
-    spread = {c: float(low_high[f"hi_{c}"] - low_high[f"lo_{c}"] or 1) if low_high["n"] else 1.0 for c in columns}
-    rows = F.collect_list(F.struct(F.col(pool_key).alias("k"), *columns))
-    blocks = pool.groupBy(F.pmod(F.xxhash64(pool_key), F.lit(count)).alias("b")).agg(rows.alias("pool"))
-    each = candidates.select(key, *[F.col(c).cast("double").alias(f"x_{c}") for c in columns], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("b"))
-    square = lambda p: reduce(lambda a, b: a + b, [F.pow((F.col(f"x_{c}") - p[c]) / F.lit(spread[c]), F.lit(2.0)) for c in columns])
-    best = F.array_min(F.transform("pool", lambda p: F.struct(F.round(square(p), 12).alias("d"), p["k"].alias("k"))))
-    found = each.join(blocks, "b").select(key, best.alias("s")).groupBy(key).agg(F.min("s").alias("s"))
-    return found.select(key, F.col("s.k").alias(pool_key), F.col("s.d").alias("distance2"))
-
-
-def best_so_far(df: DataFrame, value: str, group: list[str], order: list[str]) -> DataFrame:
-    """Running minimum of the feasible values of each group."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("best_so_far", F.min(F.when(F.abs(value) < SENTINEL, F.col(value))).over(w))
+def best_so_far(df: DataFrame, value: str, group: list[str], order: list[str], most_rows: int = MOST_ROWS) -> DataFrame:
+    """Running minimum of the feasible values of each group, which may have any number of rows."""
+    return running_min(df, "best_so_far", F.when(F.abs(value) < SENTINEL, F.col(value)), group, order, most_rows)
 
 
 def budget_snapshot(df: DataFrame, group: str, budget: int) -> DataFrame:

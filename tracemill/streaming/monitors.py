@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracemill.functions.scratch import scratch
 from tracemill.functions.shipping import ship
+from tracemill.operators.ordered import MOST_ROWS, running_count
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
@@ -52,11 +52,10 @@ def first_of_hour(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return hours.dropDuplicates(["user_id", "event_type", "hour"]).select("user_id", "event_type", F.unix_seconds("hour").alias("hour"))
 
 
-def bands(events: DataFrame, group: str, order: str, budget: int, shares: tuple[float, ...] = (0.8, 1.0, 1.5)) -> DataFrame:
+def bands(events: DataFrame, group: str, order: str, budget: int, shares: tuple[float, ...] = (0.8, 1.0, 1.5), most_rows: int = MOST_ROWS) -> DataFrame:
     """Rows at which a group's running count first reaches each share of its budget."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
     marks = [(s, -(-int(s * budget * 1000) // 1000)) for s in shares]
-    out = events.withColumn("n", n).filter(F.col("n").isin([m for _, m in marks]))
+    out = running_count(events, "n", [group], [order], most_rows).filter(F.col("n").isin([m for _, m in marks]))
     share = F.coalesce(*[F.when(F.col("n") == m, F.lit(s)) for s, m in marks])
     return out.select(group, order, "n", share.alias("band"))
 
