@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.columns import token_estimate
-from tracemill.operators import evalstats, records, state as op
+from tracemill.functions.scratch import scratch
+from tracemill.operators import evalstats, records, sinks, state as op
 from tracemill.sources.frames import LOG_SQL, log, table
 
 
@@ -59,6 +60,16 @@ def stall(spark, d):
     return op.stalled(e, "user_id", "at", F.lit(10_000).cast("long"), 1200)
 
 
+def claim_readers(spark, d):
+    """Two readers who take turns at orders as notes, each order delivered to one of them."""
+    notes = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    place = scratch(spark, "claims")
+    last = notes.agg(F.max("o_orderkey")).first()[0] or 0
+    for turn in range(8):
+        sinks.claim(notes, place, "ab"[turn % 2], "o_orderkey", last // 8 + 1)
+    return sinks.claimed(notes, place, "o_orderkey")
+
+
 def claim_once(spark, d):
     o = table(spark, d, "orders")
     return op.unclaimed(o.select("o_custkey"), o.filter("o_orderstatus = 'F'").select("o_custkey"), "o_custkey")
@@ -148,7 +159,7 @@ def lost_evidence(spark, d):
     return out.withColumn("change", F.round("change", 9))
 
 
-QUERIES = {f.__name__: f for f in (milestone_seed, milestone_close, milestone_list, question_state, annotate_last, violation_digest, violation_escalate, stall, claim_once, context_plan, section_body, review_gaps, judge_reply, paper_keys, audience, dangling, verdict_tally, status_splice, duration_parse, last_completed, peak_value, power_note, lost_evidence)}
+QUERIES = {f.__name__: f for f in (milestone_seed, milestone_close, milestone_list, question_state, annotate_last, violation_digest, violation_escalate, stall, claim_once, claim_readers, context_plan, section_body, review_gaps, judge_reply, paper_keys, audience, dangling, verdict_tally, status_splice, duration_parse, last_completed, peak_value, power_note, lost_evidence)}
 
 _B = "b AS (SELECT printf('M%03d', s_suppkey) AS id, s_name AS key, CASE WHEN s_acctbal < 0 THEN 'SKIPPED' ELSE 'PENDING' END AS status, CAST(NULL AS VARCHAR) AS note, s_suppkey, s_acctbal FROM supplier WHERE s_nationkey < 12)"
 _V = f"{LOG_SQL}, v AS (SELECT id, upper(status) AS rule, CASE WHEN k % 6 > 0 THEN 'H' || (k % 6) END AS subject, CASE WHEN k % 4 = 0 THEN 'error' ELSE 'warn' END AS severity, 'at ' || pos AS message, pos AS position FROM log)"
@@ -161,6 +172,7 @@ SQL = {
     "violation_digest": f"WITH {_V}, f AS (SELECT *, row_number() OVER (PARTITION BY id, rule, subject ORDER BY severity <> 'error', position) AS i FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY severity <> 'error', position) AS n FROM f WHERE i = 1) SELECT id, string_agg(rule || ' ' || message, chr(10) ORDER BY n) FILTER (WHERE n <= 2) AS head, CASE WHEN max(n) > 2 THEN '+' || (max(n) - 2) || ' more: ' || string_agg(rule || '(' || coalesce(subject, '') || ')', ', ' ORDER BY n) FILTER (WHERE n > 2) END AS digest FROM r GROUP BY 1",
     "violation_escalate": f"WITH {_V}, s AS (SELECT id || '/' || subject AS subject, rule, severity, position // 20 AS round FROM v WHERE subject IS NOT NULL UNION ALL SELECT id, rule, severity, position // 20 FROM v WHERE subject IS NULL), b AS (SELECT subject, count(DISTINCT rule) AS n_rules FROM s GROUP BY 1), e AS (SELECT DISTINCT subject, rule, round FROM s WHERE severity = 'error'), g AS (SELECT subject, rule, round - row_number() OVER (PARTITION BY subject, rule ORDER BY round) AS run FROM e), l AS (SELECT subject, max(n) AS n_repeats FROM (SELECT subject, rule, run, count(*) AS n FROM g GROUP BY 1, 2, 3) GROUP BY 1) SELECT subject, n_rules, coalesce(n_repeats, 0) AS n_repeats FROM b LEFT JOIN l USING (subject) WHERE n_rules >= 5 OR coalesce(n_repeats, 0) >= 3",
     "stall": "SELECT user_id, greatest(10000 - max(event_id), 0) AS idle, 10000 - max(event_id) > 1200 AS stalled FROM events GROUP BY 1",
+    "claim_readers": """WITH o AS (SELECT min(o_orderkey) AS low, max(o_orderkey) // 8 + 1 AS step FROM orders) SELECT o_orderkey, o_custkey, CASE (o_orderkey - low) // step % 2 WHEN 0 THEN 'a' ELSE 'b' END AS reader FROM orders, o""",
     "claim_once": "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "context_plan": """WITH c AS (SELECT conv_id, turn, role, length(text) // 3 + 4 AS cost FROM conversations), h AS (SELECT *, min(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS h FROM c), p AS (SELECT *, coalesce(turn = h, false) AS is_head FROM h),
         u AS (SELECT *, coalesce(max(cost) FILTER (WHERE is_head) OVER (PARTITION BY conv_id), 0) AS spent, sum(CASE WHEN is_head THEN 0 ELSE cost END) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM p), o AS (SELECT *, bool_or(NOT is_head AND spent + used > 80) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS over FROM u),
