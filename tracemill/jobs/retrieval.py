@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.columns import normal_title, slug, words
 from tracemill.functions.scratch import scratch
 from tracemill.functions.stem import STEP_2, STEP_3, STEP_4
-from tracemill.operators import evalstats, retrieval as op, symbols, textindex
+from tracemill.operators import evalstats, retrieval as op, spelling, symbols, textindex
 from tracemill.sources.frames import PAPERS_SQL, papers, table
 
 TERMS = ["the", "thation", "wh", "der", "que"]
@@ -139,6 +139,28 @@ def title_first(spark, d):
     return symbols.exact_first(scores, q.join(titles, "t"), "query_id", "paper_id", 5)
 
 
+def did_you_mean(spark, d):
+    """Words of the benchmark without their third letter, sought among the words of all documents."""
+    vocabulary = papers(spark, d).select(F.explode(words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    asked = _questions(spark, d).select(F.explode("terms").alias("word")).select(F.concat(F.substring("word", 1, 2), F.substring("word", 4, 100)).alias("word"))
+    return spelling.did_you_mean(asked, vocabulary)
+
+
+def keyword_notes(spark, d):
+    """Part types as keywords: every third question has one with a letter too many."""
+    p = table(spark, d, "part").select("p_partkey", F.regexp_replace("p_type", " ", "-").alias("keyword"))
+    asked = p.select("p_partkey", F.concat(F.lit("*"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("keyword"), F.lit("X"))).otherwise(F.col("keyword")), F.lit(" how to")).alias("query"))
+    return spelling.keyword_notes(asked, p, "query", "keyword").distinct()
+
+
+def title_gaps(spark, d):
+    """Names of parts that no order has, for the first two words of every part's name."""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    held = table(spark, d, "lineitem").filter("l_partkey % 3 > 0").select(F.col("l_partkey").alias("p_partkey"))
+    asked = p.select(F.slice(F.split(F.lower("p_name"), " "), 1, 2).alias("terms")).distinct().withColumn("query", F.array_join("terms", " "))
+    return spelling.gaps(p, held, asked, "p_partkey", "p_name", "query", "terms")
+
+
 def match_count_rank(spark, d):
     return op.matches_per_size(papers(spark, d), "text", "th[aeiou]").filter("n_matches > 0").select("paper_id", "n_matches", F.round("per_thousand", 6).alias("per_thousand"))
 
@@ -227,7 +249,7 @@ def bootstrap_ci(spark, d):
     return evalstats.bootstrap_difference(lab, "a", "b", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (tokenize, chunk_words, semi_fulltext, bm25_rank, bm25_boosted, cosine_topk, rrf_fusion, overlap_rank, tiered_rank, match_count_rank, substring_context, like_all_terms, pool_scores, norm_title, derive_id, invert_index, corpus_profile, corpus_drift, exact_resolve, code_tokens, field_bm25, fts_rank, title_first, retrieval_metrics, gold_unreachable, mcnemar, wilson, pearson, bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (tokenize, chunk_words, semi_fulltext, bm25_rank, bm25_boosted, cosine_topk, rrf_fusion, overlap_rank, tiered_rank, match_count_rank, substring_context, like_all_terms, pool_scores, norm_title, derive_id, invert_index, corpus_profile, corpus_drift, exact_resolve, code_tokens, field_bm25, fts_rank, did_you_mean, keyword_notes, title_gaps, title_first, retrieval_metrics, gold_unreachable, mcnemar, wilson, pearson, bootstrap_ci)}
 
 
 def _words(c: str) -> str:
@@ -250,6 +272,11 @@ def _bm25_sql(docs: str, key: str) -> str:
   s AS (SELECT query_id, {key}, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))) AS score FROM pt JOIN dfs USING (term) JOIN qt USING (term), z GROUP BY 1, 2)"""
 
 
+def _one_byte(c: str) -> str:
+    """Lower-case words with a capital for each letter of two bytes: the engine's distance counts bytes."""
+    return f"translate({c}, 'áàâäçéèêëíîïñóôöúùûüßœæãõìò', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
 def _stems_sql(source: str) -> str:
     """CTEs up to stems(word, stem) of source(word): the stemmer's steps as patterns, one after another."""
     c, v = "[^aeiou]", "[aeiouy]"
@@ -319,6 +346,13 @@ SQL = {
         ew AS (SELECT paper_id, 8.0::DOUBLE AS w, unnest(a) AS word FROM f UNION ALL SELECT paper_id, 4.0, unnest(b) FROM f UNION ALL SELECT paper_id, 1.0, unnest(c) FROM f), qw AS (SELECT query_id, unnest(terms) AS word FROM q), aw AS (SELECT word FROM ew UNION SELECT word FROM qw), {_stems_sql('aw')},
         e AS (SELECT paper_id, w, coalesce(stem, word) AS term FROM ew LEFT JOIN stems USING (word)), qt AS (SELECT DISTINCT query_id, coalesce(stem, word) AS term FROM qw LEFT JOIN stems USING (word)), tf AS (SELECT paper_id, term, sum(w) AS tf FROM e WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
         s AS (SELECT query_id, paper_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM tf JOIN df USING (term) JOIN qt USING (term) JOIN z USING (paper_id), zz GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, paper_id) - 1 AS rank FROM s) SELECT query_id, paper_id, round(score, 5) AS score, rank FROM r WHERE rank < 10""",
+    "did_you_mean": f"""{_P}, v AS (SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM papers) GROUP BY 1), a AS (SELECT DISTINCT left(w, 2) || substring(w, 4) AS query FROM (SELECT unnest({_words('text')}) AS w FROM benchmark)),
+        m AS (SELECT query, CASE WHEN length(query) < 3 OR length(query) > 40 THEN 0 WHEN length(query) < 6 THEN 1 ELSE 2 END AS most FROM a WHERE query NOT IN (SELECT word FROM v)),
+        c AS (SELECT query, word, n, levenshtein({_one_byte('query')}, {_one_byte('word')}) AS distance FROM m JOIN v ON abs(length(query) - length(word)) <= most AND levenshtein({_one_byte('query')}, {_one_byte('word')}) <= most), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, n DESC, word) AS rank FROM c) SELECT query, rank, word, distance FROM r WHERE rank <= 3""",
+    "keyword_notes": """WITH p AS (SELECT p_partkey, lower(replace(p_type, ' ', '-')) AS k, replace(p_type, ' ', '-') AS raw FROM part), a AS (SELECT DISTINCT '*' || raw || 'X how to' AS query, k || 'x' AS w FROM p WHERE p_partkey % 3 = 0), v AS (SELECT DISTINCT k FROM p),
+        c AS (SELECT DISTINCT w, v.k, levenshtein(w, v.k) AS d FROM a JOIN v ON levenshtein(w, v.k) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY d, k) AS n FROM c), l AS (SELECT w, string_agg(k, ', ' ORDER BY n) AS near FROM r WHERE n <= 4 GROUP BY 1) SELECT query, 'no keyword *' || w || coalesce('; nearest: ' || near, '') AS note FROM a LEFT JOIN l USING (w)""",
+    "title_gaps": """WITH g AS (SELECT DISTINCT p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 3 > 0)), w AS (SELECT p_name, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS ws FROM g), q AS (SELECT DISTINCT string_split(lower(p_name), ' ')[1:2] AS ts FROM part),
+        m AS (SELECT array_to_string(ts, ' ') AS query, p_name FROM q JOIN w ON list_has_all(ws, ts) WHERE len(list_distinct(ts)) > 1), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY p_name) AS rank FROM m) SELECT query, p_name, rank FROM r WHERE rank <= 5""",
     "title_first": rf"""{_P}, t AS (SELECT paper_id, trim(regexp_replace(lower(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '*', '')), '\s+', ' ', 'g'), ' ') AS t FROM papers), qq AS (SELECT t, min(paper_id) AS query_id FROM t GROUP BY 1), q AS (SELECT query_id, t, {_words('t')} AS terms FROM qq WHERE query_id % 20 = 0), {_DOCS}, {_bm25_sql('d', 'paper_id')},
         x AS (SELECT query_id, paper_id, true AS exact, 0 AS score FROM q JOIN t USING (t) UNION ALL SELECT query_id, paper_id, false, round(score, 9) FROM s), o AS (SELECT query_id, paper_id, bool_or(exact) AS exact, max(score) AS score FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, CASE WHEN exact THEN 0 ELSE -score END, paper_id) - 1 AS rank FROM o) SELECT query_id, paper_id, exact, rank FROM r WHERE rank < 5""",
     "corpus_drift": f"""{_P}, l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM papers), m AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE len({_words('line')}) >= 5) / count(*) AS prose, count(*) FILTER (WHERE contains(line, 'License')) AS marked FROM l WHERE lang IN ('en', 'de') GROUP BY 1), c AS (SELECT lang, count(*) AS t FROM papers GROUP BY 1),
