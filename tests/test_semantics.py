@@ -121,6 +121,9 @@ def test_collapse_and_patches(spark):
 def test_natural_order(spark):
     df = spark.createDataFrame([(x,) for x in ("H10", "H2", "A3", "H1", "H")], "n string")
     assert [r["n"] for r in df.orderBy(*natural_key("n")).collect()] == ["A3", "H", "H1", "H2", "H10"]
+    many = ["v1.10", "v1.9", "v01.9", "v1.9.2", "v10", "v9", "", "7", "v1." + "9" * 30, "v1.1" + "0" * 30, "x"]
+    df = spark.createDataFrame([(x,) for x in many], "n string")
+    assert [r["n"] for r in df.orderBy(*natural_key("n")).collect()] == ["", "7", "v01.9", "v1.9", "v1.9.2", "v1.10", "v1." + "9" * 30, "v1.1" + "0" * 30, "v9", "v10", "x"]
 
 
 def test_components_with_a_late_bridge(spark):
@@ -290,3 +293,15 @@ def test_questions_are_resolved_once(spark):
 def test_paper_keys(spark):
     df = spark.createDataFrame([("10.1/a", "2301.1v3", "A title of more than twenty letters"), ("10.48550/arxiv.1", None, "short"), (None, "", None)], "doi string, arxiv string, title string")
     assert [r[0] for r in df.select(state.paper_keys("doi", "arxiv", "title")).collect()] == [["doi:10.1/a", "arxiv:2301.1", "title:atitleofmorethantwentyletters"], [], []]
+
+
+def test_short_passages_have_holders_too(spark):
+    """Passages of one word, parts of words, empty and null ones, and long ones with words cut at their ends."""
+    text = "the quick brown fox jumps over the lazy dog and then it sleeps\nunder a tree for some hours"
+    docs = spark.createDataFrame([(1, text), (2, "a tree"), (3, None), (4, ""), (5, "xtreex " + text.upper())], "k int, text string")
+    passages = [(1, "tree"), (2, "quick brown"), (3, text[2:80]), (4, ""), (5, None), (6, "absent"), (7, "dog and then it sleeps\nunder a tree for so"), (8, text), (9, "tree")]
+    asked = spark.createDataFrame(passages, "q int, p string")
+    want = {(q, k) for q, p in passages if p for k, t in ((1, text), (2, "a tree"), (5, "xtreex " + text.upper())) if p in t}
+    got = [(r["q"], r["k"]) for r in retrieval.holders(docs, asked, "k", "text", "q", "p").collect()]
+    assert {*got} == want and len(got) == len(want) and len(want) == 10
+    assert retrieval.holders(docs, asked.limit(0), "k", "text", "q", "p").count() == 0

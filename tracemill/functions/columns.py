@@ -55,6 +55,11 @@ def content_revision(text: str | Column) -> Column:
 
 
 def natural_key(text: str | Column) -> list[Column]:
-    """Sort keys under which H2 stands before H10: the prefix, its first number, the text."""
+    """Sort keys under which H2 stands before H10, and a2b3 before a2b10: each run of digits counts as a number, which stands before text; the text itself decides between equals."""
     c = F.col(text) if isinstance(text, str) else text
-    return [F.regexp_extract(c, r"^(\D*)", 1), F.coalesce(F.regexp_extract(c, r"^\D*(\d+)", 1).try_cast("long"), F.lit(-1)), c]
+
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lit("\u0000"), F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(p)
+
+    return [F.transform(F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), 1), part), c]

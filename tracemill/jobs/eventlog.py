@@ -114,7 +114,7 @@ def ordered_distinct(spark, d):
 
 
 def natural_sort(spark, d):
-    names = table(spark, d, "customer").select(F.concat(F.substring("c_mktsegment", 1, 1), F.col("c_custkey")).alias("name"))
+    names = table(spark, d, "customer").select(F.concat(F.substring("c_mktsegment", 1, 1), F.col("c_custkey") % 100, F.lit("-"), F.col("c_custkey")).alias("name"))
     return op.natural_first(names, "name", 60)
 
 
@@ -182,7 +182,7 @@ SQL = {
     "classify_fault": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in FAULTS) + " ELSE 'other' END AS fault FROM conversations",
     "unledgered": f"WITH {LEDGER_SQL}, {LOG_SQL} SELECT id, pos, k, from_node FROM {_LAST.format('')} WHERE status = 'click' AND k > 0 AND from_node <> 'N1' AND id NOT IN (SELECT printf('D%06d', supp_id * 2) FROM ledger)",
     "ordered_distinct": f"{_LOG} SELECT props, min(pos) AS first_pos FROM log GROUP BY 1",
-    "natural_sort": "WITH n AS (SELECT substring(c_mktsegment, 1, 1) || CAST(c_custkey AS VARCHAR) AS name FROM customer) SELECT name FROM n ORDER BY regexp_extract(name, '^([^0-9]*)', 1), CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT), name LIMIT 60",
+    "natural_sort": "SELECT substring(c_mktsegment, 1, 1) || c_custkey % 100 || '-' || c_custkey AS name FROM customer ORDER BY substring(c_mktsegment, 1, 1), c_custkey % 100, c_custkey LIMIT 60",
     "next_ids": "WITH m AS (SELECT c_nationkey AS nation, max(c_custkey) AS m FROM customer GROUP BY 1) SELECT s_nationkey AS nation, s_suppkey, printf('M%08d', coalesce(m, 0) + row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)) AS new_id FROM supplier LEFT JOIN m ON nation = s_nationkey",
     "total_or_unknown": "WITH t AS (SELECT s_nationkey AS nation, coalesce(sum(CASE WHEN s_acctbal > 0 THEN s_acctbal END), 0.0) AS total FROM supplier GROUP BY 1) SELECT n_nationkey AS nation, round(total, 2) AS total FROM nation LEFT JOIN t ON nation = n_nationkey",
     "clamp": "WITH o AS (SELECT *, (o_custkey % 5 - 1) * CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE 100 END AS e FROM orders) SELECT o_orderkey, CASE WHEN e > 0 THEN e WHEN e < 0 THEN NULL ELSE CAST(least(greatest(floor(o_totalprice * 0.25), 512), 65536) AS BIGINT) END AS cap FROM o",

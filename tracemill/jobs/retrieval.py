@@ -206,15 +206,8 @@ def corpus_profile(spark, d):
 
 
 def _gold(spark, d):
-    """Documents that hold a benchmark passage: found through a shared run of 40 characters' hash, then checked."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    n = 8
-    run = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, n), " ")))
-    docs = papers(spark, d).select("paper_id", "text", F.split("text", r"[ \n]+").alias("w")).select("paper_id", F.explode(F.array_distinct(run("w"))).alias("h"))
-    seeds = b.select("query_id", F.split("passage", r"[ \n]+").alias("w")).filter(F.size("w") >= n + 2).select("query_id", F.element_at(run(F.slice("w", 2, n)), 1).alias("h"))
-    near = docs.join(F.broadcast(seeds), "h").select("query_id", "paper_id").distinct()  # benchmark items are few
-    texts = papers(spark, d).select("paper_id", "text")
-    return near.join(texts, "paper_id").join(F.broadcast(b), "query_id").filter(F.contains("text", F.col("passage"))).select("query_id", "paper_id")
+    """Documents that hold a benchmark passage."""
+    return op.holders(papers(spark, d).select("paper_id", "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "paper_id", "text", "query_id", "passage")
 
 
 def retrieval_metrics(spark, d):
@@ -311,7 +304,7 @@ def _stems_sql(source: str) -> str:
 _DOCS = f"d AS (SELECT paper_id, {_words('text')} AS tokens FROM papers)"
 _COS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), vn AS (SELECT *, sqrt(list_dot_product(e, e)) + 1e-9 AS m FROM v),
   c AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / (a.m * b.m) AS score FROM vn a, vn b WHERE a.vec_id % 20 = 0)"""
-_GOLD = "g AS (SELECT item_id AS query_id, paper_id FROM benchmark b JOIN papers p ON contains(p.text, b.text) WHERE len(regexp_split_to_array(b.text, '[ \\n]+')) >= 10)"
+_GOLD = "g AS (SELECT item_id AS query_id, paper_id FROM benchmark b JOIN papers p ON contains(p.text, b.text) AND b.text <> '')"
 _OVER = "(SELECT list_distinct([" + ", ".join(f"'{t}'" for t in TERMS) + "]) AS t)"
 _SYMBOLS = "sy AS (SELECT p_partkey, 'lib.' || replace(lower(p_type), ' ', '_') || '.' || replace(p_name, ' ', '_') || '_' || p_partkey AS key, replace(p_name, ' ', '_') || '_' || p_partkey AS leaf, lower(p_brand) AS owner, lower(p_type) AS s, lower(p_brand || ' ' || p_name) AS b, p_partkey % 3 <> 0 AS other, p_partkey % 10 = 0 AS private FROM part)"
 

@@ -161,14 +161,14 @@ def evaluated(df: DataFrame, evaluator: Callable[..., pd.Series | dict[str, pd.S
 
 
 def within_ttl(cache: DataFrame, key: str, at: str, now: Column, ttl: int, status: str) -> DataFrame:
-    """The newest entry of each key that was stored with status 200 and has not expired (times in seconds)."""
+    """The newest entry of each key that was stored with status 200 and has not expired (times in seconds); of entries of one time always the same."""
     good = cache.filter((F.col(status) == 200) & (now - F.col(at) <= ttl))
     rest = [c for c in cache.columns if c != key]
-    return good.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return good.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(at), F.xxhash64(*rest))).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def add_papers(corpus: DataFrame, fresh: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """New papers of enough text whose id the corpus doesn't have, each once (the longest)."""
+    """New papers of enough text whose id the corpus doesn't have, each once (the longest text, of several the last in the alphabet)."""
     rest = [c for c in fresh.columns if c != key]
     new = fresh.filter(F.char_length(text) > least).join(corpus.select(key).distinct(), key, "left_anti")
-    return new.groupBy(key).agg(F.max_by(F.struct(*rest), F.char_length(text)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return new.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.char_length(text), text)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.functions.columns import words
 from tracemill.functions.scratch import stored
+from tracemill.functions.shipping import ship
 
 K1, B = 1.5, 0.75
 FUSION = 60
@@ -118,6 +120,52 @@ def all_terms(text: Column, query: str) -> Column:
     return reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(t)) for t in terms], F.lit(len(terms) > 1))
 
 
+#: Words of a passage from which its inner words are looked up by their hash, and how many of these; characters of shorter passages that are sought at a time.
+LONG, RUN, BLOCK = 10, 8, 1_000_000
+GAP = r"[ \n]+"
+
+
+def holders(docs: DataFrame, passages: DataFrame, key: str, text: str, query: str, passage: str) -> DataFrame:
+    """query and key of the texts that hold a passage, letter by letter; empty passages are in none.
+
+    Of a passage of LONG words or more the RUN words behind its first have to
+    be words of a text, found by their hash; shorter ones are sought in every
+    text, a block of BLOCK characters of them at a time, by an automaton.
+    """
+    ship(docs.sparkSession)
+    asked = stored(passages.filter(F.length(passage) > 0).select(query, F.col(passage).alias("_p"), F.split(passage, GAP).alias("_w")), "passages")
+    hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    run = lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(RUN)])
+    seeds = asked.filter(F.size("_w") >= LONG).select(query, hashes(F.slice("_w", 2, RUN)).alias("_h")).select(query, run(F.lit(0)).alias("_s"))
+    words_of = docs.select(key, hashes(F.split(text, GAP)).alias("_h")).filter(F.size("_h") >= RUN)
+    runs = words_of.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("_h") - RUN), run)).alias("_s"))
+    near = runs.join(seeds, "_s").select(query, key).distinct()
+    found = near.join(docs.select(key, text), key).join(asked.select(query, "_p"), query).filter(F.contains(text, F.col("_p"))).select(query, key)
+    short = asked.filter(F.size("_w") < LONG).select(query, "_p")
+    size = short.agg(F.sum(F.length("_p"))).first()[0] or 0
+    blocks = -(-size // BLOCK)
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query, passages), (key, docs))}
+    for b in range(blocks):
+        some = short.filter(F.pmod(F.xxhash64("_p"), F.lit(blocks)) == b).toArrow()  # about BLOCK characters
+        of: dict[str, list] = {}
+        for q, p in zip(some.column(query).to_pylist(), some.column("_p").to_pylist()):
+            of.setdefault(p, []).append(q)
+
+        def seek(batches, of=of):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for p in of:
+                automaton.add_word(p, p)
+            automaton.make_automaton()
+            for batch in batches:
+                hits = [(q, k) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for p in {p for _, p in automaton.iter(t)} for q in of[p]]
+                yield pa.RecordBatch.from_pydict({query: [q for q, _ in hits], key: [k for _, k in hits]}, schema=pa.schema([(query, some.schema.field(query).type), (key, batch.schema.field(0).type)]))
+
+        found = found.unionByName(docs.select(key, text).mapInArrow(seek, f"`{query}` {kinds[query]}, `{key}` {kinds[key]}"))
+    return found.distinct()
+
+
 def matches_per_size(df: DataFrame, text: str, pattern: str) -> DataFrame:
     """Matches of a pattern, and matches for each 1000 characters."""
     n = F.regexp_count(text, F.lit(pattern))
