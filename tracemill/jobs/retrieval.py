@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.columns import normal_title, slug, words
-from tracemill.functions.scratch import scratch
+from tracemill.functions.scratch import scratch, stored
 from tracemill.functions.stem import STEP_2, STEP_3, STEP_4
-from tracemill.operators import evalstats, retrieval as op, spelling, symbols, textindex
+from tracemill.operators import evalstats, harness, retrieval as op, spelling, symbols, textindex
 from tracemill.sources.frames import PAPERS_SQL, papers, table
 
 TERMS = ["the", "thation", "wh", "der", "que"]
@@ -217,6 +217,25 @@ def retrieval_metrics(spark, d):
     return out.select("tier", "n_queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "rr")])
 
 
+def retrieval_arms(spark, d):
+    """Texts, titles, and chunks pooled by their best and by their sum, over all benchmark items that some text holds."""
+    docs = papers(spark, d).select("paper_id", words("text").alias("tokens"), words("title").alias("title"))
+    questions = _questions(spark, d)
+    chunked = op.chunks(papers(spark, d), "paper_id", "text").select(F.concat_ws("#", "paper_id", F.format_string("%04d", "chunk_id")).alias("paper_id"), words("chunk").alias("tokens"))
+    found = textindex.best(_indexed(spark, chunked, {"tokens": 1.0}), questions, 50, key="cid", digits=6)
+    found = stored(found.withColumn("score", F.round("score", 6)).withColumn("paper_id", F.element_at(F.split("cid", "#"), 1).cast("long")), "chunk-answers")
+    pooled = lambda how: op.ranked(op.pooled(found, "query_id", "paper_id", how), "query_id", "paper_id", 5, digits=5)
+    arms = {
+        "text": lambda: harness.Answer("text", textindex.best(_indexed(spark, docs, {"tokens": 1.0}), questions, 5, key="paper_id")),
+        "title": lambda: harness.Answer("title", textindex.best(_indexed(spark, docs, {"title": 1.0}), questions, 5, key="paper_id")),
+        "chunk_max": lambda: harness.Answer("chunk_max", pooled("max")),
+        "chunk_sum": lambda: harness.Answer("chunk_sum", pooled("sum")),
+    }
+    gold = harness.checked(_gold(spark, d), papers(spark, d), "paper_id")
+    out = harness.compared(harness.run_arms(arms, "query_id", "paper_id"), gold, "query_id", "paper_id", "text")
+    return out.select("arm", "n_queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "rr")], "better", "worse", F.round("p_value", 9).alias("p_value"))
+
+
 def gold_unreachable(spark, d):
     return _gold(spark, d).join(papers(spark, d).filter("full_text").select("paper_id"), "paper_id", "left_anti").select("query_id", "paper_id")
 
@@ -242,7 +261,7 @@ def bootstrap_ci(spark, d):
     return evalstats.bootstrap_difference(lab, "a", "b", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (tokenize, chunk_words, semi_fulltext, bm25_rank, bm25_boosted, cosine_topk, rrf_fusion, overlap_rank, tiered_rank, match_count_rank, substring_context, like_all_terms, pool_scores, norm_title, derive_id, invert_index, corpus_profile, corpus_drift, exact_resolve, code_tokens, field_bm25, fts_rank, did_you_mean, keyword_notes, title_gaps, title_first, retrieval_metrics, gold_unreachable, mcnemar, wilson, pearson, bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (tokenize, chunk_words, semi_fulltext, bm25_rank, bm25_boosted, cosine_topk, rrf_fusion, overlap_rank, tiered_rank, match_count_rank, substring_context, like_all_terms, pool_scores, norm_title, derive_id, invert_index, corpus_profile, corpus_drift, exact_resolve, code_tokens, field_bm25, fts_rank, did_you_mean, keyword_notes, title_gaps, title_first, retrieval_metrics, retrieval_arms, gold_unreachable, mcnemar, wilson, pearson, bootstrap_ci)}
 
 
 def _words(c: str) -> str:
@@ -256,13 +275,13 @@ _QUESTIONS = f"q AS (SELECT item_id AS query_id, {_words('text')} AS terms FROM
 _FIXED = "q AS (SELECT 0 AS query_id, [" + ", ".join(f"'{t}'" for t in TERMS) + "] AS terms)"
 
 
-def _bm25_sql(docs: str, key: str) -> str:
-    """CTEs up to s(query_id, key, score) from q(query_id, terms) and `docs`(key, tokens)."""
-    return f"""qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(terms) AS term FROM q) GROUP BY 1, 2),
-  z AS (SELECT count(*) AS n, avg(len(tokens)) AS av FROM {docs}),
-  pt AS (SELECT {key}, dl, term, count(*) AS tf FROM (SELECT {key}, len(tokens) AS dl, unnest(tokens) AS term FROM {docs}) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3),
-  dfs AS (SELECT term, count(*) AS df FROM pt GROUP BY 1),
-  s AS (SELECT query_id, {key}, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))) AS score FROM pt JOIN dfs USING (term) JOIN qt USING (term), z GROUP BY 1, 2)"""
+def _bm25_sql(docs: str, key: str, tag: str = "") -> str:
+    """CTEs up to s(query_id, key, score) from q(query_id, terms) and `docs`(key, tokens); tag goes behind their names."""
+    return f"""qt{tag} AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(terms) AS term FROM q) GROUP BY 1, 2),
+  z{tag} AS (SELECT count(*) AS n, avg(len(tokens)) AS av FROM {docs}),
+  pt{tag} AS (SELECT {key}, dl, term, count(*) AS tf FROM (SELECT {key}, len(tokens) AS dl, unnest(tokens) AS term FROM {docs}) WHERE term IN (SELECT term FROM qt{tag}) GROUP BY 1, 2, 3),
+  dfs{tag} AS (SELECT term, count(*) AS df FROM pt{tag} GROUP BY 1),
+  s{tag} AS (SELECT query_id, {key}, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))) AS score FROM pt{tag} JOIN dfs{tag} USING (term) JOIN qt{tag} USING (term), z{tag} GROUP BY 1, 2)"""
 
 
 def _one_byte(c: str) -> str:
@@ -359,6 +378,13 @@ SQL = {
     "invert_index": "SELECT item_id, left(text, 400) AS text FROM benchmark",
     "corpus_profile": f"{_P}, l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM papers) SELECT (SELECT count(*) FROM papers) AS n_texts, count(*) AS n_lines, round(count(*) FILTER (WHERE len({_words('line')}) >= 5) / count(*), 6) AS prose, count(*) FILTER (WHERE contains(line, 'License')) AS n_marked FROM l",
     "retrieval_metrics": f"{_P}, {_QUESTIONS}, {_DOCS}, {_bm25_sql('d', 'paper_id')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper_id) - 1 AS rank FROM s), {_GOLD}, m AS (SELECT query_id, 't' || CAST(query_id % 2 AS VARCHAR) AS tier, count(*) FILTER (WHERE rank < 1) / count(*) AS r1, count(*) FILTER (WHERE rank < 3) / count(*) AS r3, count(*) FILTER (WHERE rank < 5) / count(*) AS r5, coalesce(1 / (min(rank) + 1), 0) AS rr FROM g LEFT JOIN (SELECT * FROM r WHERE rank < 5) USING (query_id, paper_id) GROUP BY 1) SELECT coalesce(tier, 'all') AS tier, count(*) AS n_queries, round(avg(r1), 6) AS recall_1, round(avg(r3), 6) AS recall_3, round(avg(r5), 6) AS recall_5, round(avg(rr), 6) AS rr FROM m GROUP BY GROUPING SETS ((tier), ())",
+    "retrieval_arms": f"""{_P}, {_CHUNKS}, {_QUESTIONS}, {_DOCS}, dt AS (SELECT paper_id, {_words('title')} AS tokens FROM papers), dc AS (SELECT paper_id || '#' || printf('%04d', chunk_id) AS cid, {_words('chunk')} AS tokens FROM chunks), {_bm25_sql('d', 'paper_id')}, {_bm25_sql('dt', 'paper_id', '_t')}, {_bm25_sql('dc', 'cid', '_c')}, {_GOLD},
+        c50 AS (SELECT query_id, CAST(string_split(cid, '#')[1] AS BIGINT) AS paper_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, cid) AS n FROM s_c) WHERE n <= 50),
+        a AS (SELECT 'text' AS arm, query_id, paper_id, round(score, 9) AS v FROM s UNION ALL SELECT 'title', query_id, paper_id, round(score, 9) FROM s_t UNION ALL SELECT 'chunk_max', query_id, paper_id, round(max(score), 5) FROM c50 GROUP BY 2, 3 UNION ALL SELECT 'chunk_sum', query_id, paper_id, round(sum(score), 5) FROM c50 GROUP BY 2, 3),
+        r AS (SELECT *, row_number() OVER (PARTITION BY arm, query_id ORDER BY v DESC, paper_id) - 1 AS rank FROM a), wa AS (SELECT DISTINCT arm, g.* FROM g, (VALUES ('text'), ('title'), ('chunk_max'), ('chunk_sum')) n(arm)),
+        m AS (SELECT arm, query_id, count(*) FILTER (WHERE rank < 1) / count(*) AS r1, count(*) FILTER (WHERE rank < 3) / count(*) AS r3, count(*) FILTER (WHERE rank < 5) / count(*) AS r5, coalesce(1 / (min(rank) + 1), 0) AS rr FROM wa LEFT JOIN (SELECT * FROM r WHERE rank < 5) USING (arm, query_id, paper_id) GROUP BY 1, 2),
+        o AS (SELECT m.arm, count(*) AS n_queries, avg(m.r1) AS r1, avg(m.r3) AS r3, avg(m.r5) AS r5, avg(m.rr) AS rr, count(*) FILTER (WHERE m.r5 > b.r5) AS better, count(*) FILTER (WHERE m.r5 < b.r5) AS worse FROM m JOIN m b ON b.arm = 'text' AND b.query_id = m.query_id GROUP BY 1)
+        SELECT arm, n_queries, round(r1, 6) AS recall_1, round(r3, 6) AS recall_3, round(r5, 6) AS recall_5, round(rr, 6) AS rr, better, worse, round(CASE WHEN better + worse = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(better, worse) + 1), lambda i: exp(lgamma(better + worse + 1) - lgamma(i + 1) - lgamma(better + worse - i + 1) - (better + worse) * ln(2.0))))) END, 9) AS p_value FROM o""",
     "gold_unreachable": f"{_P}, {_GOLD} SELECT query_id, paper_id FROM g WHERE paper_id NOT IN (SELECT paper_id FROM papers WHERE full_text)",
     "mcnemar": "WITH c AS (SELECT CAST(count(*) FILTER (WHERE o_custkey % 37 < 2 AND NOT o_orderkey % 41 < 3) AS INTEGER) AS only_a, CAST(count(*) FILTER (WHERE NOT o_custkey % 37 < 2 AND o_orderkey % 41 < 3) AS INTEGER) AS only_b FROM orders) SELECT only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0))))) END, 9) AS p_value FROM c",
     "wilson": "WITH g AS (SELECT toxic, CAST(sum(quality) AS BIGINT) AS hits, count(*) AS n FROM labels GROUP BY 1) SELECT toxic, hits, n, round(greatest(0, (hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS low, round(least(1, (hits / n + 3.8416 / (2 * n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS high FROM g",
