@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tempfile
@@ -47,6 +48,19 @@ def stored(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files at a path: another one after any change."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(conf).listStatus(at)
+    return hashlib.sha256("".join(sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}\n" for s in found)).encode()).hexdigest()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files under a result of stored(); nothing may read it afterwards."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.columns import normal_title, slug, words
-from tracemill.functions.scratch import scratch, stored
+from tracemill.functions.scratch import exists, fingerprint, scratch, stored
 from tracemill.functions.stem import STEP_2, STEP_3, STEP_4
 from tracemill.operators import evalstats, harness, retrieval as op, spelling, symbols, textindex
 from tracemill.sources.frames import PAPERS_SQL, papers, table
@@ -19,18 +19,25 @@ def _questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words("text").alias("terms"))
 
 
-def _indexed(spark, docs, fields, stems=False, parts=1):
-    """The index of documents by paper_id, in segments."""
-    path = scratch(spark, "index")
-    for i in range(parts):
-        textindex.add_segment(docs.filter(F.col("paper_id") % parts == i) if parts > 1 else docs, "paper_id", fields, path, stems)
-    return textindex.read_index(spark, path)
+def _indexed(spark, d, name, docs, fields, stems=False, parts=1):
+    """The index of documents by paper_id, in segments; one that this application has made of the same files is read again."""
+    made = spark.sparkContext.__dict__.setdefault("_tracemill_indexes", {})
+    key = (name, fingerprint(spark, f"{d}/documents.parquet"))
+    if key not in made or not exists(spark, made[key]):
+        path = scratch(spark, "index")
+        for i in range(parts):
+            textindex.add_segment(docs.filter(F.col("paper_id") % parts == i) if parts > 1 else docs, "paper_id", fields, path, stems)
+        made[key] = path
+    return textindex.read_index(spark, made[key])
+
+
+def _text_index(spark, d):
+    return _indexed(spark, d, "text", papers(spark, d).select("paper_id", words("text").alias("tokens")), {"tokens": 1.0})
 
 
 def _bm25(spark, d, k):
     """The k best papers of each benchmark item by all its words."""
-    docs = papers(spark, d).select("paper_id", words("text").alias("tokens"))
-    return textindex.best(_indexed(spark, docs, {"tokens": 1.0}), _questions(spark, d), k, key="paper_id")
+    return textindex.best(_text_index(spark, d), _questions(spark, d), k, key="paper_id")
 
 
 #: Scores of fields: a question's words count once.
@@ -118,7 +125,7 @@ def code_tokens(spark, d):
 
 def field_bm25(spark, d):
     docs = papers(spark, d).select("paper_id", words("title").alias("title"), F.array("lang", "source").alias("tags"), words("text").alias("body"))
-    found = textindex.best(_indexed(spark, docs, {"title": 8.0, "tags": 4.0, "body": 1.0}), _questions(spark, d), 10, FIELDS, key="paper_id", digits=6)
+    found = textindex.best(_indexed(spark, d, "fields", docs, {"title": 8.0, "tags": 4.0, "body": 1.0}), _questions(spark, d), 10, FIELDS, key="paper_id", digits=6)
     return found.select("query_id", "paper_id", F.round("score", 5).alias("score"), "rank")
 
 
@@ -126,7 +133,7 @@ def fts_rank(spark, d):
     """Stems in title, second line and text, from an index of two segments."""
     lines = F.split("text", "\n")
     docs = papers(spark, d).select("paper_id", words("title").alias("title"), words(F.coalesce(F.get(lines, 1), F.lit(""))).alias("abstract"), words("text").alias("body"))
-    found = textindex.best(_indexed(spark, docs, {"title": 8.0, "abstract": 4.0, "body": 1.0}, True, 2), _questions(spark, d), 10, FIELDS, key="paper_id", stems=True, digits=6)
+    found = textindex.best(_indexed(spark, d, "stems", docs, {"title": 8.0, "abstract": 4.0, "body": 1.0}, True, 2), _questions(spark, d), 10, FIELDS, key="paper_id", stems=True, digits=6)
     return found.select("query_id", "paper_id", F.round("score", 5).alias("score"), "rank")
 
 
@@ -134,8 +141,7 @@ def title_first(spark, d):
     """Papers whose title is the query stand before those that are ranked."""
     titles = papers(spark, d).select("paper_id", normal_title("title").alias("t"))
     q = papers(spark, d).groupBy(normal_title("title").alias("t")).agg(F.min("paper_id").alias("query_id")).filter("query_id % 20 = 0")
-    docs = papers(spark, d).select("paper_id", words("text").alias("tokens"))
-    scores = textindex.best(_indexed(spark, docs, {"tokens": 1.0}), q.select("query_id", words("t").alias("terms")), 5, key="paper_id")
+    scores = textindex.best(_text_index(spark, d), q.select("query_id", words("t").alias("terms")), 5, key="paper_id")
     return symbols.exact_first(scores, q.join(titles, "t"), "query_id", "paper_id", 5)
 
 
@@ -219,15 +225,15 @@ def retrieval_metrics(spark, d):
 
 def retrieval_arms(spark, d):
     """Texts, titles, and chunks pooled by their best and by their sum, over all benchmark items that some text holds."""
-    docs = papers(spark, d).select("paper_id", words("text").alias("tokens"), words("title").alias("title"))
+    titles = papers(spark, d).select("paper_id", words("title").alias("title"))
     questions = _questions(spark, d)
     chunked = op.chunks(papers(spark, d), "paper_id", "text").select(F.concat_ws("#", "paper_id", F.format_string("%04d", "chunk_id")).alias("paper_id"), words("chunk").alias("tokens"))
-    found = textindex.best(_indexed(spark, chunked, {"tokens": 1.0}), questions, 50, key="cid", digits=6)
+    found = textindex.best(_indexed(spark, d, "chunks", chunked, {"tokens": 1.0}), questions, 50, key="cid", digits=6)
     found = stored(found.withColumn("score", F.round("score", 6)).withColumn("paper_id", F.element_at(F.split("cid", "#"), 1).cast("long")), "chunk-answers")
     pooled = lambda how: op.ranked(op.pooled(found, "query_id", "paper_id", how), "query_id", "paper_id", 5, digits=5)
     arms = {
-        "text": lambda: harness.Answer("text", textindex.best(_indexed(spark, docs, {"tokens": 1.0}), questions, 5, key="paper_id")),
-        "title": lambda: harness.Answer("title", textindex.best(_indexed(spark, docs, {"title": 1.0}), questions, 5, key="paper_id")),
+        "text": lambda: harness.Answer("text", textindex.best(_text_index(spark, d), questions, 5, key="paper_id")),
+        "title": lambda: harness.Answer("title", textindex.best(_indexed(spark, d, "titles", titles, {"title": 1.0}), questions, 5, key="paper_id")),
         "chunk_max": lambda: harness.Answer("chunk_max", pooled("max")),
         "chunk_sum": lambda: harness.Answer("chunk_sum", pooled("sum")),
     }
