@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,24 +60,56 @@ def citation_prior(score: Column, citations: Column) -> Column:
     return score * (1 + F.log10(citations + 1))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, query: str = "query_id", k: int = 40, block: int = 4096, digits: int = 6) -> DataFrame:
+    """query, key and score of the k rows of highest cosine to each query; ties of the rounded score go to smaller keys.
 
-
-def cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, query: str = "query_id", k: int = 40, block: int = 64, digits: int = 6) -> DataFrame:
-    """query, key and score of the k rows of highest cosine to each query, of those that have a vector; ties of the rounded score go to smaller keys.
-
-    The stated queries are dealt into blocks; every block meets all rows, and
-    of each part of the rows only a query's k best go on.
+    Vectors that are null, hold nulls or have not the length of the queries'
+    take no part. Queries are dealt into blocks of about `block`, which are
+    broadcast one by one; each batch of rows is one matrix product, of which
+    only a query's k best go on.
     """
-    norm = lambda v: F.sqrt(dot(v, v)) + 1e-9
-    count = max(1, -(-queries.count() // block))
-    q = queries.select(query, F.col(vector).alias("_q")).withColumn("_qn", norm(F.col("_q"))).withColumn("_b", F.pmod(F.xxhash64(query), F.lit(count)))
-    blocks = q.groupBy("_b").agg(F.collect_list(F.struct(query, "_q", "_qn")).alias("_qs"))
-    have = rows.filter(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v")).withColumn("_vn", norm(F.col("_v")))
-    each = have.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("_b")).join(blocks, "_b")
-    scores = F.transform("_qs", lambda x: F.struct(x[query].alias(query), (dot(F.col("_v"), x["_q"]) / (F.col("_vn") * x["_qn"])).alias("score")))
-    found = each.select(key, F.explode(scores).alias("_s")).select(F.col(f"_s.{query}").alias(query), key, "_s.score")
+    ship(rows.sparkSession)
+    whole = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    kinds = {query: queries.schema[query].dataType, key: rows.schema[key].dataType}
+    schema = f"`{query}` {kinds[query].simpleString()}, `{key}` {kinds[key].simpleString()}, score double"
+    asked = stored(queries.filter(whole(vector)).select(query, F.col(vector).cast("array<double>").alias("_q")), "cosine-queries")
+    have = rows.filter(whole(vector)).select(key, F.col(vector).cast("array<double>").alias("_v"))
+    count = max(1, -(-asked.count() // block))
+    unit = 10.0**digits
+    found = None
+    for b in range(count):
+        some = asked.filter(F.pmod(F.xxhash64(query), F.lit(count)) == b).toArrow()  # about `block` rows
+        shared = rows.sparkSession.sparkContext.broadcast(some)
+
+        def run(batches, shared=shared):
+            some = shared.value
+            names = some.column(query).combine_chunks()
+            q = some.column("_q").combine_chunks()
+            dim = len(q[0]) if len(q) else 0
+            pick = np.flatnonzero(q.value_lengths().to_numpy(zero_copy_only=False) == dim)
+            names = names.take(pa.array(pick))
+            q = q.take(pa.array(pick)).flatten().to_numpy(zero_copy_only=False).reshape(len(pick), dim) if dim else np.zeros((0, 1))
+            q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-9)
+            for batch in batches:
+                lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(lengths == dim))
+                batch = batch.take(pc.sort_indices(batch.column(0)))
+                n = batch.num_rows
+                if not n or not len(q):
+                    continue
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
+                v = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
+                least = min(k, n)
+                for i in range(0, len(q), 256):
+                    scores = q[i : i + 256] @ v.T
+                    # rounded score first, place among the batch's sorted keys second: no two are equal
+                    order = np.floor(scores * unit + 0.5).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+                    at = np.argpartition(order, n - least, axis=1)[:, n - least :]
+                    of = np.repeat(np.arange(len(scores)), least) + i
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), batch.column(0).take(pa.array(at.ravel())), pa.array(np.take_along_axis(scores, at, 1).ravel())], names=[query, key, "score"])
+
+        part = have.mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy(query).orderBy(F.desc(F.round("score", digits)), key)
     return found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
