@@ -326,6 +326,10 @@ def _stems_sql(source: str) -> str:
     return ", ".join(out) + f", stems AS (SELECT word, replace(w, 'Y', 'y') AS stem FROM st{len(steps)})"
 
 
+def _docs_sql(source: str) -> str:
+    return f"d AS (SELECT paper_id, {_words('text')} AS tokens FROM {source})"
+
+
 _DOCS = f"d AS (SELECT paper_id, {_words('text')} AS tokens FROM papers)"
 _COS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), vn AS (SELECT *, sqrt(list_dot_product(e, e)) + 1e-9 AS m FROM v),
   c AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / (a.m * b.m) AS score FROM vn a, vn b WHERE a.vec_id % 20 = 0)"""

@@ -109,3 +109,83 @@ def commit_files(lines: DataFrame, line: str, group: str, order: str) -> DataFra
     sha = F.last(F.when(F.col(line).rlike(r"^commit [0-9a-f]+$"), F.regexp_extract(line, r"^commit ([0-9a-f]+)$", 1)), True).over(w)
     named = lines.withColumn("sha", sha).filter(F.col("sha").isNotNull() & ~F.col(line).rlike(r"^commit [0-9a-f]+$") & (F.trim(line) != ""))
     return named.groupBy(group, "sha").agg(F.sort_array(F.collect_set(line)).alias("files"))
+
+
+#: Endings of artifacts whose text may be read, and how a run's name begins.
+READABLE = ("md", "tex", "py", "json", "txt", "csv", "yaml", "yml")
+RUN_NAME = r"^\d{8}T\d{6}"
+
+
+def study_files(spark: SparkSession, study: str) -> DataFrame:
+    """path (below the study), size and modified of all files of a study; contents are not read.
+
+    Folders without files are not seen, nor are names that begin with _ or a
+    dot, which Spark leaves out.
+    """
+    return _below(spark, study, spark.read.format("binaryFile").option("recursiveFileLookup", True).load(study)).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    return spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
+
+
+def _below(spark: SparkSession, study: str, files: DataFrame) -> DataFrame:
+    return files.withColumn("path", F.regexp_extract("path", rf"\Q{_folder(spark, study)}/\E(.*)$", 1))
+
+
+def runs(spark: SparkSession, study: str) -> DataFrame:
+    """run_id, path, n_files and status of the runs of a study: folders of `runs` with files under `debug`.
+
+    The status is that of debug/run_status.json, which a run writes when it
+    ends; without it, or where it is damaged, the run is `running`.
+    """
+    found = study_files(spark, study).withColumn("run_id", F.regexp_extract("path", r"^runs/([^/]+)/debug/.", 1)).filter("run_id <> ''")
+    each = found.groupBy("run_id").agg(F.count("*").alias("n_files"))
+    ended = _below(spark, study, spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "run_status.json").load(study))
+    told = ended.select(F.regexp_extract("path", r"^runs/([^/]+)/debug/run_status[.]json$", 1).alias("run_id"), F.get_json_object(F.col("content").cast("string"), "$.status").alias("_status"))
+    return each.join(told.filter("run_id <> ''"), "run_id", "left").select("run_id", F.concat(F.lit("runs/"), "run_id").alias("path"), "n_files", F.coalesce("_status", F.lit("running")).alias("status"))
+
+
+def artifacts(spark: SparkSession, study: str) -> DataFrame:
+    """path, name, scope, run_id, owner, size, modified and readable of what a study's runs have made.
+
+    Files of a run's debug/delegations/<owner> have the scope `run`. Files of
+    other folders of `runs`, which all runs share, have the scope `shared` and
+    no run_id. A folder named like a run is one even before it has a debug
+    folder; its other files belong to neither.
+    """
+    files = study_files(spark, study).withColumn("_top", F.regexp_extract("path", r"^runs/([^/]+)/.", 1)).filter("_top <> ''")
+    mine = F.regexp_extract("path", r"^runs/[^/]+/debug/delegations/([^/]+)/.", 1)
+    is_run = files.filter(F.col("path").rlike(r"^runs/[^/]+/debug/.")).select("_top").distinct().withColumn("_run", F.lit(True))
+    all_ = files.join(is_run, "_top", "left").withColumn("_run", F.coalesce("_run", F.col("_top").rlike(RUN_NAME))).withColumn("_mine", mine)
+    kept = all_.filter(F.when(F.col("_run"), F.col("_mine") != "").otherwise(True))
+    ending = F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1))
+    return kept.select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.when(F.col("_run"), "run").otherwise("shared").alias("scope"), F.when(F.col("_run"), F.col("_top")).alias("run_id"),
+        F.when(F.col("_run"), F.col("_mine")).otherwise(F.col("_top")).alias("owner"), "size", "modified", ending.isin(*READABLE).alias("readable"),
+    )
+
+
+def resolved_path(path: Column, folder: str) -> Column:
+    """A path below a folder with `.` and `..` followed; null where it leads out of the folder, or is null."""
+    own = [p for p in folder.split("/") if p]
+    start = F.when(F.startswith(path, F.lit("/")), F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, own)).cast("array<string>"))
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    # `..` above the top stays at the top
+    step = lambda at, p: F.when(p == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.array_append(at, p))
+    found = F.aggregate(parts, start, step)
+    inside = (F.slice(found, 1, len(own)) == F.array(*map(F.lit, own)).cast("array<string>")) if own else F.lit(True)
+    return F.when(inside & (F.size(found) > len(own)), F.array_join(F.slice(found, F.lit(len(own) + 1), F.size(found)), "/"))
+
+
+def artifact_texts(spark: SparkSession, study: str, asked: DataFrame, path: str = "path") -> DataFrame:
+    """asked with `text`, the text of each file below the study; null for paths that lead out of it, files that are missing and endings that are not text.
+
+    Only the contents of files that are asked for and allowed go on; bytes that are no UTF-8 are replaced.
+    """
+    wanted = asked.withColumn("_at", resolved_path(F.col(path), _folder(spark, study)))
+    wanted = wanted.withColumn("_at", F.when(F.lower(F.regexp_extract("_at", r"[^/]\.([^./]+)$", 1)).isin(*READABLE), F.col("_at")))
+    files = _below(spark, study, spark.read.format("binaryFile").option("recursiveFileLookup", True).load(study)).select(F.col("path").alias("_at"), "content")
+    named = wanted.filter("_at IS NOT NULL").select("_at").distinct()
+    texts = files.join(named, "_at", "left_semi").select("_at", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return wanted.join(texts, "_at", "left").drop("_at")
