@@ -88,3 +88,20 @@ def test_a_consult_takes_each_ask_one_way(spark, tmp_path):
     got = sorted((r["a"], r["kind"], r["rank"], r["k"], r["shown"]) for r in corpus.consult(asks, "a", "said", "terms", F.col("text"), most=2).collect())
     assert [x for x in got if x[0] < 4] == [(0, "list", 0, 1, None), (0, "list", 1, 2, None), (1, "entry", 0, 1, "mast of steel"), (2, "search", 0, 1, None), (2, "search", 1, 2, None)]
     assert [x[1] for x in got if x[0] == 4] == ["list", "list"]
+
+
+def test_stores_of_one_header_are_one_scan(spark, tmp_path):
+    made = {"experiment_data": "k,v\n1,a\n", "n one/experiment_data": 'k,v\n2,"b\nc"\n', "n+two%20/experiment_data": "v,k\nd,3\n", "three/experiment_data": 'k,"w\nx"\n4,e\n', "none/experiment_data": "", "deep/er/experiment_data": "k,v\n9,z\n"}
+    for folder, text in made.items():
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "output.csv").write_text(text, "utf-8")
+    df = files.scan_stores(spark, f"file://{tmp_path}", {"k": "long"})
+    assert sorted((r["_namespace"], r["k"], r["v"], r["w\nx"]) for r in df.collect()) == [("default", 1, "a", None), ("n one", 2, "b\nc", None), ("n+two%20", 3, "d", None), ("three", 4, None, "e")]
+    assert files.store_heads(spark, f"file://{tmp_path}").select("header").distinct().count() == 3
+    named = spark.createDataFrame([("three",), ("four",), ("four",), (None,)], "_namespace string")
+    assert sorted(files.namespaces(df, named).filter("in_config").collect()) == [("four", 0, False, True), ("three", 1, True, True)]
+
+
+def test_no_store(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        files.scan_stores(spark, f"file://{tmp_path}", {})

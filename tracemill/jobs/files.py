@@ -46,6 +46,16 @@ def namespace_evals(spark, d):
     return led.real(op.scan_stores(spark, root, _TYPES)).groupBy("_namespace").agg(F.count("*").alias("n_evals"))
 
 
+def namespace_listing(spark, d):
+    """Namespaces of 25 nations' stores, and those that a configuration names beside them."""
+    root = scratch(spark, "stores")
+    s = table(spark, d, "supplier").withColumn("order_id", F.col("s_suppkey"))
+    for (at,) in table(spark, d, "nation").select(F.concat(F.lit("n "), "n_nationkey")).orderBy("n_nationkey").collect():  # 25 rows
+        s.filter(F.concat(F.lit("n "), "s_nationkey") == at).select("order_id", "s_name").coalesce(1).write.option("header", True).csv(f"{root}/{at}/{op.STORE_FILE}")
+    named = table(spark, d, "region").select(F.concat(F.lit("n "), F.col("r_regionkey") * 6 + 7).alias("_namespace"))
+    return op.namespaces(op.scan_stores(spark, root, {"order_id": "long"}), named)
+
+
 def jsonl_union(spark, d):
     """Telemetry of four processes, a file of JSON lines for each, with blank and torn lines among them."""
     root = scratch(spark, "telemetry")
@@ -198,13 +208,14 @@ def kpi_append(spark, d):
     return sinks.append_kpi(path, c.select("delegation_id", F.lit("r2").alias("run"), "calls", "cost"))
 
 
-QUERIES = {f.__name__: f for f in (csv_ledger, store_glob, namespace_evals, jsonl_union, jsonl_tail, live_fan_in, newest_first, object_entries, strict_ledger, front_matter, commit_files, ledger_append, pool_ingest, log_append, kpi_append)}
+QUERIES = {f.__name__: f for f in (csv_ledger, store_glob, namespace_evals, namespace_listing, jsonl_union, jsonl_tail, live_fan_in, newest_first, object_entries, strict_ledger, front_matter, commit_files, ledger_append, pool_ingest, log_append, kpi_append)}
 
 _L = f"WITH {LEDGER_SQL}"
 _K = ", ".join(KEYS)
 SQL = {
     "csv_ledger": f"{_L} SELECT {_K}, quantity, price, nullif(_delegation_id, '') AS _delegation_id, 'of \"' || _namespace || '\",' || chr(10) || 'line ' || line_no AS note FROM ledger",
     "store_glob": f"{_L} SELECT {_K}, CASE WHEN _namespace <> 'R' THEN quantity END AS quantity, CASE WHEN _namespace = 'N' THEN discount END AS discount, CASE WHEN _namespace = 'R' THEN tax END AS tax, price, CASE _namespace WHEN 'A' THEN 'default' ELSE _namespace END AS _namespace FROM ledger",
+    "namespace_listing": "WITH s AS (SELECT 'n ' || s_nationkey AS _namespace, count(*) AS n_rows FROM supplier GROUP BY 1), c AS (SELECT DISTINCT 'n ' || (r_regionkey * 6 + 7) AS _namespace, true AS in_config FROM region) SELECT _namespace, coalesce(n_rows, 0) AS n_rows, n_rows IS NOT NULL AS on_disk, coalesce(in_config, false) AS in_config FROM s FULL JOIN c USING (_namespace)",
     "namespace_evals": f"{_L} SELECT CASE _namespace WHEN 'A' THEN 'default' ELSE _namespace END AS _namespace, count(*) AS n_evals FROM ledger WHERE _delegation_id <> '' AND _delegation_id <> 'D000' GROUP BY 1",
     "jsonl_tail": "SELECT event_id, user_id, event_type, value FROM events",
     "live_fan_in": f"""WITH {LOG_SQL}, r AS (SELECT *, k // 40 AS session_started_at FROM log), d AS (SELECT *, lag(status) OVER w AS s, lag(session_started_at) OVER w AS q, row_number() OVER w AS n FROM r WHERE pos % 5 > 0 WINDOW w AS (PARTITION BY id ORDER BY pos)),

@@ -70,3 +70,20 @@ def compared(answers: DataFrame, gold: DataFrame, query: str, key: str, control:
     out = both.groupBy("arm").agg(F.count("*").alias("n_queries"), *[F.avg(f"recall_{k}").alias(f"recall_{k}") for k in ks], F.avg("rr").alias("rr"), F.count_if(F.col(last) > F.col("_base")).alias("better"), F.count_if(F.col(last) < F.col("_base")).alias("worse"))
     return out.withColumn("p_value", sign_test(F.col("better"), F.col("worse")))
 
+
+
+def summary(answers: DataFrame, walls: DataFrame, gold: DataFrame, query: str, key: str, ks: tuple[int, ...] = (5, 10, 20), costed: int = 10) -> DataFrame:
+    """Of each arm over all queries that it was asked (walls: arm, query, wall): n, wall_mean, recall, lost evidence and hit rate at each k, hit_1, rr, and the seconds that a hit among the first `costed` costs.
+
+    Recall is that of queries with labels; a query without any is no hit.
+    Without a hit the cost is infinite.
+    """
+    wanted = walls.join(gold.select(query, key).distinct(), query, "left")
+    each = wanted.join(answers, ["arm", query, key], "left").groupBy("arm", query).agg(
+        F.first("wall").alias("wall"), F.count(key).alias("_gold"), F.min("rank").alias("_best"), *[F.count_if(F.col("rank") < k).alias(f"_in_{k}") for k in ks]
+    )
+    hit = lambda k: F.avg(F.coalesce(F.col("_best") < k, F.lit(False)).cast("double"))
+    recall = lambda k: F.coalesce(F.avg(F.when(F.col("_gold") > 0, F.col(f"_in_{k}") / F.col("_gold"))), F.lit(0.0))
+    columns = [c for k in ks for c in (recall(k).alias(f"recall_{k}"), (1 - recall(k)).alias(f"lost_{k}"), hit(k).alias(f"hit_{k}"))]
+    cost = F.when(hit(costed) > 0, F.avg("wall") / hit(costed)).otherwise(float("inf"))
+    return each.groupBy("arm").agg(F.count("*").alias("n"), F.avg("wall").alias("wall_mean"), *columns, hit(1).alias("hit_1"), F.avg(F.coalesce(1 / (F.col("_best") + 1), F.lit(0.0))).alias("rr"), cost.alias("cost_per_hit"))

@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions.columns import nan_to_null
+from tracemill.functions.shipping import ship
 from tracemill.operators.eventlog import parse_jsonl
+from tracemill.sources.tail import opened
 
 #: Where a store's rows are below its folder.
 STORE_FILE = "experiment_data/output.csv"
 
 
-def scan_csv(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
-    """A ledger in CSV: cells may hold line feeds and quotes; the named columns are cast, what can't be is null, others stay text, empty cells are null."""
+def scan_csv(spark: SparkSession, path: str | list[str], types: dict[str, str], source: str | None = None) -> DataFrame:
+    """A ledger in CSV: cells may hold line feeds and quotes; the named columns are cast, what can't be is null, others stay text, empty cells are null. `source` names a column for each row's file."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
-    return nan_to_null(raw.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in raw.columns]))
+    # the path of the metadata is encoded as in URLs, where a plus stands for itself
+    file = [] if source is None else [F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias(source)]
+    return nan_to_null(raw.select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in raw.columns], *file))
+
+
+def store_heads(spark: SparkSession, root: str) -> DataFrame:
+    """path and header (names of columns) of each file of the stores at a root and in the folders below it; empty files are left out.
+
+    Executors read the first record of each file, and nothing more of it.
+    """
+    ship(spark)
+    found = [p for p in (f"{root}/{STORE_FILE}", f"{root}/*/{STORE_FILE}") if _exists(spark, p)]
+    if not found:
+        raise FileNotFoundError(f"no store below {root}")
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(found).select("path")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                system, inside = opened(quote(path, safe="/:@"))  # a URI
+                with system.open_input_file(inside) as file, io.TextIOWrapper(file, "utf-8-sig", newline="") as text:
+                    out.append(next(csv.reader(text), None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["path", "header"])
+
+    return paths.mapInArrow(run, "path string, header array<string>").filter(F.size("header") > 0)
 
 
 def scan_stores(spark: SparkSession, root: str, types: dict[str, str], default: str = "default") -> DataFrame:
@@ -26,23 +57,27 @@ def scan_stores(spark: SparkSession, root: str, types: dict[str, str], default:
 
     Stores are found by their files' place, so that a new one needs no
     registration; columns are taken by name, and what a store lacks is null.
+    There is one scan for each header that occurs, however many stores share it.
     """
+    heads = store_heads(spark, root).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()  # what a scan's file index holds
+    top = rf"\Q{_folder(spark, root)}\E/(?:([^/]*)/)?{STORE_FILE}"
     found = []
-    for pattern, name in ((f"{root}/{STORE_FILE}", F.lit(default)), (f"{root}/*/{STORE_FILE}", None)):
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(pattern) if _exists(spark, pattern) else None
-        if files is None:
-            continue
-        # a store has its own header: one scan for each folder, of which there are as many as stores
-        tops = files.select(F.regexp_extract("path", rf"^(.*)/{STORE_FILE}", 1).alias("top")).distinct().orderBy("top").collect()
-        for (top,) in tops:
-            rows = scan_csv(spark, f"{top}/{STORE_FILE}", types)
-            if rows.columns:
-                found.append(rows.withColumn("_namespace", name if name is not None else F.lit(top.rpartition("/")[2])))
+    for head in heads:
+        folder = F.regexp_extract("_file", top, 1)
+        found.append(scan_csv(spark, head["paths"], types, "_file").withColumn("_namespace", F.when(folder == "", default).otherwise(folder)).drop("_file"))
     if not found:
         raise FileNotFoundError(f"no store below {root}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
+def namespaces(stores: DataFrame, named: DataFrame) -> DataFrame:
+    """_namespace, n_rows, on_disk and in_config of the namespaces that have rows or are named by a configuration (column _namespace), so that neither hides one."""
+    there = stores.groupBy("_namespace").agg(F.count("*").alias("n_rows"))
+    said = named.filter(F.col("_namespace").isNotNull()).select("_namespace").distinct().withColumn("in_config", F.lit(True))
+    out = there.join(said, "_namespace", "full")
+    return out.select("_namespace", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("n_rows").isNotNull().alias("on_disk"), F.coalesce("in_config", F.lit(False)).alias("in_config"))
+
+
 def _exists(spark: SparkSession, pattern: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
@@ -189,3 +224,17 @@ def artifact_texts(spark: SparkSession, study: str, asked: DataFrame, path: str
     named = wanted.filter("_at IS NOT NULL").select("_at").distinct()
     texts = files.join(named, "_at", "left_semi").select("_at", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return wanted.join(texts, "_at", "left").drop("_at")
+
+
+def corpus_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of a corpus (chunks*.jsonl: paper_id, chunk_id, page, text) with what papers.csv says of their paper: title, year, citations and full_text.
+
+    Chunks of papers that the list lacks stay, with no title and no full text;
+    blank lines of chunks are left out; a blank citation count is 0, and only
+    `true`, in any case, is full text.
+    """
+    kinds = {"paper_id": "string", "year": "int", "citation_count": "long"}
+    told = scan_csv(spark, f"{folder}/papers.csv", kinds).select("paper_id", "title", "year", "citation_count", F.col("full_text").cast("string").alias("_full"))
+    chunks = scan_jsonl(spark, f"{folder}/chunks*.jsonl", "paper_id string, chunk_id int, page int, text string")
+    out = chunks.join(told, "paper_id", "left")
+    return out.select("paper_id", "chunk_id", "page", "text", "title", "year", F.coalesce("citation_count", F.lit(0)).alias("citations"), F.coalesce(F.lower("_full") == "true", F.lit(False)).alias("full_text"))
