@@ -93,9 +93,11 @@ def test_content_hash_ignores_order(store):
 
 
 def test_lookup(spark):
+    from tracemill.operators.pool import nearest_pool_row
+
     pool = spark.createDataFrame([(0.0, 0.0, -1), (5.0, 5.0, 0), (10.0, 10.0, 1)], "a double, b double, y int")
     ask = spark.createDataFrame([(1, 4.4, 4.6), (2, 9.9, 9.9)], "k int, a double, b double")
-    assert {(r["k"], r["y"]) for r in ledger.nearest_pool_row(ask, pool, ["a", "b"], "k", "y").collect()} == {(1, 0), (2, 1)}
+    assert {(r["k"], r["y"]) for r in nearest_pool_row(ask, pool, ["a", "b"], "k", "y").collect()} == {(1, 0), (2, 1)}
 
 
 def test_damaged_lines_are_left_out(spark):
