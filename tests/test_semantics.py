@@ -1,5 +1,7 @@
 """Operators on literal rows: exact counts, and cases that pass only under the right semantics."""
 
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,3 +309,17 @@ def test_short_passages_have_holders_too(spark):
     got = [(r["q"], r["k"]) for r in retrieval.holders(docs, asked, "k", "text", "q", "p").collect()]
     assert {*got} == want and len(got) == len(want) and len(want) == 10
     assert retrieval.holders(docs, asked.limit(0), "k", "text", "q", "p").count() == 0
+
+
+def test_mcnemar_of_many_discordant_pairs(spark):
+    """One pass over the tail: exact integers' value to ten digits, and hundreds of thousands of pairs in seconds."""
+    for a, b in ((480, 520), (0, 3), (7, 7), (24_700, 25_300)):
+        term = total = 1
+        for i in range(1, min(a, b) + 1):
+            term = term * (a + b - i + 1) // i
+            total += term
+        pairs = spark.range(a + b).select((F.col("id") < a).alias("a"), (F.col("id") >= a).alias("b"))
+        row = evalstats.mcnemar(pairs, "a", "b").first()
+        assert (row["only_a"], row["only_b"]) == (a, b) and row["p_value"] == pytest.approx(float(min(Fraction(1), Fraction(2 * total, 2 ** (a + b)))), rel=1e-10)
+    large = spark.range(1_000_000).select((F.col("id") < 499_000).alias("a"), (F.col("id") >= 499_000).alias("b"))
+    assert evalstats.mcnemar(large, "a", "b").first()["p_value"] == pytest.approx(0.0456, abs=1e-4)

@@ -27,9 +27,15 @@ def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Exact McNemar test of two paired outcomes: the discordant counts and twice the binomial tail, at most 1."""
     counts = pairs.agg(F.count_if(F.col(a) & ~F.col(b)).cast("int").alias("only_a"), F.count_if(~F.col(a) & F.col(b)).cast("int").alias("only_b"))
     n, m = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    # ln C(n, i) as a sum of logarithms, so that large counts don't overflow
-    log_c = lambda i: F.aggregate(F.when(i > 0, F.sequence(F.lit(1), i)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, j: s + F.ln((n - i + j).cast("double")) - F.ln(j.cast("double")))
-    tail = F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda s, i: s + F.exp(log_c(i) - n * F.ln(F.lit(2.0))))
+    # one pass over i: the logarithm of C(n, i) / 2^n from that of i - 1, so that large counts don't overflow, with what its rounding has lost, and the sum
+    first = F.struct((-n * F.ln(F.lit(2.0))).alias("log"), F.lit(0.0).alias("lost"), F.exp(-n * F.ln(F.lit(2.0))).alias("tail"))
+
+    def add(s: Column, i: Column) -> Column:
+        step = F.ln((n - i + 1).cast("double") / i.cast("double")) - s["lost"]
+        log = s["log"] + step
+        return F.struct(log.alias("log"), ((log - s["log"]) - step).alias("lost"), (s["tail"] + F.exp(log)).alias("tail"))
+
+    tail = F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), first, add, lambda s: s["tail"])
     return counts.withColumn("p_value", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
 
 
