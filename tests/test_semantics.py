@@ -9,7 +9,7 @@ from tracemill.functions.columns import nan_to_null, natural_key
 from tracemill.functions.html import meta_content, page_text
 from tracemill.functions.predicate import PredicateError, where
 from tracemill.jobs.graphs import verdict
-from tracemill.operators import evalstats, eventlog, graph, ledger, records, retrieval, sinks, state, symbols
+from tracemill.operators import documents, evalstats, eventlog, graph, ledger, records, retrieval, sinks, state, symbols
 from tracemill.sources import files
 
 
@@ -329,3 +329,8 @@ def test_classify_takes_ascii_words(spark):
     df = spark.createDataFrame([(1, "xé die"), (2, "dieé"), (3, "ädie x"), (4, "died"), (5, "die")], "k int, t string")
     got = {r["k"]: r["f"] for r in df.select("k", eventlog.classify(F.col("t"), [("syntax", r"\bdie\b")], "other").alias("f")).collect()}
     assert got == {1: "syntax", 2: "syntax", 3: "syntax", 4: "other", 5: "syntax"}
+
+
+def test_status_numbers_are_whole_words(spark):
+    df = spark.createDataFrame([("no such key D000429",), ("bad value D050391",), ("HTTP 429 for D000001",), ("status=503",), ("4290",), (None,)], "m string")
+    assert [r[0] for r in df.select(documents.is_transient("m")).collect()] == [False, False, True, True, False, False]

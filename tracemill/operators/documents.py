@@ -92,11 +92,11 @@ TRANSIENT = ("timeout", "timed out", "rate limit", "429", "503", "overloaded", "
 
 
 def is_transient(message: str | Column) -> Column:
-    """Whether an error's text tells that it may pass by itself; null texts don't."""
+    """Whether an error's text tells that it may pass by itself; null texts don't. Status numbers count as whole words, not as part of a name."""
     c = F.lower(F.coalesce(F.col(message) if isinstance(message, str) else message, F.lit("")))
     out = F.lit(False)
     for t in TRANSIENT:
-        out = out | F.contains(c, F.lit(t))
+        out = out | (c.rlike(rf"(?<![a-z0-9_]){t}(?![a-z0-9_])") if t.isdigit() else F.contains(c, F.lit(t)))
     return out
 
 
