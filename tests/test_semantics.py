@@ -334,3 +334,9 @@ def test_classify_takes_ascii_words(spark):
 def test_status_numbers_are_whole_words(spark):
     df = spark.createDataFrame([("no such key D000429",), ("bad value D050391",), ("HTTP 429 for D000001",), ("status=503",), ("4290",), (None,)], "m string")
     assert [r[0] for r in df.select(documents.is_transient("m")).collect()] == [False, False, True, True, False, False]
+
+
+def test_seeded_numbers_grow_past_their_width(spark):
+    board = spark.createDataFrame([("M998", "a", "DONE")], "id string, key string, status string")
+    defaults = spark.createDataFrame([(k, i) for i, k in enumerate("abcd")], "key string, position int")
+    assert {(r["id"], r["key"]) for r in state.seeded(board, defaults).collect()} == {("M998", "a"), ("M999", "b"), ("M1000", "c"), ("M1001", "d")}

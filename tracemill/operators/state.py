@@ -16,7 +16,8 @@ def seeded(board: DataFrame, defaults: DataFrame, key: str = "key", number: str
     """
     highest = board.agg(F.coalesce(F.max(F.regexp_extract(number, rf"^{prefix}(\d+)$", 1).try_cast("long")), F.lit(0)).alias("_top"))
     new = defaults.join(board.select(key).distinct(), key, "left_anti").withColumn("_n", F.row_number().over(Window.orderBy("position")))
-    rows = new.join(F.broadcast(highest)).withColumn(number, F.concat(F.lit(prefix), F.lpad((F.col("_top") + F.col("_n")).cast("string"), width, "0")))  # one row
+    next_ = (F.col("_top") + F.col("_n")).cast("string")  # lpad would cut longer ones
+    rows = new.join(F.broadcast(highest)).withColumn(number, F.concat(F.lit(prefix), F.lpad(next_, F.greatest(F.lit(width), F.length(next_)), "0")))  # one row
     return board.unionByName(rows.withColumn("status", F.lit("PENDING")).drop("_n", "_top", "position"), allowMissingColumns=True)
 
 
