@@ -423,6 +423,28 @@ def test_nearest_recall_with_few_reranked(spark, clusters):
     assert hits >= 0.9 * 20 * 200
 
 
+@pytest.mark.parametrize("kind", ["lengths", "near copies", "both"])
+def test_nearest_of_uneven_vectors(spark, kind):
+    """Vectors of very different lengths, and thousands that lie closer together than the codebooks tell apart."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(6000, 32))
+    if kind != "lengths":
+        v = v[:3][rng.integers(0, 3, 6000)] + 0.01 * rng.normal(size=(6000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind != "near copies":
+        v *= np.exp(1.5 * rng.normal(size=(6000, 1)))
+    rows = _vectors(spark, v)
+    got = {}
+    for r in nearest.search(rows, queries_of(rows, 100), 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 100):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(got[q] & {*np.argsort(-score)[:20].tolist()})
+    assert hits >= 0.99 * 20 * 60
+
+
 def _water(budget, nodes):
     """Shares of (weight, room) by filling the fullest in turn."""
     share, open_ = [0.0] * len(nodes), {i for i, (w, r) in enumerate(nodes) if w > 0}

@@ -8,16 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracemill.llm.shared import ship, stored, tidied
-from tracemill.llm.vectors import Best, in_groups, matrix, queries_of, ranked, resolved, steps, usable
+from tracemill.llm.vectors import Best, in_groups, matrix, queries_of, ranked, steps, usable
 
 #: Most vectors that the codebooks are fitted on: those with the smallest hashes of their id. All vectors are indexed.
 SAMPLE = 16_000
-#: Candidates of each query that the scan of the tables hands to exact reranking.
-RERANK = 400
+#: Vectors of the sample against each other, by which the error of estimates is measured.
+PROBES = 256
 CENTROIDS = 16
+#: Rows of a step of the scan, and what single precision may lose of a cosine.
+BATCH, ROUNDED = 8192, 1e-5
 
 
 @dataclass
@@ -46,6 +47,11 @@ class Quantiser:
                 along = rest + p[np.arange(len(x)), code[:, m]]
         return code.astype(np.uint8)
 
+    def residuals(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Vectors less what their codes stand for."""
+        parts, _ = self.split(x)
+        return (parts - self.books[np.arange(len(self.books)), code]).reshape(len(x), -1)[:, : x.shape[1]]
+
     @staticmethod
     def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vectors and their unit vectors in parts of two dimensions, an even number of parts."""
@@ -90,72 +96,117 @@ def pack4(code: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(code[:, 0::2] | code[:, 1::2] << 4)
 
 
-def index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Quantiser]:
-    """id and codes, four bits for two dimensions, of every vector; the codebooks are fitted on `sample` vectors."""
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors over their lengths, and the lengths; vectors of zeros stay."""
+    top = np.maximum(np.abs(x).max(1, initial=0.0), 1e-300)
+    n = np.linalg.norm(x / top[:, None], axis=1)
+    return x / top[:, None] / np.maximum(n, 1e-300)[:, None], top * n
+
+
+def index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Quantiser, float]:
+    """id, codes (four bits for two dimensions of the unit vector), length, residual (its length, for the unit vector) and v of every vector; the codebooks; and
+    the largest error of an estimated cosine over the residual's length. Books and error are those of `sample` vectors."""
     ship(rows.sparkSession)
     fitted = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toArrow()
-    quantiser = Quantiser.fit(matrix(fitted["v"], fitted.num_rows))
+    x = unit(matrix(fitted["v"], fitted.num_rows))[0]
+    quantiser = Quantiser.fit(x)
+    slack = 0.0
+    if len(x):
+        for at in steps(len(x), 4096):
+            rest = quantiser.residuals(x[at], quantiser.codes(x[at]))
+            probes = x[:: max(1, len(x) // PROBES)]
+            error = np.maximum(np.abs(probes @ rest.T).max(0), np.abs((x[at] * rest).sum(1)))  # with others, and with itself
+            slack = max(slack, float((error / np.maximum(np.linalg.norm(rest, axis=1), 1e-12)).max()))
 
     def run(batches):
         for b in batches:
             for at in steps(b.num_rows, 4096):
                 part = b.slice(at.start, at.stop - at.start)
-                codes = pack4(quantiser.codes(matrix(part.column(1), part.num_rows)))
+                x, length = unit(matrix(part.column(1), part.num_rows))
+                code = quantiser.codes(x)
+                residual = np.linalg.norm(quantiser.residuals(x, code), axis=1)
+                codes = pack4(code)
                 offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets.buffers()[1], pa.py_buffer(codes.tobytes())])], names=["id", "codes"])
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets.buffers()[1], pa.py_buffer(codes.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), packed, pa.array(length), pa.array(residual), part.column(1)], names=["id", "codes", "length", "residual", "v"])
 
-    return rows.select("id", "v").mapInArrow(tidied(run), "id long, codes binary"), quantiser
+    return rows.select("id", "v").mapInArrow(tidied(run), "id long, codes binary, length double, residual double, v array<double>"), quantiser, min(slack, 1.0)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, rerank: int = RERANK) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (id, v) its k rows of largest inner product.
 
     rows and queries have the columns id and v, vectors of one length. Every
     row is coded. For groups of queries, which are broadcast, a scan of the
-    codes by four-bit tables finds the `rerank` rows of highest estimates, and
-    exact inner products in double precision rerank these. Rows with the
+    codes by four-bit tables estimates all inner products. Exact ones in double
+    precision are taken of the k rows of highest estimates of a batch, and then
+    of all whose estimate, with the largest error that the sample has shown for
+    residuals of that length, reaches the k-th best so far: as many as the rows
+    need, whatever their lengths and however close they lie. Rows with the
     query's id are its own and no candidates; ties go to the smaller vec_id; a
     query with fewer candidates than k has them all. Rows that repeat an id
     are candidates each for itself. Empty tables give an empty result.
     """
     spark = rows.sparkSession
     ship(spark)
-    coded, quantiser = index(rows)
+    coded, quantiser, slack = index(rows)
     coded = stored(coded, "vector-index")
-    rerank = max(rerank, k)
-    exact = lambda q, x: np.einsum("ij,ij->i", q, x)
 
     def one(ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
         group = spark.sparkContext.broadcast((ids, vectors))
 
         def scan(batches):
             ids, vectors = group.value
-            best = Best(len(ids), rerank)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                id_ = b.column(0).to_numpy()
-                codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1).T.copy()
-                for at in steps(len(ids)):
-                    near = np.empty((at.stop - at.start, b.num_rows), np.float32)
-                    for out, table in zip(near, quantiser.tables(vectors[at])):
-                        np.take(table[0], codes[0], out=out)
-                        for t, c in zip(table[1:], codes[1:]):
-                            out += t[c]
-                    near[ids[at, None] == id_[None, :]] = -np.inf
-                    best.add(near, id_)
-                best.merge()
-            q, id_, near = best.rows()
-            yield pa.RecordBatch.from_pydict({"q": q, "vec_id": id_, "near": near.astype(np.float64)})
-
-        found = coded.mapInArrow(tidied(scan), "q int, vec_id long, near double")
-        top = Window.partitionBy("q").orderBy(F.desc("near"), "vec_id")
-        found = found.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= rerank)
-        return ranked(resolved(rows, found, group, exact, "double"), k)
+            units, lengths = unit(vectors)
+            best = Best(len(ids), k)
+            for batch in batches:
+                for part in steps(batch.num_rows, BATCH):
+                    b = batch.slice(part.start, part.stop - part.start)
+                    id_, length, residual = (b.column(c).to_numpy() for c in (0, 2, 3))
+                    x = matrix(b.column(4), b.num_rows)
+                    codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1).T.copy()
+                    room = residual * slack + ROUNDED  # of an estimated cosine
+                    for at in steps(len(ids)):
+                        near = np.empty((at.stop - at.start, b.num_rows), np.float32)
+                        for out, table in zip(near, quantiser.tables(units[at])):
+                            np.take(table[0], codes[0], out=out)
+                            for t, c in zip(table[1:], codes[1:]):
+                                out += t[c]
+                        own = ids[at, None] == id_[None, :]
+                        exact = np.full(near.shape, -np.inf)
+                        most = (near + room) * length  # over the query's length
+                        most[own] = -np.inf
+                        if b.num_rows > k:
+                            first = np.argpartition(most, b.num_rows - k, axis=1)[:, -k:]
+                            q, c = np.repeat(np.arange(len(near)), k), first.ravel()
+                        else:
+                            q, c = np.nonzero(~own)
+                        inner(exact, vectors[at], x, q, c)
+                        exact[own] = -np.inf
+                        # the k-th best so far, here or in earlier batches
+                        floor = np.partition(exact, -k, axis=1)[:, -k] if b.num_rows >= k else np.full(len(exact), -np.inf)
+                        if best.score.shape[1] >= k:
+                            floor = np.maximum(floor, best.score[at].min(1))
+                        least = floor / np.maximum(lengths[at], 1e-300)
+                        q, c = np.nonzero((most >= (least - np.abs(least) * ROUNDED)[:, None]) & (exact == -np.inf) & ~own)
+                        inner(exact, vectors[at], x, q, c)
+                        best.add(exact, id_)
+                    best.merge()
+            q, id_, score = best.rows()
+            yield pa.RecordBatch.from_pydict({"query_id": ids[q], "vec_id": id_, "score": score})
+
+        found = coded.mapInArrow(tidied(scan), "query_id long, vec_id long, score double")
+        return ranked(found, k)
 
     return in_groups(queries, one, "double")
 
 
+def inner(out: np.ndarray, queries: np.ndarray, x: np.ndarray, q: np.ndarray, c: np.ndarray) -> None:
+    """Sets the inner products of pairs of queries q and candidates c, by one sum for all, so that copies tie."""
+    for at in steps(len(q), max(1, (1 << 20) // queries.shape[1])):
+        out[q[at], c[at]] = np.einsum("ij,ij->i", queries[q[at]], x[c[at]])
+
+
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", zero=False)
     return search(rows, queries_of(rows, 20), 20)
