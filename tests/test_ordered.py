@@ -139,6 +139,16 @@ def test_few_pairs_are_compared(spark):
     assert {r["k"]: r["p"] for r in found.collect()} == brute([tuple(r) for r in asked.collect()], [tuple(r) for r in rows.collect()])
 
 
+def test_copies_of_pool_rows_and_empty_cells(spark):
+    """Few places, each of a hundred rows: cells of the tree stay empty, and no candidate meets all others for that."""
+    rows = spark.range(30_000).select(F.col("id").alias("p"), (F.col("id") % 300 % 17).cast("double").alias("a"), F.sqrt(F.col("id") % 300).alias("b"))
+    asked = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 19 - 0.6).alias("a"), (F.rand(4) * 20 - 1).alias("b"))
+    asked = asked.cache()
+    found, pairs = pool.searched(asked, rows, ["a", "b"], "k", "p", 8)
+    assert pairs.agg(F.sum("n")).first()[0] < 500 * 150
+    assert {r["k"]: r["p"] for r in found.collect()} == brute([tuple(r) for r in asked.collect()], [tuple(r) for r in rows.filter("p < 300").collect()])
+
+
 def test_repeats_of_pool_rows(spark):
     found = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 7)], "k long, p long")
     assert {r["k"] for r in pool.repeated(found, "p", ["k"]).filter("repeated").collect()} == {2, 4}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,15 @@ class Tree:
             at = 2 * at + 1 + (x[np.arange(len(x)), self.columns[at]] > self.planes[at])
         return at - (2**self.depth - 1)
 
+    def closest(self, x: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        """A cell with rows for each row, near it: down to the child whose box is nearer, of equal ones that on its side of the plane."""
+        at, every = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _ in range(self.depth):
+            far = [(np.maximum(np.maximum(lows[c] - x, x - highs[c]), 0) ** 2).sum(1) for c in (2 * at + 1, 2 * at + 2)]
+            right = x[every, self.columns[at]] > self.planes[at]
+            at = 2 * at + 1 + np.where(far[0] == far[1], right, far[1] < far[0])
+        return at - (2**self.depth - 1)
+
     def boxes(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Boxes of all nodes from those of the cells; empty ones are inside out."""
         n = 2**self.depth - 1
@@ -79,9 +89,11 @@ def _numbers(batch: pa.RecordBatch, first: int) -> np.ndarray:
 def nearest_pool_row(candidates: DataFrame, pool: DataFrame, columns: list[str], key: str, pool_key: str, cell: int = CELL) -> DataFrame:
     """key, pool_key and distance2 of the pool row nearest to each candidate, each column scaled to the pool's range (one without spread by 1); ties of the rounded distance go to the smaller pool_key.
 
-    Pool rows lie in the cells of a tree cut by a bounded sample. A candidate
-    is compared with its own cell first; of the others it meets only cells
-    whose box (of their real rows) is no farther than what it has found.
+    Of pool rows that are equal in all columns the one of the smallest pool_key
+    stands for all. They lie in the cells of a tree cut by a bounded sample. A
+    candidate is compared with a near cell that has rows first; of the others
+    it meets only cells whose box (of their real rows) is no farther than what
+    it has found.
     Candidates and pool rows without a value in some column are left out; an
     empty pool gives none.
     """
@@ -94,7 +106,8 @@ def searched(candidates: DataFrame, pool: DataFrame, columns: list[str], key: st
     ship(spark)
     whole = lambda df, k: df.select(F.col(k).alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna(subset=[f"x{i}" for i in range(len(columns))])
     names = [f"x{i}" for i in range(len(columns))]
-    rows, asked = whole(pool, pool_key), whole(candidates, key)
+    asked = whole(candidates, key)
+    rows = stored(whole(pool, pool_key).groupBy(*names).agg(F.min("k").alias("k")).select("k", *names), "pool-points")
     stats = rows.agg(F.count("*").alias("n"), *[F.min(c).alias(f"lo_{c}") for c in names], *[F.max(c).alias(f"hi_{c}") for c in names]).first()
     n = stats["n"]
     spread = np.array([(stats[f"hi_{c}"] - stats[f"lo_{c}"]) or 1.0 for c in names]) if n else np.ones(len(names))
@@ -105,21 +118,26 @@ def searched(candidates: DataFrame, pool: DataFrame, columns: list[str], key: st
     tree = Tree.of(sample, depth)
     kind, pool_kind = candidates.schema[key].dataType.simpleString(), pool.schema[pool_key].dataType.simpleString()
 
-    def celled(df: DataFrame, kind: str) -> DataFrame:
+    def celled(df: DataFrame, kind: str, cells_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
         def run(batches):
             for batch in batches:
-                cells = tree.cells(_numbers(batch, 1) / spread)
+                cells = cells_of(_numbers(batch, 1) / spread)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), *batch.columns], names=["cell", "k", *names])
 
         return df.mapInArrow(run, f"cell long, k {kind}, " + ", ".join(f"{c} double" for c in names))
 
-    placed = stored(celled(rows, pool_kind), "pool-cells")
+    placed = stored(celled(rows, pool_kind, tree.cells), "pool-cells")
     boxes = placed.groupBy("cell").agg(*[F.min(c).alias(f"lo_{c}") for c in names], *[F.max(c).alias(f"hi_{c}") for c in names]).toArrow()  # 2 ** DEEPEST rows at most
     low, high = np.full((2**depth, len(names)), np.inf), np.full((2**depth, len(names)), -np.inf)
     at = boxes.column("cell").to_numpy()
     low[at] = np.stack([boxes.column(f"lo_{c}").to_numpy() for c in names], 1).reshape(-1, len(names)) / spread
     high[at] = np.stack([boxes.column(f"hi_{c}").to_numpy() for c in names], 1).reshape(-1, len(names)) / spread
     shared = spark.sparkContext.broadcast((tree, *tree.boxes(low, high)))
+
+    def near(x: np.ndarray) -> np.ndarray:
+        tree, lows, highs = shared.value
+        return tree.closest(x, lows, highs)
+
     square = sum((((F.col(f"c.{c}") - F.col(f"p.{c}")) / F.lit(float(s))) ** 2 for c, s in zip(names, spread)), F.lit(0.0))
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -127,7 +145,7 @@ def searched(candidates: DataFrame, pool: DataFrame, columns: list[str], key: st
         met = pairs.alias("c").join(placed.alias("p"), F.col("c.cell") == F.col("p.cell"))
         return met.groupBy(F.col("c.k").alias("k")).agg(F.min(F.struct(F.round(square, DIGITS).alias("d"), F.col("p.k").alias("p"))).alias("s"))
 
-    own = stored(celled(asked, kind), "candidate-cells")
+    own = stored(celled(asked, kind, near), "candidate-cells")
     first = compared(own).select("k", F.col("s.d").alias("reach"))
     reached = stored(own.join(first, "k", "left"), "candidate-reach")
 
@@ -137,7 +155,7 @@ def searched(candidates: DataFrame, pool: DataFrame, columns: list[str], key: st
             for i in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(i, TOGETHER)
                 reach = part.column(2).to_numpy(zero_copy_only=False).astype(float)
-                reach = np.where(np.isnan(reach), np.inf, reach + 2 * 10.0**-DIGITS)  # nothing in its own cell
+                reach = np.where(np.isnan(reach), np.inf, reach + 2 * 10.0**-DIGITS)  # an empty pool
                 row, cells = tree.within(_numbers(part, 3) / spread, reach, lows, highs)
                 away = cells != part.column(0).to_numpy()[row]
                 row, cells = pa.array(row[away]), pa.array(cells[away])
