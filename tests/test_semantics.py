@@ -340,3 +340,9 @@ def test_seeded_numbers_grow_past_their_width(spark):
     board = spark.createDataFrame([("M998", "a", "DONE")], "id string, key string, status string")
     defaults = spark.createDataFrame([(k, i) for i, k in enumerate("abcd")], "key string, position int")
     assert {(r["id"], r["key"]) for r in state.seeded(board, defaults).collect()} == {("M998", "a"), ("M999", "b"), ("M1000", "c"), ("M1001", "d")}
+
+
+def test_tiers_work_each_step_out_once(spark):
+    df = spark.createDataFrame([("a.b.red_widget", "x", "s", "b", "class", False)], "key string, owner string, summary string, body string, kind string, private boolean")
+    out = symbols.tiered(df, "how do I use the red gadgets", {"gadgets": ("widget",)}, "key", "owner", "summary", "body", "kind", "private")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
