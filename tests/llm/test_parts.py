@@ -192,6 +192,23 @@ def test_short_texts_hide_no_passage(spark):
     assert {i for k, a, b, o, at in found if (k, o) == (2, 1) and at - a == 50 for i in range(a, b)} == {*range(30, 250)}
 
 
+def test_seeds_meet_one_owner_and_come_out_of_the_join_once(spark, monkeypatch):
+    tables, keep = [], passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, name: tables.append((name, df)) or keep(df, name))
+    w = _new_words(200, "w")
+    docs = spark.createDataFrame([(i, " ".join(_new_words(20 * (i % 2), f"x{i}-") + w)) for i in range(12)], "doc_id long, text string")
+    assert {r["doc_id"] for r in passages.repeated_passages(docs).collect()} == {*range(1, 12)}
+    # in turns, so that one turn's exchanges are on disk at a time
+    assert [n for n, _ in tables].count("shared-seeds") == passages.TURNS > 1
+    # whatever the sizes of groups, no more rows than came in
+    rows = spark.createDataFrame([(i, p, 7 if p % 3 else 0, i // 2, p) for i in range(1, 30) for p in range(4)], "doc long, pos int, run long, other long, other_pos int")
+    out = passages.matched(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan and "Inner" not in plan
+    got = {tuple(r) for r in out.collect()}
+    assert got == {(i, p, i // 2, p) for i in range(1, 30) for p in range(4)} | {(i, p, 1, 1) for i in range(2, 30) for p in (1, 2)}
+
+
 def test_rows_that_repeat_an_id_are_one_text(spark):
     w, o = _new_words(80, "w"), _new_words(200, "o")
     rows = [(1, " ".join(w)), (2, " ".join(w)), (2, " ".join(o + w)), (2, " ".join(w)), (None, " ".join(w))]
