@@ -126,15 +126,20 @@ def preprint_queries(text: Column) -> Column:
 
     Fielded queries and texts of fewer than two words are tried as they are.
     """
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([A-Za-z0-9][A-Za-z0-9\-]*)"), 1), lambda w: ~w.isin(*SMALL_WORDS)))
-    keep = F.greatest(F.lit(2), F.ceil(F.size(words) * 3 / 5)).cast("int")
-    # longest first; of equal length, the earlier one
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("l"), i.alias("i"), w.alias("w"))))
-    kept = F.transform(F.slice(placed, F.lit(1), keep), lambda p: p["w"])
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  worked out once, however often it is used
+    found = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([A-Za-z0-9][A-Za-z0-9\-]*)"), 1), lambda w: ~w.isin(*SMALL_WORDS)))
     joined = lambda ws: F.array_join(F.transform(ws, lambda w: F.concat(F.lit("all:"), w)), " AND ")
-    fewer = F.filter(words, lambda w: F.array_contains(kept, w))
-    tries = F.when(F.size(fewer) < F.size(words), F.array(joined(words), joined(fewer), text)).otherwise(F.array(joined(words), text))
-    return F.when(text.rlike(FIELDED) | (F.size(words) < 2), F.array(text)).otherwise(tries)
+
+    def tries(words: Column) -> Column:
+        keep = F.greatest(F.lit(2), F.ceil(F.size(words) * 3 / 5)).cast("int")
+        # longest first; of equal length, the earlier one
+        placed = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("l"), i.alias("i"), w.alias("w"))))
+        kept = F.array_sort(F.transform(F.slice(placed, F.lit(1), keep), lambda p: F.struct(p["i"], p["w"])))
+        fewer = F.transform(kept, lambda p: p["w"])
+        several = F.when(keep < F.size(words), F.array(joined(words), joined(fewer), text)).otherwise(F.array(joined(words), text))
+        return F.when(text.rlike(FIELDED) | (F.size(words) < 2), F.array(text)).otherwise(several)
+
+    return once(found, tries)
 
 
 #: Fixed value: DOIs of preprints begin so, and their number follows.
