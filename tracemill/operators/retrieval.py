@@ -18,6 +18,8 @@ from tracemill.functions.shipping import ship
 
 K1, B = 1.5, 0.75
 FUSION = 60
+#: Scores of queries and rows that a task of cosine() holds at a time.
+SCORES = 250_000
 
 
 def chunks(df: DataFrame, key: str, text: str, size: int = 150, stride: int = 100) -> DataFrame:
@@ -100,8 +102,9 @@ def cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, query: st
                 v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
                 v = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
                 least = min(k, n)
-                for i in range(0, len(q), 256):
-                    scores = q[i : i + 256] @ v.T
+                step = max(1, SCORES // n)
+                for i in range(0, len(q), step):
+                    scores = q[i : i + step] @ v.T
                     # rounded score first, place among the batch's sorted keys second: no two are equal
                     order = np.floor(scores * unit + 0.5).astype(np.int64) * n + np.arange(n - 1, -1, -1)
                     at = np.argpartition(order, n - least, axis=1)[:, n - least :]
