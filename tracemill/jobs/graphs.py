@@ -13,6 +13,10 @@ from tracemill.sources.frames import table
 from tracemill.streaming import keyed, monitors
 
 
+#: Pages that a task holds as Python's texts at a time.
+PAGES = 64
+
+
 def _edges(spark, d):
     """Each customer leans on the one of half its number, and every fifth on that of a third."""
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("src")).filter("src > 0")
@@ -67,9 +71,11 @@ def html_extract(spark, d):
     ship(spark)
 
     def run(batches):
-        for batch in batches:
-            found = [extract(h) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], names=["page_id", "title", "body"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, PAGES):
+                batch = whole.slice(i, PAGES)
+                found = [extract(h) for h in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], names=["page_id", "title", "body"])
 
     return table(spark, d, "pages").select("page_id", "html").mapInArrow(run, "page_id long, title string, body string")
 
