@@ -57,6 +57,29 @@ def test_state_is_written_for_a_batch_alone(spark, tmp_path):
     assert touched == [200, 1]
 
 
+def test_a_delegation_that_has_been_told_costs_no_state(spark, tmp_path):
+    """Behind the last telling nothing is counted, and a key's state is one row however many designs it has."""
+    schema = "who long, design int, ts timestamp"
+    build = lambda s: keyed.duplicate_monitor(s, "who", ["design"], "ts", cool=0.0)
+    touched, told = [], []
+    for base, designs in ((0, 9), (100, 1), (200, 1)):
+        rows = spark.range(40).selectExpr("id AS who", "explode(sequence(0, 9)) AS i").selectExpr("who", f"IF(i < {designs}, i, 0) AS design", f"timestamp_seconds({base} + i) AS ts")
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        query = build(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+        query.awaitTermination()
+        touched.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]))
+        told.append(spark.read.parquet(f"{tmp_path}/out").count())
+    assert touched == [40, 40, 0] and told == [0, 80, 80]
+
+
+def test_a_monitor_forgets_designs_after_their_time(spark, tmp_path):
+    build = lambda keep: lambda s: keyed.duplicate_monitor(s, "who", ["design"], "ts", threshold=1, cool=0.0, keep_ms=keep)
+    batches = [[("a", 1, at(0)), ("b", 2, at(0))], [("a", 1, at(1)), ("b", 3, at(1))]]
+    for keep, want in ((1, []), (3_600_000, ["a"])):
+        got = in_batches(spark, tmp_path / str(keep), batches, "who string, design int, ts string", build(keep))
+        assert [r["who"] for r in got.collect()] == want
+
+
 def test_stalls_by_rows_and_by_timers(spark, tmp_path):
     batches = [[("a", at(0)), ("a", at(10)), ("b", at(0)), ("c", at(5))], [("a", at(50)), ("c", at(24))], [("a", at(55)), ("d", at(100))]]
     rows = in_batches(spark, tmp_path, batches, "who string, ts string", lambda s: keyed.stalls(s, "who", "ts", 1200.0))

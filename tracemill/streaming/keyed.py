@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tracemill.functions.shipping import by_value, ship
 
@@ -15,7 +16,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def keyed_state(spark: SparkSession) -> None:
-    """State of these monitors is kept by RocksDB, which alone offers values, maps and timers by key."""
+    """State of these monitors is kept by RocksDB, which alone offers timers by key and keeps state out of the heap."""
     ship(spark)
     by_value(__name__)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -25,43 +26,31 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], columns: list[str], order: list[str]) -> pd.DataFrame:
-    """A key's rows of one micro-batch, narrow and in order. The trigger's limits bound them."""
-    frames = [f[columns] for f in rows]
-    return (pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]).sort_values(order, kind="stable", ignore_index=True)
+def _plain(series: pd.Series, whole: bool) -> list:
+    """A column's cells as state keeps them: missing ones as None, whole numbers that pandas has made floats as whole ones."""
+    if whole and series.dtype.kind == "f":
+        return [None if v != v else int(v) for v in series.tolist()]
+    return [None if v != v else v.to_pydatetime() if hasattr(v, "to_pydatetime") else v for v in series.tolist()]
 
 
-def plain(value):
-    """A cell as state keeps it: missing ones as None, numpy's as Python's."""
-    return None if pd.isna(value) else value.item() if hasattr(value, "item") else value
+def _whole(df: DataFrame, columns: list[str]) -> set[str]:
+    return {c for c in columns if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")}
 
 
-class Changes(StatefulProcessor):
-    """Rows at which a watched field differs from the row before."""
+def _rows(frames: Iterator[pd.DataFrame], columns: list[str], whole: set[str]) -> list[tuple]:
+    """A key's rows of one micro-batch. The trigger's limits bound them."""
+    return [row for f in frames for row in zip(*(_plain(f[c], c in whole) for c in columns))]
 
-    def __init__(self, order: str, watched: list[str], rest: list[str], schema: str):
-        self.order, self.watched, self.rest, self.schema = order, watched, rest, schema
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.schema)
+def _place(cells: tuple) -> tuple:
+    """Sorts rows by some of their cells, missing ones last."""
+    return tuple((v is None, 0 if v is None else v) for v in cells)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        t = _in_order(rows, [self.order, *self.watched, *self.rest], [self.order])
-        seen = t[self.watched]
-        before = seen.shift(1)
-        same = (((seen == before) | (seen.isna() & before.isna())).all(axis=1)) & (t.index > 0) if self.watched else t.index > 0
-        kept = self.last.get()
-        first = tuple(plain(v) for v in seen.iloc[0])
-        same = pd.Series(same, index=t.index)
-        same.iloc[0] = kept is not None and tuple(kept)[1:] == first
-        self.last.update((plain(t[self.order].iloc[-1]), *[plain(v) for v in seen.iloc[-1]]))
-        out = t[~same]
-        if len(out):
-            out.insert(0, "_key", key[0])
-            yield out
 
-    def close(self) -> None:
-        pass
+def _grouped(stream: DataFrame, group: str, run, rows: str, state: str) -> DataFrame:
+    """A key's rows and state go to Python and back with those of other keys, many in an Arrow batch: no call is made for one key alone."""
+    kind = stream.schema[group].dataType.simpleString()
+    return stream.groupBy(group).applyInPandasWithState(run, f"_key {kind}, {rows}", state, "append", GroupStateTimeout.NoTimeout).withColumnRenamed("_key", group)
 
 
 def changes(stream: DataFrame, group: str = "user_id", order: str = "event_id", watched: tuple[str, ...] = ("event_type",), rest: tuple[str, ...] = ()) -> DataFrame:
@@ -72,46 +61,24 @@ def changes(stream: DataFrame, group: str = "user_id", order: str = "event_id",
     watched fields only a group's first row is given.
     """
     keyed_state(stream.sparkSession)
-    columns = [order, *watched, *rest]
-    kind = stream.schema[group].dataType.simpleString()
-    state = _kinds(stream, [order, *watched])
-    out = stream.select(group, *columns).groupBy(group).transformWithStateInPandas(Changes(order, list(watched), list(rest), state), f"_key {kind}, {_kinds(stream, columns)}", "Append", "None")
-    return out.withColumnRenamed("_key", group)
-
-
-class Repeats(StatefulProcessor):
-    """Tells a group that repeats designs."""
-
-    def __init__(self, order: list[str], threshold: int, cap: int, cool: float, keep_ms: int | None):
-        self.order, self.threshold, self.cap, self.cool, self.keep_ms = order, threshold, cap, cool, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counters = handle.getValueState("counters", "n long, counter long, told long, last double")
-        self.seen = handle.getMapState("seen", "design string", "at double", self.keep_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        t = _in_order(rows, ["design_of_row", "seconds_of_row", *self.order], ["seconds_of_row", *self.order])
-        fresh = ~t["design_of_row"].duplicated()
-        known = {d for d in t["design_of_row"][fresh] if self.seen.containsKey((d,))}
-        repeated = ~fresh | t["design_of_row"].isin(known)
-        for design, at in t.loc[fresh & ~repeated, ["design_of_row", "seconds_of_row"]].itertuples(index=False):
-            self.seen.updateValue((design,), (float(at),))
-        kept = self.counters.get()
-        n, counter, told, last = kept if kept is not None else (0, 0, 0, None)
-        out = []
-        for at in t.loc[repeated, "seconds_of_row"]:
-            n += 1
-            if told < self.cap:
-                counter += 1
-                if counter >= self.threshold and (last is None or at - last >= self.cool):
-                    out.append((key[0], n, at))
-                    counter, told, last = 0, told + 1, float(at)
-        self.counters.update((int(n), int(counter), int(told), last))
+    columns, m = [order, *watched, *rest], 1 + len(watched)
+    whole = _whole(stream, columns)
+
+    def run(key, frames, state):
+        kept = tuple(state.get) if state.exists else None
+        if m == 1 and kept is not None:
+            return
+        rows = sorted(_rows(frames, columns, whole), key=lambda r: _place(r[:1]))
+        before, out = kept and kept[1:], []
+        for row in rows[:1] if m == 1 else rows:
+            if row[1:m] != before:
+                out.append((*key, *row))
+            before, at = row[1:m], row[0]
+        state.update((at, *before))
         if out:
-            yield pd.DataFrame(out, columns=["_key", "n_duplicate", "at"])
+            yield pd.DataFrame(out, columns=["_key", *columns])
 
-    def close(self) -> None:
-        pass
+    return _grouped(stream.select(group, *columns), group, run, _kinds(stream, columns), _kinds(stream, [order, *watched]))
 
 
 def duplicate_monitor(stream: DataFrame, group: str, design: list[str], at: str, order: tuple[str, ...] = (), threshold: int = 3, cap: int = 2, cool: float = 60.0, keep_ms: int | None = None) -> DataFrame:
@@ -121,16 +88,41 @@ def duplicate_monitor(stream: DataFrame, group: str, design: list[str], at: str,
     from one telling to the next; at `threshold` the delegation is told, `cap`
     times at most and not within `cool` seconds of the rows' own clock (`at`, a
     timestamp). It is decided row by row, so how rows fall into micro-batches
-    makes no difference as long as they come in order. Designs are a map by key:
-    a batch looks up and writes its own ones alone. keep_ms forgets a design
-    after that time.
+    makes no difference as long as they come in order. A delegation's designs are
+    read and written once for a batch that has rows of it, and dropped with its
+    last telling, behind which nothing is counted. keep_ms forgets a design after
+    that time.
     """
     keyed_state(stream.sparkSession)
-    kind = stream.schema[group].dataType.simpleString()
     name = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in design])
     keyed = stream.select(group, *order, name.alias("design_of_row"), (F.unix_micros(at) / 1e6).alias("seconds_of_row"))
-    out = keyed.groupBy(group).transformWithStateInPandas(Repeats(list(order), threshold, cap, cool, keep_ms), f"_key {kind}, n_duplicate long, at double", "Append", "ProcessingTime" if keep_ms else "None")
-    return out.withColumnRenamed("_key", group)
+    columns = ["design_of_row", "seconds_of_row", *order]
+    whole = _whole(keyed, columns)
+
+    def run(key, frames, state):
+        n, counter, told, last, designs, since = tuple(state.get) if state.exists else (0, 0, 0, None, [], [])
+        if told >= cap:
+            return
+        now = state.getCurrentProcessingTimeMs()
+        seen = {d: s for d, s in zip(designs, since or [now] * len(designs)) if keep_ms is None or s + keep_ms > now}
+        out = []
+        for name_, seconds, *_ in sorted(_rows(frames, columns, whole), key=lambda r: _place(r[1:])):
+            if name_ not in seen:
+                seen[name_] = now
+                continue
+            n, counter = n + 1, counter + 1
+            if counter >= threshold and (last is None or (seconds is not None and seconds - last >= cool)):
+                out.append((*key, n, seconds))
+                counter, told, last = 0, told + 1, float("nan") if seconds is None else seconds
+                if told >= cap:
+                    seen = {}
+                    break
+        state.update((n, counter, told, last, list(seen), list(seen.values()) if keep_ms else []))
+        if out:
+            yield pd.DataFrame(out, columns=["_key", "n_duplicate", "at"])
+
+    state = "n long, counter long, told long, last double, designs array<string>, since array<long>"
+    return _grouped(keyed, group, run, "n_duplicate long, at double", state)
 
 
 class Stalls(StatefulProcessor):
@@ -143,29 +135,25 @@ class Stalls(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long, told boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        t = _in_order(rows, ["millis_of_row"], ["millis_of_row"])["millis_of_row"]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         kept = self.last.get()
         at, told = kept if kept is not None else (None, False)
-        out = []
         if at is not None and not told:
             self.handle.deleteTimer(at + self.limit)
-        for ms in t.tolist():
+        for ms in sorted(row["millis_of_row"] for row in rows):
             if at is not None and ms - at > self.limit and not told:
-                out.append((key[0], at))
+                yield Row(_key=key[0], since_ms=at)
             if at is None or ms > at:
                 at, told = ms, False
         self.last.update((int(at), bool(told)))
         if not told:
             self.handle.registerTimer(at + self.limit)
-        if out:
-            yield pd.DataFrame(out, columns=["_key", "since_ms"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at, told = self.last.get()
         if not told and expiredTimerInfo.getExpiryTimeInMs() == at + self.limit:
             self.last.update((int(at), True))
-            yield pd.DataFrame([(key[0], at)], columns=["_key", "since_ms"])
+            yield Row(_key=key[0], since_ms=at)
 
     def close(self) -> None:
         pass
@@ -180,7 +168,7 @@ def stalls(stream: DataFrame, group: str, at: str, limit: float = 1200.0, late:
     keyed_state(stream.sparkSession)
     kind = stream.schema[group].dataType.simpleString()
     keyed = stream.withWatermark(at, late).select(group, F.unix_millis(at).alias("millis_of_row"), at)
-    out = keyed.groupBy(group).transformWithStateInPandas(Stalls(int(limit * 1000)), f"_key {kind}, since_ms long", "Append", "EventTime")
+    out = keyed.groupBy(group).transformWithState(Stalls(int(limit * 1000)), f"_key {kind}, since_ms long", "Append", "EventTime")
     return out.withColumnRenamed("_key", group)
 
 
