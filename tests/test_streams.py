@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.jobs import files
 from tracemill.operators.eventlog import parse_jsonl
 from tracemill.sources.tail import Range, TailReader, tail_jsonl
 from tracemill.streaming import keyed, monitors
@@ -115,6 +116,17 @@ def test_tail_of_growing_files(spark, tmp_path):
     assert len(drained(spark, tmp_path)) == 34
 
 
+@pytest.mark.parametrize("name", ["live_fan_in", "jsonl_tail"])
+def test_long_logs_are_dealt_over_files(spark, same, monkeypatch, name):
+    """No task writes a whole log, and the rows are those of one file."""
+    written = []
+    grow = files._grow
+    monkeypatch.setattr(files, "LINES", 100)
+    monkeypatch.setattr(files, "_grow", lambda rows, root, cut: (written.append(rows.groupBy("log").count().agg(F.max("count")).first()[0]), grow(rows, root, cut)))
+    same(files.QUERIES[name], files.SQL[name])
+    assert max(written) < 200
+
+
 @pytest.mark.parametrize("size", [1, 7, 40, 1000])
 def test_ranges_share_out_lines(tmp_path, size):
     """Every line is read by one range, whatever the ranges' size."""

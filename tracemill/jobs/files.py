@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracemill.functions.scratch import scratch
+from tracemill.functions.shipping import ship
 from tracemill.operators import ledger as led, sinks
 from tracemill.operators.eventlog import parse_jsonl
 from tracemill.sources import files as op
@@ -93,9 +94,21 @@ def _grow(rows, root, cut):
     rows.repartition("log").sortWithinPartitions("log", "at").select("log", "at", "value").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
+#: Lines of a log file; a longer log is dealt over files, each written by one task.
+LINES = 500_000
+
+
+def _dealt(rows):
+    """Logs (columns log, at and value) over files of about LINES lines, all of which grow."""
+    files = rows.count() // LINES + 1
+    return rows.withColumn("log", F.concat("log", F.lit("."), F.pmod(F.xxhash64("at"), F.lit(files))))
+
+
 def _tailed(spark, logs, last, build, name, n=3):
     """Lets logs grow in steps; after each the stream that build() makes of their root goes on from its checkpoint."""
+    ship(spark)
     place = scratch(spark, name)
+    logs = {sub: _dealt(rows) for sub, rows in logs.items()}
     for i in range(n):
         for sub, rows in logs.items():
             _grow(rows, f"{place}/{sub}", (last + 1) * (i + 1) // n)
@@ -104,7 +117,7 @@ def _tailed(spark, logs, last, build, name, n=3):
 
 
 def jsonl_tail(spark, d):
-    """Events that four growing files of JSON lines gain, their last line torn until it is whole."""
+    """Events that growing files of JSON lines gain, four or more, their last line torn until it is whole."""
     e = table(spark, d, "events")
     line = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
     logs = e.select(F.concat(F.lit("events."), (F.col("user_id") % 4).cast("string")).alias("log"), F.col("event_id").alias("at"), line.alias("value"))

@@ -180,7 +180,10 @@ def fan_in(delegations: DataFrame, diagnostics: DataFrame, statuses: DataFrame)
     """
     columns = ["kind", "id", "pos", "status", "session_started_at", "payload"]
     none = lambda kind: F.lit(None).cast(kind)
-    seen = changes(delegations, "id", "pos", ("status", "session_started_at"), ("payload",)).withColumn("kind", F.lit("delegation"))
-    once = changes(statuses, "run", "pos", (), ("status",)).select(F.lit("run_status").alias("kind"), F.col("run").alias("id"), "pos", "status", none("long").alias("session_started_at"), none("string").alias("payload"))
+    watched = delegations.select(F.lit("delegation").alias("kind"), "id", "pos", "status", "session_started_at", "payload", F.col("status").alias("_status"), F.col("session_started_at").alias("_session"))
+    # nothing of a status is watched, so only a run's first one counts; one monitor keeps both kinds, as a query can hold one
+    once = statuses.select(F.lit("run_status").alias("kind"), F.col("run").alias("id"), "pos", "status", none("long").alias("session_started_at"), none("string").alias("payload"), none("string").alias("_status"), none("long").alias("_session"))
+    both = watched.unionByName(once).withColumn("_of", F.when(F.col("id").isNull(), F.col("kind")).otherwise(F.concat("kind", F.lit(":"), "id")))
+    told = changes(both, "_of", "pos", ("_status", "_session"), ("kind", "id", "status", "session_started_at", "payload"))
     rest = diagnostics.select(F.lit("diagnostic").alias("kind"), none("string").alias("id"), "pos", none("string").alias("status"), none("long").alias("session_started_at"), "payload")
-    return seen.select(*columns).unionByName(once.select(*columns)).unionByName(rest.select(*columns))
+    return told.select(*columns).unionByName(rest.select(*columns))
