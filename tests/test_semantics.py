@@ -346,3 +346,17 @@ def test_tiers_work_each_step_out_once(spark):
     df = spark.createDataFrame([("a.b.red_widget", "x", "s", "b", "class", False)], "key string, owner string, summary string, body string, kind string, private boolean")
     out = symbols.tiered(df, "how do I use the red gadgets", {"gadgets": ("widget",)}, "key", "owner", "summary", "body", "kind", "private")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
+
+
+def test_a_closure_writes_each_pair_once(spark, monkeypatch):
+    written = []
+    store_ = graph.stored
+
+    def counted(df, name):
+        out = store_(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", counted)
+    edges = spark.range(6).selectExpr("id AS src", "id + 1 AS dst")
+    assert graph.closure(edges).count() == 21 == sum(written)

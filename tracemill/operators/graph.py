@@ -54,7 +54,7 @@ def closure(edges: DataFrame, start: DataFrame | None = None, most_rounds: int =
         fresh = stored(more, "closure")
         if not fresh.head(1):
             return seen
-        seen = stored(seen.unionByName(fresh), "closure")
+        seen = seen.unionByName(fresh)  # each round's pairs are written once
     raise RuntimeError(f"the closure has not settled after {most_rounds} rounds")
 
 
