@@ -360,3 +360,20 @@ def test_a_closure_writes_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "stored", counted)
     edges = spark.range(6).selectExpr("id AS src", "id + 1 AS dst")
     assert graph.closure(edges).count() == 21 == sum(written)
+
+
+def test_a_study_is_listed_by_folders_not_a_task_for_few_files(spark, tmp_path, monkeypatch):
+    want = {}
+    for path in ("top.md", "runs/x.txt", "runs/a/b.json", "runs/a/debug/c/d e.png", "other/deep/er/f.tex"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path * 3)
+        want[path] = (len(path) * 3, (tmp_path / path).stat().st_mtime_ns // 1000)
+    for path in ("_temporary/g.md", "runs/.hidden/h.md", "runs/a/_i.md", "runs/a/debug/.j"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    (tmp_path / "runs/empty").mkdir()
+    for folders in (256, 1):
+        monkeypatch.setattr(files, "FOLDERS", folders, raising=False)
+        found = files.study_files(spark, f"file://{tmp_path}")
+        assert {r["path"]: (r["size"], r["at"]) for r in found.select("path", "size", F.unix_micros("modified").alias("at")).collect()} == want
+        assert "binaryFile" not in found._jdf.queryExecution().toString()

@@ -90,6 +90,10 @@ def provider_records(spark, d):
     return r.select("p_partkey", op.reply_error(F.col("reply")).alias("error"), F.explode_outer(records).alias("r")).select("p_partkey", "error", "r.*")
 
 
+#: Files of a study that a task writes.
+PUT = 4096
+
+
 def _study(spark, d):
     """A study's files, a run or a shared folder for each supplier."""
     ship(spark)
@@ -112,7 +116,7 @@ def _study(spark, d):
                     out.write(value.encode())
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
-    rows.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    rows.repartition(rows.count() // PUT + 1).mapInArrow(put, "n long").agg(F.sum("n")).collect()
     return root
 
 

@@ -8,11 +8,13 @@ from functools import reduce
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions.columns import nan_to_null
+from tracemill.functions.scratch import stored
 from tracemill.functions.shipping import ship
 from tracemill.operators.eventlog import parse_jsonl
 from tracemill.sources.tail import opened
@@ -151,13 +153,40 @@ READABLE = ("md", "tex", "py", "json", "txt", "csv", "yaml", "yml")
 RUN_NAME = r"^\d{8}T\d{6}"
 
 
+#: Folders of one level that a task lists.
+FOLDERS = 256
+
+
 def study_files(spark: SparkSession, study: str) -> DataFrame:
     """path (below the study), size and modified of all files of a study; contents are not read.
 
     Folders without files are not seen, nor are names that begin with _ or a
-    dot, which Spark leaves out.
+    dot, as Spark's own readers leave them out. The folders of each of the two
+    top levels are listed in one task, all below them by many tasks.
     """
-    return _below(spark, study, spark.read.format("binaryFile").option("recursiveFileLookup", True).load(study)).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    ship(spark)
+
+    def below(deep):
+        def run(batches):
+            system, top = opened(study)
+            for batch in batches:
+                rows = []
+                for path in batch.column(0).to_pylist():
+                    for f in system.get_file_info(fs.FileSelector(f"{top}/{path}".rstrip("/"), recursive=deep)):
+                        at = f.path[len(top):].strip("/")
+                        if not any(name[0] in "_." for name in at.split("/")):
+                            rows.append((at, f.type == fs.FileType.Directory, f.size, f.mtime_ns // 1000))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.bool_(), pa.int64(), pa.int64()))], names=["path", "folder", "size", "micros"])
+
+        return run
+
+    kinds = "path string, folder boolean, size long, micros long"
+    first = stored(spark.range(1, numPartitions=1).select(F.lit("").alias("path")).mapInArrow(below(False), kinds), "study-level")
+    second = stored(first.filter("folder").select("path").coalesce(1).mapInArrow(below(False), kinds), "study-level")
+    folders = second.filter("folder").select("path")
+    rest = folders.repartition(max(1, -(-folders.count() // FOLDERS))).mapInArrow(below(True), kinds)
+    found = first.unionByName(second).unionByName(rest).filter("NOT folder")
+    return stored(found.select("path", "size", F.timestamp_micros("micros").alias("modified")), "study-files")
 
 
 def _folder(spark: SparkSession, path: str) -> str:
