@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracemill.operators import spelling
@@ -43,6 +44,36 @@ def test_few_pairs_are_candidates(spark):
     assert spelling.candidates(a, v).count() < 0.01 * 3000 * 300
 
 
+def test_leftovers_are_those_of_deletions(spark):
+    rnd = random.Random(13)
+    words = ["".join(rnd.choice("abé\U0001f600") for _ in range(rnd.randrange(0, 8))) for _ in range(200)] + ["x" * 42]
+    edits = np.array([rnd.randrange(3) for _ in words])
+    own = lambda w: int(spelling._hashes(np.frombuffer(w.encode("utf-32-le"), np.uint32).reshape(1, len(w)), 0)[0, 0])
+    seen = []
+    for at, hashes in spelling._leftovers(words, edits):
+        for i, h in zip(at, hashes):
+            left = {words[i]}
+            for _ in range(edits[i]):
+                left |= {w[:j] + w[j + 1 :] for w in left for j in range(len(w))}
+            assert set(map(int, h)) == {own(w) for w in left}
+            seen.append(i)
+    assert sorted(seen) == list(range(len(words)))
+
+
+def test_vocabulary_is_read_once_and_few_leftovers_leave_a_task(spark, tmp_path):
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(3000)]
+    spark.createDataFrame([(w, 1) for w in words], "word string, n int").write.parquet(str(tmp_path / "vocabulary"))
+    v = spark.read.parquet(str(tmp_path / "vocabulary"))
+    a = spark.createDataFrame([(w[:2] + w[3:],) for w in words[:50]] + [(words[0],)], "word string")
+    found = spelling.did_you_mean(a, v)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet") == 1
+    assert sorted((r["query"], r["word"]) for r in found.filter("rank = 1").collect()) == sorted((w[:2] + w[3:], w) for w in words[:50])
+    sought = spelling._indexed(a.select("word"), spelling.allowed(F.col("word")))
+    bitmap = spark.sparkContext.broadcast(spelling._bits(sought))
+    assert spelling._indexed(v.select("word"), F.lit(2), bitmap).count() < 0.05 * spelling._indexed(v.select("word"), F.lit(2)).count()
+
+
 def test_notes_and_gaps(spark):
     keywords = spark.createDataFrame([("STATIC",), ("STEP",), ("BUCKLE",)], "k string")
     asked = spark.createDataFrame([("*SATIC now",), ("*STEP BUCKLE",), ("plain text",), ("*NOTHINGLIKEIT",)], "q string")
