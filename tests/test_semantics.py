@@ -1,13 +1,17 @@
 """Operators on literal rows: exact counts, and cases that pass only under the right semantics."""
 
+import random
+import re
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from tracemill.functions.columns import nan_to_null, natural_key
 from tracemill.functions.html import meta_content, page_text
 from tracemill.functions.predicate import PredicateError, where
+from tracemill.jobs import documents as document_jobs
 from tracemill.jobs.graphs import verdict
 from tracemill.operators import documents, evalstats, eventlog, graph, ledger, records, retrieval, sinks, state, symbols
 from tracemill.sources import files
@@ -377,3 +381,34 @@ def test_a_study_is_listed_by_folders_not_a_task_for_few_files(spark, tmp_path,
         found = files.study_files(spark, f"file://{tmp_path}")
         assert {r["path"]: (r["size"], r["at"]) for r in found.select("path", "size", F.unix_micros("modified").alias("at")).collect()} == want
         assert "binaryFile" not in found._jdf.queryExecution().toString()
+
+
+def test_trees_of_contents_are_made_in_their_rows(spark):
+    rnd = random.Random(15)
+    parts = ['<topic title="t" href="h#f">', '<topic href="p">', "<topic>", "</topic>", "</topic>", '<topic title="a"/>', "<topical/>", "text"]
+    docs = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 30)))) for i in range(1500)] + [(1500, None), (1501, ""), (1502, "</topic><topic><topic/></topic>")]
+    want = []
+    for key, xml in docs:
+        depth, node, levels = 0, 0, {}
+        for t in re.findall(r"<topic\b[^>]*>|</topic>", xml or ""):
+            if t == "</topic>":
+                depth -= 1
+                continue
+            href = "h" if "#" in t else "p" if "href" in t else ""
+            want.append((key, node, levels.get(depth - 1), depth, (re.findall('title="(.)', t) or [""])[0], href, "f" if "#" in t else None))
+            levels[depth] = node
+            node += 1
+            depth += not t.endswith("/>")
+    df = spark.createDataFrame(docs, "k long, x string").coalesce(2)
+    found = documents.contents_tree(df, "k", "x")
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want)) and len(want) > 5000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Sort", "Window", "Join"))
+    twice = documents.contents_tree(df.filter("k = 1502").union(df.filter("k = 1502")), "k", "x").collect()
+    assert sorted((r["node"], r["parent"] is None) for r in twice) == [(0, True), (0, True), (1, False), (1, False)]
+
+
+def test_contents_are_dealt_into_more_tasks_as_lines_grow(spark, monkeypatch):
+    monkeypatch.setattr(document_jobs, "LINES", 500, raising=False)
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert document_jobs.contents_tree(spark, DATA).rdd.getNumPartitions() == lines // 500 + 1

@@ -8,15 +8,21 @@ from tracemill.operators import documents as op, ledger as led
 from tracemill.sources.frames import CALLS_SQL, LEDGER_SQL, LOG_SQL, PAPERS_SQL, calls, ledger, log, papers, table
 
 
+#: Order lines of a task, as groups are made after their rows are dealt.
+LINES = 500_000
+
+
 def _contents(spark, d):
     """A tree for each customer: orders, and in each the parts of its lines."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, d, "lineitem")
+    n = max(spark.sparkContext.defaultParallelism, lines.count() // LINES + 1)
+    li = lines.select("l_orderkey", "l_linenumber", "l_partkey").repartition(n, "l_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
     leaf = F.struct("l_linenumber", "l_partkey")
-    leaves = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(leaf)).alias("ls"))
+    leaves = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(leaf)).alias("ls"))
     inner = F.array_join(F.transform("ls", lambda x: F.concat(F.lit('<topic title="part '), x["l_partkey"].cast("string"), F.lit('" href="o'), F.col("o_orderkey").cast("string"), F.lit("#p"), x["l_partkey"].cast("string"), F.lit('"/>'))), "")
     each = o.join(leaves, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey", F.concat(F.lit('<topic title="order" href="o'), F.col("o_orderkey").cast("string"), F.lit('">'), inner, F.lit("</topic>")).alias("xml"))
-    whole = each.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "xml"))).alias("x"))
+    whole = each.repartition(n, "o_custkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "xml"))).alias("x"))
     return whole.select("o_custkey", F.concat(F.lit('<toc><topic title="all">'), F.array_join(F.transform("x", lambda x: x["xml"]), "\n"), F.lit("</topic></toc>")).alias("xml"))
 
 

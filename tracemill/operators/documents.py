@@ -2,33 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tracemill.functions.shipping import ship
+
+#: Documents whose tags are placed at a time.
+TOGETHER = 256
+
+
+def _placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """key, node, parent, depth and tag (t) of the opening tags of documents: rows of key and all tags in order."""
+    keys, lists = batch.columns
+    t = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    opens = ~pc.starts_with(t, "</").to_numpy(zero_copy_only=False).astype(bool)
+    alone = pc.ends_with(t, "/>").to_numpy(zero_copy_only=False).astype(bool)
+    step = np.where(alone, 0, np.where(opens, 1, -1))
+    before = np.cumsum(step) - step
+    at = np.flatnonzero(opens)
+    row, depth = row[at], (before - before[np.searchsorted(row, row)])[at]
+    node = np.arange(len(at)) - np.searchsorted(row, row)
+    parents, was = [], -1
+    for r, d, n in zip(row.tolist(), depth.tolist(), node.tolist()):
+        if r != was:
+            last, was = {}, r  # the last node of each depth so far
+        parents.append(last.get(d - 1))
+        last[d] = n
+    numbers = [pa.array(node, pa.int32()), pa.array(parents, pa.int32()), pa.array(depth, pa.int32())]
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), *numbers, t.take(pa.array(at))], names=["key", "node", "parent", "depth", "t"])
 
 
 def contents_tree(df: DataFrame, key: str, xml: str, tag: str = "topic") -> DataFrame:
     """key, node (number in the document), parent (null at the top), depth, title, href and fragment of nested elements of one tag.
 
-    Only the tags' order and nesting count; titles and hrefs are attributes.
+    Only the tags' order and nesting count; titles and hrefs are attributes. A
+    document is one row, so its tags are placed where it stands: nothing is shuffled or sorted.
     """
+    ship(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, TOGETHER):
+                yield _placed(batch.slice(i, TOGETHER))
+
     part = F.regexp_extract_all(xml, F.lit(rf"(<{tag}\b[^>]*>|</{tag}>)"), 1)
-    tags = df.select(F.col(key).alias("key"), F.posexplode(part).alias("pos", "t"))
-    opens, alone = ~F.col("t").startswith("</"), F.col("t").endswith("/>")
-    at = Window.partitionBy("key").orderBy("pos")
-    step = F.when(alone, 0).when(opens, 1).otherwise(-1)
-    placed = tags.withColumn("depth", F.sum(step).over(at) - F.when(opens & ~alone, 1).otherwise(0)).filter(opens)
-    placed = placed.withColumn("node", F.row_number().over(at) - 1)
-    # a node asks at its depth for the last node one level up, which offers itself there
-    offer = placed.select("key", "pos", (F.col("depth") + 1).alias("level"), F.col("node").alias("offered"), F.lit(None).cast("int").alias("asks"))
-    ask = placed.select("key", "pos", F.col("depth").alias("level"), F.lit(None).cast("int").alias("offered"), F.col("node").alias("asks"))
-    last = F.last("offered", True).over(Window.partitionBy("key", "level").orderBy("pos"))
-    parents = offer.unionByName(ask).withColumn("parent", last).filter("asks is not null").select("key", F.col("asks").alias("node"), "parent")
+    tags = df.filter(F.col(xml).isNotNull()).select(F.col(key).alias("key"), part.alias("tags"))
+    placed = tags.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, node int, parent int, depth int, t string")
     attribute = lambda name: F.regexp_extract("t", rf'\b{name}="([^"]*)"', 1)
     href = attribute("href")
-    out = placed.join(parents, ["key", "node"]).withColumn("_f", F.substring_index(href, "#", -1))
+    out = placed.withColumn("_f", F.substring_index(href, "#", -1))
     fragment = F.when(F.contains(href, F.lit("#")), F.col("_f"))
-    return out.select(F.col("key").alias(key), "node", "parent", F.col("depth").cast("int").alias("depth"), attribute("title").alias("title"), F.substring_index(href, "#", 1).alias("href"), fragment.alias("fragment"))
+    return out.select(F.col("key").alias(key), "node", "parent", "depth", attribute("title").alias("title"), F.substring_index(href, "#", 1).alias("href"), fragment.alias("fragment"))
 
 
 def first_nodes(nodes: DataFrame, page: str, depth: str = "depth", node: str = "node", fragment: str = "fragment") -> DataFrame:
